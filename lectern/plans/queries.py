@@ -1,0 +1,28 @@
+"""Registered queries over the driver's tables, each with its DuckDB oracle.
+
+Every query reads whole tables; none filters to a subset to stay cheap.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from lectern.operators import chunking
+from lectern.plans import sql as S
+from lectern.plans.registry import register
+from lectern.session import read_table
+
+
+# --------------------------------------------------------------------------
+# Text processing and chunking
+# --------------------------------------------------------------------------
+
+@register("chunk_text", "T1 T2 T3 W4", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}
+SELECT doc_id, chunk_id, text, start_char, end_char, total_chunks FROM chunks
+""")
+def chunk_text(spark: SparkSession, sf: str):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return chunking.chunk_documents(docs).select(
+        "doc_id", "chunk_id", "text", "start_char", "end_char", "total_chunks")
