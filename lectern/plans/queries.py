@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import chunking
+from lectern.operators.embedding import HASH_DIM
+from lectern.plans import retrieval
 from lectern.plans import sql as S
 from lectern.plans.registry import register
 from lectern.session import read_table
@@ -26,3 +28,25 @@ def chunk_text(spark: SparkSession, sf: str):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     return chunking.chunk_documents(docs).select(
         "doc_id", "chunk_id", "text", "start_char", "end_char", "total_chunks")
+
+
+# --------------------------------------------------------------------------
+# Retrieval (flagship)
+# --------------------------------------------------------------------------
+
+def _index(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return retrieval.chunk_index(docs)
+
+
+def _user_questions(spark, sf):
+    return retrieval.user_questions(read_table(spark, sf, "conversations"))
+
+
+@register("search_questions", "P1 J1 E1 E2 F2 F3 F4 F6 W2 W3", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(S.user_questions_sql(), HASH_DIM)}
+SELECT query_id, rank, doc_id, chunk_id, round(score, 6) AS score FROM hits
+""")
+def search_questions(spark: SparkSession, sf: str):
+    hits = retrieval.search_questions(_index(spark, sf), _user_questions(spark, sf))
+    return hits.select("query_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))

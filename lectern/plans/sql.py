@@ -50,3 +50,61 @@ _walk(k, t, n, chunk_id, s, w) AS (
          CAST(count(*) OVER (PARTITION BY k) AS INTEGER) AS total_chunks
   FROM _walk
 )"""
+
+
+def hash_terms_sql(source: str, ids: str, text: str, dim: int) -> str:
+    """Sparse hash-embedding rows ``(ids…, b, w)`` of ``text`` per row of ``source``."""
+    return f"""
+  SELECT {ids}, b, count(*) AS w FROM (
+    SELECT {ids}, CAST(('0x' || substr(md5(lower(tok)), 1, 8))::BIGINT % {dim} AS INTEGER) AS b
+    FROM (SELECT {ids}, unnest(regexp_extract_all({text}, '[A-Za-z0-9]+')) AS tok FROM {source})
+  ) GROUP BY ALL"""
+
+
+def user_questions_sql() -> str:
+    return f"""
+  SELECT conv_id || ':' || turn AS query_id, {strip_sql('text')} AS question,
+         CAST(NULL AS BIGINT) AS doc_id, 5 AS top_k
+  FROM conversations
+  WHERE role = 'user' AND length({strip_sql('text')}) > 0"""
+
+
+def search_sql(questions: str, dim: int, min_chars: int = 20, model_chars: int = 30000) -> str:
+    """Brute-force P1: every valid question against every kept chunk.
+
+    Defines CTEs ``kept``, ``q`` and ``hits(query_id, rank, doc_id, chunk_id, text, score)``.
+    Must follow the chunk CTE.
+    """
+    return f""",
+kept AS (SELECT doc_id, chunk_id, text FROM chunks WHERE length(text) >= {min_chars}),
+q AS ({questions}),
+cterm AS ({hash_terms_sql('kept', 'doc_id, chunk_id', f'substr(text, 1, {model_chars})', dim)}),
+qterm AS ({hash_terms_sql('q', 'query_id', 'question', dim)}),
+cn AS (SELECT doc_id, chunk_id, sum(w * w) AS n2 FROM cterm GROUP BY ALL),
+qn AS (SELECT query_id, sum(w * w) AS n2 FROM qterm GROUP BY ALL),
+dots AS (
+  SELECT query_id, doc_id, chunk_id, sum(qterm.w * cterm.w) AS dot
+  FROM qterm JOIN cterm USING (b) GROUP BY ALL
+),
+pairs AS (
+  SELECT q.query_id, q.top_k, k.doc_id, k.chunk_id, k.text,
+         coalesce(d.dot, 0) AS dot, coalesce(qn.n2, 0) AS qn2, coalesce(cn.n2, 0) AS cn2
+  FROM q JOIN kept k ON q.doc_id IS NULL OR q.doc_id = k.doc_id
+  LEFT JOIN qn ON qn.query_id = q.query_id
+  LEFT JOIN cn ON cn.doc_id = k.doc_id AND cn.chunk_id = k.chunk_id
+  LEFT JOIN dots d ON d.query_id = q.query_id AND d.doc_id = k.doc_id AND d.chunk_id = k.chunk_id
+),
+scored AS (
+  SELECT query_id, top_k, doc_id, chunk_id, text,
+         CASE WHEN qn2 = 0 OR cn2 = 0 THEN 0.0
+              ELSE CAST(dot AS DOUBLE) / (sqrt(CAST(qn2 AS DOUBLE)) * sqrt(CAST(cn2 AS DOUBLE))) END AS score
+  FROM pairs
+),
+hits AS (
+  SELECT * FROM (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id
+                          ORDER BY score DESC, doc_id, chunk_id) AS INTEGER) AS rank,
+           doc_id, chunk_id, text, score, top_k
+    FROM scored)
+  WHERE rank <= top_k
+)"""
