@@ -62,19 +62,34 @@ def _padded_matrix(vec: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _topk_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per column, the ``k`` best rows; equal scores go to the lower row index.
+    """Per row (question), the ``k`` best columns (chunks); equal scores go to
+    the lower column index, which is the lower chunk key.
 
-    Returns ``(row, column)`` index arrays. ``-inf`` marks excluded cells.
+    Returns ``(question, column)`` index arrays. ``-inf`` marks excluded cells.
     """
-    b = scores.shape[0]
+    b = scores.shape[1]
     kk = min(k, b)
-    kth = -np.partition(-scores, kk - 1, axis=0)[kk - 1]
-    above = scores > kth
-    tie = scores == kth
-    need = kk - above.sum(axis=0)
-    pick = above | (tie & (np.cumsum(tie, axis=0) <= need))
-    pick &= scores > -np.inf
-    return np.nonzero(pick)
+    kth = np.partition(scores, b - kk, axis=1)[:, b - kk]
+    qi, ci = np.nonzero((scores >= kth[:, None]) & (scores > -np.inf))
+    if len(qi) == 0:
+        return qi, ci
+    s = scores[qi, ci]
+    tie = s == kth[qi]
+    # among ties keep only as many as each question still needs, lowest columns first
+    above = np.bincount(qi, weights=~tie, minlength=len(kth)).astype(np.int64)
+    start = np.r_[0, np.flatnonzero(qi[1:] != qi[:-1]) + 1]
+    tie_cum = np.cumsum(tie)
+    base = np.repeat(tie_cum[start] - tie[start], np.diff(np.r_[start, len(qi)]))
+    keep = ~tie | (tie_cum - base <= kk - above[qi])
+    return qi[keep], ci[keep]
+
+
+def _exact_in_single(mat: np.ndarray, bound_other: float) -> bool:
+    """Integer-valued blocks whose dot products stay below 2**24 are exact in float32."""
+    if not len(mat):
+        return True
+    l1 = np.abs(mat).sum(axis=1).max()
+    return l1 * bound_other < 2 ** 24 and np.array_equal(mat, np.rint(mat))
 
 
 class _Block:
@@ -86,8 +101,11 @@ class _Block:
         lens = np.diff(vec.offsets.to_numpy())
         self.width = max(1, int(lens.max()) if len(lens) else 1)
         mat, sq = _padded_matrix(vec, self.width)
-        self.matrix = np.ascontiguousarray(mat.T)          # (width, nq)
+        self.matrix = mat                                   # (nq, width)
         self.norm = np.sqrt(sq)
+        self.max_abs = float(np.abs(mat).max()) if mat.size else 0.0
+        self.single = (_exact_in_single(mat, 1.0) and self.max_abs < 2 ** 24)
+        self.matrix32 = mat.astype(np.float32) if self.single else None
         self.k = tbl.column("_k").to_numpy()
         self.kmax = int(self.k.max()) if len(self.k) else 0
         self.filter_docs = None
@@ -129,19 +147,22 @@ def _score_partition(bc, keys, payload, cvec, cdoc, out_schema: T.StructType):
             for lo in range(0, n, step):
                 part = tbl.slice(lo, step)
                 mat, sq = _padded_matrix(part.column(cvec).combine_chunks(), blk.width)
-                dots = mat @ blk.matrix
-                denom = np.sqrt(sq)[:, None] * blk.norm[None, :]
+                if blk.single and _exact_in_single(mat, blk.max_abs):
+                    dots = (blk.matrix32 @ mat.astype(np.float32).T).astype(np.float64)
+                else:
+                    dots = blk.matrix @ mat.T                  # (nq, rows)
+                denom = blk.norm[:, None] * np.sqrt(sq)[None, :]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     scores = np.where(denom == 0, 0.0, dots / denom)
                 if ccode is not None:
                     cc = ccode[lo:lo + step]
-                    allowed = (blk.qcode[None, :] < 0) | (blk.qcode[None, :] == cc[:, None])
+                    allowed = (blk.qcode[:, None] < 0) | (blk.qcode[:, None] == cc[None, :])
                     scores = np.where(allowed, scores, -np.inf)
-                rows, qs = _topk_rows(scores, blk.kmax)
+                qs, rows = _topk_rows(scores, blk.kmax)
                 if len(rows) == 0:
                     continue
                 cand = part.select(list(keys) + list(payload)).take(pa.array(rows))
-                cand = cand.append_column("score", pa.array(scores[rows, qs], pa.float64()))
+                cand = cand.append_column("score", pa.array(scores[qs, rows], pa.float64()))
                 cand = cand.append_column("_q", pa.array(qs, pa.int64()))
                 keep.append(cand)
                 kept += len(rows)

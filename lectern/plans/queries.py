@@ -50,3 +50,48 @@ SELECT query_id, rank, doc_id, chunk_id, round(score, 6) AS score FROM hits
 def search_questions(spark: SparkSession, sf: str):
     hits = retrieval.search_questions(_index(spark, sf), _user_questions(spark, sf))
     return hits.select("query_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def _ask(spark, sf, questions):
+    return retrieval.ask(_index(spark, sf), questions)
+
+
+ANSWER_COLS = ("query_id", "question", "context", "prompt", "answer", "chunks_used", "confidence")
+
+
+@register("ask_questions", "P2 G4 G6 C1 C3", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(S.user_questions_sql(), HASH_DIM)}{S.answers_sql('q')}
+SELECT {', '.join(ANSWER_COLS)} FROM answers
+""")
+def ask_questions(spark: SparkSession, sf: str):
+    return _ask(spark, sf, _user_questions(spark, sf)).select(*ANSWER_COLS)
+
+
+@register("ask_sources", "G5 T5 E3", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(S.user_questions_sql(), HASH_DIM)}
+SELECT query_id, CAST(rank AS INTEGER) AS position, doc_id, chunk_id,
+       CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text_preview,
+       round(score, 3) AS relevance_score
+FROM hits
+""")
+def ask_sources(spark: SparkSession, sf: str):
+    ans = _ask(spark, sf, _user_questions(spark, sf))
+    return ans.select("query_id", F.posexplode("sources").alias("pos", "s")).select(
+        "query_id", (F.col("pos") + 1).alias("position"), "s.doc_id", "s.chunk_id",
+        "s.text_preview", "s.relevance_score")
+
+
+def _in_document_questions(spark, sf):
+    conv = read_table(spark, sf, "conversations")
+    return conv.where(F.col("role") == "user").select(
+        F.format_string("%d:%d", "conv_id", "turn").alias("query_id"),
+        F.col("text").alias("question"), F.col("conv_id").alias("doc_id"))
+
+
+@register("ask_in_document", "J2 F5 C1 P2", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(S.in_document_questions_sql(), HASH_DIM)}{S.answers_sql('q')}
+SELECT {', '.join(ANSWER_COLS)} FROM answers
+""")
+def ask_in_document(spark: SparkSession, sf: str):
+    """Each conversation is scoped to the document whose id equals its ``conv_id``."""
+    return _ask(spark, sf, _in_document_questions(spark, sf)).select(*ANSWER_COLS)

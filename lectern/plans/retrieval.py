@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip_ws
-from lectern.operators import chunking, embedding, search
+from lectern.operators import answer, chunking, embedding, search
 
 MIN_CHUNK_CHARS = 20       # fixed: shorter chunks are not embedded
 
@@ -78,3 +78,15 @@ def search_questions(index: DataFrame, questions: DataFrame, embedder=None,
     valid, _ = validate_questions(questions)
     qv = embed_questions(valid, embedder=embedder, dim=dim)
     return search.exact_search(index, qv, **kw)
+
+
+def ask(index: DataFrame, questions: DataFrame, embedder=None, answerer=None,
+        dim: int = embedding.HASH_DIM, **kw) -> DataFrame:
+    """Questions -> answers with context, prompt, sources and confidence.
+
+    Blank questions are not answered (they are returned by ``validate_questions``).
+    """
+    valid, _ = validate_questions(questions)
+    qv = embed_questions(valid, embedder=embedder, dim=dim)
+    hits = search.exact_search(index, qv, **kw)
+    return answer.assemble_answers(valid, hits, answerer=answerer)

@@ -108,3 +108,42 @@ hits AS (
     FROM scored)
   WHERE rank <= top_k
 )"""
+
+
+def lit(s: str) -> str:
+    """A Python string as a DuckDB string expression (newlines via chr(10))."""
+    parts = [("'" + p.replace("'", "''") + "'") for p in s.split("\n")]
+    return " || chr(10) || ".join(parts)
+
+
+def answers_sql(question_source: str) -> str:
+    """P2 per question from ``hits`` and ``q``: CTE ``answers``. Must follow ``search_sql``."""
+    from lectern.operators.answer import NO_HITS_ANSWER, PROMPT_TEMPLATE
+    before, rest = PROMPT_TEMPLATE.split("{context}")
+    mid, after = rest.split("{question}")
+    return f""",
+agg AS (
+  SELECT query_id,
+         string_agg('[Document ' || rank || ']' || chr(10) || text || chr(10), chr(10) ORDER BY rank) AS context,
+         arg_min(text, rank) AS best_text,
+         count(*) AS chunks_used
+  FROM hits GROUP BY query_id
+),
+answers AS (
+  SELECT q.query_id, q.question, a.context,
+         CASE WHEN a.query_id IS NOT NULL
+              THEN {lit(before)} || a.context || {lit(mid)} || q.question || {lit(after)} END AS prompt,
+         coalesce(a.best_text, {lit(NO_HITS_ANSWER)}) AS answer,
+         coalesce(a.chunks_used, 0) AS chunks_used,
+         CASE WHEN coalesce(a.chunks_used, 0) = 0 THEN 'low'
+              WHEN a.chunks_used < 3 THEN 'medium' ELSE 'high' END AS confidence
+  FROM {question_source} q LEFT JOIN agg a ON a.query_id = q.query_id
+)"""
+
+
+def in_document_questions_sql() -> str:
+    return f"""
+  SELECT conv_id || ':' || turn AS query_id, {strip_sql('text')} AS question,
+         conv_id AS doc_id, 5 AS top_k
+  FROM conversations
+  WHERE role = 'user' AND length({strip_sql('text')}) > 0"""
