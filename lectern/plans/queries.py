@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import chunk_key
+from lectern.operators import catalog as cat
 from lectern.operators import chunking
+from lectern.operators import embedding as emb
 from lectern.operators.embedding import HASH_DIM
-from lectern.plans import retrieval
+from lectern.plans import ingest, retrieval
 from lectern.plans import sql as S
 from lectern.plans.registry import register
 from lectern.session import read_table
@@ -95,3 +98,175 @@ SELECT {', '.join(ANSWER_COLS)} FROM answers
 def ask_in_document(spark: SparkSession, sf: str):
     """Each conversation is scoped to the document whose id equals its ``conv_id``."""
     return _ask(spark, sf, _in_document_questions(spark, sf)).select(*ANSWER_COLS)
+
+
+# --------------------------------------------------------------------------
+# Catalog
+# --------------------------------------------------------------------------
+
+def _ingested(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    return ingest.ingest(ingest.uploads_from_documents(docs), upload_date=ingest.FIXED_UPLOAD)
+
+
+def _results(spark, sf, ing):
+    """Embedding results have arrived for the labelled documents only."""
+    labels = read_table(spark, sf, "labels").select("doc_id")
+    res = ingest.embedding_results(ing.index, generated_at=ingest.FIXED_UPLOAD)
+    return res.join(labels, "doc_id", "left_semi")
+
+
+def _status(spark, sf):
+    ing = _ingested(spark, sf)
+    return cat.merge_status(ing.catalog, _results(spark, sf, ing))
+
+
+CATALOG_COLS = ", ".join(cat.CATALOG_COLUMNS)
+
+
+@register("ingest_catalog", "P4 K1 T3 T4 F1 C6 S7", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT {CATALOG_COLS} FROM catalog
+""")
+def ingest_catalog(spark: SparkSession, sf: str):
+    return _ingested(spark, sf).catalog.select(*cat.CATALOG_COLUMNS)
+
+
+@register("rejected_documents", "F1", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT doc_id, reason FROM rejects
+""")
+def rejected_documents(spark: SparkSession, sf: str):
+    return _ingested(spark, sf).rejects
+
+
+@register("embeddings_per_document", "G1 F2", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT doc_id, embeddings_count FROM counts
+""")
+def embeddings_per_document(spark: SparkSession, sf: str):
+    return cat.embeddings_count(_ingested(spark, sf).index)
+
+
+@register("document_status", "J4 K3", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT doc_id, status AS embedding_status, embeddings_count FROM status
+""")
+def document_status(spark: SparkSession, sf: str):
+    return _status(spark, sf).select("doc_id", "embedding_status", "embeddings_count")
+
+
+@register("pending_documents", "J5", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT doc_id, filename FROM catalog ANTI JOIN results USING (doc_id)
+""")
+def pending_documents(spark: SparkSession, sf: str):
+    ing = _ingested(spark, sf)
+    return cat.pending_documents(ing.catalog, _results(spark, sf, ing)).select("doc_id", "filename")
+
+
+@register("orphan_results", "J5 J4", oracle="""
+SELECT l.doc_id, l.quality FROM labels l ANTI JOIN documents d USING (doc_id)
+""")
+def orphan_results(spark: SparkSession, sf: str):
+    """Status rows (labels stand in) whose document is missing from the documents table."""
+    docs = read_table(spark, sf, "documents").select("doc_id")
+    labels = read_table(spark, sf, "labels").select("doc_id", "quality")
+    return cat.orphan_results(labels, docs)
+
+
+@register("list_documents", "F7 S7", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT doc_id, filename, strftime(upload_date, '%Y-%m-%d %H:%M:%S') AS upload_date,
+       coalesce(total_chunks, 0) AS total_chunks, coalesce(status, 'unknown') AS embedding_status,
+       coalesce(file_size, 0) AS file_size
+FROM status
+""")
+def list_documents(spark: SparkSession, sf: str):
+    listing, _ = cat.list_documents(_status(spark, sf))
+    return listing.withColumn("upload_date", F.date_format("upload_date", "yyyy-MM-dd HH:mm:ss"))
+
+
+@register("document_count", "G3", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT count(*) AS count FROM status
+""")
+def document_count(spark: SparkSession, sf: str):
+    listing, _ = cat.list_documents(_status(spark, sf))
+    return cat.document_count(listing)
+
+
+@register("readiness", "G2", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT count(*) FILTER (WHERE status = 'completed') AS ready, count(*) AS total FROM status
+""")
+def readiness(spark: SparkSession, sf: str):
+    listing, _ = cat.list_documents(_status(spark, sf))
+    return cat.readiness(listing)
+
+
+@register("status_breakdown", "G7 C2", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT CASE status WHEN 'completed' THEN 'success' WHEN 'pending' THEN 'warning' ELSE 'info' END
+         AS status_class, count(*) AS documents
+FROM status GROUP BY 1
+""")
+def status_breakdown(spark: SparkSession, sf: str):
+    listing, _ = cat.list_documents(_status(spark, sf))
+    return cat.status_breakdown(listing)
+
+
+@register("document_display", "T6 C2", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT doc_id, substr(CAST(doc_id AS VARCHAR), 1, 16) || '...' AS short_id,
+       strftime(upload_date, '%Y-%m-%d') AS upload_day,
+       format('{{:,}}', file_size) AS file_size_text,
+       filename || ' (' || status || ')' AS label,
+       CASE status WHEN 'completed' THEN 'success' WHEN 'pending' THEN 'warning' ELSE 'info' END AS status_class
+FROM status
+""")
+def document_display(spark: SparkSession, sf: str):
+    listing, _ = cat.list_documents(_status(spark, sf))
+    return cat.display_fields(listing)
+
+
+@register("document_options", "U1", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT NULL::VARCHAR AS doc_id, 'All Documents' AS label, 0::BIGINT AS position
+UNION ALL
+SELECT CAST(doc_id AS VARCHAR), filename || ' (' || status || ')',
+       row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR))
+FROM status
+""")
+def document_options(spark: SparkSession, sf: str):
+    listing, _ = cat.list_documents(_status(spark, sf))
+    return cat.document_options(listing)
+
+
+@register("lookup_documents", "F8 S8", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT l.doc_id, c.filename, c.total_chunks, c.doc_id IS NOT NULL AS found
+FROM labels l LEFT JOIN catalog c USING (doc_id)
+""")
+def lookup_documents(spark: SparkSession, sf: str):
+    """Every labelled document is requested; rejected ones are not found."""
+    keys = read_table(spark, sf, "labels")
+    got = cat.get_documents(_ingested(spark, sf).catalog, keys)
+    return got.select("doc_id", "filename", "total_chunks", "found")
+
+
+@register("attach_embeddings", "J3 E4 C10 T7", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()},
+terms AS ({S.hash_terms_sql('kept', 'doc_id, chunk_id', 'substr(text, 1, 30000)', HASH_DIM)}),
+norms AS (SELECT doc_id, chunk_id, sqrt(sum(w * w)) AS norm FROM terms GROUP BY ALL)
+SELECT k.doc_id, c.filename, k.chunk_id, CAST(k.doc_id AS VARCHAR) || '_' || CAST(k.chunk_id AS VARCHAR) AS chunk_key,
+       k.start_char, k.end_char, {HASH_DIM} AS dims, round(coalesce(n.norm, 0), 6) AS norm
+FROM kept k JOIN catalog c USING (doc_id) LEFT JOIN norms n USING (doc_id, chunk_id)
+""")
+def attach_embeddings(spark: SparkSession, sf: str):
+    ing = _ingested(spark, sf)
+    j = ing.index.join(ing.catalog.select("doc_id", "filename"), "doc_id")
+    return j.select("doc_id", "filename", "chunk_id",
+                    chunk_key("doc_id", "chunk_id").alias("chunk_key"),
+                    "start_char", "end_char", F.size("embedding").alias("dims"),
+                    F.round(emb.vector_norm("embedding"), 6).alias("norm"))

@@ -147,3 +147,31 @@ def in_document_questions_sql() -> str:
          conv_id AS doc_id, 5 AS top_k
   FROM conversations
   WHERE role = 'user' AND length({strip_sql('text')}) > 0"""
+
+
+def catalog_sql() -> str:
+    """CTEs ``accepted``, ``rejects``, ``catalog``, ``kept``, ``counts``, ``results``. Must follow the chunk CTE."""
+    return f""",
+accepted AS (SELECT * FROM documents WHERE coalesce(length({strip_sql('text')}), 0) >= 50),
+rejects AS (
+  SELECT doc_id, 'no extractable text (under 50 characters)' AS reason
+  FROM documents WHERE coalesce(length({strip_sql('text')}), 0) < 50
+),
+catalog AS (
+  SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) || '.pdf' AS filename, 'corpus-' || d.lang AS bucket,
+         d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.pdf' AS s3_key,
+         TIMESTAMP '2024-01-01 00:00:00' AS upload_date,
+         CAST(strlen(d.text) AS BIGINT) AS file_size,
+         CAST(length(d.text) AS BIGINT) AS total_characters,
+         CAST(c.total_chunks AS BIGINT) AS total_chunks,
+         'text_extracted' AS processing_status, 'pending' AS embedding_status
+  FROM accepted d JOIN (SELECT doc_id, max(total_chunks) AS total_chunks FROM chunks GROUP BY 1) c USING (doc_id)
+),
+kept AS (SELECT c.* FROM chunks c SEMI JOIN accepted USING (doc_id) WHERE length(c.text) >= 20),
+counts AS (SELECT doc_id, count(*) AS embeddings_count FROM kept GROUP BY 1),
+results AS (SELECT c.* FROM counts c SEMI JOIN labels USING (doc_id)),
+status AS (
+  SELECT k.*, r.embeddings_count,
+         CASE WHEN r.doc_id IS NOT NULL THEN 'completed' ELSE k.embedding_status END AS status
+  FROM catalog k LEFT JOIN results r USING (doc_id)
+)"""
