@@ -8,15 +8,19 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import chunk_key
+from lectern.functions.numbers import normalize_number
+from lectern.functions.text import basename, chunk_key, has_extension
+from lectern.operators import answer as ans
 from lectern.operators import catalog as cat
 from lectern.operators import chunking
+from lectern.operators import chat, search
 from lectern.operators import embedding as emb
 from lectern.operators.embedding import HASH_DIM
 from lectern.plans import ingest, retrieval
 from lectern.plans import sql as S
 from lectern.plans.registry import register
 from lectern.session import read_table
+from lectern.sources import objects as src
 
 
 # --------------------------------------------------------------------------
@@ -270,3 +274,223 @@ def attach_embeddings(spark: SparkSession, sf: str):
                     chunk_key("doc_id", "chunk_id").alias("chunk_key"),
                     "start_char", "end_char", F.size("embedding").alias("dims"),
                     F.round(emb.vector_norm("embedding"), 6).alias("norm"))
+
+
+# --------------------------------------------------------------------------
+# Sources
+# --------------------------------------------------------------------------
+
+def _page_events(spark, sf):
+    """Each page is announced as an upload event of object ``<path>`` in bucket ``<host>``."""
+    pages = read_table(spark, sf, "pages")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    rest = F.regexp_extract("url", r"^[a-z]+://[^/]+/(.*)$", 1)
+    rec = F.struct(F.struct(
+        F.struct(host.alias("name")).alias("bucket"),
+        F.struct(F.url_encode(rest).alias("key"), F.octet_length("html").cast("bigint").alias("size"))
+        .alias("object")).alias("s3"))
+    return pages.select(F.to_json(F.struct(F.array(rec).alias("Records"))).alias("value"))
+
+
+@register("upload_events", "S1 S2 S3 T4 S6", oracle="""
+SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS bucket,
+       regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS object_key,
+       regexp_extract(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1), '[^/]*$', 0) AS filename,
+       CAST(strlen(html) AS BIGINT) AS size,
+       lower(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1)) LIKE '%.pdf' AS is_pdf
+FROM pages
+""")
+def upload_events(spark: SparkSession, sf: str):
+    objs = src.parse_upload_events(_page_events(spark, sf))
+    return objs.select("bucket", "object_key", basename("object_key").alias("filename"), "size",
+                       has_extension("object_key", ".pdf").alias("is_pdf"))
+
+
+@register("extract_html", "S4 T1", oracle=f"""
+SELECT page_id, {S.html_text_sql('html')} AS text FROM pages
+""")
+def extract_html(spark: SparkSession, sf: str):
+    pages = read_table(spark, sf, "pages")
+    return pages.select("page_id", src.html_to_text("html").alias("text"))
+
+
+@register("assemble_conversations", "S5", oracle=f"""
+SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS pages
+FROM conversations WHERE length({S.strip_sql('text')}) > 0 GROUP BY conv_id
+""")
+def assemble_conversations(spark: SparkSession, sf: str):
+    conv = read_table(spark, sf, "conversations")
+    return src.assemble_pages(conv, doc_col="conv_id", order_col="turn")
+
+
+@register("chunk_payloads", "S9 F2 T7", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, chunk_id, text, start_char, end_char,
+       CAST(doc_id AS VARCHAR) || '_' || CAST(chunk_id AS VARCHAR) AS chunk_key
+FROM chunks WHERE length(text) >= 20
+""")
+def chunk_payloads(spark: SparkSession, sf: str):
+    """Chunk messages are written as JSON, read back with the payload schema and filtered."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    chunks = chunking.chunk_documents(retrieval.spread(docs)).select(
+        "doc_id", "chunk_id", "text", "start_char", "end_char")
+    msgs = src.chunk_payload_json(chunks)
+    parsed = msgs.select(F.from_json("value", src.CHUNK_PAYLOAD).alias("p")).select("p.*")
+    rows, _ = src.payload_chunks(parsed)
+    rows = retrieval.embeddable_chunks(rows)
+    return rows.withColumn("chunk_key", chunk_key("doc_id", "chunk_id"))
+
+
+# --------------------------------------------------------------------------
+# Chat, events, JSON
+# --------------------------------------------------------------------------
+
+@register("chat_pairs", "W6", oracle="""
+SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'
+""")
+def chat_pairs(spark: SparkSession, sf: str):
+    return chat.chat_pairs(read_table(spark, sf, "conversations"))
+
+
+def _open_questions_sql():
+    return f"""
+  SELECT c.conv_id || ':' || c.turn AS query_id, {S.strip_sql('c.text')} AS question,
+         CAST(NULL AS BIGINT) AS doc_id, 5 AS top_k, c.conv_id, c.turn
+  FROM conversations c
+  JOIN (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY 1) l USING (conv_id, turn)
+  WHERE c.role = 'user' AND length({S.strip_sql('c.text')}) > 0"""
+
+
+@register("answer_open_questions", "U2 P2", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(_open_questions_sql(), HASH_DIM)}{S.answers_sql('q')}
+SELECT q.conv_id, q.turn + 1 AS turn, 'assistant' AS role, a.answer AS text
+FROM answers a JOIN q USING (query_id)
+""")
+def answer_open_questions(spark: SparkSession, sf: str):
+    """Conversations ending in a user turn get the answer appended as the next turn."""
+    conv = read_table(spark, sf, "conversations")
+    open_q = chat.open_questions(conv).select(
+        "conv_id", F.format_string("%d:%d", "conv_id", "turn").alias("query_id"),
+        F.col("text").alias("question"))
+    answers = retrieval.ask(_index(spark, sf), open_q.drop("conv_id"))
+    new = answers.join(open_q.select("query_id", "conv_id"), "query_id").select(
+        "conv_id", F.lit("assistant").alias("role"), F.col("answer").alias("text"))
+    return chat.append_messages(conv, new)
+
+
+@register("latest_event_per_user", "W5", oracle="""
+SELECT user_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn = 1
+""")
+def latest_event_per_user(spark: SparkSession, sf: str):
+    ev = read_table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    latest = cat.latest_per_key(ev, "user_id", ["ts", "event_id"])
+    return latest.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@register("event_values", "C9 C4", oracle="""
+SELECT event_id,
+       CASE WHEN value % 1 = 0 THEN CAST(value AS BIGINT) END AS value_int,
+       CASE WHEN value % 1 <> 0 THEN value END AS value_float,
+       CAST(json_extract(props, '$.k') AS BIGINT) AS k
+FROM events
+""")
+def event_values(spark: SparkSession, sf: str):
+    ev = read_table(spark, sf, "events")
+    props = F.from_json("props", "k BIGINT")
+    return ev.select("event_id", *normalize_number(F.col("value")), props["k"].alias("k"))
+
+
+@register("sources_with_document", "J6", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}{S.search_sql(S.user_questions_sql(), HASH_DIM).replace('kept AS', 'kept2 AS').replace('FROM kept', 'FROM kept2').replace('JOIN kept k', 'JOIN kept2 k')}
+SELECT h.query_id, h.rank, h.doc_id, s.filename, s.status AS embedding_status
+FROM hits h JOIN status s USING (doc_id)
+""")
+def sources_with_document(spark: SparkSession, sf: str):
+    ing = _ingested(spark, sf)
+    status = cat.merge_status(ing.catalog, _results(spark, sf, ing))
+    hits = retrieval.search_questions(ing.index, _user_questions(spark, sf))
+    return hits.join(status.select("doc_id", "filename", "embedding_status"), "doc_id").select(
+        "query_id", "rank", "doc_id", "filename", "embedding_status")
+
+
+@register("answer_responses", "C4 C8", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(S.in_document_questions_sql(), HASH_DIM)}{S.answers_sql('q')}
+SELECT query_id, answer, chunks_used, confidence, chunks_used AS n_sources FROM answers
+""")
+def answer_responses(spark: SparkSession, sf: str):
+    """Answers are serialised as response bodies and read back the way the client does."""
+    answers = _ask(spark, sf, _in_document_questions(spark, sf))
+    body = answers.select("query_id", ans.response_json(answers).alias("body"))
+    r = body.select("query_id", ans.read_response("body").alias("r"))
+    return r.select("query_id", "r.answer", "r.chunks_used", "r.confidence",
+                    F.size("r.sources").cast("bigint").alias("n_sources"))
+
+
+@register("model_requests", "C5", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(S.user_questions_sql(), HASH_DIM)}{S.answers_sql('q')}
+SELECT query_id,
+       CAST(json_object('max_tokens', 1000,
+                        'messages', json_array(json_object('role', 'user', 'content', prompt)),
+                        'temperature', 0.3, 'top_p', 0.9) AS VARCHAR) AS request,
+       answer AS parsed_answer
+FROM answers
+""")
+def model_requests(spark: SparkSession, sf: str):
+    """Offline batch inference: request bodies out, response bodies parsed back in."""
+    answers = _ask(spark, sf, _user_questions(spark, sf))
+    reply = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"),
+                                                 F.col("answer").alias("text"))).alias("content")))
+    return answers.select("query_id", ans.model_request_json(F.col("prompt")).alias("request"),
+                          ans.parse_model_response(reply).alias("parsed_answer"))
+
+
+# --------------------------------------------------------------------------
+# Vectors
+# --------------------------------------------------------------------------
+
+@register("vector_neighbors", "J1 E2 W2 W3", oracle="""
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+                  list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS n2
+           FROM embeddings),
+pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id, b.label,
+         CASE WHEN a.n2 = 0 OR b.n2 = 0 THEN 0.0
+              ELSE list_dot_product(a.e, b.e) / (sqrt(a.n2) * sqrt(b.n2)) END AS score
+  FROM v a, v b)
+SELECT query_id, rank, vec_id, label, round(score, 6) AS score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM pairs)
+WHERE rank <= 5
+""")
+def vector_neighbors(spark: SparkSession, sf: str):
+    """Exact 5 nearest vectors (cosine) of every vector; itself comes first."""
+    vecs = read_table(spark, sf, "embeddings")
+    questions = vecs.select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = search.exact_search(vecs, questions, keys=("vec_id",), payload=("label",),
+                               doc_filter=None)
+    return hits.select("query_id", "rank", "vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@register("vector_stats", "E4 C10", oracle="""
+SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims,
+       round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm,
+       CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) = 0 THEN 0.0 ELSE 1.0 END
+         AS unit_norm
+FROM embeddings
+""")
+def vector_stats(spark: SparkSession, sf: str):
+    vecs = read_table(spark, sf, "embeddings")
+    unit = emb.normalize_vector("embedding")
+    return vecs.select("vec_id", F.size("embedding").alias("dims"),
+                       F.round(emb.vector_norm("embedding"), 6).alias("norm"),
+                       F.round(emb.vector_norm(unit), 6).alias("unit_norm"))
+
+
+@register("object_sizes", "S6 S4")
+def object_sizes(spark: SparkSession, sf: str):
+    """The driver's parquet files read as raw objects through ``binaryFile``."""
+    return src.object_sizes(src.read_objects(spark, sf, glob="*.parquet"))

@@ -175,3 +175,14 @@ status AS (
          CASE WHEN r.doc_id IS NOT NULL THEN 'completed' ELSE k.embedding_status END AS status
   FROM catalog k LEFT JOIN results r USING (doc_id)
 )"""
+
+
+def html_text_sql(expr: str) -> str:
+    from lectern.sources.objects import HTML_ENTITIES
+    h = expr
+    for pat in (r"(?is)<script\b.*?</script[ \t\n\r\f]*>", r"(?is)<style\b.*?</style[ \t\n\r\f]*>",
+                r"(?s)<!--.*?-->", r"(?s)<[^>]*>"):
+        h = f"regexp_replace({h}, '{pat}', ' ', 'g')"
+    for ent, ch in HTML_ENTITIES:
+        h = f"replace({h}, '{ent}', {lit(ch)})"
+    return clean_sql(h)
