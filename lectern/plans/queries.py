@@ -21,6 +21,7 @@ from lectern.plans import sql as S
 from lectern.plans.registry import register
 from lectern.session import read_table
 from lectern.sources import objects as src
+from lectern.streaming import ingest as stream
 
 
 # --------------------------------------------------------------------------
@@ -494,3 +495,60 @@ def vector_stats(spark: SparkSession, sf: str):
 def object_sizes(spark: SparkSession, sf: str):
     """The driver's parquet files read as raw objects through ``binaryFile``."""
     return src.object_sizes(src.read_objects(spark, sf, glob="*.parquet"))
+
+
+# --------------------------------------------------------------------------
+# Streaming (run to completion with availableNow; the result is read back)
+# --------------------------------------------------------------------------
+
+CHUNK_COLS = ("doc_id", "chunk_id", "text", "start_char", "end_char", "total_chunks")
+
+
+def _stream_chunks(spark, sf, replay: bool = False):
+    docs = stream.read_table_stream(spark, sf, "documents").select("doc_id", "text", "_ingest_time")
+    if replay:   # at-least-once delivery: every document arrives twice
+        again = stream.read_table_stream(spark, sf, "documents").select("doc_id", "text", "_ingest_time")
+        docs = docs.unionByName(again)
+    chunks = stream.chunk_stream(docs)
+    if replay:
+        chunks = stream.dedupe_stream(chunks)
+    root = stream.run_root(spark, "ingest")
+    stream.run_available_now(stream.write_files(chunks.select(*CHUNK_COLS), f"{root}/chunks", "ingest"))
+    return root
+
+
+_STREAM_ORACLE = f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT c.doc_id, c.chunk_id, c.text, c.start_char, c.end_char, c.total_chunks
+FROM chunks c SEMI JOIN accepted USING (doc_id)
+"""
+
+
+@register("stream_ingest", "R1", oracle=_STREAM_ORACLE)
+def stream_ingest(spark: SparkSession, sf: str):
+    root = _stream_chunks(spark, sf)
+    return spark.read.parquet(f"{root}/chunks").select(*CHUNK_COLS)
+
+
+@register("stream_dedupe", "R4", oracle=_STREAM_ORACLE)
+def stream_dedupe(spark: SparkSession, sf: str):
+    root = _stream_chunks(spark, sf, replay=True)
+    return spark.read.parquet(f"{root}/chunks").select(*CHUNK_COLS)
+
+
+@register("stream_embed_status", "R2 R3 K2", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT doc_id, embeddings_count FROM counts
+""")
+def stream_embed_status(spark: SparkSession, sf: str):
+    """Chunks written by the ingest stream are embedded by a second stream; a
+    third keeps per-document vector counts in a versioned status table."""
+    root = _stream_chunks(spark, sf)
+    chunk_src = spark.readStream.schema(spark.read.parquet(f"{root}/chunks").schema).parquet(f"{root}/chunks")
+    embedded = stream.embed_stream(chunk_src)
+    stream.run_available_now(stream.write_files(
+        embedded.select("doc_id", "chunk_id", "text", "start_char", "end_char", "embedding"),
+        f"{root}/vectors", "embed"))
+    vec_src = spark.readStream.schema(spark.read.parquet(f"{root}/vectors").schema).parquet(f"{root}/vectors")
+    latest = stream.run_status(spark, vec_src, f"{root}/status")
+    return spark.read.parquet(latest).select("doc_id", "embeddings_count")
