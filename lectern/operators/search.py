@@ -215,7 +215,8 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
                   F.max("_k").alias("k")).first()
     nq, width, kmax = stats["n"], max(1, stats["d"] or 1), stats["k"] or 0
 
-    c = corpus.select(*keys, *payload, vector).where(
+    extra = [corpus_doc] if has_filter and corpus_doc not in (*keys, *payload) else []
+    c = corpus.select(*keys, *payload, *extra, vector).where(
         F.col(vector).isNotNull() & (F.size(vector) > 0))
     cfields = {f.name: f for f in c.schema.fields}
     out_schema = T.StructType(

@@ -13,7 +13,7 @@ from lectern.functions.text import basename, chunk_key, has_extension
 from lectern.operators import answer as ans
 from lectern.operators import catalog as cat
 from lectern.operators import chunking
-from lectern.operators import chat, search
+from lectern.operators import ann, chat, search
 from lectern.operators import embedding as emb
 from lectern.operators.embedding import HASH_DIM
 from lectern.plans import ingest, retrieval
@@ -552,3 +552,26 @@ def stream_embed_status(spark: SparkSession, sf: str):
     vec_src = spark.readStream.schema(spark.read.parquet(f"{root}/vectors").schema).parquet(f"{root}/vectors")
     latest = stream.run_status(spark, vec_src, f"{root}/status")
     return spark.read.parquet(latest).select("doc_id", "embeddings_count")
+
+
+# --------------------------------------------------------------------------
+# Approximate search (checked by recall against exact search in the tests)
+# --------------------------------------------------------------------------
+
+@register("ann_neighbors", "A1")
+def ann_neighbors(spark: SparkSession, sf: str):
+    """LSH 5 nearest vectors of every vector, exact cosine among candidates."""
+    vecs = read_table(spark, sf, "embeddings")
+    questions = vecs.select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = ann.approx_search(vecs, questions, keys=("vec_id",), payload=("label",), doc_filter=None)
+    return hits.select("query_id", "rank", "vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@register("ann_in_document", "A2 A1")
+def ann_in_document(spark: SparkSession, sf: str):
+    """LSH search over the chunk index, each conversation scoped to its document (pre-filter)."""
+    qs = _in_document_questions(spark, sf)
+    valid, _ = retrieval.validate_questions(qs)
+    qv = retrieval.embed_questions(valid)
+    hits = ann.approx_search(_index(spark, sf), qv, filter_mode="pre")
+    return hits.select("query_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
