@@ -165,9 +165,12 @@ def object_sizes(objects: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- S9
 
 def read_chunk_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """``{doc_id, chunks[]}`` JSON documents (one per file, a BOM is allowed)."""
-    return (spark.read.schema(CHUNK_PAYLOAD).option("multiLine", "true")
-            .option("encoding", "UTF-8").json(path))
+    """``{doc_id, chunks[]}`` JSON messages, one per file, pretty-printed or
+    not, with or without a UTF-8 byte-order mark (which Spark's JSON reader
+    rejects): each file is read whole as text, the mark is dropped, then parsed."""
+    raw = spark.read.text(path, wholetext=True)
+    body = F.regexp_replace("value", "^\uFEFF", "")
+    return raw.select(F.from_json(body, CHUNK_PAYLOAD).alias("p")).select("p.*")
 
 
 def payload_chunks(payloads: DataFrame):

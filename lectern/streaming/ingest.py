@@ -40,15 +40,26 @@ def read_table_stream(spark: SparkSession, folder: str, table: str, max_files: i
     taken from the files already there. ``_ingest_time`` is the file's
     modification time, the event time used for replay de-duplication.
     """
-    glob = f"{table}.parquet" if not table.endswith(".parquet") else table
-    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    name = f"{table}.parquet" if not table.endswith(".parquet") else table
+    if _is_dir(spark, f"{folder}/{name}"):        # a table written by Spark: a folder of parts
+        src, opts = f"{folder}/{name}", {}
+    else:                                          # one file per table next to the others
+        src, opts = folder, {"pathGlobFilter": name}
+    schema = spark.read.options(**opts).parquet(src).schema
+    r = spark.readStream.schema(schema).options(**opts)
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
-    s = r.parquet(folder)
+    s = r.parquet(src)
     return s.withColumn("_ingest_time", F.col("_metadata.file_modification_time"))
 
 
+def _is_dir(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def chunk_stream(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Accepted documents of a stream -> chunk rows (same operator as batch)."""
     accepted, _ = cat.split_short_documents(docs, text_col)
