@@ -24,6 +24,14 @@ def test_hash_embedder_matches_python(spark):
         assert np.array_equal(np.array(row.e), py_hash_embed(row.t)), row.t
 
 
+def test_jvm_rule_agrees(spark):
+    rows = [("Hello, hello WORLD 42!",), ("Straße café x9 Y9",), ("",)]
+    df = spark.createDataFrame(rows, "t string")
+    out = emb.embed(df, "t", "e").select("t", "e", emb.hash_buckets("t").alias("b")).collect()
+    for r in out:
+        assert np.array_equal(np.array(r.e), np.bincount(r.b, minlength=emb.HASH_DIM)), r.t
+
+
 def test_model_input_cut(spark):
     long = "word " * 7000                      # 35,000 characters
     df = spark.createDataFrame([(long,)], "t string")
