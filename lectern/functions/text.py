@@ -29,13 +29,32 @@ def normalize_whitespace(text) -> Column:
     return F.trim(F.regexp_replace(_col(text), WS_CLASS + "+", " "))
 
 
+def _edges(t: Column):
+    """Lengths of the leading and trailing whitespace runs.
+
+    Both are anchored prefix matches (the trailing run is read off the
+    reversed text), so no pattern is tried at every character.
+    """
+    lead = F.length(F.regexp_extract(t, "^" + WS_CLASS + "*", 0))
+    trail = F.length(F.regexp_extract(F.reverse(t), "^" + WS_CLASS + "*", 0))
+    return lead, trail
+
+
 def strip_ws(text) -> Column:
     """``str.strip()`` with Python's whitespace class (Spark ``trim`` only strips spaces)."""
-    return F.regexp_replace(_col(text), "^" + WS_CLASS + "+|" + WS_CLASS + "+$", "")
+    t = _col(text)
+    lead, trail = _edges(t)
+    n = F.length(t)
+    return F.when(lead >= n, F.when(t.isNotNull(), F.lit(""))).otherwise(
+        t.substr(lead + 1, n - lead - trail))
 
 
 def stripped_length(text) -> Column:
-    return F.length(strip_ws(text))
+    """``len(text.strip())`` without building the stripped string."""
+    t = _col(text)
+    lead, trail = _edges(t)
+    n = F.length(t)
+    return F.when(lead >= n, F.when(t.isNotNull(), F.lit(0))).otherwise(n - lead - trail)
 
 
 def text_preview(text, n: int = PREVIEW_CHARS) -> Column:

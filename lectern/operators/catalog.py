@@ -14,7 +14,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import basename, document_label, short_id, strip_ws, thousands
+from lectern.functions.text import basename, document_label, short_id, stripped_length, thousands
 
 # Fixed values.
 MIN_DOCUMENT_CHARS = 50
@@ -45,7 +45,7 @@ def utc_stamp(at: _dt.datetime | None = None) -> Column:
 def split_short_documents(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_DOCUMENT_CHARS):
     """``(accepted, rejected)``; a document whose stripped text is shorter
     than ``min_chars`` is rejected with a reason instead of failing the batch."""
-    short = F.coalesce(F.length(strip_ws(F.col(text_col))), F.lit(0)) < min_chars
+    short = F.coalesce(stripped_length(F.col(text_col)), F.lit(0)) < min_chars
     accepted = docs.where(~short)
     rejected = docs.where(short).select(
         "doc_id", F.lit("no extractable text (under %d characters)" % min_chars).alias("reason"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.operators import catalog as cat
 from lectern.operators import chunking, embedding
 from lectern.plans import retrieval
+from lectern.session import reliable_checkpoint
 
 # Fixed upload time used by the registered queries, so results are reproducible.
 FIXED_UPLOAD = _dt.datetime(2024, 1, 1, 0, 0, 0)
@@ -39,16 +40,20 @@ def uploads_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def ingest(uploads: DataFrame, upload_date=None, embedder=None,
-           dim: int = embedding.HASH_DIM) -> Ingested:
+           dim: int = embedding.HASH_DIM, materialize: bool = False) -> Ingested:
     """Reject short documents, chunk the rest, derive catalog rows and vectors.
 
-    ``uploads`` has ``doc_id, text, bucket, s3_key, file_size``. Everything is
-    lazy; the chunk walk runs once per action on ``chunks``/``catalog``/``index``
-    (persist or write ``chunks`` when several of them are materialised).
+    ``uploads`` has ``doc_id, text, bucket, s3_key, file_size``. With
+    ``materialize`` the chunk table is written once to the shared checkpoint
+    folder (lineage cut there), so a plan that uses both the catalog and the
+    index reads the chunks instead of walking every document twice; otherwise
+    everything stays lazy.
     """
-    accepted, rejects = cat.split_short_documents(uploads)
+    accepted, rejects = cat.split_short_documents(retrieval.spread(uploads))
     docs = accepted.withColumn("total_characters", F.length("text").cast("bigint"))
-    chunks = chunking.chunk_documents(retrieval.spread(docs))
+    chunks = chunking.chunk_documents(docs)
+    if materialize:
+        chunks = reliable_checkpoint(chunks)
     when = cat.utc_stamp(upload_date) if upload_date is not None else cat.utc_stamp()
     catalog = cat.catalog_from_chunks(chunks, when)
     index = embedding.embed(

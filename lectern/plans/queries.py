@@ -109,9 +109,10 @@ def ask_in_document(spark: SparkSession, sf: str):
 # Catalog
 # --------------------------------------------------------------------------
 
-def _ingested(spark, sf):
+def _ingested(spark, sf, materialize=False):
     docs = read_table(spark, sf, "documents")
-    return ingest.ingest(ingest.uploads_from_documents(docs), upload_date=ingest.FIXED_UPLOAD)
+    return ingest.ingest(ingest.uploads_from_documents(docs), upload_date=ingest.FIXED_UPLOAD,
+                         materialize=materialize)
 
 
 def _results(spark, sf, ing):
@@ -122,7 +123,7 @@ def _results(spark, sf, ing):
 
 
 def _status(spark, sf):
-    ing = _ingested(spark, sf)
+    ing = _ingested(spark, sf, materialize=True)
     return cat.merge_status(ing.catalog, _results(spark, sf, ing))
 
 
@@ -166,7 +167,7 @@ WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
 SELECT doc_id, filename FROM catalog ANTI JOIN results USING (doc_id)
 """)
 def pending_documents(spark: SparkSession, sf: str):
-    ing = _ingested(spark, sf)
+    ing = _ingested(spark, sf, materialize=True)
     return cat.pending_documents(ing.catalog, _results(spark, sf, ing)).select("doc_id", "filename")
 
 
@@ -269,7 +270,7 @@ SELECT k.doc_id, c.filename, k.chunk_id, CAST(k.doc_id AS VARCHAR) || '_' || CAS
 FROM kept k JOIN catalog c USING (doc_id) LEFT JOIN norms n USING (doc_id, chunk_id)
 """)
 def attach_embeddings(spark: SparkSession, sf: str):
-    ing = _ingested(spark, sf)
+    ing = _ingested(spark, sf, materialize=True)
     j = ing.index.join(ing.catalog.select("doc_id", "filename"), "doc_id")
     return j.select("doc_id", "filename", "chunk_id",
                     chunk_key("doc_id", "chunk_id").alias("chunk_key"),
@@ -411,7 +412,7 @@ SELECT h.query_id, h.rank, h.doc_id, s.filename, s.status AS embedding_status
 FROM hits h JOIN status s USING (doc_id)
 """)
 def sources_with_document(spark: SparkSession, sf: str):
-    ing = _ingested(spark, sf)
+    ing = _ingested(spark, sf, materialize=True)
     status = cat.merge_status(ing.catalog, _results(spark, sf, ing))
     hits = retrieval.search_questions(ing.index, _user_questions(spark, sf))
     return hits.join(status.select("doc_id", "filename", "embedding_status"), "doc_id").select(

@@ -46,3 +46,12 @@ def test_display_fields(spark):
     df = spark.createDataFrame([("f.pdf", "pending")], "f string, s string")
     assert df.select(tx.document_label("f", "s")).first()[0] == "f.pdf (pending)"
     assert spark.range(1).select(tx.chunk_key(F.lit("d1"), F.lit(3))).first()[0] == "d1_3"
+
+
+def test_strip_edge_cases(spark):
+    ws = "　\t\n \u001c"
+    for s in ["", ws, ws + "a" + ws, "a", " a b ", None, "x" + ws]:
+        got = one(spark, tx.strip_ws, s)
+        assert got == (None if s is None else s.strip()), repr(s)
+        n = one(spark, tx.stripped_length, s)
+        assert n == (None if s is None else len(s.strip())), repr(s)
