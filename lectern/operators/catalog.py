@@ -39,7 +39,10 @@ def document_id(path, modification_time) -> Column:
 
 def utc_stamp(at: _dt.datetime | None = None) -> Column:
     """Ingest time; pass ``at`` to make runs reproducible."""
-    return F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+    if at is None:
+        return F.current_timestamp()
+    # a wall-clock literal read in the session time zone renders back unchanged
+    return F.to_timestamp(F.lit(at.strftime("%Y-%m-%d %H:%M:%S")))
 
 
 def split_short_documents(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_DOCUMENT_CHARS):

@@ -105,6 +105,34 @@ def ask_in_document(spark: SparkSession, sf: str):
     return _ask(spark, sf, _in_document_questions(spark, sf)).select(*ANSWER_COLS)
 
 
+def _benchmark_questions(spark, sf):
+    bench = read_table(spark, sf, "benchmark")
+    return bench.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"),
+                        F.col("text").alias("question"))
+
+
+@register("search_benchmark", "P1 J1", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(S.benchmark_questions_sql(), HASH_DIM)}
+SELECT query_id, rank, doc_id, chunk_id, round(score, 6) AS score FROM hits
+""")
+def search_benchmark(spark: SparkSession, sf: str):
+    """Benchmark passages as questions; each occurs in some document."""
+    hits = retrieval.search_questions(_index(spark, sf), _benchmark_questions(spark, sf))
+    return hits.select("query_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@register("benchmark_top_matches", "W1", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(S.benchmark_questions_sql(), HASH_DIM)}
+SELECT query_id, doc_id, chunk_id, round(score, 6) AS score
+FROM hits ORDER BY score DESC, doc_id, chunk_id, query_id LIMIT 10
+""")
+def benchmark_top_matches(spark: SparkSession, sf: str):
+    """Report: the ten strongest passage matches over all benchmark questions."""
+    hits = retrieval.search_questions(_index(spark, sf), _benchmark_questions(spark, sf))
+    top = search.topk_single(hits, 10, keys=("doc_id", "chunk_id", "query_id"))
+    return top.select("query_id", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 # --------------------------------------------------------------------------
 # Catalog
 # --------------------------------------------------------------------------
@@ -492,10 +520,14 @@ def vector_stats(spark: SparkSession, sf: str):
                        F.round(emb.vector_norm(unit), 6).alias("unit_norm"))
 
 
-@register("object_sizes", "S6 S4")
+@register("object_sizes", "S6 S4 C7")
 def object_sizes(spark: SparkSession, sf: str):
-    """The driver's parquet files read as raw objects through ``binaryFile``."""
-    return src.object_sizes(src.read_objects(spark, sf, glob="*.parquet"))
+    """The driver's parquet files read as raw objects through ``binaryFile``,
+    each with its deterministic document id."""
+    objs = src.read_objects(spark, sf, glob="*.parquet")
+    return src.object_sizes(objs.withColumn("filename", F.col("path"))).join(
+        objs.select(F.substring_index("path", "/", -1).alias("filename"),
+                    cat.document_id("path", "modificationTime").alias("doc_id")), "filename")
 
 
 # --------------------------------------------------------------------------

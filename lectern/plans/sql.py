@@ -186,3 +186,10 @@ def html_text_sql(expr: str) -> str:
     for ent, ch in HTML_ENTITIES:
         h = f"replace({h}, '{ent}', {lit(ch)})"
     return clean_sql(h)
+
+
+def benchmark_questions_sql() -> str:
+    return f"""
+  SELECT 'b' || item_id AS query_id, {strip_sql('text')} AS question,
+         CAST(NULL AS BIGINT) AS doc_id, 5 AS top_k
+  FROM benchmark WHERE length({strip_sql('text')}) > 0"""
