@@ -23,6 +23,7 @@ class Ingested:
     chunks: DataFrame      # (doc_id, chunk_id, text, start_char, end_char)
     catalog: DataFrame     # one row per accepted document
     index: DataFrame       # embeddable chunks with ``embedding``
+    index_keys: DataFrame  # ``(doc_id, chunk_id)`` of the index rows, without computing vectors
 
 
 def uploads_from_documents(docs: DataFrame) -> DataFrame:
@@ -56,15 +57,18 @@ def ingest(uploads: DataFrame, upload_date=None, embedder=None,
         chunks = reliable_checkpoint(chunks)
     when = cat.utc_stamp(upload_date) if upload_date is not None else cat.utc_stamp()
     catalog = cat.catalog_from_chunks(chunks, when)
-    index = embedding.embed(
-        retrieval.embeddable_chunks(chunks.select("doc_id", "chunk_id", "text", "start_char", "end_char")),
-        "text", "embedding", embedder=embedder, dim=dim)
+    kept = retrieval.embeddable_chunks(chunks.select("doc_id", "chunk_id", "text", "start_char", "end_char"))
+    index = embedding.embed(kept, "text", "embedding", embedder=embedder, dim=dim)
     return Ingested(rejects=rejects,
                     chunks=chunks.select("doc_id", "chunk_id", "text", "start_char", "end_char"),
-                    catalog=catalog, index=index)
+                    catalog=catalog, index=index, index_keys=kept.select("doc_id", "chunk_id"))
 
 
 def embedding_results(index: DataFrame, generated_at=None) -> DataFrame:
-    """Status rows an embedding job reports: ``(doc_id, embeddings_count, embeddings_generated_at)``."""
+    """Status rows an embedding job reports: ``(doc_id, embeddings_count, embeddings_generated_at)``.
+
+    ``index`` may be the written vector table or just its keys (the embedder
+    maps rows one to one, so counting keys does not need the vectors).
+    """
     when = cat.utc_stamp(generated_at) if generated_at is not None else cat.utc_stamp()
     return cat.embeddings_count(index).withColumn("embeddings_generated_at", when)

@@ -146,7 +146,7 @@ def _ingested(spark, sf, materialize=False):
 def _results(spark, sf, ing):
     """Embedding results have arrived for the labelled documents only."""
     labels = read_table(spark, sf, "labels").select("doc_id")
-    res = ingest.embedding_results(ing.index, generated_at=ingest.FIXED_UPLOAD)
+    res = ingest.embedding_results(ing.index_keys, generated_at=ingest.FIXED_UPLOAD)
     return res.join(labels, "doc_id", "left_semi")
 
 
@@ -179,7 +179,7 @@ WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
 SELECT doc_id, embeddings_count FROM counts
 """)
 def embeddings_per_document(spark: SparkSession, sf: str):
-    return cat.embeddings_count(_ingested(spark, sf).index)
+    return cat.embeddings_count(_ingested(spark, sf).index_keys)
 
 
 @register("document_status", "J4 K3", oracle=f"""

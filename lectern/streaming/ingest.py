@@ -24,6 +24,7 @@ from lectern.operators import catalog as cat
 from lectern.operators import chunking, embedding
 from lectern.plans import retrieval
 from lectern.session import checkpoint_dir
+from lectern.sources.sinks import latest_version
 
 DEDUPE_WINDOW = "1 hour"      # replays of one object arriving within this span are dropped
 
@@ -105,21 +106,6 @@ def status_upserts(root: str):
     return sink
 
 
-def latest_version(spark: SparkSession, root: str) -> str | None:
-    """Highest committed ``v=<n>`` folder under ``root`` (any Hadoop file system)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            done.append(name)
-    return f"{root}/{max(done)}" if done else None
-
-
 def run_status(spark: SparkSession, embedded: DataFrame, root: str, name: str = "status") -> str:
     """Run the status query to completion; returns the latest status version."""
     writer = (status_stream(embedded).writeStream.queryName(name).outputMode("update")

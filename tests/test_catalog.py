@@ -81,3 +81,19 @@ def test_document_options(spark):
     listing = spark.createDataFrame([(2, "b.pdf", when, 1, "pending", 1), (1, "a.pdf", when, 1, "completed", 1)], CAT)
     got = sorted((r.position, r.label) for r in cat.document_options(listing).collect())
     assert got == [(0, "All Documents"), (1, "a.pdf (completed)"), (2, "b.pdf (pending)")]
+
+
+def test_same_file_uploaded_twice_gets_one_id(spark):
+    when = dt.datetime(2024, 5, 1, 12, 0, 0)
+    ups = spark.createDataFrame([("s3://b/a.pdf", when), ("s3://b/a.pdf", when),
+                                 ("s3://b/a.pdf", when + dt.timedelta(seconds=1))],
+                                "path string, mtime timestamp")
+    ids = [r[0] for r in ups.select(cat.document_id("path", "mtime")).collect()]
+    assert ids[0] == ids[1] != ids[2] and len(ids[0]) == 64
+
+
+def test_missing_status_defaults(spark):
+    when = dt.datetime(2024, 1, 1)
+    catalog = spark.createDataFrame([(1, "a.pdf", when, None, None, None)], CAT)
+    row = cat.list_documents(catalog)[0].first()
+    assert (row.total_chunks, row.embedding_status, row.file_size) == (0, "unknown", 0)

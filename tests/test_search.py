@@ -90,3 +90,12 @@ def test_plan_has_no_cross_join_and_limits_before_shuffle(spark):
     plan = search.exact_search(c, q)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert "MapInArrow" in plan
+
+
+def test_blank_questions_are_rejected(spark):
+    from lectern.plans import retrieval
+    qs = spark.createDataFrame([("a", " what? ", None), ("b", " 　\n", 3), ("c", None, 2)],
+                               "query_id string, question string, top_k int")
+    valid, rejected = retrieval.validate_questions(qs)
+    assert [(r.query_id, r.question, r.top_k) for r in valid.collect()] == [("a", "what?", 5)]
+    assert sorted(r.query_id for r in rejected.collect()) == ["b", "c"]
