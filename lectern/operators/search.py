@@ -70,7 +70,10 @@ def _topk_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     b = scores.shape[1]
     kk = min(k, b)
     kth = np.partition(scores, b - kk, axis=1)[:, b - kk]
-    qi, ci = np.nonzero((scores >= kth[:, None]) & (scores > -np.inf))
+    mask = scores >= kth[:, None]
+    if np.isneginf(kth).any():
+        mask &= scores > -np.inf
+    qi, ci = np.nonzero(mask)
     if len(qi) == 0:
         return qi, ci
     s = scores[qi, ci]
@@ -116,69 +119,93 @@ class _Block:
             self.qcode = np.where(docs.isna().to_numpy(), -1, uniq.get_indexer(docs.fillna(uniq[0] if len(uniq) else 0)))
 
 
+def _gather(tables, bt, row, name):
+    """Column ``name`` of rows ``(batch, row)``, in the order given."""
+    parts, order = [], []
+    for b in range(len(tables)):
+        sel = np.flatnonzero(bt == b)
+        if len(sel):
+            parts.append(tables[b].column(name).take(pa.array(row[sel])))
+            order.append(sel)
+    if not parts:
+        return pa.array([], tables[0].schema.field(name).type)
+    order = np.concatenate(order)
+    inv = np.empty_like(order)
+    inv[order] = np.arange(len(order))
+    return pa.chunked_array(parts).combine_chunks().take(pa.array(inv))
+
+
+def _select_winners(tables, cand, keys, kmax):
+    """Best ``kmax`` candidates per question across a task's batches.
+
+    ``cand`` holds ``(question, batch, row, score)`` arrays. Only the key
+    columns of candidates are gathered, ranked once, and used as the last
+    sort key; payload columns are taken later for the winners alone.
+    """
+    q, bt, row, score = (np.concatenate(c) for c in zip(*cand))
+    keyt = pa.table({k: _gather(tables, bt, row, k) for k in keys})
+    order = pc.sort_indices(keyt, sort_keys=[(k, "ascending") for k in keys]).to_numpy()
+    key_rank = np.empty(len(order), np.int64)
+    key_rank[order] = np.arange(len(order))
+    idx = np.lexsort((key_rank, -score, q))
+    qs = q[idx]
+    first = np.r_[0, np.flatnonzero(qs[1:] != qs[:-1]) + 1]
+    rank = np.arange(len(qs)) - np.repeat(first, np.diff(np.r_[first, len(qs)]))
+    pick = idx[rank < kmax]
+    return q[pick], bt[pick], row[pick], score[pick]
+
+
 def _score_partition(bc, keys, payload, cvec, cdoc, out_schema: T.StructType):
     out_names = [f.name for f in out_schema.fields]
 
     def run(batches):
         blk: _Block = bc.value
         nq = len(blk.k)
-        keep = []          # candidate tables
-        kept = 0
-
-        def reduce(tables):
-            t = pa.concat_tables(tables)
-            t = t.sort_by([("_q", "ascending"), ("score", "descending")]
-                          + [(c, "ascending") for c in keys])
-            q = t.column("_q").to_numpy()
-            first = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1]
-            rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-            return t.filter(pa.array(rank < blk.kmax))
-
+        if nq == 0:
+            return
+        tables, cand, kept = [], [], 0
+        step = max(1, SCORE_CELLS // nq)
         for rb in batches:
-            if rb.num_rows == 0 or nq == 0:
+            if rb.num_rows == 0:
                 continue
+            b = len(tables)
             tbl = pa.Table.from_batches([rb])
-            tbl = tbl.take(pc.sort_indices(tbl, sort_keys=[(c, "ascending") for c in keys]))
-            n = tbl.num_rows
-            step = max(1, SCORE_CELLS // max(nq, 1))
+            tables.append(tbl)
+            # chunk-key order: among equal scores the lower position wins
+            perm = pc.sort_indices(tbl, sort_keys=[(c, "ascending") for c in keys]).to_numpy()
+            vec = tbl.column(cvec).combine_chunks()
             ccode = None
             if blk.filter_docs is not None:
-                ccode = blk.filter_docs.get_indexer(tbl.column(cdoc).to_pandas())
-            for lo in range(0, n, step):
-                part = tbl.slice(lo, step)
-                mat, sq = _padded_matrix(part.column(cvec).combine_chunks(), blk.width)
+                ccode = blk.filter_docs.get_indexer(tbl.column(cdoc).to_pandas())[perm]
+            for lo in range(0, len(perm), step):
+                rows_here = perm[lo:lo + step]
+                mat, sq = _padded_matrix(vec.take(pa.array(rows_here)), blk.width)
                 if blk.single and _exact_in_single(mat, blk.max_abs):
                     dots = (blk.matrix32 @ mat.astype(np.float32).T).astype(np.float64)
                 else:
                     dots = blk.matrix @ mat.T                  # (nq, rows)
-                denom = blk.norm[:, None] * np.sqrt(sq)[None, :]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    scores = np.where(denom == 0, 0.0, dots / denom)
+                denom = np.multiply.outer(blk.norm, np.sqrt(sq))
+                # a zero norm means a zero vector, whose dot products are already 0
+                scores = np.divide(dots, denom, out=dots, where=denom > 0)
                 if ccode is not None:
                     cc = ccode[lo:lo + step]
                     allowed = (blk.qcode[:, None] < 0) | (blk.qcode[:, None] == cc[None, :])
-                    scores = np.where(allowed, scores, -np.inf)
-                qs, rows = _topk_rows(scores, blk.kmax)
-                if len(rows) == 0:
+                    scores[~allowed] = -np.inf
+                qs, cols = _topk_rows(scores, blk.kmax)
+                if len(qs) == 0:
                     continue
-                cand = part.select(list(keys) + list(payload)).take(pa.array(rows))
-                cand = cand.append_column("score", pa.array(scores[qs, rows], pa.float64()))
-                cand = cand.append_column("_q", pa.array(qs, pa.int64()))
-                keep.append(cand)
-                kept += len(rows)
+                cand.append((qs, np.full(len(qs), b), rows_here[cols], scores[qs, cols]))
+                kept += len(qs)
                 if kept > 4 * blk.kmax * nq:
-                    keep = [reduce(keep)]
-                    kept = keep[0].num_rows
-        if not keep:
+                    cand = [_select_winners(tables, cand, keys, blk.kmax)]
+                    kept = len(cand[0][0])
+        if not cand:
             return
-        best = reduce(keep)
-        qidx = best.column("_q").to_numpy()
-        best = best.append_column("_qid", blk.ids.take(pa.array(qidx)))
-        best = best.append_column("_k", pa.array(blk.k[qidx], pa.int32()))
-        best = best.drop_columns(["_q"])
-        cols = {"_qid": out_names[0]}
-        best = best.rename_columns([cols.get(c, c) for c in best.column_names])
-        yield from best.select(out_names).to_batches()
+        q, bt, row, score = _select_winners(tables, cand, keys, blk.kmax)
+        cols = {name: _gather(tables, bt, row, name) for name in (*keys, *payload)}
+        out = pa.table({out_names[0]: blk.ids.take(pa.array(q)), **cols,
+                        "score": pa.array(score, pa.float64()), "_k": pa.array(blk.k[q], pa.int32())})
+        yield from out.select(out_names).to_batches()
     return run
 
 
