@@ -111,6 +111,7 @@ class _Block:
         self.matrix32 = mat.astype(np.float32) if self.single else None
         self.k = tbl.column("_k").to_numpy()
         self.kmax = int(self.k.max()) if len(self.k) else 0
+        self.floor = None          # per-question lower bound of the k-th best score
         self.filter_docs = None
         if has_filter:
             docs = tbl.column("_doc").to_pandas()
@@ -191,6 +192,8 @@ def _score_partition(bc, keys, payload, cvec, cdoc, out_schema: T.StructType):
                     cc = ccode[lo:lo + step]
                     allowed = (blk.qcode[:, None] < 0) | (blk.qcode[:, None] == cc[None, :])
                     scores[~allowed] = -np.inf
+                if blk.floor is not None:
+                    scores[scores < blk.floor[:, None]] = -np.inf
                 qs, cols = _topk_rows(scores, blk.kmax)
                 if len(qs) == 0:
                     continue
@@ -219,12 +222,21 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
                  doc_filter: str | None = "doc_id",
                  corpus_doc: str = "doc_id",
                  default_k: int = DEFAULT_TOP_K,
-                 max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+                 max_block_bytes: int = MAX_BLOCK_BYTES,
+                 prune_fraction: float | None = None) -> DataFrame:
     """Hits ``(query_id, rank, *keys, *payload, score)``, best first per question.
 
     ``top_k`` (per question, default ``default_k``) of 0 or less gives no hits.
     ``doc_filter`` names the question column restricting a question to one
     document (NULL = whole corpus). Scores are full-precision cosines.
+
+    Pruning (exact): the ``k``-th best score of a question over *any* subset of
+    chunks is a lower bound of its ``k``-th best over all chunks, so after
+    scoring a ``prune_fraction`` sample, the full pass only lets candidates at
+    or above that bound leave their task. That caps the final shuffle near
+    ``k / prune_fraction`` rows per question instead of ``k`` per task. By
+    default it is used when the chunk scan has many more partitions than
+    the cluster has cores (``None``), never with ``0``.
     """
     spark = corpus.sparkSession
     qcols = questions.columns
@@ -259,9 +271,15 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
         q = reliable_checkpoint(q.withColumn("_blk", F.pmod(F.xxhash64(query_key), F.lit(nblocks))))
     parts = []
     sc = spark.sparkContext
+    if prune_fraction is None:
+        many = c.rdd.getNumPartitions() > 4 * sc.defaultParallelism
+        prune_fraction = 0.01 if many else 0.0
     for b in range(nblocks):
         qb = q if nblocks == 1 else q.where(F.col("_blk") == b).drop("_blk")
         blk = _Block(qb.toArrow(), query_key, query_vector, has_filter)
+        if prune_fraction > 0:
+            blk.floor = _score_floor(c, blk, keys, payload, vector, corpus_doc, out_schema,
+                                     query_key, prune_fraction)
         bc = sc.broadcast(blk)
         parts.append(c.mapInArrow(_score_partition(bc, keys, payload, vector, corpus_doc, out_schema),
                                   out_schema))
@@ -272,6 +290,21 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
         query_key, "rank", *keys, *payload, "score")
 
 
+def _score_floor(c, blk, keys, payload, vector, corpus_doc, out_schema, query_key, fraction):
+    """Per question, the k-th best score over a sample of chunks (-inf if fewer)."""
+    sc = c.sparkSession.sparkContext
+    bc = sc.broadcast(blk)
+    sample = c.sample(fraction=fraction, seed=17).mapInArrow(
+        _score_partition(bc, keys, (), vector, corpus_doc,
+                         T.StructType([f for f in out_schema.fields if f.name not in payload])),
+        T.StructType([f for f in out_schema.fields if f.name not in payload]))
+    ranked = rank_hits(sample, query_key, keys, blk.kmax).where(F.col("rank") == F.col("_k"))
+    # one row per question of this (size-checked) block
+    kth = {r[0]: r[1] for r in ranked.select(query_key, "score").collect()}
+    ids = blk.ids.to_pylist()
+    return np.array([kth.get(i, -np.inf) for i in ids], dtype=np.float64)
+
+
 def rank_hits(scored: DataFrame, query_key: str, keys, k: int) -> DataFrame:
     """``row_number`` per question by score desc, key asc; keep ``rank <= k``."""
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), *[F.asc(c) for c in keys])

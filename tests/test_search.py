@@ -99,3 +99,14 @@ def test_blank_questions_are_rejected(spark):
     valid, rejected = retrieval.validate_questions(qs)
     assert [(r.query_id, r.question, r.top_k) for r in valid.collect()] == [("a", "what?", 5)]
     assert sorted(r.query_id for r in rejected.collect()) == ["b", "c"]
+
+
+def test_pruning_is_exact(spark):
+    rng = np.random.default_rng(11)
+    corpus = [(i // 10, i % 10, "t", rng.integers(0, 3, 12).astype(float).tolist()) for i in range(3000)]
+    qs = [(f"q{i}", rng.integers(0, 3, 12).astype(float).tolist(), 1 + i % 6, None) for i in range(15)]
+    c = spark.createDataFrame(corpus, "doc_id long, chunk_id int, text string, embedding array<double>").repartition(40)
+    q = spark.createDataFrame(qs, "query_id string, embedding array<double>, top_k int, doc_id long")
+    plain = sorted(tuple(r) for r in search.exact_search(c, q, prune_fraction=0).collect())
+    pruned = sorted(tuple(r) for r in search.exact_search(c, q, prune_fraction=0.05).collect())
+    assert plain == pruned and len(plain) == sum(1 + i % 6 for i in range(15))
