@@ -247,7 +247,8 @@ def approx_search(corpus: DataFrame, questions: DataFrame, *,
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    merged = merged.dropDuplicates([query_key, *keys])
+    if hot:   # a pair met in a hot bucket may also come out of the probe pass
+        merged = merged.dropDuplicates([query_key, *keys])
     ranked = search.rank_hits(merged, query_key, keys, kmax).where(F.col("rank") <= F.col("_k"))
     if has_filter and filter_mode == "post":
         qdocs = q.select(query_key, "_doc")
