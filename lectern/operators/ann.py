@@ -10,10 +10,10 @@ Plan:
    ``(table, bucket)`` (partial aggregation; at most ``tables * 2**bits``
    rows). Buckets over ``max_bucket`` items are *hot*.
 2. Questions (size-checked blocks, as in exact search) are broadcast with
-   their signatures. A second map-only ``mapInArrow`` pass probes every item
-   against the questions of its buckets, skipping hot buckets; each pair is
-   emitted once (at its first matching table), scored exactly, and only the
-   best ``k`` per question per task leave the task.
+   their signatures. A second map-only ``mapInArrow`` pass scores, per
+   ``(table, bucket)``, the bucket's questions against its items as one BLAS
+   block (hot buckets skipped), with exact cosine; repeats of a pair across
+   tables are dropped and only the best ``k`` per question leave the task.
 3. A question that falls in a hot bucket is answered for that bucket by the
    exact block search restricted to the bucket's items, so a bucket holding a
    third of the data never turns into all-pairs rows and no candidate is cut.
@@ -106,68 +106,67 @@ class _Probe:
 
 
 def _probe_partition(bc, keys, payload, vector, cdoc, filter_mode, out_schema):
+    """Score each question against the items of its buckets, one BLAS block per
+    ``(table, bucket)``, keeping the best ``k`` per question and block.
+
+    A pair met in several tables comes out more than once; the winner
+    selection drops the repeats. Keeping only each table's top ``k`` loses
+    nothing: a pair in the top ``k`` of all candidates is also in the top
+    ``k`` of every table's candidates that contain it.
+    """
     names = [f.name for f in out_schema.fields]
 
     def run(batches):
         st: _Probe = bc.value
-        keep = []
+        if not len(st.k):
+            return
+        tables, cand, kept = [], [], 0
         for rb in batches:
-            if rb.num_rows == 0 or not len(st.k):
+            if rb.num_rows == 0:
                 continue
+            bno = len(tables)
             tbl = pa.Table.from_batches([rb])
-            mat, sq = _padded_matrix(tbl.column(vector).combine_chunks(), st.dim)
+            tables.append(tbl)
+            # rows renumbered in chunk-key order: among equal scores the lower row wins
+            perm = pc.sort_indices(tbl, sort_keys=[(c, "ascending") for c in keys]).to_numpy()
+            mat, sq = _padded_matrix(tbl.column(vector).combine_chunks().take(pa.array(perm)), st.dim)
+            inorm = np.sqrt(sq)
             isig = signatures(mat, st.planes, st.tables, st.bits)
-            qs, its = [], []
+            hot = None
+            if st.hot:
+                hot = np.array([[(t, b) in st.hot for t, b in enumerate(r)] for r in isig.tolist()], bool)
             for t in range(st.tables):
                 col = isig[:, t]
-                lo = np.searchsorted(st.sorted[t], col, "left")
-                hi = np.searchsorted(st.sorted[t], col, "right")
-                cnt = hi - lo
-                if st.hot:
-                    hot_rows = np.fromiter(((t, b) in st.hot for b in col.tolist()), bool, len(col))
-                    cnt = np.where(hot_rows, 0, cnt)
-                if not cnt.any():
-                    continue
-                item_idx = np.repeat(np.arange(len(col)), cnt)
-                starts = np.repeat(lo, cnt)
-                offs = np.arange(cnt.sum()) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-                q_idx = st.order[t][starts + offs]
-                # emit each pair once: at the first table where it meets outside a hot bucket
-                first = np.ones(len(q_idx), bool)
-                for t2 in range(t):
-                    same = st.sig[q_idx, t2] == isig[item_idx, t2]
-                    if st.hot and same.any():
-                        same &= ~np.fromiter(((t2, b) in st.hot for b in isig[item_idx, t2].tolist()),
-                                             bool, len(item_idx))
-                    first &= ~same
-                qs.append(q_idx[first])
-                its.append(item_idx[first])
-            if not qs:
-                continue
-            q_idx, item_idx = np.concatenate(qs), np.concatenate(its)
-            if st.docs is not None and filter_mode == "pre":
-                cd = tbl.column(cdoc).to_pylist()
-                ok = np.fromiter(((st.docs[q] is None) or (st.docs[q] == cd[i])
-                                  for q, i in zip(q_idx.tolist(), item_idx.tolist())), bool, len(q_idx))
-                q_idx, item_idx = q_idx[ok], item_idx[ok]
-            if not len(q_idx):
-                continue
-            dots = np.einsum("ij,ij->i", st.matrix[q_idx], mat[item_idx])
-            denom = st.norm[q_idx] * np.sqrt(sq)[item_idx]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = np.where(denom == 0, 0.0, dots / denom)
-            cand = tbl.select(list(keys) + list(payload)).take(pa.array(item_idx))
-            cand = cand.append_column("score", pa.array(score, pa.float64()))
-            cand = cand.append_column("_q", pa.array(q_idx, pa.int64()))
-            keep.append(_reduce(cand, keys, st.kmax))
-        if not keep:
+                order = np.argsort(col, kind="stable")
+                buckets, starts, counts = np.unique(col[order], return_index=True, return_counts=True)
+                qlo = np.searchsorted(st.sorted[t], buckets, "left")
+                qhi = np.searchsorted(st.sorted[t], buckets, "right")
+                for j in np.flatnonzero(qhi > qlo):
+                    if hot is not None and (t, int(buckets[j])) in st.hot:
+                        continue
+                    qs = st.order[t][qlo[j]:qhi[j]]
+                    members = order[starts[j]:starts[j] + counts[j]]
+                    step = max(1, search.SCORE_CELLS // len(qs))
+                    for s0 in range(0, len(members), step):
+                        its = members[s0:s0 + step]
+                        dots = st.matrix[qs] @ mat[its].T
+                        denom = np.multiply.outer(st.norm[qs], inorm[its])
+                        scores = np.divide(dots, denom, out=dots, where=denom > 0)
+                        np.round(scores, search.SCORE_DECIMALS, out=scores)
+                        qi, ci = search._topk_rows(scores, st.kmax)
+                        if len(qi):
+                            cand.append((qs[qi], np.full(len(qi), bno), perm[its[ci]], scores[qi, ci]))
+                            kept += len(qi)
+                if kept > 4 * st.kmax * len(st.k):
+                    cand = [search._select_winners(tables, cand, keys, st.kmax)]
+                    kept = len(cand[0][0])
+        if not cand:
             return
-        best = _reduce(pa.concat_tables(keep), keys, st.kmax)
-        q = best.column("_q").to_numpy()
-        best = best.append_column("_qid", st.ids.take(pa.array(q)))
-        best = best.append_column("_k", pa.array(st.k[q], pa.int32())).drop_columns(["_q"])
-        best = best.rename_columns([names[0] if c == "_qid" else c for c in best.column_names])
-        yield from best.select(names).to_batches()
+        q, bt, row, score = search._select_winners(tables, cand, keys, st.kmax)
+        cols = {name: search._gather(tables, bt, row, name) for name in (*keys, *payload)}
+        out = pa.table({names[0]: st.ids.take(pa.array(q)), **cols,
+                        "score": pa.array(score, pa.float64()), "_k": pa.array(st.k[q], pa.int32())})
+        yield from out.select(names).to_batches()
     return run
 
 

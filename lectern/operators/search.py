@@ -37,6 +37,10 @@ from lectern.session import reliable_checkpoint
 DEFAULT_TOP_K = 5                       # fixed: default number of hits per question
 MAX_BLOCK_BYTES = 64 * 1024 * 1024      # question matrix shipped per scan
 SCORE_CELLS = 1 << 22                   # rows x questions scored at once (32 MB)
+# Scores are ranked at 12 decimals: a BLAS product may give two copies of one
+# vector dot products a last bit apart (the result depends on block shape);
+# at this precision copies tie and fall back to the key order.
+SCORE_DECIMALS = 12
 
 
 def _padded_matrix(vec: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +146,7 @@ def _select_winners(tables, cand, keys, kmax):
     ``cand`` holds ``(question, batch, row, score)`` arrays. Only the key
     columns of candidates are gathered, ranked once, and used as the last
     sort key; payload columns are taken later for the winners alone.
+    Repeated ``(question, key)`` candidates are kept once.
     """
     q, bt, row, score = (np.concatenate(c) for c in zip(*cand))
     keyt = pa.table({k: _gather(tables, bt, row, k) for k in keys})
@@ -149,6 +154,11 @@ def _select_winners(tables, cand, keys, kmax):
     key_rank = np.empty(len(order), np.int64)
     key_rank[order] = np.arange(len(order))
     idx = np.lexsort((key_rank, -score, q))
+    # the same (question, chunk) seen twice: keep its first (best) occurrence
+    ident = (q.astype(np.int64) * len(tables) + bt) * (int(row.max()) + 1) + row
+    _, first = np.unique(ident[idx], return_index=True)
+    if len(first) < len(idx):
+        idx = idx[np.sort(first)]
     qs = q[idx]
     first = np.r_[0, np.flatnonzero(qs[1:] != qs[:-1]) + 1]
     rank = np.arange(len(qs)) - np.repeat(first, np.diff(np.r_[first, len(qs)]))
@@ -188,6 +198,7 @@ def _score_partition(bc, keys, payload, cvec, cdoc, out_schema: T.StructType):
                 denom = np.multiply.outer(blk.norm, np.sqrt(sq))
                 # a zero norm means a zero vector, whose dot products are already 0
                 scores = np.divide(dots, denom, out=dots, where=denom > 0)
+                np.round(scores, SCORE_DECIMALS, out=scores)
                 if ccode is not None:
                     cc = ccode[lo:lo + step]
                     allowed = (blk.qcode[:, None] < 0) | (blk.qcode[:, None] == cc[None, :])

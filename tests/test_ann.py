@@ -21,7 +21,7 @@ def brute_lsh(corpus, questions, k, tables, bits, dim):
         scored = []
         for i, key in cand:
             den = np.linalg.norm(qv) * np.linalg.norm(cm[i])
-            s = 0.0 if den == 0 else float(np.dot(qv, cm[i]) / den)
+            s = 0.0 if den == 0 else round(float(np.dot(qv, cm[i]) / den), 12)
             scored.append((-s, key))
         scored.sort()
         out |= {(qid, r + 1, key) for r, (_, key) in enumerate(scored[:k])}

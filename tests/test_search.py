@@ -19,7 +19,7 @@ def brute(corpus, questions, default_k=5):
             n = min(len(qv), len(cv))
             dot = float(np.dot(qv[:n], cv[:n]))
             na, nb = np.sqrt(np.dot(qv, qv)), np.sqrt(np.dot(cv, cv))
-            s = 0.0 if na == 0 or nb == 0 else dot / (na * nb)
+            s = 0.0 if na == 0 or nb == 0 else round(dot / (na * nb), 12)
             scored.append((-s, doc, cid, s))
         scored.sort()
         for rank, (_, doc, cid, s) in enumerate(scored[:max(k, 0)], 1):
