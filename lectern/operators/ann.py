@@ -95,6 +95,7 @@ class _Probe:
         self.ids = tbl.column(qkey)
         mat, sq = _padded_matrix(tbl.column("_vec").combine_chunks(), dim)
         self.matrix, self.norm = mat, np.sqrt(sq)
+        self.integral = bool(np.array_equal(mat, np.rint(mat)))
         self.k = tbl.column("_k").to_numpy()
         self.kmax = int(self.k.max()) if len(self.k) else 0
         self.planes, self.tables, self.bits, self.dim = planes, tables, bits, dim
@@ -131,6 +132,7 @@ def _probe_partition(bc, keys, payload, vector, cdoc, filter_mode, out_schema):
             perm = pc.sort_indices(tbl, sort_keys=[(c, "ascending") for c in keys]).to_numpy()
             mat, sq = _padded_matrix(tbl.column(vector).combine_chunks().take(pa.array(perm)), st.dim)
             inorm = np.sqrt(sq)
+            exact = st.integral and np.array_equal(mat, np.rint(mat))
             isig = signatures(mat, st.planes, st.tables, st.bits)
             hot = None
             if st.hot:
@@ -152,7 +154,8 @@ def _probe_partition(bc, keys, payload, vector, cdoc, filter_mode, out_schema):
                         dots = st.matrix[qs] @ mat[its].T
                         denom = np.multiply.outer(st.norm[qs], inorm[its])
                         scores = np.divide(dots, denom, out=dots, where=denom > 0)
-                        np.round(scores, search.SCORE_DECIMALS, out=scores)
+                        if not exact:
+                            np.round(scores, search.SCORE_DECIMALS, out=scores)
                         qi, ci = search._topk_rows(scores, st.kmax)
                         if len(qi):
                             cand.append((qs[qi], np.full(len(qi), bno), perm[its[ci]], scores[qi, ci]))

@@ -37,9 +37,11 @@ from lectern.session import reliable_checkpoint
 DEFAULT_TOP_K = 5                       # fixed: default number of hits per question
 MAX_BLOCK_BYTES = 64 * 1024 * 1024      # question matrix shipped per scan
 SCORE_CELLS = 1 << 22                   # rows x questions scored at once (32 MB)
-# Scores are ranked at 12 decimals: a BLAS product may give two copies of one
-# vector dot products a last bit apart (the result depends on block shape);
-# at this precision copies tie and fall back to the key order.
+# Integer-valued vectors (the hash embedder) give exact dot products, so their
+# scores are the exact IEEE results of dot / (|q| |c|). Other vectors are
+# ranked at 12 decimals: a BLAS product may give two copies of one vector dot
+# products a last bit apart (the result depends on block shape); at this
+# precision copies tie and fall back to the key order.
 SCORE_DECIMALS = 12
 
 
@@ -111,6 +113,7 @@ class _Block:
         self.matrix = mat                                   # (nq, width)
         self.norm = np.sqrt(sq)
         self.max_abs = float(np.abs(mat).max()) if mat.size else 0.0
+        self.integral = bool(np.array_equal(mat, np.rint(mat)))
         self.single = (_exact_in_single(mat, 1.0) and self.max_abs < 2 ** 24)
         self.matrix32 = mat.astype(np.float32) if self.single else None
         self.k = tbl.column("_k").to_numpy()
@@ -191,14 +194,16 @@ def _score_partition(bc, keys, payload, cvec, cdoc, out_schema: T.StructType):
             for lo in range(0, len(perm), step):
                 rows_here = perm[lo:lo + step]
                 mat, sq = _padded_matrix(vec.take(pa.array(rows_here)), blk.width)
-                if blk.single and _exact_in_single(mat, blk.max_abs):
+                exact = blk.integral and np.array_equal(mat, np.rint(mat))
+                if exact and blk.single and _exact_in_single(mat, blk.max_abs):
                     dots = (blk.matrix32 @ mat.astype(np.float32).T).astype(np.float64)
                 else:
                     dots = blk.matrix @ mat.T                  # (nq, rows)
                 denom = np.multiply.outer(blk.norm, np.sqrt(sq))
                 # a zero norm means a zero vector, whose dot products are already 0
                 scores = np.divide(dots, denom, out=dots, where=denom > 0)
-                np.round(scores, SCORE_DECIMALS, out=scores)
+                if not exact:
+                    np.round(scores, SCORE_DECIMALS, out=scores)
                 if ccode is not None:
                     cc = ccode[lo:lo + step]
                     allowed = (blk.qcode[:, None] < 0) | (blk.qcode[:, None] == cc[None, :])

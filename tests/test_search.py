@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import search
 
 
-def brute(corpus, questions, default_k=5):
+def brute(corpus, questions, default_k=5, decimals=None):
     """Python reference: score every pair, sort by score desc then key, cut per question."""
     out = []
     for qid, qv, k, qdoc in questions:
@@ -19,7 +19,9 @@ def brute(corpus, questions, default_k=5):
             n = min(len(qv), len(cv))
             dot = float(np.dot(qv[:n], cv[:n]))
             na, nb = np.sqrt(np.dot(qv, qv)), np.sqrt(np.dot(cv, cv))
-            s = 0.0 if na == 0 or nb == 0 else round(dot / (na * nb), 12)
+            s = 0.0 if na == 0 or nb == 0 else dot / (na * nb)
+            if decimals is not None:
+                s = round(s, decimals)
             scored.append((-s, doc, cid, s))
         scored.sort()
         for rank, (_, doc, cid, s) in enumerate(scored[:max(k, 0)], 1):
@@ -72,7 +74,7 @@ def test_float_vectors(spark):
     rng = np.random.default_rng(3)
     corpus = [(i, 0, "t", rng.standard_normal(16).tolist()) for i in range(80)]
     qs = [(f"q{i}", rng.standard_normal(16).tolist(), 5, None) for i in range(7)]
-    assert run(spark, corpus, qs) == brute(corpus, qs)
+    assert run(spark, corpus, qs) == brute(corpus, qs, decimals=12)
 
 
 def test_topk_single(spark):
@@ -110,3 +112,18 @@ def test_pruning_is_exact(spark):
     plain = sorted(tuple(r) for r in search.exact_search(c, q, prune_fraction=0).collect())
     pruned = sorted(tuple(r) for r in search.exact_search(c, q, prune_fraction=0.05).collect())
     assert plain == pruned and len(plain) == sum(1 + i % 6 for i in range(15))
+
+
+def test_integer_vectors_score_bit_exact(spark):
+    """Hash-embedder style counts: scores equal dot / (sqrt(a) * sqrt(b)) to the last bit."""
+    rng = np.random.default_rng(21)
+    corpus = [(i, 0, "t", rng.integers(0, 4, 32).astype(float).tolist()) for i in range(300)]
+    qs = [(f"q{i}", rng.integers(0, 4, 32).astype(float).tolist(), 5, None) for i in range(9)]
+    c = spark.createDataFrame(corpus, "doc_id long, chunk_id int, text string, embedding array<double>")
+    q = spark.createDataFrame(qs, "query_id string, embedding array<double>, top_k int, doc_id long")
+    vec = {d: np.array(v) for d, _, _, v in corpus}
+    qv = {k: np.array(v) for k, v, _, _ in qs}
+    for h in search.exact_search(c, q).collect():
+        a, b = qv[h.query_id], vec[h.doc_id]
+        want = float(a @ b) / (np.sqrt(float(a @ a)) * np.sqrt(float(b @ b)))
+        assert h.score == want
