@@ -267,12 +267,14 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
 
     stats = q.agg(F.count(F.lit(1)).alias("n"),
                   F.max(F.size(query_vector)).alias("d"),
-                  F.max("_k").alias("k")).first()
+                  F.max("_k").alias("k"),
+                  *([F.count_if(F.col("_doc").isNull()).alias("open")] if has_filter else [])).first()
     nq, width, kmax = stats["n"], max(1, stats["d"] or 1), stats["k"] or 0
 
     extra = [corpus_doc] if has_filter and corpus_doc not in (*keys, *payload) else []
     c = corpus.select(*keys, *payload, *extra, vector).where(
         F.col(vector).isNotNull() & (F.size(vector) > 0))
+    scoped_only = has_filter and nq and stats["open"] == 0
     cfields = {f.name: f for f in c.schema.fields}
     out_schema = T.StructType(
         [T.StructField(query_key, q.schema[query_key].dataType)]
@@ -297,8 +299,14 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
             blk.floor = _score_floor(c, blk, keys, payload, vector, corpus_doc, out_schema,
                                      query_key, prune_fraction)
         bc = sc.broadcast(blk)
-        parts.append(c.mapInArrow(_score_partition(bc, keys, payload, vector, corpus_doc, out_schema),
-                                  out_schema))
+        cb = c
+        if scoped_only:
+            # every question names a document: scan only those documents' chunks.
+            # The ids come from the collected block (bounded by its size check)
+            # and reach the parquet scan of a stored index as an IN filter.
+            cb = c.where(F.col(corpus_doc).isin(blk.filter_docs.tolist()))
+        parts.append(cb.mapInArrow(_score_partition(bc, keys, payload, vector, corpus_doc, out_schema),
+                                   out_schema))
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)

@@ -89,6 +89,14 @@ def ask_sources(spark: SparkSession, sf: str):
         "s.text_preview", "s.relevance_score")
 
 
+def _scoped_index(spark, sf, questions):
+    """Index of only the documents the questions name (fetch, then score):
+    a semi join with the question ids, placed before the chunk walk."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    named = questions.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    return retrieval.chunk_index(docs.join(F.broadcast(named), "doc_id", "left_semi"))
+
+
 def _in_document_questions(spark, sf):
     conv = read_table(spark, sf, "conversations")
     return conv.where(F.col("role") == "user").select(
@@ -102,7 +110,8 @@ SELECT {', '.join(ANSWER_COLS)} FROM answers
 """)
 def ask_in_document(spark: SparkSession, sf: str):
     """Each conversation is scoped to the document whose id equals its ``conv_id``."""
-    return _ask(spark, sf, _in_document_questions(spark, sf)).select(*ANSWER_COLS)
+    qs = _in_document_questions(spark, sf)
+    return retrieval.ask(_scoped_index(spark, sf, qs), qs).select(*ANSWER_COLS)
 
 
 def _benchmark_questions(spark, sf):
@@ -340,7 +349,7 @@ def upload_events(spark: SparkSession, sf: str):
 SELECT page_id, {S.html_text_sql('html')} AS text FROM pages
 """)
 def extract_html(spark: SparkSession, sf: str):
-    pages = read_table(spark, sf, "pages")
+    pages = retrieval.spread(read_table(spark, sf, "pages"))
     return pages.select("page_id", src.html_to_text("html").alias("text"))
 
 
@@ -453,7 +462,8 @@ SELECT query_id, answer, chunks_used, confidence, chunks_used AS n_sources FROM
 """)
 def answer_responses(spark: SparkSession, sf: str):
     """Answers are serialised as response bodies and read back the way the client does."""
-    answers = _ask(spark, sf, _in_document_questions(spark, sf))
+    qs = _in_document_questions(spark, sf)
+    answers = retrieval.ask(_scoped_index(spark, sf, qs), qs)
     body = answers.select("query_id", ans.response_json(answers).alias("body"))
     r = body.select("query_id", ans.read_response("body").alias("r"))
     return r.select("query_id", "r.answer", "r.chunks_used", "r.confidence",
@@ -542,7 +552,7 @@ def _stream_chunks(spark, sf, replay: bool = False):
     if replay:   # at-least-once delivery: every document arrives twice
         again = stream.read_table_stream(spark, sf, "documents").select("doc_id", "text", "_ingest_time")
         docs = docs.unionByName(again)
-    chunks = stream.chunk_stream(docs)
+    chunks = stream.chunk_stream(docs, partitions=spark.sparkContext.defaultParallelism)
     if replay:
         chunks = stream.dedupe_stream(chunks)
     root = stream.run_root(spark, "ingest")
@@ -606,5 +616,5 @@ def ann_in_document(spark: SparkSession, sf: str):
     qs = _in_document_questions(spark, sf)
     valid, _ = retrieval.validate_questions(qs)
     qv = retrieval.embed_questions(valid)
-    hits = ann.approx_search(_index(spark, sf), qv, filter_mode="pre")
+    hits = ann.approx_search(_scoped_index(spark, sf, qs), qv, filter_mode="pre")
     return hits.select("query_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))

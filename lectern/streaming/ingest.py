@@ -61,8 +61,14 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
-def chunk_stream(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Accepted documents of a stream -> chunk rows (same operator as batch)."""
+def chunk_stream(docs: DataFrame, text_col: str = "text", partitions: int | None = None) -> DataFrame:
+    """Accepted documents of a stream -> chunk rows (same operator as batch).
+
+    ``partitions`` spreads each micro-batch round-robin first, for sources
+    that deliver few large files per trigger.
+    """
+    if partitions:
+        docs = docs.repartition(partitions)
     accepted, _ = cat.split_short_documents(docs, text_col)
     return chunking.chunk_documents(accepted, text_col=text_col)
 
