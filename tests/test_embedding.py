@@ -68,3 +68,19 @@ def test_norm_normalize_and_round(spark):
                   emb.round_score("s").alias("r")).collect()
     assert r[0].n == 5.0 and r[0].u == [0.6, 0.8] and r[0].r == 0.063   # HALF_UP, not banker's
     assert r[1].n == 0.0 and r[1].u == [0.0, 0.0]
+
+
+def test_cosine_bounds_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    rows = []
+
+    @settings(max_examples=60, deadline=None)
+    @given(st.lists(st.floats(-1e3, 1e3, allow_nan=False), min_size=1, max_size=8),
+           st.lists(st.floats(-1e3, 1e3, allow_nan=False), min_size=1, max_size=8))
+    def collect(a, b):
+        rows.append((a, b))
+    collect()
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    for r in df.select(emb.cosine_similarity("a", "b").alias("c")).collect():
+        assert -1 - 1e-9 <= r.c <= 1 + 1e-9

@@ -127,3 +127,15 @@ def test_integer_vectors_score_bit_exact(spark):
         a, b = qv[h.query_id], vec[h.doc_id]
         want = float(a @ b) / (np.sqrt(float(a @ a)) * np.sqrt(float(b @ b)))
         assert h.score == want
+
+
+def test_self_search_finds_itself_first(spark):
+    from lectern.session import read_table
+    from conftest import SF_SMALL
+    vecs = read_table(spark, SF_SMALL, "embeddings")
+    qs = vecs.select(F.col("vec_id").alias("query_id"), "embedding")
+    top = search.exact_search(vecs, qs, keys=("vec_id",), payload=(), doc_filter=None).where("rank = 1")
+    rows = top.collect()
+    assert len(rows) == vecs.count()
+    # the best match is the vector itself (or an exact copy with a smaller id), at cosine 1
+    assert all(abs(r.score - 1.0) < 1e-9 and r.vec_id <= r.query_id for r in rows)
