@@ -38,11 +38,12 @@ def document_id(path, modification_time) -> Column:
 
 
 def utc_stamp(at: _dt.datetime | None = None) -> Column:
-    """Ingest time; pass ``at`` to make runs reproducible."""
+    """Ingest time as a naive UTC wall-clock ``TIMESTAMP_NTZ`` (the
+    reference stores ``utcnow().isoformat()``); pass ``at`` to make runs
+    reproducible."""
     if at is None:
-        return F.current_timestamp()
-    # a wall-clock literal read in the session time zone renders back unchanged
-    return F.to_timestamp(F.lit(at.strftime("%Y-%m-%d %H:%M:%S")))
+        return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
+    return F.to_timestamp_ntz(F.lit(at.strftime("%Y-%m-%d %H:%M:%S")))
 
 
 def split_short_documents(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_DOCUMENT_CHARS):
