@@ -184,9 +184,15 @@ def payload_chunks(payloads: DataFrame):
     return rows, rejects
 
 
-def chunk_payload_json(chunks: DataFrame) -> DataFrame:
-    """Inverse of :func:`payload_chunks`: one JSON message per document."""
+MAX_PAYLOAD_CHUNKS = 500      # chunks per message; a long document sends several
+
+
+def chunk_payload_json(chunks: DataFrame, max_chunks: int = MAX_PAYLOAD_CHUNKS) -> DataFrame:
+    """Inverse of :func:`payload_chunks`: JSON messages of at most ``max_chunks``
+    consecutive chunks of one document, so no message (and no group) grows
+    with the size of a document."""
     items = F.array_sort(F.collect_list(F.struct("chunk_id", "text", "start_char", "end_char")))
-    return chunks.groupBy("doc_id").agg(items.alias("chunks")).select(
-        F.col("doc_id").cast("string").alias("doc_id"),
+    part = F.floor(F.col("chunk_id") / max_chunks).alias("part")
+    return chunks.groupBy("doc_id", part).agg(items.alias("chunks")).select(
+        F.col("doc_id").cast("string").alias("doc_id"), "part",
         F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "chunks")).alias("value"))

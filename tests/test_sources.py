@@ -64,3 +64,14 @@ def test_assemble_pages(spark):
                                   "doc_id long, page_num int, text string")
     got = {r.doc_id: (r.text, r.pages) for r in src.assemble_pages(pages).collect()}
     assert got == {1: ("zero\n\ntwo", 2), 2: ("only", 1)}
+
+
+def test_payload_messages_are_bounded(spark):
+    chunks = spark.range(0, 1203).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").cast("int").alias("chunk_id"),
+                                         F.lit("text of a chunk").alias("text"), F.lit(0).alias("start_char"),
+                                         F.lit(0).alias("end_char"))
+    msgs = src.chunk_payload_json(chunks, max_chunks=500)
+    assert msgs.count() == 3
+    parsed = msgs.select(F.from_json("value", src.CHUNK_PAYLOAD).alias("p")).select("p.*")
+    rows, rejects = src.payload_chunks(parsed)
+    assert rows.count() == 1203 and rejects.count() == 0
