@@ -37,7 +37,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,7 +91,7 @@ def _bucket_counts(vector: str, planes, tables, bits, dim):
 class _Probe:
     """Broadcast state: questions, their signatures, bucket index and hot set."""
 
-    def __init__(self, tbl: pa.Table, qkey: str, planes, tables, bits, dim, hot: set, has_filter: bool):
+    def __init__(self, tbl: pa.Table, qkey: str, planes, tables, bits, dim, hot: set):
         self.ids = tbl.column(qkey)
         mat, sq = _padded_matrix(tbl.column("_vec").combine_chunks(), dim)
         self.matrix, self.norm = mat, np.sqrt(sq)
@@ -103,7 +103,6 @@ class _Probe:
         self.order = [np.argsort(self.sig[:, t], kind="stable") for t in range(tables)]
         self.sorted = [self.sig[o, t] for t, o in enumerate(self.order)]
         self.hot = hot
-        self.docs = tbl.column("_doc").to_pylist() if has_filter else None
 
 
 def _probe_partition(bc, keys, payload, vector, cdoc, filter_mode, out_schema):
@@ -173,16 +172,6 @@ def _probe_partition(bc, keys, payload, vector, cdoc, filter_mode, out_schema):
     return run
 
 
-def _reduce(t: pa.Table, keys, k: int) -> pa.Table:
-    t = t.sort_by([("_q", "ascending"), ("score", "descending")] + [(c, "ascending") for c in keys])
-    q = t.column("_q").to_numpy()
-    if not len(q):
-        return t
-    first = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1]
-    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-    return t.filter(pa.array(rank < k))
-
-
 def approx_search(corpus: DataFrame, questions: DataFrame, *,
                   keys=("doc_id", "chunk_id"), payload=("text",), vector: str = "embedding",
                   query_key: str = "query_id", query_vector: str = "embedding",
@@ -239,7 +228,7 @@ def approx_search(corpus: DataFrame, questions: DataFrame, *,
     parts = []
     for b in range(nblocks):
         qb = qb_all.where(F.col("_blk") == b).drop("_blk")
-        probe = _Probe(qb.toArrow(), query_key, planes, tables, bits, width, hot, False)
+        probe = _Probe(qb.toArrow(), query_key, planes, tables, bits, width, hot)
         bc = spark.sparkContext.broadcast(probe)
         parts.append(c.mapInArrow(_probe_partition(bc, keys, payload, vector, corpus_doc, filter_mode,
                                                    out_schema), out_schema))
