@@ -21,6 +21,7 @@ from lectern.plans import sql as S
 from lectern.plans.registry import register
 from lectern.session import read_table
 from lectern.sources import objects as src
+from lectern.sources import sinks
 from lectern.streaming import ingest as stream
 
 
@@ -618,3 +619,18 @@ def ann_in_document(spark: SparkSession, sf: str):
     qv = retrieval.embed_questions(valid)
     hits = ann.approx_search(_scoped_index(spark, sf, qs), qv, filter_mode="pre")
     return hits.select("query_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@register("search_stored_index", "K2 S8 F5 P1", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(S.in_document_questions_sql(), HASH_DIM)}
+SELECT query_id, rank, doc_id, chunk_id, round(score, 6) AS score FROM hits
+""")
+def search_stored_index(spark: SparkSession, sf: str):
+    """Write the vector index once (sorted by document), then answer scoped
+    questions from it: their document ids reach the parquet scan."""
+    path = stream.run_root(spark, "index")
+    sinks.write_index(_index(spark, sf), path)
+    index = spark.read.parquet(path)
+    qs = _in_document_questions(spark, sf)
+    hits = retrieval.search_questions(index, qs)
+    return hits.select("query_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
