@@ -122,6 +122,52 @@ def extract_pages(objects: DataFrame, parser: Callable[[bytes], list[str]]) -> D
     return objects.select("path", "content").mapInPandas(run, PAGES)
 
 
+DOCUMENTS = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("modificationTime", T.TimestampType()),
+    T.StructField("file_size", T.LongType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("pages", T.IntegerType()),
+    T.StructField("error", T.StringType()),
+])
+
+
+def extract_documents(objects: DataFrame, parser: Callable[[bytes], list[str]]) -> DataFrame:
+    """S4+S5+S6 in one map-only pass: one row per object with its text.
+
+    All pages of an object come out of one ``parser`` call, so blank pages
+    are dropped and the rest joined with a blank line right there; no
+    grouping is needed, which keeps the operator usable on a stream. A file
+    the parser cannot read gets ``error`` and no text. ``doc_id`` is the
+    deterministic id of (path, modification time).
+    """
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path, mtime, length, content in zip(pdf["path"], pdf["modificationTime"],
+                                                    pdf["length"], pdf["content"]):
+                try:
+                    pages = [p for p in parser(bytes(content)) if p and p.strip()]
+                    out.append((path, mtime, length, PAGE_SEPARATOR.join(pages), len(pages), None))
+                except Exception as e:  # noqa: BLE001 - reported per file
+                    out.append((path, mtime, length, None, 0, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[f.name for f in DOCUMENTS.fields])
+    docs = objects.select("path", "modificationTime", "length", "content").mapInPandas(run, DOCUMENTS)
+    return docs.withColumn(
+        "doc_id", F.sha2(F.concat_ws("|", "path", F.col("modificationTime").cast("string")), 256))
+
+
+def read_objects_stream(spark: SparkSession, path: str, glob: str | None = None,
+                        max_files: int | None = None) -> DataFrame:
+    """R1 source: new objects landing under ``path`` (binaryFile needs an explicit schema)."""
+    r = spark.readStream.format("binaryFile").schema(BINARY_FILE)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", str(max_files))
+    return r.load(path)
+
+
 def utf8_parser(data: bytes) -> list[str]:
     """Plain-text parser: the whole file is one page (form feeds split pages)."""
     return data.decode("utf-8", errors="replace").split("\f")

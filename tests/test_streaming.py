@@ -31,3 +31,26 @@ def test_stream_equals_batch(spark, tmp_dir):
     counts = {r.doc_id: r.embeddings_count for r in spark.read.parquet(latest).collect()}
     assert counts == {d: n for d, n in ((1, sum(1 for r in want if r[0] == 1 and len(r[2]) >= 20)),
                                         (3, sum(1 for r in want if r[0] == 3 and len(r[2]) >= 20)))}
+
+
+def test_object_stream_equals_batch(spark, tmp_dir):
+    from lectern.sources import objects as src
+    landing = os.path.join(tmp_dir, "objects")
+    os.makedirs(landing)
+    texts = {"a.txt": "Page one of a. " * 40 + "\f \f" + "Page two of a. " * 30,
+             "b.txt": "tiny", "c.txt": "Only page of c, which is long enough to keep. " * 20}
+    for name, t in texts.items():
+        with open(os.path.join(landing, name), "w") as f:
+            f.write(t)
+    stream_docs = src.extract_documents(src.read_objects_stream(spark, landing, glob="*.txt"), src.utf8_parser)
+    chunks = stream.chunk_stream(stream_docs.select("doc_id", "text"))
+    root = stream.run_root(spark, "objects")
+    cols = ["doc_id", "chunk_id", "text", "start_char", "end_char"]
+    stream.run_available_now(stream.write_files(chunks.select(*cols), f"{root}/chunks", "obj"))
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{root}/chunks").select(*cols).collect())
+    batch_docs = src.extract_documents(src.read_objects(spark, landing, glob="*.txt"), src.utf8_parser)
+    accepted, _ = cat.split_short_documents(batch_docs.select("doc_id", "text"))
+    want = sorted(tuple(r) for r in chunking.chunk_documents(accepted).select(*cols).collect())
+    assert got == want and len({r[0] for r in got}) == 2          # "tiny" is rejected
+    pages = {r.path.rsplit("/", 1)[1]: r.pages for r in batch_docs.collect()}
+    assert pages == {"a.txt": 2, "b.txt": 1, "c.txt": 1}          # the blank middle page is dropped
