@@ -202,6 +202,7 @@ def approx_search(corpus: DataFrame, questions: DataFrame, *,
             max_block_bytes=max_block_bytes)
         q = q.where(F.col("_doc").isNull())
 
+    q = q.persist()      # read by the size check, the block collects and the hot path
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vec")).alias("d"),
                   F.max("_k").alias("k")).first()
     nq, kmax = stats["n"], stats["k"] or 0
@@ -219,6 +220,7 @@ def approx_search(corpus: DataFrame, questions: DataFrame, *,
         + [cfields[n] for n in (*keys, *payload)]
         + [T.StructField("score", T.DoubleType()), T.StructField("_k", T.IntegerType())])
     if nq == 0:
+        q.unpersist()
         empty = spark.createDataFrame([], out_schema).select(
             query_key, F.lit(0).alias("rank"), *keys, *payload, "score").limit(0)
         return empty if scoped is None else scoped

@@ -265,6 +265,9 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
         *([F.col(doc_filter).alias("_doc")] if has_filter else []),
     ).where(F.col("_k") > 0).where(F.col(query_vector).isNotNull())
 
+    # the size check and the block collect read the questions twice: keep them
+    # in memory between the two (a lost copy is only recomputed)
+    q = q.persist()
     stats = q.agg(F.count(F.lit(1)).alias("n"),
                   F.max(F.size(query_vector)).alias("d"),
                   F.max("_k").alias("k"),
@@ -281,12 +284,15 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
         + [cfields[n] for n in (*keys, *payload)]
         + [T.StructField("score", T.DoubleType()), T.StructField("_k", T.IntegerType())])
     if nq == 0:
+        q.unpersist()
         empty = spark.createDataFrame([], out_schema)
         return empty.select(query_key, F.lit(0).alias("rank"), *keys, *payload, "score").limit(0)
 
     nblocks = max(1, math.ceil(nq * width * 8 / max_block_bytes))
     if nblocks > 1:
+        cached = q
         q = reliable_checkpoint(q.withColumn("_blk", F.pmod(F.xxhash64(query_key), F.lit(nblocks))))
+        cached.unpersist()
     parts = []
     sc = spark.sparkContext
     if prune_fraction is None:
@@ -307,6 +313,7 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
             cb = c.where(F.col(corpus_doc).isin(blk.filter_docs.tolist()))
         parts.append(cb.mapInArrow(_score_partition(bc, keys, payload, vector, corpus_doc, out_schema),
                                    out_schema))
+    q.unpersist()
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
