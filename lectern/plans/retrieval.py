@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import strip_ws
+from lectern.functions.text import strip_ws, stripped_length
 from lectern.operators import answer, chunking, embedding, search
 
 MIN_CHUNK_CHARS = 20       # fixed: shorter chunks are not embedded
@@ -23,11 +23,9 @@ def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
 
 
 def embeddable_chunks(chunks: DataFrame) -> DataFrame:
-    """drop chunks under 20 characters; ``chunk_id``s are not renumbered.
-
-    Chunk text comes out of the chunker already stripped.
-    """
-    return chunks.where(F.length("text") >= MIN_CHUNK_CHARS)
+    """drop chunks whose stripped text is under 20 characters; ``chunk_id``s
+    are not renumbered. (Chunks from payload messages need not be stripped.)"""
+    return chunks.where(stripped_length(F.col("text")) >= MIN_CHUNK_CHARS)
 
 
 def chunk_index(docs: DataFrame, text_col: str = "text", embedder=None,

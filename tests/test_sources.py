@@ -75,3 +75,10 @@ def test_payload_messages_are_bounded(spark):
     parsed = msgs.select(F.from_json("value", src.CHUNK_PAYLOAD).alias("p")).select("p.*")
     rows, rejects = src.payload_chunks(parsed)
     assert rows.count() == 1203 and rejects.count() == 0
+
+
+def test_short_payload_chunks_use_stripped_length(spark):
+    from lectern.plans import retrieval
+    rows = spark.createDataFrame([("d", 0, "   " + "x" * 19 + "   "), ("d", 1, " " + "y" * 20)],
+                                 "doc_id string, chunk_id int, text string")
+    assert [r.chunk_id for r in retrieval.embeddable_chunks(rows).collect()] == [1]
