@@ -37,6 +37,7 @@ from lectern.session import reliable_checkpoint
 DEFAULT_TOP_K = 5                       # fixed: default number of hits per question
 MAX_BLOCK_BYTES = 64 * 1024 * 1024      # question matrix shipped per scan
 SCORE_CELLS = 1 << 22                   # rows x questions scored at once (32 MB)
+MAX_BROADCAST_HITS = 1_000_000          # hit rows broadcast for the payload join
 # Integer-valued vectors (the hash embedder) give exact dot products, so their
 # scores are the exact IEEE results of dot / (|q| |c|). Other vectors are
 # ranked at 12 decimals: a BLAS product may give two copies of one vector dot
@@ -239,7 +240,8 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
                  corpus_doc: str = "doc_id",
                  default_k: int = DEFAULT_TOP_K,
                  max_block_bytes: int = MAX_BLOCK_BYTES,
-                 prune_fraction: float | None = None) -> DataFrame:
+                 prune_fraction: float | None = None,
+                 payload_mode: str = "carry") -> DataFrame:
     """Hits ``(query_id, rank, *keys, *payload, score)``, best first per question.
 
     ``top_k`` (per question, default ``default_k``) of 0 or less gives no hits.
@@ -253,7 +255,28 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
     ``k / prune_fraction`` rows per question instead of ``k`` per task. By
     default it is used when the chunk scan has many more partitions than
     the cluster has cores (``None``), never with ``0``.
+
+    ``payload_mode='carry'`` passes payload columns (chunk text) through the
+    scoring tasks; ``'join'`` scores keys and vectors only and fetches the
+    payload of the final hits with a broadcast join (hits are bounded by
+    questions x k) against a column-pruned scan. Use ``'join'`` on a stored
+    index; on a lazily built one it would build the chunks twice.
     """
+    if payload_mode not in ("carry", "join"):
+        raise ValueError("payload_mode must be 'carry' or 'join'")
+    if payload_mode == "join" and payload:
+        hits = exact_search(corpus, questions, keys=keys, payload=(), vector=vector,
+                            query_key=query_key, query_vector=query_vector, top_k=top_k,
+                            doc_filter=doc_filter, corpus_doc=corpus_doc, default_k=default_k,
+                            max_block_bytes=max_block_bytes, prune_fraction=prune_fraction)
+        texts = corpus.select(*keys, *payload)
+        kmax_col = (F.max(F.coalesce(F.col(top_k).cast("int"), F.lit(default_k)))
+                    if top_k and top_k in questions.columns else F.lit(default_k))
+        st = questions.agg(F.count(F.lit(1)).alias("n"), kmax_col.alias("k")).first()
+        bound = (st["n"] or 0) * max(st["k"] or 0, 0)
+        # hits are at most questions x k rows: broadcast them only under a fixed bound
+        side = F.broadcast(hits) if bound <= MAX_BROADCAST_HITS else hits
+        return texts.join(side, list(keys)).select(query_key, "rank", *keys, *payload, "score")
     spark = corpus.sparkSession
     qcols = questions.columns
     has_filter = doc_filter is not None and doc_filter in qcols

@@ -623,7 +623,7 @@ def ann_in_document(spark: SparkSession, sf: str):
 
 @register("search_stored_index", "K2 S8 F5 P1", oracle=f"""
 WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(S.in_document_questions_sql(), HASH_DIM)}
-SELECT query_id, rank, doc_id, chunk_id, round(score, 6) AS score FROM hits
+SELECT query_id, rank, doc_id, chunk_id, round(score, 6) AS score, length(text) AS text_chars FROM hits
 """)
 def search_stored_index(spark: SparkSession, sf: str):
     """Write the vector index once (sorted by document), then answer scoped
@@ -632,5 +632,6 @@ def search_stored_index(spark: SparkSession, sf: str):
     sinks.write_index(_index(spark, sf), path)
     index = spark.read.parquet(path)
     qs = _in_document_questions(spark, sf)
-    hits = retrieval.search_questions(index, qs)
-    return hits.select("query_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
+    hits = retrieval.search_questions(index, qs, payload_mode="join")
+    return hits.select("query_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"),
+                       F.length("text").alias("text_chars"))

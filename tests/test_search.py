@@ -139,3 +139,17 @@ def test_self_search_finds_itself_first(spark):
     assert len(rows) == vecs.count()
     # the best match is the vector itself (or an exact copy with a smaller id), at cosine 1
     assert all(abs(r.score - 1.0) < 1e-9 and r.vec_id <= r.query_id for r in rows)
+
+
+def test_payload_join_equals_carry(spark, tmp_dir):
+    import os
+    corpus = fixture(4)
+    c = spark.createDataFrame(corpus, "doc_id long, chunk_id int, text string, embedding array<double>")
+    path = os.path.join(tmp_dir, "idx")
+    c.write.parquet(path)
+    stored = spark.read.parquet(path)
+    q = spark.createDataFrame([("a", corpus[2][3], 4, None), ("b", corpus[9][3], 3, 1)],
+                              "query_id string, embedding array<double>, top_k int, doc_id long")
+    carry = sorted(tuple(r) for r in search.exact_search(stored, q).collect())
+    joined = search.exact_search(stored, q, payload_mode="join")
+    assert sorted(tuple(r) for r in joined.select(*search.exact_search(stored, q).columns).collect()) == carry
