@@ -92,10 +92,11 @@ def ask_sources(spark: SparkSession, sf: str):
 
 def _scoped_index(spark, sf, questions):
     """Index of only the documents the questions name (fetch, then score):
-    a semi join with the question ids, placed before the chunk walk."""
+    a semi join with the question ids, placed before the chunk walk. The id
+    set grows with the questions, so the join strategy is left to Spark/AQE."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     named = questions.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    return retrieval.chunk_index(docs.join(F.broadcast(named), "doc_id", "left_semi"))
+    return retrieval.chunk_index(docs.join(named, "doc_id", "left_semi"))
 
 
 def _in_document_questions(spark, sf):
