@@ -241,7 +241,7 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
                  default_k: int = DEFAULT_TOP_K,
                  max_block_bytes: int = MAX_BLOCK_BYTES,
                  prune_fraction: float | None = None,
-                 payload_mode: str = "carry") -> DataFrame:
+                 payload_mode: str = "auto") -> DataFrame:
     """Hits ``(query_id, rank, *keys, *payload, score)``, best first per question.
 
     ``top_k`` (per question, default ``default_k``) of 0 or less gives no hits.
@@ -260,10 +260,14 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
     scoring tasks; ``'join'`` scores keys and vectors only and fetches the
     payload of the final hits with a broadcast join (hits are bounded by
     questions x k) against a column-pruned scan. Use ``'join'`` on a stored
-    index; on a lazily built one it would build the chunks twice.
+    index; on a lazily built one it would build the chunks twice. ``'auto'``
+    picks ``'join'`` when the corpus plan has no Python stage (it is cheap to
+    read again) and ``'carry'`` otherwise.
     """
-    if payload_mode not in ("carry", "join"):
-        raise ValueError("payload_mode must be 'carry' or 'join'")
+    if payload_mode not in ("carry", "join", "auto"):
+        raise ValueError("payload_mode must be 'carry', 'join' or 'auto'")
+    if payload_mode == "auto":
+        payload_mode = "carry" if _has_python_stage(corpus) else "join"
     if payload_mode == "join" and payload:
         hits = exact_search(corpus, questions, keys=keys, payload=(), vector=vector,
                             query_key=query_key, query_vector=query_vector, top_k=top_k,
@@ -344,6 +348,12 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
         query_key, "rank", *keys, *payload, "score")
 
 
+def _has_python_stage(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(op in plan for op in ("MapInPandas", "MapInArrow", "ArrowEvalPython",
+                                     "BatchEvalPython", "FlatMapGroupsInPandas", "PythonUDF"))
+
+
 def _score_floor(c, blk, keys, payload, vector, corpus_doc, out_schema, query_key, fraction):
     """Per question, the k-th best score over a sample of chunks (-inf if fewer)."""
     sc = c.sparkSession.sparkContext

@@ -633,6 +633,6 @@ def search_stored_index(spark: SparkSession, sf: str):
     sinks.write_index(_index(spark, sf), path)
     index = spark.read.parquet(path)
     qs = _in_document_questions(spark, sf)
-    hits = retrieval.search_questions(index, qs, payload_mode="join")
+    hits = retrieval.search_questions(index, qs)          # stored: payload fetched by join
     return hits.select("query_id", "rank", "doc_id", "chunk_id", F.round("score", 6).alias("score"),
                        F.length("text").alias("text_chars"))

@@ -153,3 +153,15 @@ def test_payload_join_equals_carry(spark, tmp_dir):
     carry = sorted(tuple(r) for r in search.exact_search(stored, q).collect())
     joined = search.exact_search(stored, q, payload_mode="join")
     assert sorted(tuple(r) for r in joined.select(*search.exact_search(stored, q).columns).collect()) == carry
+
+
+def test_auto_payload_mode(spark, tmp_dir):
+    import os
+    corpus = fixture(5)
+    c = spark.createDataFrame(corpus, "doc_id long, chunk_id int, text string, embedding array<double>")
+    path = os.path.join(tmp_dir, "idx")
+    c.write.parquet(path)
+    assert not search._has_python_stage(spark.read.parquet(path))
+    from lectern.operators import embedding
+    lazy = embedding.embed(spark.read.parquet(path).drop("embedding"), "text", "embedding")
+    assert search._has_python_stage(lazy)
