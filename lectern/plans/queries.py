@@ -595,8 +595,8 @@ def stream_embed_status(spark: SparkSession, sf: str):
         embedded.select("doc_id", "chunk_id", "text", "start_char", "end_char", "embedding"),
         f"{root}/vectors", "embed"))
     vec_src = spark.readStream.schema(spark.read.parquet(f"{root}/vectors").schema).parquet(f"{root}/vectors")
-    latest = stream.run_status(spark, vec_src, f"{root}/status")
-    return spark.read.parquet(latest).select("doc_id", "embeddings_count")
+    status = stream.run_status(spark, vec_src, f"{root}/status")
+    return status.select("doc_id", "embeddings_count")
 
 
 # --------------------------------------------------------------------------

@@ -6,9 +6,9 @@ unchanged: the chunk walk (``mapInPandas``) and the embedder are stateless
 per row, so each micro-batch computes exactly what the batch job computes.
 
 Sinks are exactly-once: chunk and vector tables use the parquet file sink
-(its metadata log commits each micro-batch once), and the status table is
-upserted in ``foreachBatch`` into version folder ``v=<batch>``, so a replay
-after a failure rewrites that version instead of appending duplicates.
+(its metadata log commits each micro-batch once), and status updates are
+appended in ``foreachBatch`` to folder ``u=<batch>``, so a replay after a
+failure rewrites that folder instead of appending duplicates.
 Checkpoints and outputs live under the cluster's ``spark.checkpoint.dir``.
 """
 
@@ -24,7 +24,6 @@ from lectern.operators import catalog as cat
 from lectern.operators import chunking, embedding
 from lectern.plans import retrieval
 from lectern.session import checkpoint_dir
-from lectern.sources.sinks import latest_version
 
 DEDUPE_WINDOW = "1 hour"      # replays of one object arriving within this span are dropped
 
@@ -97,27 +96,29 @@ def embed_stream(chunks: DataFrame, embedder=None, dim: int = embedding.HASH_DIM
 
 
 def status_upserts(root: str):
-    """R3 sink: merge updated per-document counts into a versioned status table.
-
-    Each micro-batch reads the latest version, lets the newer count win per
-    document and writes version ``n`` to a new folder; readers take the
-    highest complete version. Replaying batch ``n`` rewrites version ``n``.
-    """
+    """R3 sink: each micro-batch appends its updated per-document counts as
+    ``u=<batch>``; a replayed batch overwrites its own folder, so the sink is
+    idempotent. A micro-batch writes only the documents it changed, never
+    the whole table."""
     def sink(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        prev = latest_version(spark, root)
-        updates = batch.select("doc_id", F.col("count").alias("embeddings_count"))
-        merged = updates if prev is None else cat.upsert(spark.read.parquet(prev), updates, key="doc_id")
-        merged.write.mode("overwrite").parquet(f"{root}/v={batch_id:012d}")
+        (batch.select("doc_id", F.col("count").alias("embeddings_count"))
+         .write.mode("overwrite").parquet(f"{root}/u={batch_id:012d}"))
     return sink
 
 
-def run_status(spark: SparkSession, embedded: DataFrame, root: str, name: str = "status") -> str:
-    """Run the status query to completion; returns the latest status version."""
+def read_status(spark: SparkSession, root: str) -> DataFrame:
+    """Current status: per document, the row of the newest update (map-side
+    partial ``max_by``, so a document updated in every batch stays cheap)."""
+    updates = spark.read.parquet(root)
+    return cat.latest_per_key(updates, "doc_id", ["u"]).drop("u")
+
+
+def run_status(spark: SparkSession, embedded: DataFrame, root: str, name: str = "status") -> DataFrame:
+    """Run the status query to completion; returns the current status table."""
     writer = (status_stream(embedded).writeStream.queryName(name).outputMode("update")
               .foreachBatch(status_upserts(root)).option("checkpointLocation", root + "._checkpoint"))
     run_available_now(writer)
-    return latest_version(spark, root)
+    return read_status(spark, root)
 
 
 def status_stream(embedded: DataFrame) -> DataFrame:

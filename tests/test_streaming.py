@@ -27,8 +27,8 @@ def test_stream_equals_batch(spark, tmp_dir):
     assert got == want and len(got) > 0
 
     src = spark.readStream.schema(spark.read.parquet(f"{root}/chunks").schema).parquet(f"{root}/chunks")
-    latest = stream.run_status(spark, stream.embed_stream(src), f"{root}/status", "t2")
-    counts = {r.doc_id: r.embeddings_count for r in spark.read.parquet(latest).collect()}
+    status = stream.run_status(spark, stream.embed_stream(src), f"{root}/status", "t2")
+    counts = {r.doc_id: r.embeddings_count for r in status.collect()}
     assert counts == {d: n for d, n in ((1, sum(1 for r in want if r[0] == 1 and len(r[2]) >= 20)),
                                         (3, sum(1 for r in want if r[0] == 3 and len(r[2]) >= 20)))}
 
@@ -54,3 +54,13 @@ def test_object_stream_equals_batch(spark, tmp_dir):
     assert got == want and len({r[0] for r in got}) == 2          # "tiny" is rejected
     pages = {r.path.rsplit("/", 1)[1]: r.pages for r in batch_docs.collect()}
     assert pages == {"a.txt": 2, "b.txt": 1, "c.txt": 1}          # the blank middle page is dropped
+
+
+def test_status_updates_newest_wins(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "status")
+    sink = stream.status_upserts(root)
+    sink(spark.createDataFrame([(1, 2), (2, 5)], "doc_id long, count long"), 0)
+    sink(spark.createDataFrame([(1, 7)], "doc_id long, count long"), 1)
+    sink(spark.createDataFrame([(1, 9)], "doc_id long, count long"), 1)      # replay of batch 1
+    got = {r.doc_id: r.embeddings_count for r in stream.read_status(spark, root).collect()}
+    assert got == {1: 9, 2: 5}
