@@ -1,8 +1,9 @@
 """Batch sinks (K1 write_catalog, K2 write_chunk_embeddings) and versioned tables.
 
-No lakehouse format is assumed: a table is a folder of versions ``v=<n>``;
-a writer never overwrites the version it reads, and readers take the highest
-version that has a ``_SUCCESS`` marker.
+No lakehouse format is assumed: a keyed table is a folder of versions
+``v=<n>``, each holding only the rows that changed; readers take, per key,
+the row of the newest version (a partial ``max_by``). A write never touches
+earlier versions, so its cost follows the change, not the table.
 """
 
 from __future__ import annotations
@@ -53,19 +54,17 @@ def write_index(index: DataFrame, path: str, files: int | None = None) -> None:
 
 
 def write_catalog(spark: SparkSession, changes: DataFrame, root: str) -> str:
-    """K1: upsert catalog rows into a new version; returns its path."""
-    cur = latest_version(spark, root)
-    merged = changes if cur is None else cat.upsert(spark.read.parquet(cur), changes, key="doc_id")
+    """K1: upsert catalog rows by appending them as the next version; returns its path."""
     out = next_version(spark, root)
-    merged.write.mode("overwrite").parquet(out)
+    changes.write.mode("overwrite").parquet(out)
     return out
 
 
-def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    cur = latest_version(spark, root)
-    if cur is None:
+def read_latest(spark: SparkSession, root: str, key: str = "doc_id") -> DataFrame:
+    """Current table: per key, the row from the newest version."""
+    if latest_version(spark, root) is None:
         raise FileNotFoundError(f"no committed version under {root}")
-    return spark.read.parquet(cur)
+    return cat.latest_per_key(spark.read.parquet(root), key, ["v"]).drop("v")
 
 
 def lookup_document(index: DataFrame, doc_id) -> DataFrame:

@@ -18,8 +18,8 @@ def test_versioned_catalog(spark, tmp_dir):
     assert v0.endswith("v=000000000000") and v1.endswith("v=000000000001")
     got = sorted(tuple(r) for r in sinks.read_latest(spark, root).collect())
     assert got == [(1, "a.pdf", "pending"), (2, "b.pdf", "completed"), (3, "c.pdf", "pending")]
-    # the older version is untouched
-    assert spark.read.parquet(v0).count() == 2
+    # the older version is untouched and the new one holds only the change
+    assert spark.read.parquet(v0).count() == 2 and spark.read.parquet(v1).count() == 2
 
 
 def test_index_lookup_is_pushed_down(spark, tmp_dir):
