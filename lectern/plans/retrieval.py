@@ -43,14 +43,21 @@ def validate_questions(questions: DataFrame, text_col: str = "question",
     Returns ``(valid, rejected)``; rejected rows carry ``error``.
     """
     q = questions.withColumn(text_col, strip_ws(F.col(text_col)))
+    bad_k = F.lit(False)
     if top_k_col and top_k_col in questions.columns:
-        q = q.withColumn(top_k_col, F.coalesce(F.col(top_k_col).cast("int"),
-                                               F.lit(search.DEFAULT_TOP_K)))
+        k = F.col(top_k_col).try_cast("int")
+        bad_k = F.col(top_k_col).isNotNull() & k.isNull()        # given but not an integer
+        q = q.withColumn("_bad_k", bad_k).withColumn(
+            top_k_col, F.coalesce(k, F.lit(search.DEFAULT_TOP_K)))
+        bad_k = F.col("_bad_k")
     else:
         q = q.withColumn("top_k", F.lit(search.DEFAULT_TOP_K))
     blank = F.col(text_col).isNull() | (F.length(text_col) == 0)
-    valid = q.where(~blank)
-    rejected = q.where(blank).withColumn("error", F.lit("Question is required"))
+    valid = q.where(~blank & ~bad_k)
+    rejected = q.where(blank | bad_k).withColumn(
+        "error", F.when(blank, F.lit("Question is required")).otherwise(F.lit("top_k must be an integer")))
+    if "_bad_k" in q.columns:
+        valid, rejected = valid.drop("_bad_k"), rejected.drop("_bad_k")
     return valid, rejected
 
 

@@ -165,3 +165,12 @@ def test_auto_payload_mode(spark, tmp_dir):
     from lectern.operators import embedding
     lazy = embedding.embed(spark.read.parquet(path).drop("embedding"), "text", "embedding")
     assert search._has_python_stage(lazy)
+
+
+def test_non_integer_top_k_is_rejected(spark):
+    from lectern.plans import retrieval
+    qs = spark.createDataFrame([("a", "q?", "3"), ("b", "q?", "three"), ("c", "q?", None)],
+                               "query_id string, question string, top_k string")
+    valid, rejected = retrieval.validate_questions(qs)
+    assert sorted((r.query_id, r.top_k) for r in valid.collect()) == [("a", 3), ("c", 5)]
+    assert [(r.query_id, r.error) for r in rejected.collect()] == [("b", "top_k must be an integer")]
