@@ -20,23 +20,53 @@ def _fs(spark: SparkSession, path: str):
     return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def latest_version(spark: SparkSession, root: str) -> str | None:
-    """Highest committed ``v=<n>`` folder under ``root`` (any Hadoop file system)."""
+def _versions(spark: SparkSession, root: str, col: str = "v") -> list[tuple[int, str, bool]]:
+    """Committed ``<col>=<n>`` folders as ``(n, path, is_base)``, oldest first."""
     jvm, path, fs = _fs(spark, root)
     if not fs.exists(path):
-        return None
-    done = []
+        return []
+    out = []
     for st in fs.listStatus(path):
         name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            done.append(name)
-    return f"{root}/{max(done)}" if done else None
+        if name.startswith(col + "=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            base = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_BASE"))
+            out.append((int(name.split("=", 1)[1]), f"{root}/{name}", base))
+    return sorted(out)
 
 
-def next_version(spark: SparkSession, root: str) -> str:
-    cur = latest_version(spark, root)
-    n = int(cur.rsplit("v=", 1)[1]) + 1 if cur else 0
-    return f"{root}/v={n:012d}"
+def latest_version(spark: SparkSession, root: str, col: str = "v") -> str | None:
+    """Highest committed ``<col>=<n>`` folder under ``root`` (any Hadoop file system)."""
+    v = _versions(spark, root, col)
+    return v[-1][1] if v else None
+
+
+def next_version(spark: SparkSession, root: str, col: str = "v") -> str:
+    v = _versions(spark, root, col)
+    n = v[-1][0] + 1 if v else 0
+    return f"{root}/{col}={n:012d}"
+
+
+def read_latest(spark: SparkSession, root: str, key: str = "doc_id", col: str = "v") -> DataFrame:
+    """Current table: per key, the row of the newest version, reading only
+    from the newest compacted base onward."""
+    v = _versions(spark, root, col)
+    if not v:
+        raise FileNotFoundError(f"no committed version under {root}")
+    start = max([i for i, (_, _, base) in enumerate(v) if base], default=0)
+    paths = [p for _, p, _ in v[start:]]
+    rows = spark.read.option("basePath", root).parquet(*paths)
+    return cat.latest_per_key(rows, key, [col]).drop(col)
+
+
+def compact(spark: SparkSession, root: str, key: str = "doc_id", col: str = "v") -> str:
+    """Fold the current table into one new base version; older versions are
+    no longer read (and can be removed by retention outside the job)."""
+    current = read_latest(spark, root, key, col)
+    out = next_version(spark, root, col)
+    current.write.mode("overwrite").parquet(out)
+    jvm, _, fs = _fs(spark, out)
+    fs.create(jvm.org.apache.hadoop.fs.Path(out, "_BASE")).close()
+    return out
 
 
 def write_index(index: DataFrame, path: str, files: int | None = None) -> None:
@@ -60,13 +90,6 @@ def write_catalog(spark: SparkSession, changes: DataFrame, root: str) -> str:
     return out
 
 
-def read_latest(spark: SparkSession, root: str, key: str = "doc_id") -> DataFrame:
-    """Current table: per key, the row from the newest version."""
-    if latest_version(spark, root) is None:
-        raise FileNotFoundError(f"no committed version under {root}")
-    return cat.latest_per_key(spark.read.parquet(root), key, ["v"]).drop("v")
-
-
 def lookup_document(index: DataFrame, doc_id) -> DataFrame:
     """One document's chunks; the equality reaches the parquet scan."""
     return index.where(F.col("doc_id") == F.lit(doc_id))

@@ -24,6 +24,7 @@ from lectern.operators import catalog as cat
 from lectern.operators import chunking, embedding
 from lectern.plans import retrieval
 from lectern.session import checkpoint_dir
+from lectern.sources import sinks
 
 DEDUPE_WINDOW = "1 hour"      # replays of one object arriving within this span are dropped
 
@@ -108,9 +109,9 @@ def status_upserts(root: str):
 
 def read_status(spark: SparkSession, root: str) -> DataFrame:
     """Current status: per document, the row of the newest update (map-side
-    partial ``max_by``, so a document updated in every batch stays cheap)."""
-    updates = spark.read.parquet(root)
-    return cat.latest_per_key(updates, "doc_id", ["u"]).drop("u")
+    partial ``max_by``, so a document updated in every batch stays cheap);
+    ``sinks.compact(spark, root, col="u")`` folds old updates into a base."""
+    return sinks.read_latest(spark, root, key="doc_id", col="u")
 
 
 def run_status(spark: SparkSession, embedded: DataFrame, root: str, name: str = "status") -> DataFrame:

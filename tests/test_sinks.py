@@ -32,3 +32,19 @@ def test_index_lookup_is_pushed_down(spark, tmp_dir):
     assert one.count() == 40
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in plan
+
+
+def test_compaction_keeps_the_table(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "cat2")
+    for i in range(4):
+        rows = spark.createDataFrame([(i % 2, f"f{i}", "pending"), (10 + i, "g", "pending")],
+                                     "doc_id long, filename string, embedding_status string")
+        sinks.write_catalog(spark, rows, root)
+    before = sorted(tuple(r) for r in sinks.read_latest(spark, root).collect())
+    base = sinks.compact(spark, root)
+    assert base.endswith("v=000000000004")
+    assert sorted(tuple(r) for r in sinks.read_latest(spark, root).collect()) == before
+    sinks.write_catalog(spark, spark.createDataFrame([(1, "new", "completed")],
+                                                     "doc_id long, filename string, embedding_status string"), root)
+    after = {r.doc_id: r.filename for r in sinks.read_latest(spark, root).collect()}
+    assert after[1] == "new" and after[0] == "f2" and len(after) == 6
