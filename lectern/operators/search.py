@@ -25,7 +25,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -122,10 +121,15 @@ class _Block:
         self.floor = None          # per-question lower bound of the k-th best score
         self.filter_docs = None
         if has_filter:
-            docs = tbl.column("_doc").to_pandas()
-            uniq = pd.Index(docs.dropna().unique())
-            self.filter_docs = uniq
-            self.qcode = np.where(docs.isna().to_numpy(), -1, uniq.get_indexer(docs.fillna(uniq[0] if len(uniq) else 0)))
+            # Arrow keeps the key type exact (a nullable BIGINT in pandas would be float64)
+            docs = tbl.column("_doc").combine_chunks()
+            self.filter_docs = pc.unique(docs.drop_null())
+            self.qcode = self.doc_codes(docs)
+
+    def doc_codes(self, docs) -> np.ndarray:
+        """Position of each id among the questions' documents, -1 if none."""
+        idx = pc.index_in(docs, value_set=self.filter_docs)
+        return pc.fill_null(idx, -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _gather(tables, bt, row, name):
@@ -191,7 +195,7 @@ def _score_partition(bc, keys, payload, cvec, cdoc, out_schema: T.StructType):
             vec = tbl.column(cvec).combine_chunks()
             ccode = None
             if blk.filter_docs is not None:
-                ccode = blk.filter_docs.get_indexer(tbl.column(cdoc).to_pandas())[perm]
+                ccode = blk.doc_codes(tbl.column(cdoc).combine_chunks())[perm]
             for lo in range(0, len(perm), step):
                 rows_here = perm[lo:lo + step]
                 mat, sq = _padded_matrix(vec.take(pa.array(rows_here)), blk.width)
@@ -337,7 +341,7 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
             # every question names a document: scan only those documents' chunks.
             # The ids come from the collected block (bounded by its size check)
             # and reach the parquet scan of a stored index as an IN filter.
-            cb = c.where(F.col(corpus_doc).isin(blk.filter_docs.tolist()))
+            cb = c.where(F.col(corpus_doc).isin(blk.filter_docs.to_pylist()))
         parts.append(cb.mapInArrow(_score_partition(bc, keys, payload, vector, corpus_doc, out_schema),
                                    out_schema))
     q.unpersist()

@@ -174,3 +174,13 @@ def test_non_integer_top_k_is_rejected(spark):
     valid, rejected = retrieval.validate_questions(qs)
     assert sorted((r.query_id, r.top_k) for r in valid.collect()) == [("a", 3), ("c", 5)]
     assert [(r.query_id, r.error) for r in rejected.collect()] == [("b", "top_k must be an integer")]
+
+
+def test_large_document_ids_scope_exactly(spark):
+    big = 2 ** 53 + 1                       # not representable as float64
+    corpus = [(big, 0, "a", [1.0, 0.0]), (big - 1, 0, "b", [1.0, 0.0]), (big + 2, 0, "c", [0.0, 1.0])]
+    c = spark.createDataFrame(corpus, "doc_id long, chunk_id int, text string, embedding array<double>")
+    q = spark.createDataFrame([("x", [1.0, 0.0], 5, big), ("y", [1.0, 0.0], 5, None)],
+                              "query_id string, embedding array<double>, top_k int, doc_id long")
+    got = sorted((r.query_id, r.doc_id) for r in search.exact_search(c, q).collect())
+    assert got == [("x", big), ("y", big - 1), ("y", big), ("y", big + 2)]
