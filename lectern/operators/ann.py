@@ -37,7 +37,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,8 +245,11 @@ def approx_search(corpus: DataFrame, questions: DataFrame, *,
     ranked = search.rank_hits(merged, query_key, keys, kmax).where(F.col("rank") <= F.col("_k"))
     if has_filter and filter_mode == "post":
         qdocs = q.select(query_key, "_doc")
-        ranked = ranked.join(qdocs, query_key).where(
+        kept = ranked.join(qdocs, query_key).where(
             F.col("_doc").isNull() | (F.col("_doc") == F.col(corpus_doc))).drop("_doc")
+        # positions 1..n among the hits that survive the document filter
+        ranked = kept.withColumn("rank", F.row_number().over(
+            Window.partitionBy(query_key).orderBy("rank")))
     ranked = ranked.select(query_key, "rank", *keys, *payload, "score")
     return ranked if scoped is None else ranked.unionByName(scoped)
 
