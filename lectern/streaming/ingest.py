@@ -133,3 +133,33 @@ def run_available_now(writer) -> None:
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+
+
+def process_upload_events(events: DataFrame, object_root: str, out: str, parser,
+                          ext: str = ".pdf", name: str = "uploads"):
+    """R1 in the reference's shape: upload-event messages trigger object reads.
+
+    ``events`` is a stream of event JSON (column ``value``). Each micro-batch
+    parses its records (S1, S2), keeps keys with ``ext`` (S3), reads exactly
+    those objects ``<object_root>/<bucket>/<key>`` with the binaryFile source
+    (the path list is bounded by the micro-batch, e.g. ``maxFilesPerTrigger``),
+    extracts their text (S4, S5), rejects short documents (F1) and writes the
+    chunks to ``out/batch=<n>``; a replayed batch rewrites its own folder.
+    Returns the stream writer (call ``.start()`` or :func:`run_available_now`).
+    """
+    from lectern.sources import objects as src
+
+    def sink(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        keys = src.keep_extension(src.parse_upload_events(batch), ext)
+        paths = [f"{object_root}/{r.bucket}/{r.object_key}"
+                 for r in keys.select("bucket", "object_key").distinct().collect()]
+        if not paths:
+            return
+        docs = src.extract_documents(spark.read.format("binaryFile").load(paths), parser)
+        accepted, rejects = cat.split_short_documents(docs.where(F.col("error").isNull()))
+        chunks = chunking.chunk_documents(accepted.select("doc_id", "path", "text"))
+        chunks.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
+
+    return (events.writeStream.queryName(name).foreachBatch(sink)
+            .option("checkpointLocation", out + "._checkpoint"))

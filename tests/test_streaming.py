@@ -64,3 +64,28 @@ def test_status_updates_newest_wins(spark, tmp_dir):
     sink(spark.createDataFrame([(1, 9)], "doc_id long, count long"), 1)      # replay of batch 1
     got = {r.doc_id: r.embeddings_count for r in stream.read_status(spark, root).collect()}
     assert got == {1: 9, 2: 5}
+
+
+def test_upload_events_trigger_object_processing(spark, tmp_dir):
+    import json
+    from lectern.sources import objects as src
+    objects = os.path.join(tmp_dir, "objects")
+    os.makedirs(os.path.join(objects, "b1", "docs"))
+    texts = {"docs/a report.PDF": "Annual report text. " * 40, "docs/notes.txt": "not a pdf " * 20,
+             "docs/tiny.pdf": "too short"}
+    for key, t in texts.items():
+        with open(os.path.join(objects, "b1", key), "w") as f:
+            f.write(t)
+    inbox = os.path.join(tmp_dir, "events")
+    os.makedirs(inbox)
+    for i, key in enumerate(texts):
+        ev = {"Records": [{"s3": {"bucket": {"name": "b1"}, "object": {"key": key.replace(" ", "+")}}}]}
+        with open(os.path.join(inbox, f"e{i}.json"), "w") as f:
+            f.write(json.dumps(ev) + "\n")
+    events = spark.readStream.schema("value string").text(inbox)
+    out = os.path.join(tmp_dir, "uploads")
+    stream.run_available_now(stream.process_upload_events(events, objects, out, src.utf8_parser))
+    got = spark.read.parquet(out)
+    paths = {r.path.rsplit("/", 1)[1] for r in got.select("path").distinct().collect()}
+    assert paths == {"a%20report.PDF"} or paths == {"a report.PDF"}
+    assert got.count() == len(chunking.chunk_spans("Annual report text. " * 40))
