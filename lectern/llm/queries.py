@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_windows, quality
+from lectern.llm import chat_windows, quality, token_shards
 from lectern.session import read_table, ship_package
 
 LLM_QUERIES: dict = {}
@@ -40,6 +40,20 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.format_windows(rows.unionByName(own)))
 
 
+END_ID = 2
+
+
+def word_bpe_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_token_shards")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_shards.write_shards(read_table(spark, sf_dir, "documents"), word_bpe_path(), END_ID)
+    return token_shards.read_tokens(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query("op10_host_quality", oracle=r"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text,
                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
