@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_windows, decontaminate, quality, token_shards
+from lectern.llm import chat_windows, decontaminate, ngram_join, quality, token_shards
 from lectern.session import read_table, ship_package
 
 LLM_QUERIES: dict = {}
@@ -54,6 +54,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_tokens(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op8_ngram_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(read_table(spark, sf_dir, "documents"))
+
+
 @query("op9_benchmark_overlap")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.annotate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
