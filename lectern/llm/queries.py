@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_windows, decontaminate, ngram_join, quality, token_shards
+from lectern.llm import chat_windows, decontaminate, ngram_join, quality, token_shards, toxicity
 from lectern.session import read_table, ship_package
 
 LLM_QUERIES: dict = {}
@@ -54,6 +54,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_tokens(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op8_ngram_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(read_table(spark, sf_dir, "documents"))
