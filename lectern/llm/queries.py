@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_windows, decontaminate, ngram_join, quality, token_shards, toxicity
+from lectern.llm import chat_windows, decontaminate, ngram_join, pii_crf, quality, token_shards, toxicity
 from lectern.session import read_table, ship_package
 
 LLM_QUERIES: dict = {}
@@ -63,6 +63,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op6_pii_crf")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_crf.find(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 @query("op8_ngram_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(read_table(spark, sf_dir, "documents"))
