@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_windows, decontaminate, ngram_join, pii_crf, quality, token_shards, toxicity
+from lectern.llm import chat_windows, decontaminate, mixing_lm, ngram_join, pii_crf, quality, token_shards, toxicity
 from lectern.session import read_table, ship_package
 
 LLM_QUERIES: dict = {}
@@ -70,6 +70,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+@query("op7_mixing_lm")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score(read_table(spark, sf_dir, "documents"))
+
+
 @query("op8_ngram_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(read_table(spark, sf_dir, "documents"))
