@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_windows, decontaminate, mixing_lm, ngram_join, pii_crf, quality, token_shards, toxicity
+from lectern.llm import chat_windows, decontaminate, mixing_lm, ngram_join, pii_crf, quality, repeats, token_shards, toxicity
 from lectern.session import read_table, ship_package
 
 LLM_QUERIES: dict = {}
@@ -54,6 +54,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_tokens(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicate(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
