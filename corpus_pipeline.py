@@ -1,3 +1,72 @@
-"""Corpus pipeline and the registered queries of the training-data operators."""
+"""Corpus pipeline: documents to token shards in five stages.
 
-from lectern.llm.queries import LLM_ORACLES, LLM_QUERIES  # noqa: F401
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
+kept. All but the last return the columns of ``documents``; between stages
+rows are written as Parquet to the shared folder and read again, so a lost
+executor costs at most the stage it was in.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lectern.llm import decontaminate, ngram_join, raking, token_shards, toxicity
+from lectern.llm.common import stored
+from lectern.llm.queries import END_ID, LLM_ORACLES, LLM_QUERIES, query, word_bpe_path
+from lectern.session import read_table, ship_package
+
+#: Stage 3 cannot be said in SQL (SimHash windows), nor 1 and 5; tests use brute force.
+ORACLE_SQL = None
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go."""
+    ship_package(spark)
+    return toxicity.keep_clean(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents, the smallest doc_id stays."""
+    ship_package(spark)
+    placed = ngram_join.join_components(docs)
+    gone = placed.where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    ship_package(spark)
+    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn so that sources, languages and topics meet their target weights."""
+    ship_package(spark)
+    return raking.sample(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, in seekable shards; one row per document, read back from them."""
+    ship_package(spark)
+    manifest = token_shards.write_shards(docs, word_bpe_path(), END_ID)
+    return token_shards.read_tokens(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_benchmark),
+    ("mixing_sources", mix_sources),
+    ("token_ids", write_tokens),
+]
+
+
+@query("pipeline", oracle=ORACLE_SQL)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+__all__ = ["LLM_ORACLES", "LLM_QUERIES", "ORACLE_SQL", "STAGES", "run"]

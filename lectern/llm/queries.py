@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_windows, decontaminate, mixing_lm, ngram_join, pii_crf, quality, repeats, token_shards, toxicity
+from lectern.llm import chat_windows, decontaminate, mixing_lm, ngram_join, pii_crf, quality, raking, repeats, token_shards, toxicity
 from lectern.session import read_table, ship_package
 
 LLM_QUERIES: dict = {}
@@ -68,6 +68,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op5_mixture_raking", oracle=raking.oracle_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.weigh(read_table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 9))
+
+
 @query("op6_pii_crf")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_crf.find(read_table(spark, sf_dir, "documents"))
