@@ -24,6 +24,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,59 +52,104 @@ class PieceEncoder:
 
     The vocabulary's words never cross a blank or newline (white space is
     dropped before merging), so ids of a text are the ids of its pieces in
-    order. The table of pieces is emptied at ``max_pieces``: memory is bounded.
+    order; nor do they join a letter with a comma or full stop after it. Texts
+    of one-byte characters are lower-cased first, as the vocabulary does. The
+    table of pieces is emptied at ``max_pieces``: memory is bounded.
     """
 
-    def __init__(self, tokenizer_path: str, end_id: int, max_pieces: int = 400_000):
+    def __init__(self, tokenizer_path: str, end_id: int, max_pieces: int = 1_200_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.end = np.array([end_id], dtype=np.uint32)
+        self.end_id = end_id
         self.max_pieces = max_pieces
         self._clear()
 
     def _clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, dtype=np.uint32)
+        self.ids = np.empty(1 << 16, dtype=np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.used = 0
         self.at = np.empty(1 << 14, dtype=np.int64)
-        self.len = np.empty(1 << 14, dtype=np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        first = len(self.code)
-        for lo in range(0, len(pieces), 4096):
-            for enc in self.tokenizer.encode_batch_fast(pieces[lo:lo + 4096], add_special_tokens=False):
-                ids = enc.ids
-                n, k = len(ids), first
-                if self.used + n > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.empty(max(n, len(self.ids)), dtype=np.uint32)])
-                if k >= len(self.at):
-                    self.at = np.concatenate([self.at, np.empty(len(self.at), dtype=np.int64)])
-                    self.len = np.concatenate([self.len, np.empty(len(self.len), dtype=np.int64)])
-                self.ids[self.used:self.used + n] = ids
-                self.at[k], self.len[k] = self.used, n
-                self.used += n
-                first += 1
-        for p in pieces:
-            self.code[p] = len(self.code)
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return self.end
-        pieces = text.replace("\n", " ").split(" ")
+        self.len = np.empty(1 << 14, dtype=np.int32)
+
+    def _append(self, pieces: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        k, n = len(self.code), len(pieces)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while k + n > len(self.at):
+            self.at, self.len = (np.concatenate([a, np.empty_like(a)]) for a in (self.at, self.len))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.at[k:k + n] = self.used + np.cumsum(lens) - lens
+        self.len[k:k + n] = lens
+        self.used += len(ids)
+        self.code.update(zip(pieces, range(k, k + n)))
+
+    def _learn(self, fresh: set[str]) -> None:
         code = self.code
-        fresh = [p for p in set(pieces) if p not in code]
+        marked = [p for p in fresh if p[-1:] in _MARKS and p[-2:-1].isalpha()]
+        plain = fresh.difference(marked)
+        plain.update(p[:-1] for p in marked)
+        plain.update(p[-1] for p in marked)
+        todo = [p for p in plain if p not in code]
+        for lo in range(0, len(todo), 8192):
+            part = todo[lo:lo + 8192]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._append(part, np.fromiter(chain.from_iterable(got), self.ids.dtype), np.fromiter(map(len, got), np.int64, len(got)))
+        if marked:
+            both = np.fromiter((code[x] for p in marked for x in (p[:-1], p[-1])), np.int64, 2 * len(marked))
+            lens = self.len[both].astype(np.int64)
+            self._append(marked, self.ids[_ragged(self.at[both], lens)], lens[::2] + lens[1::2])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of every text, the end id last."""
+        split = []
+        for t in texts:
+            t = t or ""
+            if t.isascii() or _one_byte(t):
+                t = t.lower()
+            split.append(t.replace("\n", " ").split(" "))
+        fresh = set().union(*split).difference(self.code)
         if fresh:
-            if len(code) + len(fresh) > self.max_pieces:
+            if len(self.code) + 2 * len(fresh) > self.max_pieces:
                 self._clear()
-                code = self.code
-                fresh = list(set(pieces))
+                fresh = set().union(*split)
             self._learn(fresh)
-        codes = np.fromiter(map(code.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        lens = self.len[codes]
-        total = int(lens.sum())
-        ends = np.cumsum(lens)
-        take = np.repeat(self.at[codes] - (ends - lens), lens) + np.arange(total)
-        return np.concatenate([self.ids[take], self.end])
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        lens = self.len[codes].astype(np.int64)
+        ids = self.ids[_ragged(self.at[codes], lens)].astype("<u4")
+        total = np.add.reduceat(lens, np.cumsum(n) - n)
+        stop = np.cumsum(total)
+        # the end id goes after the last id of every text
+        out = np.insert(ids, stop, np.uint32(self.end_id))
+        cut = stop + np.arange(1, len(split) + 1)
+        return np.split(out, cut[:-1])
+
+
+_MARKS = frozenset((".", ","))
+_ENCODERS: dict[tuple, PieceEncoder] = {}
+
+
+def _one_byte(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return False
+
+
+def _ragged(at: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Indexes of the runs that begin at ``at`` and are ``lens`` long."""
+    end = np.cumsum(lens)
+    return np.repeat(at - (end - lens), lens) + np.arange(int(end[-1]) if len(end) else 0)
+
+
+def encoder_of(tokenizer_path: str, end_id: int) -> PieceEncoder:
+    """The worker's encoder: tasks that follow one another in a worker share its table of pieces."""
+    key = (tokenizer_path, end_id)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = PieceEncoder(tokenizer_path, end_id)
+    return _ENCODERS[key]
 
 
 # ---- shard files ------------------------------------------------------------
@@ -206,10 +252,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for lo in range(0, batch.num_rows, 256):
-                for doc_id, text in zip(ids[lo:lo + 256], batch.column(1).slice(lo, 256).to_pylist()):
-                    if writer is None:
-                        writer, encoder = ShardWriter(name), PieceEncoder(tokenizer_path, end_id)
-                    writer.add(doc_id, encoder.encode(text))
+                if writer is None:
+                    writer, encoder = ShardWriter(name), encoder_of(tokenizer_path, end_id)
+                for doc_id, got in zip(ids[lo:lo + 256], encoder.encode(batch.column(1).slice(lo, 256).to_pylist())):
+                    writer.add(doc_id, got)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({
