@@ -17,9 +17,9 @@ Two documents link when their Jaccard similarity is at least 0.8.
    member with the largest share of repeated keys): group size minus one
    pairs. Overlaps of pairs are counted apart in each vertical fragment of
    the global order and summed per pair. Verified links form components.
-5. Pairs of a group that are then in different components, pass the size,
-   repeated-key and position bounds and were not counted yet are counted the
-   same way. Pairs within a component are never expanded. So the components
+5. Pairs of a group that are then in different components, pass the bounds by
+   size, repeated keys, position and overlap with their centre, and were not
+   counted yet are counted the same way. Pairs within a component are never expanded. So the components
    are those of all links, without listing the pairs of a group.
 
 Keys keep 44 bits of a 64-bit shingle hash and are compared only between
@@ -51,7 +51,7 @@ KEY_SHIFT = np.uint64(20)
 
 TOKENS = ("bucket int, kind string, keys binary, idx binary, ids binary, fps binary, ns binary")
 RETURNED = "home int, kind string, ids binary, ns binary, keys binary, freqs binary, links binary"
-ENTRIES = "kind string, doc bigint, n int, rep bigint, e int, key bigint, freq int, rank int"
+ENTRIES = "kind string, doc bigint, n int, rep bigint, e int, key bigint, rank int, fragment int, keys array<bigint>"
 
 
 def _tokens_row(bucket, kind, keys=b"", idx=b"", ids=b"", fps=b"", ns=b""):
@@ -67,7 +67,10 @@ _TOKENS_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.string())] + [
 _RETURNED_ARROW = pa.schema([("home", pa.int32()), ("kind", pa.string())] + [
     (c, pa.binary()) for c in ("ids", "ns", "keys", "freqs", "links")])
 _ENTRIES_ARROW = pa.schema([("kind", pa.string()), ("doc", pa.int64()), ("n", pa.int32()), ("rep", pa.int64()),
-                            ("e", pa.int32()), ("key", pa.int64()), ("freq", pa.int32()), ("rank", pa.int32())])
+                            ("e", pa.int32()), ("key", pa.int64()), ("rank", pa.int32()), ("fragment", pa.int32()),
+                            ("keys", pa.list_(pa.int64()))])
+#: Cuts of the global order (frequency, key) into vertical fragments.
+CUTS = np.array([3, 4, 6, 9, 15, 30, 100, 1000])
 
 
 def _home(ids: np.ndarray, homes: int) -> np.ndarray:
@@ -206,37 +209,46 @@ def _count(homes: int):
     return count
 
 
+def _entry_rows(kind: str, size: int, **cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind] * size)] + [cols[f.name] if f.name in cols else pa.nulls(size, f.type) for f in list(_ENTRIES_ARROW)[1:]],
+        schema=_ENTRIES_ARROW)
+
+
 def _order(table: pa.Table) -> pa.Table:
-    """Per home of documents: repeated keys in the global order, for documents with a candidate prefix."""
+    """Per home of documents: prefix keys and vertical fragments of documents with a candidate prefix."""
     parts = {"keys": [], "doc": [], "copy": []}
     for row in table.to_pylist():
         parts[row["kind"]].append(row)
     out = []
     for kind in ("doc", "copy"):
         for row in parts[kind]:
-            ids, ns, links = unpack(row["ids"]), unpack(row["ns"]), unpack(row["links"])
-            z = pa.nulls(len(ids), pa.int32())
-            out.append(pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(ids)), pa.array(ids), pa.array(ns), pa.array(links), z,
-                 pa.nulls(len(ids), pa.int64()), z, z], schema=_ENTRIES_ARROW))
+            ids = unpack(row["ids"])
+            out.append(_entry_rows(kind, len(ids), doc=pa.array(ids), n=pa.array(unpack(row["ns"])),
+                                   rep=pa.array(unpack(row["links"]))))
     if parts["keys"]:
         i, n, k, f = (np.concatenate([unpack(r[c]) for r in parts["keys"]]) for c in ("ids", "ns", "keys", "freqs"))
         by = np.lexsort((k, f, i))
-        i, n, k, f = i[by], n[by], k[by], f[by]
+        i, n, k, f = i[by], n[by], k[by].astype(np.int64), f[by]
         _, start, e = np.unique(i, return_index=True, return_counts=True)
-        rank = np.arange(len(i)) - np.repeat(start, e)
-        e = np.repeat(e, e)
-        m = e >= (4 * n + 4) // 5                    # otherwise the prefix holds only keys of its own
-        if m.any():
-            out.append(pa.RecordBatch.from_arrays(
-                [pa.array(["key"] * int(m.sum())), pa.array(i[m]), pa.array(n[m]), pa.nulls(int(m.sum()), pa.int64()),
-                 pa.array(e[m].astype(np.int32)), pa.array(k[m].astype(np.int64)), pa.array(f[m]),
-                 pa.array(rank[m].astype(np.int32))], schema=_ENTRIES_ARROW))
+        rank = (np.arange(len(i)) - np.repeat(start, e)).astype(np.int32)
+        e = np.repeat(e, e).astype(np.int32)
+        alpha = (4 * n + 4) // 5
+        m = e >= alpha                               # otherwise the prefix holds only keys of its own
+        p = m & (rank < e - alpha + 1)
+        if p.any():
+            out.append(_entry_rows("prefix", int(p.sum()), doc=pa.array(i[p]), n=pa.array(n[p]), e=pa.array(e[p]),
+                                   key=pa.array(k[p]), rank=pa.array(rank[p])))
+            i, n, e, k, f = i[m], n[m], e[m], k[m], f[m]
+            cut = np.searchsorted(CUTS, f, side="right").astype(np.int32)
+            first = np.flatnonzero((np.diff(i, prepend=i[0] - 1) != 0) | (np.diff(cut, prepend=-1) != 0))
+            keys = pa.ListArray.from_arrays(pa.array(np.append(first, len(k)).astype(np.int32)), pa.array(k))
+            out.append(_entry_rows("part", len(first), doc=pa.array(i[first]), fragment=pa.array(cut[first]), keys=keys))
     return pa.Table.from_batches(out, _ENTRIES_ARROW)
 
 
 def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored table of documents (``doc``, ``copy``) and ordered repeated keys (``key``)."""
+    """Stored table of documents (``doc``, ``copy``), their ``prefix`` keys and vertical fragments (``part``)."""
     parts = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     tokens = rows.where(F.col("doc_id").isNotNull()).mapInArrow(_scan(2 * parts), TOKENS)
@@ -244,62 +256,63 @@ def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return stored(counted.groupBy("home").applyInArrow(_order, ENTRIES), "ngram-entries")
 
 
-def overlaps(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``a, b, overlap`` of candidate pairs, counted per vertical fragment and summed per pair.
-
-    A fragment is a cut of the global order: a class of frequencies and a
-    range of keys within it.
-    """
-    left = pairs.select("a", "b").join(keys.select(F.col("doc").alias("a"), "key", "freq"), "a")
-    both = left.join(keys.select(F.col("doc").alias("b"), "key"), ["b", "key"])
-    fragment = F.least(F.floor(F.log2(F.col("freq"))), F.lit(7)) * 16 + F.shiftright("key", 40)
-    partial = both.groupBy("a", "b", fragment.alias("fragment")).agg(F.count(F.lit(1)).alias("part"))
+def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``a, b, overlap`` of candidate pairs, counted per vertical fragment and summed per pair."""
+    left = pairs.select("a", "b").join(parts.select(F.col("doc").alias("a"), "fragment", F.col("keys").alias("ka")), "a")
+    both = left.join(parts.select(F.col("doc").alias("b"), "fragment", F.col("keys").alias("kb")), ["b", "fragment"])
+    partial = both.select("a", "b", F.size(F.array_intersect("ka", "kb")).alias("part"))
     return partial.groupBy("a", "b").agg(F.sum("part").alias("overlap"))
 
 
-def _linked(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Links among ``pairs(a, b, na, nb)``: 100 * intersection >= 80 * union."""
-    found = overlaps(pairs, keys).join(pairs, ["a", "b"])
+def _similar(counted: DataFrame) -> DataFrame:
+    """Links among ``counted(a, b, na, nb, overlap)``: 100 * intersection >= 80 * union."""
     o = F.col("overlap")
-    return found.where(100 * o >= 80 * (F.col("na") + F.col("nb") - o)).select("a", "b")
+    return counted.where(100 * o >= 80 * (F.col("na") + F.col("nb") - o)).select("a", "b")
 
 
 def links(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(verified links ``a, b`` that span all components, components ``id, component`` of linked sets)."""
-    keys = table.where("kind = 'key'").select("doc", "n", "e", "key", "freq", "rank")
-    alpha = F.floor((4 * F.col("n") + 4) / 5)
-    prefix = keys.where(F.col("rank") < F.col("e") - alpha + 1)
+    parts = table.where("kind = 'part'").select("doc", "fragment", "keys")
+    prefix = table.where("kind = 'prefix'").select("doc", "n", "e", "key", "rank")
     centre = prefix.groupBy("key").agg(
         F.max(F.struct((F.col("e") / F.col("n")).alias("share"), (-F.col("doc")).alias("minus"), "n")).alias("c"),
         F.count(F.lit(1)).alias("members")).where("members > 1").select(
         "key", (-F.col("c.minus")).alias("c"), F.col("c.n").alias("nc"))
-    star = prefix.join(centre, "key").where(
-        (F.col("doc") != F.col("c")) & (5 * F.least("n", "nc") >= 4 * F.greatest("n", "nc")))
-    star = star.select(F.col("c").alias("a"), F.col("doc").alias("b"), F.col("nc").alias("na"), F.col("n").alias("nb"))
+    grouped = stored(prefix.join(centre, "key"), "ngram-groups")
+    star = grouped.where((F.col("doc") != F.col("c")) & (5 * F.least("n", "nc") >= 4 * F.greatest("n", "nc"))).select(
+        F.col("c").alias("a"), F.col("doc").alias("b"), F.col("nc").alias("na"), F.col("n").alias("nb"))
     star = stored(star.distinct(), "ngram-pairs")
-    found = stored(_linked(star, keys), "ngram-links")
+    star = stored(star.join(overlaps(star, parts), ["a", "b"], "left").fillna(0, ["overlap"]), "ngram-counted")
+    found = stored(_similar(star), "ngram-links")
     comps = components(found)
 
     # what is left: pairs of a group in different components
-    placed = prefix.join(comps.select(F.col("id").alias("doc"), "component"), "doc", "left").select(
-        "key", "doc", "n", "e", "rank", F.coalesce("component", "doc").alias("comp"))
+    placed = grouped.join(comps.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn(
+        "comp", F.coalesce("component", "doc"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    placed = placed.join(mixed, "key", "left_semi")
+    placed = placed.join(mixed, "key", "left_semi").join(
+        star.select(F.col("a").alias("c"), F.col("b").alias("doc"), F.col("overlap").alias("o")), ["c", "doc"], "left")
+    lists = prefix.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("rank", "key")))["key"].alias("ks"))
+    placed = stored(placed.join(lists, "doc").select("key", "doc", "n", "e", "rank", "comp", "o", "ks"), "ngram-mixed")
     x, y = placed.alias("x"), placed.alias("y")
     need = F.ceil(4 * (F.col("x.n") + F.col("y.n")) / 9)
-    own_x, own_y = F.col("x.n") - F.col("x.e") + F.col("x.rank"), F.col("y.n") - F.col("y.e") + F.col("y.rank")
+    # common keys lie in the centre, which both were counted with, or among the repeated keys outside it
+    by_centre = F.least("x.o", "y.o") + F.least(F.col("x.e") - F.col("x.o"), F.col("y.e") - F.col("y.o"))
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc"))
                   & (F.col("x.comp") != F.col("y.comp"))
                   & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))
-                  & (F.least("x.e", "y.e") >= need)
-                  & (1 + F.least("x.rank", "y.rank") + F.least(F.col("x.n") - own_x, F.col("y.n") - own_y) - 1 >= need)
+                  # met at their first common key: all others come after it
+                  & (F.least(F.col("x.e") - F.col("x.rank"), F.col("y.e") - F.col("y.rank")) >= need)
+                  & F.when(F.col("x.o").isNull() | F.col("y.o").isNull(), F.lit(True)).otherwise(by_centre >= need)
+                  & (F.element_at(F.array_intersect("x.ks", "y.ks"), 1) == F.col("x.key"))
                   ).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"),
                            F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    counted = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.join(counted, ["a", "b"], "left_anti"), "ngram-pairs")
+    seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stored(rest.join(seen, ["a", "b"], "left_anti"), "ngram-pairs")
     if rest.isEmpty():
         return found, comps
-    found = stored(found.unionByName(_linked(rest, keys)), "ngram-links")
+    more = _similar(rest.join(overlaps(rest, parts), ["a", "b"]))
+    found = stored(found.unionByName(more), "ngram-links")
     return found, components(found)
 
 
