@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm import textops
 from lectern.llm.common import scratch_path
 
 SKIPPABLE = 0x184D2A5E          # fixed values of the zstd seekable format
@@ -61,6 +62,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.end_id = end_id
+        self.between, = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
         self.max_pieces = max_pieces
         self._clear()
 
@@ -90,53 +92,70 @@ class PieceEncoder:
         plain.update(p[:-1] for p in marked)
         plain.update(p[-1] for p in marked)
         todo = [p for p in plain if p not in code]
-        for lo in range(0, len(todo), 8192):
-            part = todo[lo:lo + 8192]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self._append(part, np.fromiter(chain.from_iterable(got), self.ids.dtype), np.fromiter(map(len, got), np.int64, len(got)))
+        # many pieces are one text to the tokenizer, with a sign between them whose id no piece contains
+        odd = [p for p in todo if _BETWEEN in p]
+        todo = [p for p in todo if _BETWEEN not in p]
+        for lo in range(0, len(todo), 16384):
+            part = todo[lo:lo + 16384]
+            runs = [f" {_BETWEEN} ".join(part[k:k + 256]) + f" {_BETWEEN}" for k in range(0, len(part), 256)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(
+                runs, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.between)
+            self._append(part, ids[ids != self.between], np.diff(ends, prepend=-1) - 1)
+        for p in odd:
+            ids = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32)
+            self._append([p], ids, np.array([len(ids)]))
         if marked:
             both = np.fromiter((code[x] for p in marked for x in (p[:-1], p[-1])), np.int64, 2 * len(marked))
             lens = self.len[both].astype(np.int64)
             self._append(marked, self.ids[_ragged(self.at[both], lens)], lens[::2] + lens[1::2])
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of every text, the end id last."""
-        split = []
-        for t in texts:
-            t = t or ""
-            if t.isascii() or _one_byte(t):
-                t = t.lower()
-            split.append(t.replace("\n", " ").split(" "))
-        fresh = set().union(*split).difference(self.code)
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of every text of a column, the end id last."""
+        raw, offs = textops.text_bytes(column)
+        # A-Z fold before the lookup where every character has one byte in Latin-1 (no marks that combine)
+        wide = np.concatenate([[0], np.cumsum(raw >= 0xC4)])
+        plain = wide[offs[1:]] == wide[offs[:-1]]
+        raw = _FOLD[raw] if plain.all() else np.where(np.repeat(plain, np.diff(offs)), _FOLD[raw], _BLANK[raw])
+        w = textops.words_of(raw, offs, _GAP)
+        size = w.end - w.start
+        body = np.ascontiguousarray(raw[~_GAP[raw]])
+        words = pa.LargeStringArray.from_buffers(
+            len(size), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(body))
+        encoded = words.dictionary_encode()
+        distinct = encoded.dictionary.to_pylist()
+        fresh = set(distinct).difference(self.code)
         if fresh:
             if len(self.code) + 2 * len(fresh) > self.max_pieces:
                 self._clear()
-                fresh = set().union(*split)
+                fresh = set(distinct)
             self._learn(fresh)
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        own = np.fromiter(map(self.code.__getitem__, distinct), np.int64, len(distinct))
+        codes = own[encoded.indices.to_numpy()]
         lens = self.len[codes].astype(np.int64)
-        ids = self.ids[_ragged(self.at[codes], lens)].astype("<u4")
-        total = np.add.reduceat(lens, np.cumsum(n) - n)
-        stop = np.cumsum(total)
+        ids = self.ids[_ragged(self.at[codes], lens)]
+        stop = np.concatenate([[0], np.cumsum(lens)])[w.first[1:]]
         # the end id goes after the last id of every text
-        out = np.insert(ids, stop, np.uint32(self.end_id))
-        cut = stop + np.arange(1, len(split) + 1)
-        return np.split(out, cut[:-1])
-
-
+        cut = stop + np.arange(1, len(stop) + 1)
+        out = np.empty(len(ids) + len(stop), "<u4")
+        inner = np.ones(len(out), bool)
+        inner[cut - 1] = False
+        out[inner] = ids
+        out[cut - 1] = self.end_id
+        return np.split(out, cut[:-1]) if len(cut) else []
+
+
+#: Bytes as looked up: newline as blank, A-Z as a-z (``_BLANK`` keeps capitals); only blanks part pieces.
+_BLANK = np.arange(256, dtype=np.uint8)
+_BLANK[10] = 32
+_FOLD = _BLANK.copy()
+_FOLD[65:91] += 32
+_GAP = np.arange(256) == 32
+_BETWEEN = "\x01"
 _MARKS = frozenset((".", ","))
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def _one_byte(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-        return True
-    except UnicodeEncodeError:
-        return False
-
-
 def _ragged(at: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indexes of the runs that begin at ``at`` and are ``lens`` long."""
     end = np.cumsum(lens)
@@ -183,7 +202,7 @@ class ShardWriter:
         self.table.append(ENTRY.pack(len(packed), len(raw), _low_xxh64(raw)))
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self._frame(ids.astype("<u4").tobytes())
+        self._frame(ids.tobytes())
         self.doc_ids.append(doc_id)
         self.n_tokens += len(ids)
 
@@ -250,11 +269,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
         shard, writer, encoder = TaskContext.get().partitionId(), None, None
         name = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.zst"
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for lo in range(0, batch.num_rows, 256):
+            for part in textops.pieces(batch, 1):
                 if writer is None:
                     writer, encoder = ShardWriter(name), encoder_of(tokenizer_path, end_id)
-                for doc_id, got in zip(ids[lo:lo + 256], encoder.encode(batch.column(1).slice(lo, 256).to_pylist())):
+                for doc_id, got in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     writer.add(doc_id, got)
         if writer is not None:
             writer.close()
