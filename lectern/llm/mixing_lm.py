@@ -262,7 +262,7 @@ def _scan(buckets: int):
             if rows:
                 yield _table(rows, _SENT)
         for batch in batches:
-            for part in textops.pieces(batch, 1):
+            for part in textops.pieces(batch, 1, 4 << 20):
                 raw, offs = textops.text_bytes(part.column(1))
                 tr = part.column(2).to_numpy(zero_copy_only=False)
                 key, row = places(raw, offs)
@@ -376,7 +376,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textops.pieces(batch, 1):
+            for part in textops.pieces(batch, 1, 4 << 20):
                 raw, offs = textops.text_bytes(part.column(1))
                 key, row = places(raw, offs)
                 distinct, code = collapse(key)

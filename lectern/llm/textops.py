@@ -40,7 +40,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def pieces(batch: pa.RecordBatch, text_index: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text_index: int, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``max_bytes`` of text (a longer single text is one slice)."""
     _, offs = text_bytes(batch.column(text_index))
     lo = 0

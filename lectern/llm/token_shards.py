@@ -269,7 +269,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
         shard, writer, encoder = TaskContext.get().partitionId(), None, None
         name = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.zst"
         for batch in batches:
-            for part in textops.pieces(batch, 1):
+            for part in textops.pieces(batch, 1, 4 << 20):
                 if writer is None:
                     writer, encoder = ShardWriter(name), encoder_of(tokenizer_path, end_id)
                 for doc_id, got in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
