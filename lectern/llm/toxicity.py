@@ -191,8 +191,8 @@ class Landmarks:
 
     def kernel(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.words)), np.float32)
-        for lo in range(0, len(words), 2000):
-            part = words[lo:lo + 2000]
+        for lo in range(0, len(words), 400):
+            part = words[lo:lo + 400]
             w, c, v = _triples(part)
             k = np.minimum(np.searchsorted(self.used, c), len(self.used) - 1) if len(self.used) else c * 0
             hit = np.flatnonzero(self.used[k] == c) if len(self.used) else np.empty(0, np.int64)
@@ -231,14 +231,10 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-6, st
     return w[:-1], float(w[-1])
 
 
-def _evidence(bags: list[set], toxic: list[int]) -> dict:
-    """Signed z-score of log-odds for every item of the bags."""
-    pos, neg = Counter(), Counter()
-    for bag, t in zip(bags, toxic):
-        (pos if t else neg).update(bag)
-    p, n = sum(toxic) + 1.0, len(toxic) - sum(toxic) + 1.0
-    return {k: float((np.log((c + .5) / p) - np.log((neg[k] + .5) / n)) / np.sqrt(1 / (c + .5) + 1 / (neg[k] + .5)))
-            for k, c in pos.items()}
+def _evidence(pos: Counter, neg: Counter, p: int, n: int) -> dict:
+    """Signed z-score of log-odds for everything seen in toxic documents (counts are of documents)."""
+    return {k: float((np.log((c + .5) / (p + 1.0)) - np.log((neg[k] + .5) / (n + 1.0)))
+                     / np.sqrt(1 / (c + .5) + 1 / (neg[k] + .5))) for k, c in pos.items()}
 
 
 def _plain(word: str) -> str:
@@ -253,37 +249,36 @@ def train(texts: list[str], toxic: list[int], prior: float, landmarks: int = 192
         p = min(max(0.5 * prior, 1e-6), 1 - 1e-6)
         return Model(empty, 0.0, 0.0, float(np.log(p / (1 - p))))
     rng = random.Random(7)
-    sentences: list[list[str]] = []
-    labels: list[int] = []
-    of_doc: list[set] = []
+    sentences: list[list[str]] = []                 # toxic ones; clean sentences count through their words
+    words_in, grams_in = (Counter(), Counter()), (Counter(), Counter())
+    names: dict[str, str] = {}
     for text, t in zip(texts, toxic):
         seen: set = set()
         for part in text.replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
-            words = [x for x in map(_plain, part.split()) if 2 < len(x) <= LONG]
+            words = [names.setdefault(x, x) for x in map(_plain, part.split()) if 2 < len(x) <= LONG]
             if words:
-                sentences.append(words)
-                labels.append(t)
                 seen.update(words)
-        of_doc.append(seen)
-    grams = [{x[i:i + 4] for x in bag for i in range(len(x) - 3)} for bag in of_doc]
-    by_word, by_gram = _evidence(of_doc, toxic), _evidence(grams, toxic)
+                if t:
+                    sentences.append(words)
+        words_in[t].update(seen)
+        grams_in[t].update({x[i:i + 4] for x in seen for i in range(len(x) - 3)})
+    p, n = sum(toxic), len(toxic) - sum(toxic)
+    by_word, by_gram = _evidence(words_in[1], words_in[0], p, n), _evidence(grams_in[1], grams_in[0], p, n)
 
     def telling(x: str) -> float:
         return max([by_word.get(x, -9.0)] + [by_gram.get(x[i:i + 4], -9.0) for i in range(len(x) - 3)])
-    score = {x: telling(x) for bag, t in zip(of_doc, toxic) if t for x in bag}
-    clean = sorted({x for bag, t in zip(of_doc, toxic) if not t for x in bag})
-    clean_set = set(clean)
+    score = {x: telling(x) for x in words_in[1]}
+    clean_set = set(words_in[0])
+    clean = sorted(clean_set)
+    del words_in, grams_in, names, by_word, by_gram
     # a toxic sentence speaks through its most telling word, if that word tells anything
     witness: Counter = Counter()
-    for words, t in zip(sentences, labels):
-        if t:
-            best = max(words, key=lambda x: score.get(x, -9.0))
-            if score.get(best, -9.0) >= 3.0 and best not in clean_set:
-                witness[best] += 1
-    if not witness:
-        for words, t in zip(sentences, labels):
-            if t:
-                witness[max(words, key=lambda x: score.get(x, -9.0))] += 1
+    for words in sentences:
+        best = max(words, key=score.__getitem__)
+        if score[best] >= 3.0 and best not in clean_set:
+            witness[best] += 1
+    if not witness:                                 # no word tells the classes apart
+        witness.update(max(words, key=score.__getitem__) for words in sentences)
     chosen = [x for x, _ in witness.most_common(landmarks // 2)]
     marks = Landmarks(chosen + rng.sample(clean, min(len(clean), landmarks - len(chosen))))
     bad = list(witness)
@@ -302,10 +297,10 @@ def train(texts: list[str], toxic: list[int], prior: float, landmarks: int = 192
         hard = np.argsort(-value)[:2000]
         good = sorted(set(good) | {clean[i] for i in hard if value[i] > -1})
     # calibration on whole documents: logistic in the highest margin, classes weighted to the prior
-    raw, offs = textops.text_bytes(pa.array(texts, pa.large_string()))
-    s = spans_of(raw, offs)
     top = np.full(len(texts), FLOOR)
-    np.maximum.at(top, s.row, margins(s, table, bias))
+    for lo in range(0, len(texts), 64):
+        s = spans_of(*textops.text_bytes(pa.array(texts[lo:lo + 64], pa.large_string())))
+        np.maximum.at(top, lo + s.row, margins(s, table, bias))
     y = np.array(toxic, float)
     cost = np.where(y > 0, prior / y.sum(), (1 - prior) / (len(y) - y.sum()))
     z, w = np.stack([top, np.ones(len(y))], 1), np.zeros(2)
