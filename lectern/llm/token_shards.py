@@ -58,7 +58,7 @@ class PieceEncoder:
     table of pieces is emptied at ``max_pieces``: memory is bounded.
     """
 
-    def __init__(self, tokenizer_path: str, end_id: int, max_pieces: int = 1_200_000):
+    def __init__(self, tokenizer_path: str, end_id: int, max_pieces: int = 800_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.end_id = end_id
