@@ -160,11 +160,11 @@ def _probe_partition(bc, keys, payload, vector, cdoc, filter_mode, out_schema):
                             cand.append((qs[qi], np.full(len(qi), bno), perm[its[ci]], scores[qi, ci]))
                             kept += len(qi)
                 if kept > 4 * st.kmax * len(st.k):
-                    cand = [search._select_winners(tables, cand, keys, st.kmax)]
+                    cand = [search._select_winners(tables, cand, keys, st.k)]
                     kept = len(cand[0][0])
         if not cand:
             return
-        q, bt, row, score = search._select_winners(tables, cand, keys, st.kmax)
+        q, bt, row, score = search._select_winners(tables, cand, keys, st.k)
         cols = {name: search._gather(tables, bt, row, name) for name in (*keys, *payload)}
         out = pa.table({names[0]: st.ids.take(pa.array(q)), **cols,
                         "score": pa.array(score, pa.float64()), "_k": pa.array(st.k[q], pa.int32())})
@@ -183,25 +183,10 @@ def approx_search(corpus: DataFrame, questions: DataFrame, *,
                   max_block_bytes: int = search.MAX_BLOCK_BYTES) -> DataFrame:
     """Hits ``(query_id, rank, *keys, *payload, score)`` among LSH candidates.
 
-    As in exact search, a corpus without Python stages (a stored index) is
-    scored on keys and vectors only; its payload is joined to the final hits.
+    As in exact search, payload columns travel with the winners.
     """
     if filter_mode not in ("pre", "post"):
         raise ValueError("filter_mode must be 'pre' or 'post'")
-    if payload and not search._has_python_stage(corpus):
-        hits = approx_search(corpus, questions, keys=keys, payload=(), vector=vector,
-                             query_key=query_key, query_vector=query_vector, top_k=top_k,
-                             doc_filter=doc_filter, corpus_doc=corpus_doc, default_k=default_k,
-                             tables=tables, bits=bits, max_bucket=max_bucket,
-                             filter_mode=filter_mode, dim=dim, seed=seed,
-                             max_block_bytes=max_block_bytes)
-        kmax_col = (F.max(F.coalesce(F.col(top_k).cast("int"), F.lit(default_k)))
-                    if top_k and top_k in questions.columns else F.lit(default_k))
-        st = questions.agg(F.count(F.lit(1)).alias("n"), kmax_col.alias("k")).first()
-        bound = (st["n"] or 0) * max(st["k"] or 0, 0)
-        side = F.broadcast(hits) if bound <= search.MAX_BROADCAST_HITS else hits
-        return corpus.select(*keys, *payload).join(side, list(keys)).select(
-            query_key, "rank", *keys, *payload, "score")
     spark = corpus.sparkSession
     qcols = questions.columns
     has_filter = doc_filter is not None and doc_filter in qcols

@@ -10,11 +10,13 @@ chunks of a document into one row.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import basename, document_label, short_id, stripped_length, thousands
+from lectern.session import checkpoint_dir
 
 # Fixed values.
 MIN_DOCUMENT_CHARS = 50
@@ -178,14 +180,16 @@ def display_fields(listing: DataFrame) -> DataFrame:
 def global_position(df: DataFrame, order_cols, name: str = "position", start: int = 1) -> DataFrame:
     """Consecutive 1-based positions in ``order_cols`` order without a single-task window.
 
-    The sort range-partitions the rows; each partition's row count is
-    aggregated (one small row per partition), turned into offsets, and joined
-    back by broadcast (its size is the partition count, not the data).
+    The sort range-partitions the rows; they are written once with the number
+    of their partition and their place in it. Offsets are running sums over
+    one small row per partition of that written copy, so a second evaluation
+    of the sort cannot disagree with the first.
     """
-    sorted_df = df.orderBy(*order_cols)
-    tagged = sorted_df.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_mid", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("_row", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+    sorted_df = df.orderBy(*order_cols).withColumn("_pid", F.spark_partition_id()).withColumn(
+        "_row", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+    path = f"{checkpoint_dir(df.sparkSession)}/positions-{uuid.uuid4().hex}"
+    sorted_df.write.parquet(path)
+    tagged = df.sparkSession.read.schema(sorted_df.schema).parquet(path)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
@@ -193,7 +197,7 @@ def global_position(df: DataFrame, order_cols, name: str = "position", start: in
         .alias("_off"))
     out = tagged.join(F.broadcast(offsets), "_pid").withColumn(
         name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_row") + F.lit(start))
-    return out.drop("_pid", "_mid", "_row", "_off")
+    return out.drop("_pid", "_row", "_off")
 
 
 def document_options(listing: DataFrame) -> DataFrame:

@@ -36,7 +36,6 @@ from lectern.session import reliable_checkpoint
 DEFAULT_TOP_K = 5                       # fixed: default number of hits per question
 MAX_BLOCK_BYTES = 64 * 1024 * 1024      # question matrix shipped per scan
 SCORE_CELLS = 1 << 22                   # rows x questions scored at once (32 MB)
-MAX_BROADCAST_HITS = 1_000_000          # hit rows broadcast for the payload join
 # Integer-valued vectors (the hash embedder) give exact dot products, so their
 # scores are the exact IEEE results of dot / (|q| |c|). Other vectors are
 # ranked at 12 decimals: a BLAS product may give two copies of one vector dot
@@ -55,8 +54,10 @@ def _padded_matrix(vec: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarra
     offsets = offsets - offsets[0]
     lens = np.diff(offsets)
     n = len(lens)
-    sq = np.add.reduceat(values * values, offsets[:-1]) if len(values) else np.zeros(n)
-    sq = np.where(lens > 0, sq, 0.0) if n else sq
+    sq = np.zeros(n)
+    full = np.flatnonzero(lens > 0)                      # empty vectors keep norm 0
+    if len(full):
+        sq[full] = np.add.reduceat(values * values, offsets[full])
     if n and (lens == width).all():
         return values.reshape(n, width), sq
     mat = np.zeros((n, width))
@@ -113,12 +114,11 @@ class _Block:
         self.matrix = mat                                   # (nq, width)
         self.norm = np.sqrt(sq)
         self.max_abs = float(np.abs(mat).max()) if mat.size else 0.0
-        self.integral = bool(np.array_equal(mat, np.rint(mat)))
+        self.integral = (mat == np.rint(mat)).all(axis=1)   # per question
         self.single = (_exact_in_single(mat, 1.0) and self.max_abs < 2 ** 24)
         self.matrix32 = mat.astype(np.float32) if self.single else None
         self.k = tbl.column("_k").to_numpy()
         self.kmax = int(self.k.max()) if len(self.k) else 0
-        self.floor = None          # per-question lower bound of the k-th best score
         self.filter_docs = None
         if has_filter:
             # Arrow keeps the key type exact (a nullable BIGINT in pandas would be float64)
@@ -148,17 +148,16 @@ def _gather(tables, bt, row, name):
     return pa.chunked_array(parts).combine_chunks().take(pa.array(inv))
 
 
-def _select_winners(tables, cand, keys, kmax):
-    """Best ``kmax`` candidates per question across a task's batches.
+def _select_winners(tables, cand, keys, k):
+    """Best ``k[question]`` candidates per question across a task's batches.
 
     ``cand`` holds ``(question, batch, row, score)`` arrays. Only the key
     columns of candidates are gathered, ranked once, and used as the last
     sort key; payload columns are taken later for the winners alone.
-    Repeated ``(question, key)`` candidates are kept once.
     """
     q, bt, row, score = (np.concatenate(c) for c in zip(*cand))
-    keyt = pa.table({k: _gather(tables, bt, row, k) for k in keys})
-    order = pc.sort_indices(keyt, sort_keys=[(k, "ascending") for k in keys]).to_numpy()
+    keyt = pa.table({c: _gather(tables, bt, row, c) for c in keys})
+    order = pc.sort_indices(keyt, sort_keys=[(c, "ascending") for c in keys]).to_numpy()
     key_rank = np.empty(len(order), np.int64)
     key_rank[order] = np.arange(len(order))
     idx = np.lexsort((key_rank, -score, q))
@@ -170,10 +169,18 @@ def _select_winners(tables, cand, keys, kmax):
     qs = q[idx]
     first = np.r_[0, np.flatnonzero(qs[1:] != qs[:-1]) + 1]
     rank = np.arange(len(qs)) - np.repeat(first, np.diff(np.r_[first, len(qs)]))
-    pick = idx[rank < kmax]
+    pick = idx[rank < k[qs]]
     return q[pick], bt[pick], row[pick], score[pick]
 
 
+def _compact(tables, winners):
+    """Only the winners' rows stay in memory: one table, and the winners pointing into it."""
+    q, bt, row, score = winners
+    cells, at = np.unique(np.stack([bt, row.astype(np.int64)]), axis=1, return_inverse=True)
+    kept = pa.table({c: _gather(tables, cells[0], cells[1], c) for c in tables[0].column_names})
+    return [kept], [(q, np.zeros(len(q), np.int64), at.reshape(-1), score)]
+
+
 def _score_partition(bc, keys, payload, cvec, cdoc, out_schema: T.StructType):
     out_names = [f.name for f in out_schema.fields]
 
@@ -182,50 +189,53 @@ def _score_partition(bc, keys, payload, cvec, cdoc, out_schema: T.StructType):
         nq = len(blk.k)
         if nq == 0:
             return
-        tables, cand, kept = [], [], 0
+        tables, cand = [], []
         step = max(1, SCORE_CELLS // nq)
         for rb in batches:
             if rb.num_rows == 0:
                 continue
             b = len(tables)
             tbl = pa.Table.from_batches([rb])
-            tables.append(tbl)
             # chunk-key order: among equal scores the lower position wins
             perm = pc.sort_indices(tbl, sort_keys=[(c, "ascending") for c in keys]).to_numpy()
             vec = tbl.column(cvec).combine_chunks()
+            tables.append(tbl.select([c for c in tbl.column_names if c in (*keys, *payload)]))
             ccode = None
             if blk.filter_docs is not None:
                 ccode = blk.doc_codes(tbl.column(cdoc).combine_chunks())[perm]
             for lo in range(0, len(perm), step):
                 rows_here = perm[lo:lo + step]
                 mat, sq = _padded_matrix(vec.take(pa.array(rows_here)), blk.width)
-                exact = blk.integral and np.array_equal(mat, np.rint(mat))
-                if exact and blk.single and _exact_in_single(mat, blk.max_abs):
+                whole = (mat == np.rint(mat)).all(axis=1)
+                if blk.single and whole.all() and _exact_in_single(mat, blk.max_abs):
                     dots = (blk.matrix32 @ mat.astype(np.float32).T).astype(np.float64)
                 else:
                     dots = blk.matrix @ mat.T                  # (nq, rows)
                 denom = np.multiply.outer(blk.norm, np.sqrt(sq))
                 # a zero norm means a zero vector, whose dot products are already 0
                 scores = np.divide(dots, denom, out=dots, where=denom > 0)
-                if not exact:
-                    np.round(scores, SCORE_DECIMALS, out=scores)
+                # one rule per pair, whatever else is in the batch: two whole-number
+                # vectors score exactly, all other pairs at SCORE_DECIMALS
+                if not (whole.all() and blk.integral.all()):
+                    exact = np.logical_and.outer(blk.integral, whole)
+                    scores = np.where(exact, scores, np.round(scores, SCORE_DECIMALS))
                 if ccode is not None:
                     cc = ccode[lo:lo + step]
                     allowed = (blk.qcode[:, None] < 0) | (blk.qcode[:, None] == cc[None, :])
                     scores[~allowed] = -np.inf
-                if blk.floor is not None:
-                    scores[scores < blk.floor[:, None]] = -np.inf
-                qs, cols = _topk_rows(scores, blk.kmax)
-                if len(qs) == 0:
-                    continue
-                cand.append((qs, np.full(len(qs), b), rows_here[cols], scores[qs, cols]))
-                kept += len(qs)
-                if kept > 4 * blk.kmax * nq:
-                    cand = [_select_winners(tables, cand, keys, blk.kmax)]
-                    kept = len(cand[0][0])
+                for k in np.unique(blk.k):                     # each question keeps its own number
+                    of_k = np.flatnonzero(blk.k == k)
+                    qs, cols = _topk_rows(scores if len(of_k) == nq else scores[of_k], int(k))
+                    if len(qs):
+                        qs = of_k[qs]
+                        cand.append((qs, np.full(len(qs), b), rows_here[cols], scores[qs, cols]))
+            if not cand:
+                tables.clear()
+                continue
+            tables, cand = _compact(tables, _select_winners(tables, cand, keys, blk.k))
         if not cand:
             return
-        q, bt, row, score = _select_winners(tables, cand, keys, blk.kmax)
+        q, bt, row, score = cand[0]
         cols = {name: _gather(tables, bt, row, name) for name in (*keys, *payload)}
         out = pa.table({out_names[0]: blk.ids.take(pa.array(q)), **cols,
                         "score": pa.array(score, pa.float64()), "_k": pa.array(blk.k[q], pa.int32())})
@@ -243,48 +253,16 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
                  doc_filter: str | None = "doc_id",
                  corpus_doc: str = "doc_id",
                  default_k: int = DEFAULT_TOP_K,
-                 max_block_bytes: int = MAX_BLOCK_BYTES,
-                 prune_fraction: float | None = None,
-                 payload_mode: str = "auto") -> DataFrame:
+                 max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """Hits ``(query_id, rank, *keys, *payload, score)``, best first per question.
 
     ``top_k`` (per question, default ``default_k``) of 0 or less gives no hits.
     ``doc_filter`` names the question column restricting a question to one
     document (NULL = whole corpus). Scores are full-precision cosines.
 
-    Pruning (exact): the ``k``-th best score of a question over *any* subset of
-    chunks is a lower bound of its ``k``-th best over all chunks, so after
-    scoring a ``prune_fraction`` sample, the full pass only lets candidates at
-    or above that bound leave their task. That caps the final shuffle near
-    ``k / prune_fraction`` rows per question instead of ``k`` per task. By
-    default it is used when the chunk scan has many more partitions than
-    the cluster has cores (``None``), never with ``0``.
-
-    ``payload_mode='carry'`` passes payload columns (chunk text) through the
-    scoring tasks; ``'join'`` scores keys and vectors only and fetches the
-    payload of the final hits with a broadcast join (hits are bounded by
-    questions x k) against a column-pruned scan. Use ``'join'`` on a stored
-    index; on a lazily built one it would build the chunks twice. ``'auto'``
-    picks ``'join'`` when the corpus plan has no Python stage (it is cheap to
-    read again) and ``'carry'`` otherwise.
+    Payload columns travel with the winners, so repeated or NULL chunk keys
+    give one hit per row. An empty question vector scores 0 with every chunk.
     """
-    if payload_mode not in ("carry", "join", "auto"):
-        raise ValueError("payload_mode must be 'carry', 'join' or 'auto'")
-    if payload_mode == "auto":
-        payload_mode = "carry" if _has_python_stage(corpus) else "join"
-    if payload_mode == "join" and payload:
-        hits = exact_search(corpus, questions, keys=keys, payload=(), vector=vector,
-                            query_key=query_key, query_vector=query_vector, top_k=top_k,
-                            doc_filter=doc_filter, corpus_doc=corpus_doc, default_k=default_k,
-                            max_block_bytes=max_block_bytes, prune_fraction=prune_fraction)
-        texts = corpus.select(*keys, *payload)
-        kmax_col = (F.max(F.coalesce(F.col(top_k).cast("int"), F.lit(default_k)))
-                    if top_k and top_k in questions.columns else F.lit(default_k))
-        st = questions.agg(F.count(F.lit(1)).alias("n"), kmax_col.alias("k")).first()
-        bound = (st["n"] or 0) * max(st["k"] or 0, 0)
-        # hits are at most questions x k rows: broadcast them only under a fixed bound
-        side = F.broadcast(hits) if bound <= MAX_BROADCAST_HITS else hits
-        return texts.join(side, list(keys)).select(query_key, "rank", *keys, *payload, "score")
     spark = corpus.sparkSession
     qcols = questions.columns
     has_filter = doc_filter is not None and doc_filter in qcols
@@ -326,15 +304,9 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
         cached.unpersist()
     parts = []
     sc = spark.sparkContext
-    if prune_fraction is None:
-        many = c.rdd.getNumPartitions() > 4 * sc.defaultParallelism
-        prune_fraction = 0.01 if many else 0.0
     for b in range(nblocks):
         qb = q if nblocks == 1 else q.where(F.col("_blk") == b).drop("_blk")
         blk = _Block(qb.toArrow(), query_key, query_vector, has_filter)
-        if prune_fraction > 0:
-            blk.floor = _score_floor(c, blk, keys, payload, vector, corpus_doc, out_schema,
-                                     query_key, prune_fraction)
         bc = sc.broadcast(blk)
         cb = c
         if scoped_only:
@@ -352,27 +324,6 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
         query_key, "rank", *keys, *payload, "score")
 
 
-def _has_python_stage(df: DataFrame) -> bool:
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return any(op in plan for op in ("MapInPandas", "MapInArrow", "ArrowEvalPython",
-                                     "BatchEvalPython", "FlatMapGroupsInPandas", "PythonUDF"))
-
-
-def _score_floor(c, blk, keys, payload, vector, corpus_doc, out_schema, query_key, fraction):
-    """Per question, the k-th best score over a sample of chunks (-inf if fewer)."""
-    sc = c.sparkSession.sparkContext
-    bc = sc.broadcast(blk)
-    sample = c.sample(fraction=fraction, seed=17).mapInArrow(
-        _score_partition(bc, keys, (), vector, corpus_doc,
-                         T.StructType([f for f in out_schema.fields if f.name not in payload])),
-        T.StructType([f for f in out_schema.fields if f.name not in payload]))
-    ranked = rank_hits(sample, query_key, keys, blk.kmax).where(F.col("rank") == F.col("_k"))
-    # one row per question of this (size-checked) block
-    kth = {r[0]: r[1] for r in ranked.select(query_key, "score").collect()}
-    ids = blk.ids.to_pylist()
-    return np.array([kth.get(i, -np.inf) for i in ids], dtype=np.float64)
-
-
 def rank_hits(scored: DataFrame, query_key: str, keys, k: int) -> DataFrame:
     """``row_number`` per question by score desc, key asc; keep ``rank <= k``."""
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), *[F.asc(c) for c in keys])

@@ -9,17 +9,19 @@ from lectern.functions.text import strip_ws, stripped_length
 from lectern.operators import answer, chunking, embedding, search
 
 MIN_CHUNK_CHARS = 20       # fixed: shorter chunks are not embedded
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
-    """Give a map-only Python stage enough tasks.
+    """Give a map-only Python stage enough tasks: rows are spread round-robin.
 
-    A large table already arrives in many file splits and is left alone; a
-    table read as fewer splits than the cluster has cores is spread round-robin.
+    Only as many tasks as asked for (the cluster's cores by default) when the
+    table is small; a large scan keeps its own splits, which the plan's own
+    size estimate tells without running a job.
     """
-    sc = df.sparkSession.sparkContext
-    want = min_parts or sc.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    want = min_parts or df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(want) if size < want * SPLIT_BYTES else df
 
 
 def embeddable_chunks(chunks: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def validate_questions(questions: DataFrame, text_col: str = "question",
     blank = F.col(text_col).isNull() | (F.length(text_col) == 0)
     valid = q.where(~blank & ~bad_k)
     rejected = q.where(blank | bad_k).withColumn(
-        "error", F.when(blank, F.lit("Question is required")).otherwise(F.lit("top_k must be an integer")))
+        "error", F.when(blank, F.lit("the question is blank")).otherwise(F.lit("top_k is not a whole number")))
     if "_bad_k" in q.columns:
         valid, rejected = valid.drop("_bad_k"), rejected.drop("_bad_k")
     return valid, rejected

@@ -119,8 +119,8 @@ def lit(s: str) -> str:
 def answers_sql(question_source: str) -> str:
     """P2 per question from ``hits`` and ``q``: CTE ``answers``. Must follow ``search_sql``."""
     from lectern.operators.answer import NO_HITS_ANSWER, PROMPT_TEMPLATE
-    before, rest = PROMPT_TEMPLATE.split("{context}")
-    mid, after = rest.split("{question}")
+    before, rest = PROMPT_TEMPLATE.split("{question}")
+    mid, after = rest.split("{context}")
     return f""",
 agg AS (
   SELECT query_id,
@@ -132,7 +132,7 @@ agg AS (
 answers AS (
   SELECT q.query_id, q.question, a.context,
          CASE WHEN a.query_id IS NOT NULL
-              THEN {lit(before)} || a.context || {lit(mid)} || q.question || {lit(after)} END AS prompt,
+              THEN {lit(before)} || q.question || {lit(mid)} || a.context || {lit(after)} END AS prompt,
          coalesce(a.best_text, {lit(NO_HITS_ANSWER)}) AS answer,
          coalesce(a.chunks_used, 0) AS chunks_used,
          CASE WHEN coalesce(a.chunks_used, 0) = 0 THEN 'low'

@@ -222,7 +222,7 @@ def read_chunk_payloads(spark: SparkSession, path: str) -> DataFrame:
 def payload_chunks(payloads: DataFrame):
     """``(chunks, rejects)``; a payload without ``doc_id`` or chunks is rejected."""
     bad = F.col("doc_id").isNull() | (F.col("doc_id") == "") | F.coalesce(F.size("chunks") <= 0, F.lit(True))
-    rejects = payloads.where(bad).select("doc_id", F.lit("Missing doc_id or chunks").alias("reason"))
+    rejects = payloads.where(bad).select("doc_id", F.lit("payload names no document or holds no chunk").alias("reason"))
     rows = payloads.where(~bad).select("doc_id", F.explode("chunks").alias("c")).select(
         "doc_id", "c.chunk_id", "c.text",
         F.coalesce("c.start_char", F.lit(0)).alias("start_char"),

@@ -76,6 +76,20 @@ def test_global_position_is_consecutive(spark):
     assert all(r.position == r.k + 1 for r in pos)
 
 
+def test_global_position_on_many_rows(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("8", "16", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            df = spark.range(0, 400_000, 1, 9).select((F.col("id") * 7 % 400_000).cast("string").alias("k"), F.lit("x").alias("v"))
+            pos = cat.global_position(df, ["k"]).cache()
+            row = pos.agg(F.count(F.lit(1)), F.countDistinct("position"), F.min("position"), F.max("position")).first()
+            pos.unpersist()
+            assert tuple(row) == (400_000, 400_000, 1, 400_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_document_options(spark):
     when = dt.datetime(2024, 1, 1)
     listing = spark.createDataFrame([(2, "b.pdf", when, 1, "pending", 1), (1, "a.pdf", when, 1, "completed", 1)], CAT)
