@@ -10,7 +10,7 @@ other input column is carried onto the chunk rows, so catalog fields such as
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -65,22 +65,21 @@ def chunk_spans(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
     return out
 
 
-def _chunk_batches(text_col: str, size: int, overlap: int):
+def _chunk_batches(carried: list[str], text_col: str, size: int, overlap: int):
+    """Arrow in, Arrow out: carried columns are taken by row, so any type (NULLs included) stays exact."""
     def run(batches):
-        for pdf in batches:
-            texts = pdf[text_col].tolist()
-            spans = [chunk_spans(t, size, overlap) for t in texts]
+        for rb in batches:
+            spans = [chunk_spans(t, size, overlap) for t in rb.column(text_col).to_pylist()]
             counts = np.fromiter((len(s) for s in spans), dtype=np.int64, count=len(spans))
-            carried = pdf.drop(columns=[text_col]).iloc[np.repeat(np.arange(len(pdf)), counts)]
-            carried = carried.reset_index(drop=True)
+            row = pa.array(np.repeat(np.arange(len(spans)), counts))
             flat = [c for s in spans for c in s]
-            carried["chunk_id"] = np.concatenate(
-                [np.arange(c, dtype=np.int32) for c in counts]) if len(flat) else np.array([], np.int32)
-            carried["text"] = pd.Series([c[0] for c in flat], dtype=object)
-            carried["start_char"] = np.array([c[1] for c in flat], dtype=np.int32)
-            carried["end_char"] = np.array([c[2] for c in flat], dtype=np.int32)
-            carried["total_chunks"] = np.repeat(counts, counts).astype(np.int32)
-            yield carried
+            ordinal = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(c).take(row) for c in carried]
+                + [pa.array(ordinal, pa.int32()), pa.array([c[0] for c in flat], pa.string()),
+                   pa.array([c[1] for c in flat], pa.int32()), pa.array([c[2] for c in flat], pa.int32()),
+                   pa.array(np.repeat(counts, counts), pa.int32())],
+                names=[*carried, "chunk_id", "text", "start_char", "end_char", "total_chunks"])
     return run
 
 
@@ -95,4 +94,4 @@ def chunk_documents(docs: DataFrame, text_col: str = "text", size: int = CHUNK_S
     carried = [f for f in docs.schema.fields if f.name not in (text_col, *[c.name for c in CHUNK_FIELDS])]
     out_schema = T.StructType(carried + CHUNK_FIELDS)
     src = docs.select(*[f.name for f in carried], text_col)
-    return src.mapInPandas(_chunk_batches(text_col, size, overlap), out_schema)
+    return src.mapInArrow(_chunk_batches([f.name for f in carried], text_col, size, overlap), out_schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Python workers run NumPy block products; one BLAS thread per worker keeps
@@ -18,28 +19,41 @@ TABLES = (
 ).split()
 
 
+def _submitted() -> set[str]:
+    """Names of the settings that ``spark-submit`` gave this application."""
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:
+        return set()
+    SparkContext._ensure_initialized()
+    return {key for key, _ in SparkConf().getAll()}
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "lectern", extra: dict | None = None) -> SparkSession:
     """Session with the settings the library is tuned for.
 
-    On a cluster the caller's own builder/config wins (``getOrCreate`` keeps an
-    existing session); these defaults only matter for local runs and tests.
+    Settings given to ``spark-submit`` win, and ``getOrCreate`` keeps an existing
+    session; these defaults only matter for local runs and tests.
     """
-    builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
-        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
-        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
-    )
+    given = _submitted()
+    builder = SparkSession.builder.appName(app_name)
+    if "spark.master" not in given:
+        builder = builder.master(master)
+    defaults = {
+        "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.driver.memory": "16g",
+        "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+        "spark.executorEnv.OMP_NUM_THREADS": "1",
+    }
+    for key, value in defaults.items():
+        if key not in given:
+            builder = builder.config(key, value)
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

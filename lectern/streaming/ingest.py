@@ -2,7 +2,7 @@
 R3 stream_status, R4 stream_dedupe).
 
 The streaming queries reuse the batch column functions and operators
-unchanged: the chunk walk (``mapInPandas``) and the embedder are stateless
+unchanged: the chunk walk (``mapInArrow``) and the embedder are stateless
 per row, so each micro-batch computes exactly what the batch job computes.
 
 Sinks are exactly-once: chunk and vector tables use the parquet file sink
@@ -15,6 +15,7 @@ Checkpoints and outputs live under the cluster's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,10 @@ def read_table_stream(spark: SparkSession, folder: str, table: str, max_files: i
     """Stream the parquet files of ``table`` as they land in ``folder``.
 
     The schema is fixed up front (a streaming file source cannot infer it),
-    taken from the files already there. ``_ingest_time`` is the file's
-    modification time, the event time used for replay de-duplication.
+    taken from the files already there. ``_ingest_time`` is the time of the
+    micro-batch that reads the file, the event time used for replay
+    de-duplication: a copied or back-filled file keeps an old modification
+    time, but it can never arrive late by its arrival.
     """
     name = f"{table}.parquet" if not table.endswith(".parquet") else table
     if _is_dir(spark, f"{folder}/{name}"):        # a table written by Spark: a folder of parts
@@ -51,7 +54,12 @@ def read_table_stream(spark: SparkSession, folder: str, table: str, max_files: i
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
     s = r.parquet(src)
-    return s.withColumn("_ingest_time", F.col("_metadata.file_modification_time"))
+    return s.withColumn("_ingest_time", F.current_timestamp())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def _is_dir(spark: SparkSession, path: str) -> bool:
@@ -144,7 +152,9 @@ def process_upload_events(events: DataFrame, object_root: str, out: str, parser,
     those objects ``<object_root>/<bucket>/<key>`` with the binaryFile source
     (the path list is bounded by the micro-batch, e.g. ``maxFilesPerTrigger``),
     extracts their text (S4, S5), rejects short documents (F1) and writes the
-    chunks to ``out/batch=<n>``; a replayed batch rewrites its own folder.
+    chunks to ``out/batch=<n>`` and every object that gave none (missing,
+    unreadable, too short) to ``out._rejects/batch=<n>``; a replayed batch
+    rewrites its own folders.
     Returns the stream writer (call ``.start()`` or :func:`run_available_now`).
     """
     from lectern.sources import objects as src
@@ -156,10 +166,20 @@ def process_upload_events(events: DataFrame, object_root: str, out: str, parser,
                  for r in keys.select("bucket", "object_key").distinct().collect()]
         if not paths:
             return
-        docs = src.extract_documents(spark.read.format("binaryFile").load(paths), parser)
-        accepted, rejects = cat.split_short_documents(docs.where(F.col("error").isNull()))
-        chunks = chunking.chunk_documents(accepted.select("doc_id", "path", "text"))
-        chunks.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
+        there = [p for p in paths if _exists(spark, p)]
+        schema = "path string, reason string"
+        rejected = spark.createDataFrame([(p, "object not found") for p in paths if p not in set(there)], schema)
+        if there:
+            # written names are plain paths, not patterns
+            docs = src.extract_documents(
+                spark.read.format("binaryFile").load([re.sub(r"([\\[\]{}*?\\\\])", r"\\\1", p) for p in there]), parser)
+            accepted, short = cat.split_short_documents(docs.where(F.col("error").isNull()))
+            chunks = chunking.chunk_documents(accepted.select("doc_id", "path", "text"))
+            chunks.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
+            rejected = rejected.unionByName(docs.where(F.col("error").isNotNull()).select(
+                "path", F.col("error").alias("reason"))).unionByName(
+                short.join(docs.select("doc_id", "path"), "doc_id").select("path", "reason"))
+        rejected.write.mode("overwrite").parquet(f"{out}._rejects/batch={batch_id:012d}")
 
     return (events.writeStream.queryName(name).foreachBatch(sink)
             .option("checkpointLocation", out + "._checkpoint"))

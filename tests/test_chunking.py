@@ -101,3 +101,9 @@ def test_spark_matches_python(spark):
         sp = chunk_spans(t)
         want += [(d, i, c, s, e, len(sp)) for i, (c, s, e) in enumerate(sp)]
     assert got == sorted(want)
+
+
+def test_carried_columns_stay_exact_beside_nulls(spark):
+    df = spark.createDataFrame([(1, 9007199254740993, "some text. " * 60), (2, None, "short one")], "doc_id long, size long, text string")
+    got = {(r.doc_id, r.size) for r in chunk_documents(df).collect()}
+    assert got == {(1, 9007199254740993), (2, None)}

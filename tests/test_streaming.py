@@ -78,7 +78,7 @@ def test_upload_events_trigger_object_processing(spark, tmp_dir):
             f.write(t)
     inbox = os.path.join(tmp_dir, "events")
     os.makedirs(inbox)
-    for i, key in enumerate(texts):
+    for i, key in enumerate([*texts, "docs/[gone]*.pdf"]):
         ev = {"Records": [{"s3": {"bucket": {"name": "b1"}, "object": {"key": key.replace(" ", "+")}}}]}
         with open(os.path.join(inbox, f"e{i}.json"), "w") as f:
             f.write(json.dumps(ev) + "\n")
@@ -89,3 +89,21 @@ def test_upload_events_trigger_object_processing(spark, tmp_dir):
     paths = {r.path.rsplit("/", 1)[1] for r in got.select("path").distinct().collect()}
     assert paths == {"a%20report.PDF"} or paths == {"a report.PDF"}
     assert got.count() == len(chunking.chunk_spans("Annual report text. " * 40))
+    lost = sorted((r.path.rsplit("/", 1)[1], r.reason) for r in spark.read.parquet(out + "._rejects").collect())
+    assert [x[0] for x in lost] == ["[gone]*.pdf", "tiny.pdf"] and lost[0][1] == "object not found"
+
+
+def test_files_with_old_times_are_not_late(spark, tmp_dir):
+    inbox = os.path.join(tmp_dir, "documents")
+    out = os.path.join(tmp_dir, "chunks")
+    for doc, age in ((1, 0), (2, 3 * 3600)):
+        part = spark.createDataFrame([(doc, f"document {doc} has enough text to be kept. " * 4)], "doc_id long, text string")
+        part.coalesce(1).write.mode("append").parquet(f"{inbox}.parquet")
+        if age:
+            newest = max((os.path.join(f"{inbox}.parquet", f) for f in os.listdir(f"{inbox}.parquet") if f.startswith("part")),
+                         key=os.path.getmtime)
+            os.utime(newest, (os.path.getmtime(newest) - age,) * 2)
+        docs = stream.read_table_stream(spark, tmp_dir, "documents")
+        chunks = stream.dedupe_stream(stream.chunk_stream(docs))
+        stream.run_available_now(stream.write_files(chunks, out, f"late{doc}"))
+    assert {r.doc_id for r in spark.read.parquet(out).collect()} == {1, 2}
