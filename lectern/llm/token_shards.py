@@ -41,6 +41,7 @@ SEEKABLE = 0x8F92EAB1
 ENTRY = struct.Struct("<III")
 FOOTER = struct.Struct("<IBI")
 CHECKSUM_FLAG = 0x80
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 MANIFEST = "shard int, path string, n_docs bigint, n_tokens bigint, n_bytes bigint"
 TOKENS = "doc_id bigint, shard int, frame int, shard_start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -58,7 +59,7 @@ class PieceEncoder:
     table of pieces is emptied at ``max_pieces``: memory is bounded.
     """
 
-    def __init__(self, tokenizer_path: str, end_id: int, max_pieces: int = 800_000):
+    def __init__(self, tokenizer_path: str, end_id: int, max_pieces: int = 500_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.end_id = end_id
@@ -269,7 +270,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
         shard, writer, encoder = TaskContext.get().partitionId(), None, None
         name = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.zst"
         for batch in batches:
-            for part in textops.pieces(batch, 1, 4 << 20):
+            for part in textops.pieces(batch, 1, 1 << 20):
                 if writer is None:
                     writer, encoder = ShardWriter(name), encoder_of(tokenizer_path, end_id)
                 for doc_id, got in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
@@ -284,7 +285,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
     ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     manifest = ranged.mapInArrow(write, MANIFEST)
-    manifest.write.parquet(f"{path}/manifest")      # the commit: shards outside it do not count
+    # whole texts in a batch: few rows each, so that neither side holds tens of MB of text at once
+    size = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, "1000")
+    try:
+        manifest.write.parquet(f"{path}/manifest")  # the commit: shards outside it do not count
+    finally:
+        spark.conf.set(BATCH_ROWS, size)
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
