@@ -59,7 +59,7 @@ class PieceEncoder:
     table of pieces is emptied at ``max_pieces``: memory is bounded.
     """
 
-    def __init__(self, tokenizer_path: str, end_id: int, max_pieces: int = 500_000):
+    def __init__(self, tokenizer_path: str, end_id: int, max_pieces: int = 1_000_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.end_id = end_id
@@ -270,7 +270,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
         shard, writer, encoder = TaskContext.get().partitionId(), None, None
         name = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.zst"
         for batch in batches:
-            for part in textops.pieces(batch, 1, 1 << 20):
+            for part in textops.pieces(batch, 1, 2 << 20):
                 if writer is None:
                     writer, encoder = ShardWriter(name), encoder_of(tokenizer_path, end_id)
                 for doc_id, got in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
