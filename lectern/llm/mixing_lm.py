@@ -325,19 +325,19 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gather(table: pa.Table) -> pa.Table:
     """Per piece: every document's sum of log10(count + 1) and number of known tokens."""
-    out, docs, parts = [], [], []
+    out, docs, parts = [], [], {}
     for r in table.to_pylist():
         if r["kind"] == "docs":
             docs.append(r)
         elif r["kind"] == "words":
-            parts.append((int(unpack(r["a"])[0]), unpack(r["b"])))
+            parts[int(unpack(r["a"])[0])] = r["b"]          # a piece that occurs twice gets equal counts twice
         elif r["kind"] == "sizes":
             n = unpack(r["a"])
             out.append(("sizes", None, None, int(n[0]), int(n[1]), None, None, None))
         else:
             out.append(("counts", None, None, None, None, None, r["home"], r["a"]))
     done = [_table(out, _OUT)] if out else []
-    count = np.concatenate([c for _, c in sorted(parts, key=lambda x: x[0])]) if parts else np.empty(0, np.int64)
+    count = np.concatenate([unpack(parts[k]) for k in sorted(parts)]) if parts else np.empty(0, np.int64)
     value = np.log10(count + 1.0)
     for r in docs:
         ids, crc, n, code = (unpack(r[c]) for c in "abcd")

@@ -1,5 +1,9 @@
 """Every operator and stage on empty tables, nulls, ties, repeated rows, long texts and clashing columns."""
 
+import math
+import zlib
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +145,16 @@ def test_stages(spark, docs, bench, labels, tmp_dir, name, stage):
         assert out.count() <= given.count()
         if name != "token_ids":
             assert out.columns == own.columns
+
+
+def test_mixing_lm_of_a_table_united_with_itself(spark):
+    base = spark.createDataFrame([(i, " ".join(f"w{i * j % 97}" for j in range(60))) for i in range(40)], "doc_id long, text string")
+    got = rows(mixing_lm.score(base.unionByName(base)))
+    tokens = {i: [f"w{i * j % 97}" for j in range(60)] + [None] for i in range(40)}
+    count = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in 2 * ws)
+    n, v = sum(count.values()), len(count)
+    assert len(got) == 80
+    for r in got:
+        ws = tokens[r["doc_id"]]
+        assert r["n_known"] == sum(count[w] > 0 for w in ws)
+        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
