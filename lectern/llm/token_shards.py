@@ -55,7 +55,8 @@ class PieceEncoder:
     The vocabulary's words never cross a blank or newline (white space is
     dropped before merging), so ids of a text are the ids of its pieces in
     order; nor do they join a letter with a comma or full stop after it. Texts
-    of one-byte characters are lower-cased first, as the vocabulary does. The
+    of one-byte characters are lower-cased first, as the vocabulary does, unless
+    they may hold a special token, which the vocabulary matches before. The
     table of pieces is emptied at ``max_pieces``: memory is bounded.
     """
 
@@ -86,9 +87,16 @@ class PieceEncoder:
         self.used += len(ids)
         self.code.update(zip(pieces, range(k, k + n)))
 
+    def _ends_in_letter(self, piece: str) -> bool:
+        """Whether the piece, as the vocabulary normalises it, ends in a letter (U+0130 ends in a mark)."""
+        last = piece[-1:]
+        if last.isascii():
+            return last.isalpha()
+        return last.isalpha() and self.tokenizer.normalizer.normalize_str(piece)[-1:].isalpha()
+
     def _learn(self, fresh: set[str]) -> None:
         code = self.code
-        marked = [p for p in fresh if p[-1:] in _MARKS and p[-2:-1].isalpha()]
+        marked = [p for p in fresh if p[-1:] in _MARKS and self._ends_in_letter(p[:-1])]
         plain = fresh.difference(marked)
         plain.update(p[:-1] for p in marked)
         plain.update(p[-1] for p in marked)
@@ -117,6 +125,9 @@ class PieceEncoder:
         # A-Z fold before the lookup where every character has one byte in Latin-1 (no marks that combine)
         wide = np.concatenate([[0], np.cumsum(raw >= 0xC4)])
         plain = wide[offs[1:]] == wide[offs[:-1]]
+        # special tokens match before lower-casing: texts that may hold one keep their capitals
+        special = np.flatnonzero((raw[:-1] == _SPECIAL[0]) & (raw[1:] == _SPECIAL[1]))
+        plain[np.searchsorted(offs, special, side="right") - 1] = False
         raw = _FOLD[raw] if plain.all() else np.where(np.repeat(plain, np.diff(offs)), _FOLD[raw], _BLANK[raw])
         w = textops.words_of(raw, offs, _GAP)
         size = w.end - w.start
@@ -153,6 +164,7 @@ _FOLD = _BLANK.copy()
 _FOLD[65:91] += 32
 _GAP = np.arange(256) == 32
 _BETWEEN = "\x01"
+_SPECIAL = b"<|"
 _MARKS = frozenset((".", ","))
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 

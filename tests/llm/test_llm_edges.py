@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,12 @@ def test_mixing_lm_of_a_table_united_with_itself(spark):
         ws = tokens[r["doc_id"]]
         assert r["n_known"] == sum(count[w] > 0 for w in ws)
         assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
+
+
+@pytest.mark.parametrize("texts", [["TARİHİ. gazete", "GAZETESİ, ve", "işİ."], ["אשׁ. x", "कक़, y"],
+                                   ["A <|ENDOFTEXT|> B", "Plain A.", "x <|endoftext|> Y."], ["<|EndOfText|>", "<|STARTOFTEXT|>é É."]])
+def test_token_ids_are_those_of_the_whole_text(texts):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(word_bpe_path())
+    got = token_shards.PieceEncoder(word_bpe_path(), 2).encode(pa.array(texts))
+    assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
