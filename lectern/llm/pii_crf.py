@@ -2,8 +2,8 @@
 
 Pattern spans (email, ip, card, phone) are found in the whole text. The CRF
 reads the tokens (white-space words) around every token with a digit, an at
-sign or a spelled dot; spans of these kinds contain one. Its features are word
-shapes (letters, digits and signs with runs folded), digit counts, lengths and
+sign, or ``at`` or ``dot`` spelled in any case; no span without a digit, an at
+sign or a spelled ``at`` is ever added. Its features are word shapes (letters, digits and signs with runs folded), digit counts, lengths and
 the shapes beside a token. It is trained by maximum likelihood from a small
 labelled table and decoded by Viterbi over batches of equal length. A decoded
 span is added if it overlaps no pattern span and its digits fit its kind.
@@ -86,7 +86,7 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- sequences --------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_SIGN = re.compile(r"[0-9@]|(?<![a-z])dot(?![a-z])")
+_SIGN = re.compile(r"[0-9@]|(?<![a-z])(?:at|dot)(?![a-z])", re.IGNORECASE)
 _BRACKETED = {"at": "<at>", "dot": "<dot>"}
 
 

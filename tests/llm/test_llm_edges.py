@@ -1,6 +1,7 @@
 """Every operator and stage on empty tables, nulls, ties, repeated rows, long texts and clashing columns."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -168,3 +169,19 @@ def test_token_ids_are_those_of_the_whole_text(texts):
     tok = Tokenizer.from_file(word_bpe_path())
     got = token_shards.PieceEncoder(word_bpe_path(), 2).encode(pa.array(texts))
     assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
+def test_pii_finds_every_labelled_line(spark):
+    texts, wanted = [], []
+    for line in pii_crf.LABELLED + ("write to {email:JANE (AT) EXAMPLE (DOT) ORG} soon",):
+        text, spans = "", []
+        for part in re.split(r"(\{\w+:[^}]*\})", line):
+            m = re.fullmatch(r"\{(\w+):([^}]*)\}", part)
+            if m:
+                spans.append(f"{m.group(1)}:{len(text)}:{len(text) + len(m.group(2))}")
+            text += m.group(2) if m else part
+        texts.append(text)
+        wanted.append(",".join(spans))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in rows(pii_crf.find(docs))}
+    assert {t: got[i] for i, t in enumerate(texts)} == dict(zip(texts, wanted))
