@@ -1,16 +1,24 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
+"""Language-model scores by logistic mixing of context bit predictors.
 
 A text is read as bytes (A-Z lower-cased, an end byte after the last). Each of
-the eight bits of a byte is predicted by counts kept for hashed contexts of
-zero to five preceding bytes. The predictions' log-odds are combined by
-weights chosen by a gate (bit number and how many contexts are known), and the
-mix is refined by an adaptive map from (preceding byte, mixed log-odds) to
-probability. Counts are sums over all training documents, so they are built by
-tasks and merged block by block. Weights and map are learnt online, bit by
-bit, on a bounded sample of training texts whose own counts are taken out
-first. Scoring then is a function of the text alone: any task can score any
-document, and equal places (same byte, same five before it) are computed once
-per batch. The model has a fixed size (``SLOTS``), which bounds the broadcast.
+the eight bits of a byte is predicted by exact counts of its contexts of zero
+to five preceding bytes. The predictions' log-odds are combined by weights
+chosen by a gate (bit number and how many contexts are known), and the mix is
+refined by an adaptive map from (preceding byte, mixed log-odds) to
+probability. Counts are sums over all training documents: six-byte strings
+(five bytes of context and the byte) hold the counts of every order and bit,
+so pieces of input send their distinct strings to the bucket of the two bytes
+before the last, where orders two to five are counted; orders zero and one are
+a table of 65,536 byte pairs. The strings and counts are a Spark table that
+grows with the training text.
+
+Weights and map are learnt from every place of every training document, each
+place with its own occurrence taken out of the counts: sums of gradient and
+curvature over all buckets, then a Newton step, a few times (``WEIGHT_PASSES``,
+``MAP_PASSES``). This is the loss that online learning descends place by place;
+the sums are integers, so the result does not depend on the order of tasks.
+Every distinct string is scored once, in its bucket, and its score goes back to
+the pieces that hold it; a score is a function of the text alone.
 
 Beside it stands the unigram base: counts of all training words. Words travel
 once per piece of input, not once per place: each piece sends its distinct
@@ -27,6 +35,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +47,16 @@ from lectern.llm.common import shuffle_partitions, stored
 from lectern.llm.packing import bucket_of, pack, unpack
 
 ORDERS = (0, 1, 2, 3, 4, 5)
-BITS = (8, 16, 18, 19, 19, 19)                  # log2 of the slots of each order
-_FIRST = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
-SLOTS = int(_FIRST[-1])
-BLOCK = 1 << 15                                  # slots merged together
 PIECE_BYTES = 12 << 20
 GATES = 8 * len(ORDERS)
 BUCKETS = 24                                     # log-odds steps of the adaptive map
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SALT = [np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)) for k in ORDERS]
+SLICE_BYTES = 2 << 20                            # text whose places are held at once
+WEIGHT_PASSES, MAP_PASSES = 5, 3
+UNIT = 1 << 10                                   # sums over places are kept in integers of 1 / UNIT
+_I, _K = np.triu_indices(len(ORDERS))
 
 
 def places(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,61 +98,114 @@ def collapse(h: np.ndarray, bits: int = 21) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([h[leaders], more]), code
 
 
-def _hashes(keys: np.ndarray) -> list[np.ndarray]:
-    ctx = keys >> np.uint64(8)
-    return [textops.mix((ctx & np.uint64((1 << (8 * k)) - 1)) + _SALT[k]) for k in ORDERS]
-
+def by_context(keys: np.ndarray) -> np.ndarray:
+    """Six-byte strings with the byte before the last as the highest: order ``k`` shares its first ``k`` bytes."""
+    out = keys & np.uint64(255)
+    for back in range(1, 6):
+        out |= ((keys >> np.uint64(8 * back)) & np.uint64(255)) << np.uint64(8 * (6 - back))
+    return out
 
-def _slots(hashes: list[np.ndarray], ctx: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
-    """Table index of order ``k`` at a node of the byte's bit tree."""
-    if k == 0:
-        return node.astype(np.int64)
-    if k == 1:
-        at = ((ctx & np.uint64(255)) << np.uint64(8)) | node
-    else:
-        at = (hashes[k] + node * _STEP) & np.uint64((1 << BITS[k]) - 1)
-    return at.astype(np.int64) + int(_FIRST[k])
 
+def levels(strings: np.ndarray, times: np.ndarray, pairs: np.ndarray) -> Iterator[tuple]:
+    """Per bit number: (unit of each string, first string of each unit, n0 and n1 of each unit and order).
 
-def add_counts(counts: np.ndarray, keys: np.ndarray, times: np.ndarray) -> None:
-    """Add bits of places (``keys`` occurring ``times``) to ``counts[slot * 2 + bit]``."""
-    hashes, ctx, byte = _hashes(keys), keys >> np.uint64(8), keys & np.uint64(255)
-    times = times.astype(counts.dtype)
+    ``strings`` ascend and are all those of their two-byte contexts; ``pairs``
+    counts (preceding byte, byte). A unit is a five-byte context with the bits before.
+    """
+    byte = strings & np.uint64(255)
+    pairs = pairs.astype(np.float64)
+    orders = [(np.arange(256, dtype=np.uint64), pairs.reshape(256, 256).sum(axis=0), byte.astype(np.int64)),
+              (np.arange(65536, dtype=np.uint64), pairs, ((strings >> np.uint64(40) << np.uint64(8)) | byte).astype(np.int64))]
+    for k in ORDERS[2:]:
+        own, at = np.unique((strings >> np.uint64(8 * (6 - k)) << np.uint64(8)) | byte, return_inverse=True)
+        orders.append((own, np.bincount(at, weights=times, minlength=len(own)), at))
     for j in range(8):
-        node = (np.uint64(1) << np.uint64(j)) | (byte >> np.uint64(8 - j))
-        bit = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
-        for k in ORDERS:
-            np.add.at(counts, _slots(hashes, ctx, node, k) * 2 + bit, times)
+        cut = np.uint64(8 - j)
+        unit = strings >> cut
+        begins = np.diff(unit, prepend=~unit[:1]) != 0
+        first = np.flatnonzero(begins)
+        n0, n1 = np.empty((len(first), len(ORDERS))), np.empty((len(first), len(ORDERS)))
+        for k, (own, total, at) in enumerate(orders):
+            node = own >> cut
+            group = np.cumsum(np.diff(node, prepend=node[:1]) != 0)
+            one = ((own >> np.uint64(7 - j)) & np.uint64(1)).astype(np.float64)
+            mine = group[at[first]]
+            ones = np.bincount(group, weights=total * one)
+            n1[:, k] = ones[mine]
+            n0[:, k] = (np.bincount(group, weights=total) - ones)[mine]
+        yield np.cumsum(begins) - 1, first, n0, n1
+
+
+def _inputs(n0: np.ndarray, n1: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of every order, and the gate."""
+    return np.log((n1 + 0.4) / (n0 + 0.4)), j * len(ORDERS) + (n0[:, 1:] + n1[:, 1:] > 0).sum(axis=1)
 
 
 @dataclass
 class Mixer:
-    odds: np.ndarray          # log-odds of every slot
-    known: np.ndarray         # slot has counts
+    pairs: np.ndarray         # counts of (preceding byte, byte)
     weights: np.ndarray       # (GATES, orders)
     refine: np.ndarray        # (256, BUCKETS + 1) log-odds after refinement
 
-    def log2(self, keys: np.ndarray) -> np.ndarray:
-        """log2 probability of the last byte of every key, given the five before it."""
-        out = np.empty(len(keys))
-        for lo in range(0, len(keys), 1 << 16):
-            out[lo:lo + (1 << 16)] = self._log2(keys[lo:lo + (1 << 16)])
-        return out
-
-    def _log2(self, keys: np.ndarray) -> np.ndarray:
-        hashes, ctx, byte = _hashes(keys), keys >> np.uint64(8), keys & np.uint64(255)
-        before = (ctx & np.uint64(255)).astype(np.int64)
-        total = np.zeros(len(keys))
-        for j in range(8):
-            node = (np.uint64(1) << np.uint64(j)) | (byte >> np.uint64(8 - j))
-            bit = (byte >> np.uint64(7 - j)) & np.uint64(1)
-            at = [_slots(hashes, ctx, node, k) for k in ORDERS]
-            gate = j * len(ORDERS) + sum(self.known[a] for a in at[1:])
-            x = sum(self.odds[a] * self.weights[gate, k] for k, a in enumerate(at))
-            p = _probability(_mix_and_refine(x, self.refine, before))
-            total += np.log2(np.where(bit > 0, p, 1 - p))
+    def log2(self, strings: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """log2 probability of the last byte of every string of a bucket, given the five before it."""
+        total = np.zeros(len(strings))
+        before = (strings >> np.uint64(40)).astype(np.int64)
+        for j, (unit, first, n0, n1) in enumerate(levels(strings, times, self.pairs)):
+            x, gate = _inputs(n0, n1, j)
+            p = _probability(_mix_and_refine((x * self.weights[gate]).sum(axis=1), self.refine, before[first]))
+            bit = (strings >> np.uint64(7 - j)) & np.uint64(1)
+            total += np.where(bit > 0, np.log2(p)[unit], np.log2(1 - p)[unit])
         return total
 
+    def sums(self, strings: np.ndarray, times: np.ndarray, mapped: bool) -> np.ndarray:
+        """Gradient and curvature of the log-likelihood of a bucket's training places, in 1 / UNIT."""
+        shape = (2, 256 * (BUCKETS + 1)) if mapped else (len(ORDERS) + len(_I), GATES)
+        out = np.zeros(shape)
+        before = (strings >> np.uint64(40)).astype(np.int64)
+        for j, (_, first, n0, n1) in enumerate(levels(strings, times, self.pairs)):
+            for bit, n in ((0, n0), (1, n1)):
+                some = np.flatnonzero(n[:, -1])
+                often = n[some, -1]
+                # the place's own occurrence is taken out of every order
+                x, gate = _inputs(n0[some] - (bit == 0), n1[some] - bit, j)
+                mixed = (x * self.weights[gate]).sum(axis=1)
+                if mapped:
+                    low, part = _cell(mixed)
+                    cell = before[first[some]] * (BUCKETS + 1) + low
+                    flat = self.refine.ravel()
+                    p = _probability(flat[cell] * (1 - part) + flat[cell + 1] * part)
+                    for at, share in ((cell, 1 - part), (cell + 1, part)):
+                        out[0] += np.bincount(at, often * (bit - p) * share, shape[1])
+                        out[1] += np.bincount(at, often * p * (1 - p) * share, shape[1])
+                else:
+                    p = _probability(mixed)
+                    for k in ORDERS:
+                        out[k] += np.bincount(gate, often * (bit - p) * x[:, k], GATES)
+                    for r, (i, k) in enumerate(zip(_I, _K)):
+                        out[len(ORDERS) + r] += np.bincount(gate, often * p * (1 - p) * x[:, i] * x[:, k], GATES)
+        return np.rint(out * UNIT).astype(np.int64)
+
+    def step(self, sums: np.ndarray, mapped: bool) -> None:
+        """One Newton step from the sums of all buckets; a weak pull to the start settles what no place tells."""
+        s = sums / UNIT
+        if mapped:
+            s = s.reshape(2, 256, BUCKETS + 1)
+            self.refine = np.clip(self.refine + (s[0] + _IDENTITY - self.refine) / (s[1] + 1), -11, 11)
+            return
+        bend = np.zeros((GATES, len(ORDERS), len(ORDERS)))
+        bend[:, _I, _K] = bend[:, _K, _I] = s[len(ORDERS):].T
+        move = np.linalg.solve(bend + np.eye(len(ORDERS)), (s[:len(ORDERS)].T + START - self.weights)[:, :, None])[:, :, 0]
+        self.weights = self.weights + move / np.maximum(np.abs(move).max(axis=1, keepdims=True), 1)
+
+
+START = 0.3
+_IDENTITY = np.arange(BUCKETS + 1) * 16 / BUCKETS - 8.0
+
+
+def starting_mixer(pairs: np.ndarray) -> Mixer:
+    return Mixer(pairs, np.full((GATES, len(ORDERS)), START), np.tile(_IDENTITY, (256, 1)))
+
 
 def _probability(x: np.ndarray) -> np.ndarray:
     return np.clip(1 / (1 + np.exp(-x)), 1 / 65536, 1 - 1 / 65536)
@@ -162,57 +223,16 @@ def _mix_and_refine(x: np.ndarray, refine: np.ndarray, before: np.ndarray) -> np
     return (x + fine) / 2
 
 
-def _odds(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pair = counts.reshape(-1, 2).astype(np.float64)
-    return np.log((pair[:, 1] + 0.4) / (pair[:, 0] + 0.4)).astype(np.float32), (pair.sum(axis=1) > 0).astype(np.int8)
-
-
-def learn_mixer(counts: np.ndarray, texts: list[str], rate: float = 0.02) -> Mixer:
-    """Weights and refinement, learnt online over ``texts`` side by side, one bit of each at a time."""
-    weights = np.full((GATES, len(ORDERS)), 0.3)
-    steps = (np.arange(BUCKETS + 1) * 16 / BUCKETS - 8).astype(np.float64)
-    refine = np.tile(steps, (256, 1))
-    odds, known = _odds(counts)
-    texts = [t for t in texts if t]
-    if not texts:
-        return Mixer(odds, known, weights, refine)
-    keys, row = places(*textops.text_bytes(pa.array(texts, pa.large_string())))
-    own = np.zeros_like(counts)
-    add_counts(own, *np.unique(keys, return_counts=True))
-    rest, there = _odds(counts - np.minimum(own, counts))
-    start = np.searchsorted(row, np.arange(len(texts)))
-    size = np.diff(np.append(start, len(keys)))
-    for t in range(int(size.max())):
-        k6 = keys[start[size > t] + t]
-        hashes, ctx, byte = _hashes(k6), k6 >> np.uint64(8), k6 & np.uint64(255)
-        before = (ctx & np.uint64(255)).astype(np.int64)
-        pace = max(rate / (1 + t / 400), 0.002)
-        for j in range(8):
-            node = (np.uint64(1) << np.uint64(j)) | (byte >> np.uint64(8 - j))
-            bit = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(np.float64)
-            at = np.stack([_slots(hashes, ctx, node, k) for k in ORDERS], axis=1)
-            gate = j * len(ORDERS) + there[at[:, 1:]].sum(axis=1)
-            x = rest[at].astype(np.float64)
-            mixed = (x * weights[gate]).sum(axis=1)
-            err = bit - _probability(mixed)
-            np.add.at(weights, gate, pace * err[:, None] * x / np.sqrt(len(k6)))
-            low, part = _cell(mixed)
-            fine = refine[before, low] * (1 - part) + refine[before, low + 1] * part
-            slip = 0.5 * (bit - _probability(fine))
-            np.add.at(refine, (before, low), slip * (1 - part) * pace * 10)
-            np.add.at(refine, (before, low + 1), slip * part * pace * 10)
-    return Mixer(odds, known, weights, np.clip(refine, -11, 11))
-
-
 # ---- Spark: counts of contexts and words --------------------------------------------
 
 SENT = "bucket int, kind string, piece bigint, a binary, b binary, c binary, d binary"
-BACK = "home bigint, kind string, a binary, b binary, c binary, d binary"
-OUT = "kind string, doc_id bigint, crc bigint, n_tokens bigint, n_known bigint, log_sum double, block int, counts binary"
-_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("piece", pa.int64())] + [(c, pa.binary()) for c in "abcd"])
-_BACK = pa.schema([("home", pa.int64()), ("kind", pa.string())] + [(c, pa.binary()) for c in "abcd"])
-_OUT = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("n_tokens", pa.int64()),
-                  ("n_known", pa.int64()), ("log_sum", pa.float64()), ("block", pa.int32()), ("counts", pa.binary())])
+BACK = "bucket int, kind string, home bigint, n bigint, v bigint, a binary, b binary, c binary, d binary"
+OUT = "doc_id bigint, n_tokens bigint, n_known bigint, log_sum double, n_bytes bigint, bits double"
+_ABCD = [(c, pa.binary()) for c in "abcd"]
+_SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("piece", pa.int64())] + _ABCD)
+_BACK = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("home", pa.int64()), ("n", pa.int64()), ("v", pa.int64())] + _ABCD)
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_sum", pa.float64()),
+                  ("n_bytes", pa.int64()), ("bits", pa.float64())])
 END = np.uint64(0xE0DE0DE0DE0DE0D1)              # hash of the end token
 
 
@@ -230,166 +250,249 @@ def _crcs(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(view[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], np.int64)
 
 
+def _by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Strings under the bucket of the two bytes before their last, ascending as (bucket, string)."""
+    strings = by_context(keys)
+    bucket = bucket_of(textops.mix((strings >> np.uint64(32)) + _STEP), min(buckets, 1 << 16))
+    return (bucket.astype(np.uint64) << np.uint64(48)) | strings
+
+
+_STRING = np.uint64((1 << 48) - 1)
+
+
 def _scan(buckets: int):
-    """Context counts of the task, distinct words of each piece, and the words of each document as codes."""
+    """Distinct strings and words of each piece with their training counts, and the texts of the piece."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * SLOTS, np.uint32)
-        trained = False
-        ids, crc, train, words, sizes, held = [], [], [], [], [], 0
+        ids, valid, crc, train, words, sizes, texts, grams, often, held = [], [], [], [], [], [], [], [], [], 0
 
         def flush():
             doc, sums, tr = np.concatenate(ids), np.concatenate(crc), np.concatenate(train)
-            w, n = np.concatenate(words), np.concatenate(sizes)
-            distinct, code = collapse(w)
-            by = np.argsort(distinct)
-            place = np.empty(len(by), np.int64)
-            place[by] = np.arange(len(by))
-            distinct, code = distinct[by], place[code]
-            c = np.bincount(code[np.repeat(tr, n)], minlength=len(distinct))
+            raw, n = np.concatenate(texts), np.concatenate(sizes)
+            distinct, c = _counted(np.concatenate(words), np.repeat(tr, n))
             piece = np.bitwise_xor.reduce(textops.mix(distinct + c.astype(np.uint64))) ^ np.bitwise_xor.reduce(
                 textops.mix(doc.astype(np.uint64) * _STEP + sums.astype(np.uint64) + np.arange(len(doc), dtype=np.uint64)))
             piece = int(np.int64(piece.astype(np.int64)))
             home = int(bucket_of(np.array([textops.mix(np.array([piece], np.int64).astype(np.uint64))[0]]), buckets)[0])
-            rows = [(home, "docs", piece, pack(doc), pack(sums), pack(n.astype(np.int64)), pack(code.astype(np.uint32)))]
-            edge = np.searchsorted(bucket_of(distinct, buckets), np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edge)):
-                lo, hi = edge[b], edge[b + 1]
-                rows.append((int(b), "words", piece, pack(distinct[lo:hi], delta=True), pack(c[lo:hi].astype(np.int64)),
-                             pack(np.array([lo], np.int64)), b""))
-                if len(rows) >= 64:
-                    yield _table(rows, _SENT)
-                    rows = []
+            yield _table([(home, "docs", piece, pack(doc), pack(np.concatenate(valid)), pack(np.concatenate(lens)), pack(raw))], _SENT)
+            strings, at = np.unique(np.concatenate(grams), return_inverse=True)
+            g = np.bincount(at, weights=np.concatenate(often), minlength=len(strings)).astype(np.int64)
+            rows = []
+            for kind, keys, times, where in (("words", distinct, c, bucket_of(distinct, buckets)),
+                                             ("grams", strings & _STRING, g, (strings >> np.uint64(48)).astype(np.int64))):
+                edge = np.searchsorted(where, np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(edge)):
+                    lo, hi = edge[b], edge[b + 1]
+                    rows.append((int(b), kind, piece, pack(keys[lo:hi], delta=True), pack(times[lo:hi].astype(np.int64)),
+                                 pack(np.array([lo], np.int64)), b""))
+                    if len(rows) >= 64:
+                        yield _table(rows, _SENT)
+                        rows = []
             if rows:
                 yield _table(rows, _SENT)
+        lens: list[np.ndarray] = []
         for batch in batches:
-            for part in textops.pieces(batch, 1, 4 << 20):
+            for part in textops.pieces(batch, 1, SLICE_BYTES):
                 raw, offs = textops.text_bytes(part.column(1))
-                tr = part.column(2).to_numpy(zero_copy_only=False)
+                tr = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 key, row = places(raw, offs)
-                own = key[tr[row]] if len(key) else key
-                if len(own):
-                    distinct, code = collapse(own)
-                    add_counts(counts, distinct, np.bincount(code, minlength=len(distinct)))
-                    trained = True
-                w = textops.words_of(raw, offs)
-                h = textops.word_hashes(w)
-                n = w.counts()
-                withend = np.insert(h, w.first[1:], END)
-                ids.append(part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                distinct, code = collapse(key)
+                grams.append(_by_bucket(distinct, buckets))
+                often.append(np.bincount(code, weights=tr[row], minlength=len(distinct)))
+                h, n = _words(raw, offs)
+                doc = part.column(0)
+                ids.append(doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                valid.append(doc.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8))
                 crc.append(_crcs(raw, offs))
-                train.append(tr.astype(bool))
-                words.append(withend)
-                sizes.append(n + 1)
+                train.append(tr)
+                words.append(h)
+                sizes.append(n)
+                lens.append(np.diff(offs).astype(np.int64))
+                texts.append(raw.copy())
                 held += len(raw)
                 if held >= PIECE_BYTES:
                     yield from flush()
-                    ids, crc, train, words, sizes, held = [], [], [], [], [], 0
+                    for x in (ids, valid, crc, train, words, sizes, lens, texts, grams, often):
+                        x.clear()
+                    held = 0
         if ids:
             yield from flush()
-        if trained:
-            for b in range(0, SLOTS, BLOCK):
-                part = counts[2 * b:2 * (b + BLOCK)]
-                if part.any():
-                    yield _table([(b // BLOCK % buckets, "counts", b // BLOCK, pack(part), b"", b"", b"")], _SENT)
     return scan
 
 
+def _words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of every text, its end last, and their number per text."""
+    w = textops.words_of(raw, offs)
+    return np.insert(textops.word_hashes(w), w.first[1:], END), w.counts() + 1
+
+
+def _ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values ascending, rank of each element)."""
+    distinct, code = collapse(h)
+    by = np.argsort(distinct)
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return distinct[by], place[code]
+
+
+def _counted(h: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, code = _ranked(h)
+    return distinct, np.bincount(code[chosen], minlength=len(distinct))
+
+
+def _add_up(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    distinct, code = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(code, weights=np.concatenate(times), minlength=len(distinct)).astype(np.int64)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's buckets: sums of context blocks and of words; word counts go back to their pieces."""
-    blocks: dict[int, np.ndarray] = {}
+    """One task's buckets: sums of words, whose counts go back to their pieces, and of strings (``table``)."""
     keys, times, pieces, firsts = [], [], [], []
+    tables: dict[int, tuple[list, list]] = {}
+    fresh: dict[int, int] = {}
     for batch in batches:
         for r in batch.to_pylist():
             if r["kind"] == "docs":
-                yield _table([(r["piece"], "docs", r["a"], r["b"], r["c"], r["d"])], _BACK)
-            elif r["kind"] == "counts":
-                got = unpack(r["a"]).astype(np.uint64)
-                blocks[r["piece"]] = blocks[r["piece"]] + got if r["piece"] in blocks else got
+                yield _table([(None, "docs", r["piece"], None, None, r["a"], r["b"], r["c"], r["d"])], _BACK)
+            elif r["kind"] == "grams":
+                b = r["bucket"]
+                k, t = tables.setdefault(b, ([], []))
+                k.append(unpack(r["a"]))
+                t.append(unpack(r["b"]))
+                fresh[b] = fresh.get(b, 0) + len(k[-1])
+                if fresh[b] > 1 << 20:
+                    merged = _add_up(k, t)
+                    tables[b], fresh[b] = ([merged[0]], [merged[1]]), 0
+                yield _table([(b, "grams", r["piece"], None, None, r["a"], r["c"], b"", b"")], _BACK)
             else:
                 keys.append(unpack(r["a"]))
                 times.append(unpack(r["b"]))
                 pieces.append(r["piece"])
-                firsts.append(int(unpack(r["c"])[0]))
-    for b, total in blocks.items():
-        yield _table([(b, "counts", pack(total), b"", b"", b"")], _BACK)
+                firsts.append(r["c"])
+    for b, (k, t) in tables.items():
+        strings, total = _add_up(k, t)
+        yield _table([(b, "table", None, len(strings), None, pack(strings, delta=True), pack(total), b"", b"")], _BACK)
     if keys:
-        every = np.concatenate(keys)
-        distinct, code = np.unique(every, return_inverse=True)
+        distinct, code = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(code, weights=np.concatenate(times), minlength=len(distinct)).astype(np.int64)
-        yield _table([(0, "sizes", pack(np.array([total.sum(), (total > 0).sum()], np.int64)), b"", b"", b"")], _BACK)
+        yield _table([(None, "sizes", None, int(total.sum()), int((total > 0).sum()), b"", b"", b"", b"")], _BACK)
         back, at = total[code], 0
         for k, piece, first in zip(keys, pieces, firsts):
-            yield _table([(piece, "words", pack(np.array([first], np.int64)), pack(back[at:at + len(k)]), b"", b"")], _BACK)
+            yield _table([(None, "words", piece, None, None, first, pack(back[at:at + len(k)]), b"", b"")], _BACK)
             at += len(k)
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """Per piece: every document's sum of log10(count + 1) and number of known tokens."""
-    out, docs, parts = [], [], {}
-    for r in table.to_pylist():
-        if r["kind"] == "docs":
-            docs.append(r)
-        elif r["kind"] == "words":
-            parts[int(unpack(r["a"])[0])] = r["b"]          # a piece that occurs twice gets equal counts twice
-        elif r["kind"] == "sizes":
-            n = unpack(r["a"])
-            out.append(("sizes", None, None, int(n[0]), int(n[1]), None, None, None))
-        else:
-            out.append(("counts", None, None, None, None, None, r["home"], r["a"]))
-    done = [_table(out, _OUT)] if out else []
-    count = np.concatenate([unpack(parts[k]) for k in sorted(parts)]) if parts else np.empty(0, np.int64)
-    value = np.log10(count + 1.0)
-    for r in docs:
-        ids, crc, n, code = (unpack(r[c]) for c in "abcd")
-        first = np.cumsum(n) - n
-        done.append(pa.RecordBatch.from_arrays([
-            pa.array(["doc"] * len(ids)), pa.array(ids), pa.array(crc), pa.array(n),
-            pa.array(np.add.reduceat((count[code] > 0).astype(np.int64), first)),
-            pa.array(np.add.reduceat(value[code], first)), pa.nulls(len(ids), pa.int32()),
-            pa.nulls(len(ids), pa.binary())], schema=_OUT))
-    return pa.Table.from_batches(done, _OUT)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 256,
-          sample_chars: int = 4000) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``.
-
-    ``sample`` training texts (the first by hash, at most ``sample_chars``
-    long) teach the mixer; counts come from every training document.
-    """
+def _joined(rows: list[dict], kind: str, dtype) -> np.ndarray:
+    """The values sent back to a piece, in order (a piece that occurs twice gets equal values twice)."""
+    parts = {int(unpack(r["a"])[0]): r["b"] for r in rows if r["kind"] == kind}
+    return np.concatenate([unpack(parts[k]).view(dtype) for k in sorted(parts)])
+
+
+def _gather(buckets: int):
+    """Per piece: every document's sum of log10(count + 1), number of known tokens and bits."""
+    def gather(table: pa.Table) -> pa.Table:
+        rows, done = table.to_pylist(), []
+        count, score = _joined(rows, "words", np.int64), _joined(rows, "grams", np.float32)
+        value = np.log10(count + 1.0)
+        for r in rows:
+            if r["kind"] != "docs":
+                continue
+            ids, valid, lens, raw = (unpack(r[c]) for c in "abcd")
+            offs = np.concatenate([[0], np.cumsum(lens)])
+            cuts = [0]
+            while cuts[-1] < len(ids):
+                hi = int(np.searchsorted(offs, offs[cuts[-1]] + SLICE_BYTES, side="right")) - 1
+                cuts.append(min(max(hi, cuts[-1] + 1), len(ids)))
+            grams, codes, hashes, sizes = [], [], [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                part, at = raw[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
+                distinct, c = collapse(places(part, at)[0])
+                grams.append(_by_bucket(distinct, buckets))
+                codes.append(c.astype(np.int32))
+                h, k = _words(part, at)
+                hashes.append(h)
+                sizes.append(k)
+            n = np.concatenate(sizes)
+            code, first = _ranked(np.concatenate(hashes))[1], np.cumsum(n) - n
+            at = np.unique(np.concatenate(grams), return_inverse=True)[1]
+            bits, used = [], 0
+            for lo, hi, g, c in zip(cuts[:-1], cuts[1:], grams, codes):
+                own = score[at[used:used + len(g)]].astype(np.float64)
+                bits.append(np.bincount(np.repeat(np.arange(hi - lo), lens[lo:hi] + 1), weights=own[c], minlength=hi - lo))
+                used += len(g)
+            done.append(pa.RecordBatch.from_arrays([
+                pa.array(ids, mask=valid == 0), pa.array(n.astype(np.int64)),
+                pa.array(np.add.reduceat((count[code] > 0).astype(np.int64), first)),
+                pa.array(np.add.reduceat(value[code], first)), pa.array(lens), pa.array(np.concatenate(bits))], schema=_OUT))
+        return pa.Table.from_batches(done, _OUT)
+    return gather
+
+
+# ---- Spark: learning and scoring ------------------------------------------------------
+
+def _summed(table: DataFrame, of) -> np.ndarray:
+    """Sum of integer arrays ``of(strings, times)`` over all buckets; one row per task comes to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = of(unpack(a), unpack(b))
+                total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pack(total.ravel())], pa.binary())], names=["a"])
+    got = table.select("a", "b").mapInArrow(run, "a binary").toLocalIterator()
+    return reduce(np.add, (unpack(a) for (a,) in got), 0)
+
+
+def _pair_counts(strings: np.ndarray, times: np.ndarray) -> np.ndarray:
+    pair = ((strings >> np.uint64(40) << np.uint64(8)) | (strings & np.uint64(255))).astype(np.int64)
+    return np.bincount(pair, weights=times, minlength=65536).astype(np.int64)
+
+
+def learn_mixer(table: DataFrame) -> Mixer:
+    """Weights, then the map, from all training places of the table of strings."""
+    mixer = starting_mixer(np.zeros(65536, np.int64) + _summed(table, _pair_counts))
+    if not mixer.pairs.any():
+        return mixer
+    for mapped in [False] * WEIGHT_PASSES + [True] * MAP_PASSES:
+        sums = _summed(table, lambda strings, times: mixer.sums(strings, times, mapped))
+        mixer.step(sums.reshape(-1, 256 * (BUCKETS + 1) if mapped else GATES), mapped)
+    return mixer
+
+
+def _score_strings(mixer):
+    """Scores of the strings of every piece, bucket by bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, wanted = {}, {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"] == "table":
+                    tables[r["bucket"]] = (r["a"], r["b"])
+                else:
+                    wanted.setdefault(r["bucket"], []).append((r["home"], r["a"], r["b"]))
+        for b, (keys, times) in tables.items():
+            strings = unpack(keys)
+            score = mixer.value.log2(strings, unpack(times)).astype(np.float32).view(np.uint32)
+            for home, own, first in wanted[b]:
+                yield _table([(b, "grams", home, None, None, first, pack(score[np.searchsorted(strings, unpack(own))]), b"", b"")], _BACK)
+    return run
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``."""
     spark = docs.sparkSession
     buckets = 2 * shuffle_partitions(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("train", trains(F.col("doc_id")))
     sent = rows.mapInArrow(_scan(buckets), SENT)
-    back = sent.repartition("bucket").mapInArrow(_merge, BACK)
-    table = stored(back.groupBy("home").applyInArrow(_gather, OUT), "mixing-lm")
-    sizes = table.where("kind = 'sizes'").agg(F.sum("n_tokens"), F.sum("n_known")).first()
+    back = stored(sent.repartition("bucket").mapInArrow(_merge, BACK), "mixing-lm")
+    sizes = back.where("kind = 'sizes'").agg(F.sum("n"), F.sum("v")).first()
     n, v = int(sizes[0] or 0), int(sizes[1] or 0)
-    counts = np.zeros(2 * SLOTS, np.uint64)
-    for block, packed in table.where("kind = 'counts'").select("block", "counts").toLocalIterator():
-        got = unpack(packed)
-        counts[2 * block * BLOCK:2 * block * BLOCK + len(got)] += got
-    texts = [t for (t,) in rows.where("train AND text <> ''").where(F.length("text") <= sample_chars).orderBy(
-        F.xxhash64("doc_id", "text")).limit(sample).select("text").collect()]
-    mixer = spark.sparkContext.broadcast(learn_mixer(counts, texts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in textops.pieces(batch, 1, 4 << 20):
-                raw, offs = textops.text_bytes(part.column(1))
-                key, row = places(raw, offs)
-                distinct, code = collapse(key)
-                bits = np.bincount(row, weights=mixer.value.log2(distinct)[code], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(_crcs(raw, offs)), pa.array(np.diff(offs)), pa.array(bits)],
-                    names=["doc_id", "crc", "n_bytes", "bits"])
-    scored = rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, crc bigint, n_bytes bigint, bits double")
-    base = table.where("kind = 'doc'").select(
-        F.col("doc_id").alias("base_id"), F.col("crc").alias("base_crc"), "n_tokens", "n_known", "log_sum").dropDuplicates(
-        ["base_id", "base_crc"])
-    joined = scored.join(base, (F.coalesce("doc_id", F.lit(0)) == F.col("base_id")) & (F.col("crc") == F.col("base_crc")))
-    return joined.select(
+    table = stored(back.where("kind = 'table'").select("bucket", "a", "b"), "mixing-lm-strings")
+    mixer = spark.sparkContext.broadcast(learn_mixer(table))
+    scored = back.where("kind IN ('table', 'grams')").repartition("bucket").mapInArrow(_score_strings(mixer), BACK)
+    homes = back.where("kind IN ('docs', 'words')").unionByName(scored)
+    got = homes.groupBy("home").applyInArrow(_gather(buckets), OUT)
+    return got.select(
         "doc_id", (~trains(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known",
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("log_sum") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),

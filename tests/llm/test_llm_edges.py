@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,33 @@ def test_pii_finds_every_labelled_line(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in rows(pii_crf.find(docs))}
     assert {t: got[i] for i, t in enumerate(texts)} == dict(zip(texts, wanted))
+
+
+def test_mixing_lm_counts_are_exact_at_every_order():
+    rng = np.random.default_rng(1)
+    texts = ["".join(chr(c) for c in rng.integers(97, 123, 300)) for _ in range(12)] + ["", "zz", "abcabcabc" * 9]
+    key, _ = mixing_lm.places(*mixing_lm.textops.text_bytes(pa.array(texts, pa.large_string())))
+    strings, times = np.unique(mixing_lm.by_context(key), return_counts=True)
+    count = Counter()
+    for t in texts:
+        raw = bytes(5) + t.encode() + b"\0"
+        for i in range(5, len(raw)):
+            for k in mixing_lm.ORDERS:
+                for j in range(8):
+                    count[k, raw[i - k:i], j, raw[i] >> 8 - j, raw[i] >> 7 - j & 1] += 1
+    pairs = mixing_lm._pair_counts(strings, times)
+    for j, (unit, first, n0, n1) in enumerate(mixing_lm.levels(strings, times, pairs)):
+        for i, s in enumerate(strings.tolist()):
+            last, before = s & 255, bytes((s >> 8 * b) & 255 for b in range(1, 6))      # farthest byte first
+            for k in mixing_lm.ORDERS:
+                for bit, n in ((0, n0), (1, n1)):
+                    assert n[unit[i], k] == count[k, before[5 - k:], j, last >> 8 - j, bit]
+
+
+def test_mixing_lm_learns_from_long_texts(spark):
+    # letters without order: six bits each; what was seen once says nothing, and that must be learnt
+    rng = np.random.default_rng(2)
+    texts = [(i, "".join(chr(c) for c in rng.integers(161, 225, 6000))) for i in range(30)]
+    got = rows(mixing_lm.score(spark.createDataFrame(texts, "doc_id long, text string")))
+    held = [r["bits_per_byte"] * 2 for r in got if r["held_out"]]          # two bytes a letter
+    assert held and max(held) < 6.2
