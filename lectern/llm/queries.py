@@ -7,7 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_windows, decontaminate, mixing_lm, ngram_join, pii_crf, quality, raking, repeats, token_shards, toxicity
+from lectern.llm import (byte_bpe, chat_windows, decontaminate, importance, mixing_lm, ngram_join, pii_crf, quality, raking,
+                         repeats, token_alignment, token_shards, toxicity)
 from lectern.session import read_table, ship_package
 
 LLM_QUERIES: dict = {}
@@ -128,3 +129,28 @@ FROM f JOIN v ON v.host IS NOT DISTINCT FROM f.host
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(encoded, ranks))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read_table(spark, sf_dir, "documents"),
+                                 tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op13_importance", oracle=importance.oracle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
