@@ -296,3 +296,34 @@ def test_interning_verifies_bytes(monkeypatch):
     assert len(set(table.slot.tolist())) == 3 and table.slot[0] == table.slot[2] == table.slot[5]
     assert sorted(table.count[table.used].tolist()) == [1, 2, 3]
     assert table.bucket[table.slot].tolist() == [zlib.crc32(g) % 10_000 for g in grams]
+
+
+def piece_of(texts, units):
+    import pyarrow as pa
+    piece = token_alignment._Piece(units)
+    piece.add(pa.array(range(len(texts)), pa.int64()), texts)
+    row = piece.row(1).to_pylist()[0]
+    scored = {c: token_alignment.unpack(row[c]).tolist() for c in ("codes", "times", "own", "a", "b", "n")}
+    return pa.ipc.open_stream(row["docs"]).read_all().to_pylist(), scored
+
+
+def test_long_texts_and_texts_taken_whole_give_the_same(monkeypatch):
+    """Cut into units, in several blocks, or tokenized whole: one result."""
+    v = token_alignment.Vocabularies(A, B)
+    rng = random.Random(11)
+    words = ["the", "naïve", "漢字", "a.\nb", "don't", "\U0001F9FF", "12", "  x", "ﬁn", "é", "\t", "word" * 9]
+    texts = [" ".join(rng.choices(words, k=170_000)), " ".join(rng.choices(words, k=300)), None, "", " x  y ", "bad ▁ one two"]
+    assert len(texts[0]) > 1 << 20
+    monkeypatch.setattr(token_alignment, "BLOCK_UNITS", 5000)
+    cut = piece_of(texts, token_alignment.Units(v))
+    v.cuttable = False
+    whole = piece_of(texts, token_alignment.Units(v))
+    assert cut[0] == whole[0] and cut[0][5]["n_a"] == 0 and cut[0][0]["n_a"] > 170_000
+
+    def links(x):
+        at, out = 0, []
+        for n in x["own"]:
+            out.append(sorted((x["a"][c], x["b"][c], t) for c, t in zip(x["codes"][at:at + n], x["times"][at:at + n])))
+            at += n
+        return out, sorted(zip(x["a"], x["b"], x["n"]))
+    assert links(cut[1]) == links(whole[1])
