@@ -5,8 +5,8 @@ bytes are in the rank file, else its bytes are merged pair by pair, the lowest
 rank first and the leftmost among equals.
 
 :class:`RankQueue` holds, per merge rank, the positions of the linked list at
-which that pair stood when it was seen. A bitmap tree over the ranks gives the
-lowest non-empty bucket by find-first-set (two steps for 65,536 ranks);
+which that pair stood when it was seen. A bitmap over leaves of 256 ranks and
+one over each leaf give the lowest non-empty bucket by find-first-set twice;
 entries whose pair has changed since are stale and skipped when met. Each
 merge costs a bounded number of steps, so a match of a megabyte (a long run
 of letters or spaces) takes time in proportion to its length.
@@ -24,6 +24,7 @@ outside the rank file is an error.
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +49,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class RankQueue:
     """Positions by merge rank; the lowest rank first. Empty again after every use."""
 
-    FAN = 8                                          # each node of the bitmap has 2**FAN bits
+    LEAF = 8                                         # a leaf has a bit for each of 2**LEAF ranks
 
     def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
-        self.levels = []
-        n = ranks
-        while True:
-            n = (n + (1 << self.FAN) - 1) >> self.FAN
-            self.levels.append([0] * n)              # levels[0]: a bit per rank; above: a bit per node
-            if n == 1:
-                break
+        self.leaves = [0] * ((ranks >> self.LEAF) + 1)
+        self.root = 0                                # a bit for each leaf that is not empty
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
@@ -66,37 +62,28 @@ class RankQueue:
             bucket.append(position)
             return
         self.buckets[rank] = [position]
-        at = rank
-        for level in self.levels:
-            node = at >> self.FAN
-            before = level[node]
-            level[node] = before | 1 << (at & 255)
-            if before:
-                return                               # the nodes above know of this one
-            at = node
-
-    def lowest(self) -> int | None:
-        """Find-first-set from the root down."""
-        if not self.levels[-1][0]:
-            return None
-        at = 0
-        for level in reversed(self.levels):
-            bits = level[at]
-            at = at << self.FAN | (bits & -bits).bit_length() - 1
-        return at
-
-    def take(self, rank: int) -> list[int]:
-        """All positions of a rank, leftmost first; its bucket is empty afterwards."""
-        at = rank
-        for level in self.levels:
-            node = at >> self.FAN
-            level[node] &= ~(1 << (at & 255))
-            if level[node]:
-                break
-            at = node
+        leaf = rank >> 8
+        bits = self.leaves[leaf]
+        if not bits:
+            self.root |= 1 << leaf
+        self.leaves[leaf] = bits | 1 << (rank & 255)
+
+    def pop(self) -> tuple[int, list[int]]:
+        """The lowest rank by find-first-set, and its positions, leftmost first; -1 when empty."""
+        root = self.root
+        if not root:
+            return -1, []
+        leaf = (root & -root).bit_length() - 1
+        bits = self.leaves[leaf]
+        rest = bits & (bits - 1)
+        self.leaves[leaf] = rest
+        if not rest:
+            self.root = root & (root - 1)
+        rank = leaf << 8 | (bits ^ rest).bit_length() - 1
         positions = self.buckets.pop(rank)
-        positions.sort()
-        return positions
+        if len(positions) > 1:
+            positions.sort()
+        return rank, positions
 
 
 class Encoder:
@@ -110,20 +97,22 @@ class Encoder:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of the bytes of one match."""
-        ranks, queue, n = self.ranks, self.queue, len(word)
-        whole = ranks.get(word)
+        get, pop, push, n = self.ranks.get, self.queue.pop, self.queue.push, len(word)
+        whole = get(word)
         if whole is not None:
             return [whole]
         after = list(range(1, n + 2))                # linked list: the part at i ends where the next begins
         before = list(range(-1, n))
         pair = [-1] * (n + 1)                        # rank of the pair that now begins at i; -1: none
         for i in range(n - 1):
-            rank = ranks.get(word[i:i + 2])
+            rank = get(word[i:i + 2])
             if rank is not None:
                 pair[i] = rank
-                queue.push(rank, i)
-        while (rank := queue.lowest()) is not None:
-            positions = queue.take(rank)
+                push(rank, i)
+        while True:
+            rank, positions = pop()
+            if rank < 0:
+                break
             for k, i in enumerate(positions):
                 if pair[i] != rank:
                     continue                         # stale: this pair has gone or changed
@@ -134,32 +123,32 @@ class Encoder:
                 pair[middle] = pair[i] = -1
                 lower = False
                 if end < n:
-                    new = ranks.get(word[i:after[end]])
+                    new = get(word[i:after[end]])
                     if new is not None:
                         pair[i] = new
-                        queue.push(new, i)
+                        push(new, i)
                         lower = new < rank
                 left = before[i]
                 if left >= 0:
-                    new = ranks.get(word[left:end])
+                    new = get(word[left:end])
                     if new is None:
                         pair[left] = -1
                     else:
                         pair[left] = new
-                        queue.push(new, left)
+                        push(new, left)
                         lower = lower or new < rank
                 if lower:                            # a lower rank has come up: the rest waits
                     for p in positions[k + 1:]:
-                        queue.push(rank, p)
+                        push(rank, p)
                     break
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[word[i:after[i]]])
+            ids.append(get(word[i:after[i]]))
             i = after[i]
         return ids
 
     def _match(self, match: str) -> bytes:
-        ids = np.array(self.merge(match.encode()), np.uint32).tobytes()
+        ids = array("I", self.merge(match.encode())).tobytes()
         if len(match) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT_MATCHES:
                 self.kept.clear()

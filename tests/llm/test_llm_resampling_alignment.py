@@ -103,7 +103,7 @@ def test_rank_queue_against_a_plain_merge():
         for _ in range(20):
             word = bytes(rng.choices(b"abc", k=rng.randint(1, 30)))
             assert encoder.merge(word) == plain(word, ranks)
-            assert encoder.queue.lowest() is None and not encoder.queue.buckets
+            assert encoder.queue.pop() == (-1, []) and not encoder.queue.buckets
 
 
 def test_rank_queue_finds_the_first_set_bit():
@@ -114,9 +114,9 @@ def test_rank_queue_finds_the_first_set_bit():
         queue.push(rank, i)
         held[rank].append(i)
     while held:
-        rank = queue.lowest()
-        assert rank == min(held) and queue.take(rank) == held.pop(rank)
-    assert queue.lowest() is None
+        rank, positions = queue.pop()
+        assert rank == min(held) and positions == held.pop(rank)
+    assert queue.pop() == (-1, [])
 
 
 def test_very_long_matches_take_linear_work():
