@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.operators import search
-from lectern.operators.search import _padded_matrix
+from lectern.operators.blocks import SCORE_DECIMALS, padded_matrix as _padded_matrix, topk_rows
 
 DEFAULT_TABLES = 16
 DEFAULT_BITS = 6
@@ -128,7 +128,7 @@ def _probe_partition(bc, keys, payload, vector, cdoc, filter_mode, out_schema):
             tbl = pa.Table.from_batches([rb])
             tables.append(tbl)
             # rows renumbered in chunk-key order: among equal scores the lower row wins
-            perm = pc.sort_indices(tbl, sort_keys=[(c, "ascending") for c in keys]).to_numpy()
+            perm = pc.sort_indices(tbl, sort_keys=[(c, "ascending") for c in keys]).to_numpy().astype(np.int64)
             mat, sq = _padded_matrix(tbl.column(vector).combine_chunks().take(pa.array(perm)), st.dim)
             inorm = np.sqrt(sq)
             exact = st.integral and np.array_equal(mat, np.rint(mat))
@@ -154,8 +154,8 @@ def _probe_partition(bc, keys, payload, vector, cdoc, filter_mode, out_schema):
                         denom = np.multiply.outer(st.norm[qs], inorm[its])
                         scores = np.divide(dots, denom, out=dots, where=denom > 0)
                         if not exact:
-                            np.round(scores, search.SCORE_DECIMALS, out=scores)
-                        qi, ci = search._topk_rows(scores, st.kmax)
+                            np.round(scores, SCORE_DECIMALS, out=scores)
+                        qi, ci = topk_rows(scores, st.kmax)
                         if len(qi):
                             cand.append((qs[qi], np.full(len(qi), bno), perm[its[ci]], scores[qi, ci]))
                             kept += len(qi)

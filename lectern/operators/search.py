@@ -15,8 +15,9 @@ Plan for a table of questions against a chunk table of any size:
    question and ranked with ``row_number``; the literal ``k`` bound lets
    Spark add a partial window group limit before that shuffle.
 
-A question may name a document (``doc_id``); its scores are masked to that
-document's chunks inside the same scan, so mixed batches need one pass.
+A question may name a document (``doc_id``); those questions go another way,
+an equi-join on the document over packed blocks (:func:`_scoped_scores`), so
+their work is linear in the chunks of the documents they name.
 Chunks without a vector (NULL or empty) are skipped.
 """
 
@@ -31,105 +32,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.operators.blocks import Matrix, best_of_block, cosines, pack, padded_matrix, score_blocks, widest
 from lectern.session import reliable_checkpoint
 
 DEFAULT_TOP_K = 5                       # fixed: default number of hits per question
 MAX_BLOCK_BYTES = 64 * 1024 * 1024      # question matrix shipped per scan
 SCORE_CELLS = 1 << 22                   # rows x questions scored at once (32 MB)
-# Integer-valued vectors (the hash embedder) give exact dot products, so their
-# scores are the exact IEEE results of dot / (|q| |c|). Other vectors are
-# ranked at 12 decimals: a BLAS product may give two copies of one vector dot
-# products a last bit apart (the result depends on block shape); at this
-# precision copies tie and fall back to the key order.
-SCORE_DECIMALS = 12
-
-
-def _padded_matrix(vec: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``vec`` as a zero-padded/truncated ``(n, width)`` float64 matrix,
-    plus each row's squared norm over its *full* length."""
-    vec = vec.cast(pa.list_(pa.float64()))
-    offsets = vec.offsets.to_numpy()
-    values = vec.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]]
-    values = np.nan_to_num(values, nan=0.0)
-    offsets = offsets - offsets[0]
-    lens = np.diff(offsets)
-    n = len(lens)
-    sq = np.zeros(n)
-    full = np.flatnonzero(lens > 0)                      # empty vectors keep norm 0
-    if len(full):
-        sq[full] = np.add.reduceat(values * values, offsets[full])
-    if n and (lens == width).all():
-        return values.reshape(n, width), sq
-    mat = np.zeros((n, width))
-    take = np.minimum(lens, width)
-    rows = np.repeat(np.arange(n), take)
-    cols = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-    mat[rows, cols] = values[np.repeat(offsets[:-1], take) + cols]
-    return mat, sq
-
-
-def _topk_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row (question), the ``k`` best columns (chunks); equal scores go to
-    the lower column index, which is the lower chunk key.
-
-    Returns ``(question, column)`` index arrays. ``-inf`` marks excluded cells.
-    """
-    b = scores.shape[1]
-    kk = min(k, b)
-    kth = np.partition(scores, b - kk, axis=1)[:, b - kk]
-    mask = scores >= kth[:, None]
-    if np.isneginf(kth).any():
-        mask &= scores > -np.inf
-    qi, ci = np.nonzero(mask)
-    if len(qi) == 0:
-        return qi, ci
-    s = scores[qi, ci]
-    tie = s == kth[qi]
-    # among ties keep only as many as each question still needs, lowest columns first
-    above = np.bincount(qi, weights=~tie, minlength=len(kth)).astype(np.int64)
-    start = np.r_[0, np.flatnonzero(qi[1:] != qi[:-1]) + 1]
-    tie_cum = np.cumsum(tie)
-    base = np.repeat(tie_cum[start] - tie[start], np.diff(np.r_[start, len(qi)]))
-    keep = ~tie | (tie_cum - base <= kk - above[qi])
-    return qi[keep], ci[keep]
-
-
-def _exact_in_single(mat: np.ndarray, bound_other: float) -> bool:
-    """Integer-valued blocks whose dot products stay below 2**24 are exact in float32."""
-    if not len(mat):
-        return True
-    l1 = np.abs(mat).sum(axis=1).max()
-    return l1 * bound_other < 2 ** 24 and np.array_equal(mat, np.rint(mat))
+SCOPED_FILTER_ROWS = 100_000            # named documents that are filtered by broadcast (a few MB)
 
 
 class _Block:
     """One broadcast block of questions, as NumPy arrays."""
 
-    def __init__(self, tbl: pa.Table, qkey: str, qvec: str, has_filter: bool):
+    def __init__(self, tbl: pa.Table, qkey: str, qvec: str):
         self.ids = tbl.column(qkey)
         vec = tbl.column(qvec).combine_chunks()
-        lens = np.diff(vec.offsets.to_numpy())
-        self.width = max(1, int(lens.max()) if len(lens) else 1)
-        mat, sq = _padded_matrix(vec, self.width)
-        self.matrix = mat                                   # (nq, width)
-        self.norm = np.sqrt(sq)
-        self.max_abs = float(np.abs(mat).max()) if mat.size else 0.0
-        self.integral = (mat == np.rint(mat)).all(axis=1)   # per question
-        self.single = (_exact_in_single(mat, 1.0) and self.max_abs < 2 ** 24)
-        self.matrix32 = mat.astype(np.float32) if self.single else None
+        self.width = widest(vec)
+        mat, sq = padded_matrix(vec, self.width)
+        self.matrix = Matrix(mat, np.sqrt(sq))              # (nq, width)
         self.k = tbl.column("_k").to_numpy()
-        self.kmax = int(self.k.max()) if len(self.k) else 0
-        self.filter_docs = None
-        if has_filter:
-            # Arrow keeps the key type exact (a nullable BIGINT in pandas would be float64)
-            docs = tbl.column("_doc").combine_chunks()
-            self.filter_docs = pc.unique(docs.drop_null())
-            self.qcode = self.doc_codes(docs)
-
-    def doc_codes(self, docs) -> np.ndarray:
-        """Position of each id among the questions' documents, -1 if none."""
-        idx = pc.index_in(docs, value_set=self.filter_docs)
-        return pc.fill_null(idx, -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _gather(tables, bt, row, name):
@@ -181,7 +102,7 @@ def _compact(tables, winners):
     return [kept], [(q, np.zeros(len(q), np.int64), at.reshape(-1), score)]
 
 
-def _score_partition(bc, keys, payload, cvec, cdoc, out_schema: T.StructType):
+def _score_partition(bc, keys, payload, cvec, out_schema: T.StructType):
     out_names = [f.name for f in out_schema.fields]
 
     def run(batches):
@@ -197,38 +118,16 @@ def _score_partition(bc, keys, payload, cvec, cdoc, out_schema: T.StructType):
             b = len(tables)
             tbl = pa.Table.from_batches([rb])
             # chunk-key order: among equal scores the lower position wins
-            perm = pc.sort_indices(tbl, sort_keys=[(c, "ascending") for c in keys]).to_numpy()
+            perm = pc.sort_indices(tbl, sort_keys=[(c, "ascending") for c in keys]).to_numpy().astype(np.int64)
             vec = tbl.column(cvec).combine_chunks()
             tables.append(tbl.select([c for c in tbl.column_names if c in (*keys, *payload)]))
-            ccode = None
-            if blk.filter_docs is not None:
-                ccode = blk.doc_codes(tbl.column(cdoc).combine_chunks())[perm]
             for lo in range(0, len(perm), step):
                 rows_here = perm[lo:lo + step]
-                mat, sq = _padded_matrix(vec.take(pa.array(rows_here)), blk.width)
-                whole = (mat == np.rint(mat)).all(axis=1)
-                if blk.single and whole.all() and _exact_in_single(mat, blk.max_abs):
-                    dots = (blk.matrix32 @ mat.astype(np.float32).T).astype(np.float64)
-                else:
-                    dots = blk.matrix @ mat.T                  # (nq, rows)
-                denom = np.multiply.outer(blk.norm, np.sqrt(sq))
-                # a zero norm means a zero vector, whose dot products are already 0
-                scores = np.divide(dots, denom, out=dots, where=denom > 0)
-                # one rule per pair, whatever else is in the batch: two whole-number
-                # vectors score exactly, all other pairs at SCORE_DECIMALS
-                if not (whole.all() and blk.integral.all()):
-                    exact = np.logical_and.outer(blk.integral, whole)
-                    scores = np.where(exact, scores, np.round(scores, SCORE_DECIMALS))
-                if ccode is not None:
-                    cc = ccode[lo:lo + step]
-                    allowed = (blk.qcode[:, None] < 0) | (blk.qcode[:, None] == cc[None, :])
-                    scores[~allowed] = -np.inf
-                for k in np.unique(blk.k):                     # each question keeps its own number
-                    of_k = np.flatnonzero(blk.k == k)
-                    qs, cols = _topk_rows(scores if len(of_k) == nq else scores[of_k], int(k))
-                    if len(qs):
-                        qs = of_k[qs]
-                        cand.append((qs, np.full(len(qs), b), rows_here[cols], scores[qs, cols]))
+                mat, sq = padded_matrix(vec.take(pa.array(rows_here)), blk.width)
+                scores = cosines(blk.matrix, mat, np.sqrt(sq))
+                qs, cols = best_of_block(scores, blk.k)
+                if len(qs):
+                    cand.append((qs, np.full(len(qs), b), rows_here[cols], scores[qs, cols]))
             if not cand:
                 tables.clear()
                 continue
@@ -274,54 +173,72 @@ def exact_search(corpus: DataFrame, questions: DataFrame, *,
         *([F.col(doc_filter).alias("_doc")] if has_filter else []),
     ).where(F.col("_k") > 0).where(F.col(query_vector).isNotNull())
 
-    # the size check and the block collect read the questions twice: keep them
+    # the size check and the search read the questions twice: keep them
     # in memory between the two (a lost copy is only recomputed)
     q = q.persist()
-    stats = q.agg(F.count(F.lit(1)).alias("n"),
-                  F.max(F.size(query_vector)).alias("d"),
-                  F.max("_k").alias("k"),
-                  *([F.count_if(F.col("_doc").isNull()).alias("open")] if has_filter else [])).first()
-    nq, width, kmax = stats["n"], max(1, stats["d"] or 1), stats["k"] or 0
+    open_q = F.col("_doc").isNull() if has_filter else F.lit(True)
+    stats = q.agg(F.count_if(open_q).alias("open"), F.count_if(~open_q).alias("scoped"),
+                  F.max(F.size(query_vector)).alias("d"), F.max("_k").alias("k")).first()
+    width = max(1, stats["d"] or 1)
 
     extra = [corpus_doc] if has_filter and corpus_doc not in (*keys, *payload) else []
     c = corpus.select(*keys, *payload, *extra, vector).where(
         F.col(vector).isNotNull() & (F.size(vector) > 0))
-    scoped_only = has_filter and nq and stats["open"] == 0
     cfields = {f.name: f for f in c.schema.fields}
     out_schema = T.StructType(
         [T.StructField(query_key, q.schema[query_key].dataType)]
         + [cfields[n] for n in (*keys, *payload)]
         + [T.StructField("score", T.DoubleType()), T.StructField("_k", T.IntegerType())])
-    if nq == 0:
-        q.unpersist()
+    parts = []
+    if stats["scoped"]:
+        parts.append(_scoped_scores(c, q.where(~open_q), keys, payload, vector, query_key, query_vector,
+                                    corpus_doc, stats["scoped"], width))
+    if stats["open"]:
+        parts += _open_scores(c, q.where(open_q), keys, payload, vector, query_key, query_vector,
+                              stats["open"], width, max_block_bytes, out_schema)
+    if not stats["scoped"]:
+        q.unpersist()                       # the open questions are in the blocks now
+    if not parts:
         empty = spark.createDataFrame([], out_schema)
         return empty.select(query_key, F.lit(0).alias("rank"), *keys, *payload, "score").limit(0)
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    return rank_hits(scored, query_key, keys, stats["k"] or 0).where(F.col("rank") <= F.col("_k")).select(
+        query_key, "rank", *keys, *payload, "score")
+
 
-    nblocks = max(1, math.ceil(nq * width * 8 / max_block_bytes))
+def _open_scores(c, q, keys, payload, vector, query_key, query_vector, n, width, max_block_bytes, out_schema):
+    """Per-task winners over the whole corpus: one map-only scan per size-checked block of questions."""
+    nblocks = max(1, math.ceil(n * width * 8 / max_block_bytes))
     if nblocks > 1:
-        cached = q
         q = reliable_checkpoint(q.withColumn("_blk", F.pmod(F.xxhash64(query_key), F.lit(nblocks))))
-        cached.unpersist()
     parts = []
-    sc = spark.sparkContext
     for b in range(nblocks):
         qb = q if nblocks == 1 else q.where(F.col("_blk") == b).drop("_blk")
-        blk = _Block(qb.toArrow(), query_key, query_vector, has_filter)
-        bc = sc.broadcast(blk)
-        cb = c
-        if scoped_only:
-            # every question names a document: scan only those documents' chunks.
-            # The ids come from the collected block (bounded by its size check)
-            # and reach the parquet scan of a stored index as an IN filter.
-            cb = c.where(F.col(corpus_doc).isin(blk.filter_docs.to_pylist()))
-        parts.append(cb.mapInArrow(_score_partition(bc, keys, payload, vector, corpus_doc, out_schema),
-                                   out_schema))
-    q.unpersist()
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return rank_hits(scored, query_key, keys, kmax).where(F.col("rank") <= F.col("_k")).select(
-        query_key, "rank", *keys, *payload, "score")
+        bc = c.sparkSession.sparkContext.broadcast(_Block(qb.toArrow(), query_key, query_vector))
+        parts.append(c.select(*keys, *payload, vector).mapInArrow(
+            _score_partition(bc, keys, payload, vector, out_schema), out_schema))
+    return parts
+
+
+def _scoped_scores(c, q, keys, payload, vector, query_key, query_vector, corpus_doc, n, width):
+    """Questions that name a document meet only its chunks, by an equi-join on the document.
+
+    Both sides are packed into blocks (:mod:`lectern.operators.blocks`), so the
+    work is one product per (block of questions, block of chunks) of a
+    document; a document that holds a third of all chunks, or is asked about
+    by a third of all questions, is many blocks, never one group. Nothing is
+    collected. Up to :data:`SCOPED_FILTER_ROWS` questions, their documents
+    are also broadcast as a filter before packing.
+    """
+    if n <= SCOPED_FILTER_ROWS:
+        named = q.select(F.col("_doc").alias("_named")).distinct()
+        c = c.join(F.broadcast(named), F.col(corpus_doc) == F.col("_named"), "left_semi")
+    key = "_scope"
+    items = pack(c.withColumn(key, F.col(corpus_doc)), key, keys, list(dict.fromkeys((*keys, *payload))), vector)
+    asked = pack(q.withColumnRenamed("_doc", key), key, [query_key], [query_key, "_k"], query_vector, prefix="q_")
+    return score_blocks(items, asked, key, query_key, keys, payload, n * width * 8)
 
 
 def rank_hits(scored: DataFrame, query_key: str, keys, k: int) -> DataFrame:

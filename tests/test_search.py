@@ -1,5 +1,7 @@
 """Exact top-k search (J1, J2, F5, F6, W1-W3) against brute force."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +174,45 @@ def test_large_document_ids_scope_exactly(spark):
                               "query_id string, embedding array<double>, top_k int, doc_id long")
     got = sorted((r.query_id, r.doc_id) for r in search.exact_search(c, q).collect())
     assert got == [("x", big), ("y", big - 1), ("y", big), ("y", big + 2)]
+
+
+def test_scoped_questions_over_a_hot_document(spark):
+    """A document with most of the chunks, asked about by most questions, next to open questions."""
+    rng = np.random.default_rng(11)
+    corpus = [(7 if i < 5000 else i % 20, i, f"t{i}", rng.integers(-2, 3, 5).astype(float).tolist()) for i in range(7000)]
+    qs = [(f"q{i}", rng.integers(-2, 3, 5 + i % 2).astype(float).tolist(), [None, 3, 0, 40][i % 4],
+           7 if i % 3 else [None, 12, 999][i % 9 // 3]) for i in range(60)]
+    assert run(spark, corpus, qs) == brute(corpus, qs)
+    only = [q for q in qs if q[3] is not None]
+    assert run(spark, corpus, only) == brute(corpus, only)
+
+
+def test_scoped_plan_has_no_product_and_collects_nothing(spark):
+    corpus = spark.createDataFrame(fixture(), "doc_id long, chunk_id int, text string, embedding array<double>")
+    q = spark.createDataFrame([("a", [1.0] * 6, 2, 3)], "query_id string, embedding array<double>, top_k int, doc_id long")
+    plan = search.exact_search(corpus, q)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert re.search(r"(SortMerge|BroadcastHash)Join \[_scope", plan)
+
+
+def test_blocks_are_cut_and_sorted():
+    import pyarrow as pa
+    from lectern.operators import blocks
+    by = pa.array([1, 1, 1, 1, 1, 4, 9, 9])
+    mat = np.arange(16, dtype=np.float32).reshape(8, 2)
+    names = ["d", "n", "width", "vectors", "norms", "rows"]
+    out = blocks.pack_runs(by, mat, np.arange(8.0), {"c": pa.array(range(8))}, names, rows=2)
+    assert out.column("d").to_pylist() == [1, 1, 1, 4, 9] and out.column("n").to_pylist() == [2, 2, 1, 1, 2]
+    got = np.concatenate([blocks._matrix(out, r, "")[0] for r in range(5)])
+    assert (got == mat).all() and [len(x) for x in out.column("rows").to_pylist()] == [2, 2, 1, 1, 2]
+
+
+def test_a_task_with_many_batches(spark):
+    rng = np.random.default_rng(13)
+    corpus = [(i, 0, "t", rng.integers(-3, 4, 3).astype(float).tolist()) for i in range(25_000)]
+    qs = [("a", [1.0, 2.0, 3.0], 4, None), ("b", [0.5, -1.0, 0.0], 4, None)]
+    c = spark.createDataFrame(corpus, "doc_id long, chunk_id int, text string, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame(qs, "query_id string, embedding array<double>, top_k int, doc_id long")
+    hits = search.exact_search(c, q).collect()
+    got = sorted((h.query_id, h.rank, h.doc_id, h.chunk_id, round(h.score, 9)) for h in hits)
+    assert got == brute(corpus, qs, decimals=12)
