@@ -42,7 +42,9 @@ def made(spark, tmp_path_factory):
     df = spark.createDataFrame(corpus, "vec_id long, label int, embedding array<double>")
     path = str(tmp_path_factory.mktemp("ivf"))
     cells = ivf.fit_cells(df, ["vec_id"], 12, sample_rows=300)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")      # as if partitions were large
     ivf.build(df, path, cells, ["vec_id"], ["label"], probes=3, cell_file_rows=40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     return corpus, df, path, cells
 
 
