@@ -99,6 +99,21 @@ def merge_status(catalog: DataFrame, updates: DataFrame, how: str = "left") -> D
     ).drop("_seen")
 
 
+def status_from_vectors(catalog: DataFrame, expected: DataFrame, written: DataFrame) -> DataFrame:
+    """K3: status of every document from the vectors that really are in the table.
+
+    ``expected`` and ``written`` are rows keyed by ``doc_id`` (the chunks to be
+    embedded, the stored vectors). A document is ``completed`` when it has
+    vectors and none is missing; with a failed or empty one it stays as it is.
+    """
+    both = (expected.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_expected"))
+            .join(embeddings_count(written), "doc_id", "left"))
+    n = F.coalesce(F.col("embeddings_count"), F.lit(0))
+    return catalog.join(both, "doc_id", "left").withColumn("embeddings_count", n).withColumn(
+        "embedding_status", F.when((n > 0) & (n >= F.col("_expected")), F.lit(STATUS_COMPLETED))
+        .otherwise(F.col("embedding_status"))).drop("_expected")
+
+
 def orphan_results(updates: DataFrame, catalog: DataFrame) -> DataFrame:
     """Results whose document is not in the catalog."""
     return updates.join(catalog.select("doc_id"), "doc_id", "left_anti")

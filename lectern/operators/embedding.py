@@ -114,6 +114,58 @@ def embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
     return df.withColumn(out_col, model_embedding(text, embedder))
 
 
+EMPTY_VECTOR = "empty vector"
+
+
+def _answer(model, texts: list[str]) -> tuple[list, list[str | None]]:
+    """Vectors and errors of a batch: rows that make the model fail are found by halving the batch."""
+    try:
+        out = list(model(texts))
+        if len(out) != len(texts):
+            raise ValueError(f"the model gave {len(out)} vectors for {len(texts)} texts")
+    except Exception as failure:                     # noqa: BLE001  whatever a model raises belongs to its rows
+        if len(texts) == 1:
+            return [None], [f"{type(failure).__name__}: {failure}"]
+        half = len(texts) // 2
+        (a, x), (b, y) = _answer(model, texts[:half]), _answer(model, texts[half:])
+        return a + b, x + y
+    vectors, errors = [], []
+    for v in out:
+        said = f"{type(v).__name__}: {v}" if isinstance(v, Exception) else None
+        arr = None if said or v is None else np.asarray(v, dtype=np.float32).reshape(-1)
+        if said is None and (arr is None or not len(arr)):
+            said = EMPTY_VECTOR
+        elif said is None and not np.isfinite(arr).all():
+            said = "vector with values that are no numbers"
+        vectors.append(None if said else arr)
+        errors.append(said)
+    return vectors, errors
+
+
+def embed_rows(df: DataFrame, embedder: Callable, text_col: str = "text", out_col: str = "embedding",
+               error_col: str = "error", max_chars: int | None = MODEL_INPUT_CHARS) -> DataFrame:
+    """Add ``out_col`` and ``error_col``: a row has a vector or the reason why not.
+
+    A call that fails is repeated on halves of its batch down to single rows,
+    so one bad text costs a few more calls and no other row its vector. A model
+    may also answer a row with an exception, None or an empty vector. NULL
+    texts are given to the model as ''. Use the result through one written
+    copy (as the sinks do): each evaluation of the plan calls the model.
+    """
+    df = df.drop(out_col, error_col)
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, VECTOR), T.StructField(error_col, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = embedder() if isinstance(embedder, type) else embedder
+        for rb in batches:
+            texts = ["" if t is None else t[:max_chars] for t in rb.column(text_col).to_pylist()]
+            vectors, errors = _answer(model, texts) if texts else ([], [])
+            yield pa.RecordBatch.from_arrays(
+                [*rb.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())],
+                names=[*rb.schema.names, out_col, error_col])
+    return df.mapInArrow(run, schema)
+
+
 # --------------------------------------------------------------------------
 # Vector column functions (native higher-order functions, no Python)
 # --------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.operators import catalog as cat
 from lectern.operators import chunking, embedding
 from lectern.plans import retrieval
-from lectern.session import reliable_checkpoint
+from lectern.session import stored
 
 # Fixed upload time used by the registered queries, so results are reproducible.
 FIXED_UPLOAD = _dt.datetime(2024, 1, 1, 0, 0, 0)
@@ -22,7 +22,7 @@ class Ingested:
     rejects: DataFrame     # (doc_id, reason)
     chunks: DataFrame      # (doc_id, chunk_id, text, start_char, end_char)
     catalog: DataFrame     # one row per accepted document
-    index: DataFrame       # embeddable chunks with ``embedding``
+    index: DataFrame | None  # embeddable chunks with ``embedding``
     index_keys: DataFrame  # ``(doc_id, chunk_id)`` of the index rows, without computing vectors
 
 
@@ -41,27 +41,29 @@ def uploads_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def ingest(uploads: DataFrame, upload_date=None, embedder=None,
-           dim: int = embedding.HASH_DIM, materialize: bool = False) -> Ingested:
+           dim: int = embedding.HASH_DIM, materialize: bool = False, keep_text: bool = True) -> Ingested:
     """Reject short documents, chunk the rest, derive catalog rows and vectors.
 
     ``uploads`` has ``doc_id, text, bucket, s3_key, file_size``. With
     ``materialize`` the chunk table is written once to the shared checkpoint
     folder (lineage cut there), so a plan that uses both the catalog and the
     index reads the chunks instead of walking every document twice; otherwise
-    everything stays lazy.
+    everything stays lazy. Reports that need no chunk text pass
+    ``keep_text=False``: the stored chunks are keys, offsets and counts, and
+    there is no ``index``.
     """
     accepted, rejects = cat.split_short_documents(retrieval.spread(uploads))
     docs = accepted.withColumn("total_characters", F.length("text").cast("bigint"))
-    chunks = chunking.chunk_documents(docs)
+    chunks = chunking.chunk_documents(docs).withColumn("_embeddable", retrieval.embeddable(F.col("text")))
     if materialize:
-        chunks = reliable_checkpoint(chunks)
+        chunks = stored(chunks if keep_text else chunks.drop("text"), "chunks")
     when = cat.utc_stamp(upload_date) if upload_date is not None else cat.utc_stamp()
     catalog = cat.catalog_from_chunks(chunks, when)
-    kept = retrieval.embeddable_chunks(chunks.select("doc_id", "chunk_id", "text", "start_char", "end_char"))
-    index = embedding.embed(kept, "text", "embedding", embedder=embedder, dim=dim)
-    return Ingested(rejects=rejects,
-                    chunks=chunks.select("doc_id", "chunk_id", "text", "start_char", "end_char"),
-                    catalog=catalog, index=index, index_keys=kept.select("doc_id", "chunk_id"))
+    columns = [c for c in ("doc_id", "chunk_id", "text", "start_char", "end_char") if c in chunks.columns]
+    kept = chunks.where("_embeddable").select(*columns)
+    index = embedding.embed(kept, "text", "embedding", embedder=embedder, dim=dim) if "text" in columns else None
+    return Ingested(rejects=rejects, chunks=chunks.select(*columns), catalog=catalog, index=index,
+                    index_keys=kept.select("doc_id", "chunk_id"))
 
 
 def embedding_results(index: DataFrame, generated_at=None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip_ws, stripped_length
@@ -24,10 +24,15 @@ def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
     return df.repartition(want) if size < want * SPLIT_BYTES else df
 
 
+def embeddable(text) -> Column:
+    """whether a chunk's stripped text has 20 characters or more."""
+    return stripped_length(text) >= MIN_CHUNK_CHARS
+
+
 def embeddable_chunks(chunks: DataFrame) -> DataFrame:
     """drop chunks whose stripped text is under 20 characters; ``chunk_id``s
     are not renumbered. (Chunks from payload messages need not be stripped.)"""
-    return chunks.where(stripped_length(F.col("text")) >= MIN_CHUNK_CHARS)
+    return chunks.where(embeddable(F.col("text")))
 
 
 def chunk_index(docs: DataFrame, text_col: str = "text", embedder=None,

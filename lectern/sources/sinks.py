@@ -1,95 +1,120 @@
-"""Batch sinks (K1 write_catalog, K2 write_chunk_embeddings) and versioned tables.
-
-No lakehouse format is assumed: a keyed table is a folder of versions
-``v=<n>``, each holding only the rows that changed; readers take, per key,
-the row of the newest version (a partial ``max_by``). A write never touches
-earlier versions, so its cost follows the change, not the table.
+"""Batch sinks: keyed tables (K1 write_catalog, K2 write_chunk_embeddings) and the bulk index.
+
+No lakehouse format is assumed. A keyed table is a Parquet folder partitioned
+by a hash bucket of its key. An upsert merges the changes into the buckets
+they fall in and replaces only those with Spark's dynamic partition overwrite
+(staged files, moved in by the job's commit), so its cost follows the change,
+not the table. Replaying an upsert writes the same rows again. One writer at a
+time per table, as for any plain Parquet folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import catalog as cat
+from lectern.session import stored
+
+BUCKETS = 64                 # hash buckets of a table; more for larger tables, fixed once it exists
+RUN = 1024                   # consecutive chunk ids of a document that stay in one bucket
+EMBEDDED_KEYS = ("doc_id", "chunk_id")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _bucket_name(df: DataFrame) -> str:
+    return next((c for c in df.columns if c.startswith("bucket_of_")), "")
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, root: str, col: str = "v") -> list[tuple[int, str, bool]]:
-    """Committed ``<col>=<n>`` folders as ``(n, path, is_base)``, oldest first."""
-    jvm, path, fs = _fs(spark, root)
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith(col + "=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            base = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_BASE"))
-            out.append((int(name.split("=", 1)[1]), f"{root}/{name}", base))
-    return sorted(out)
-
-
-def latest_version(spark: SparkSession, root: str, col: str = "v") -> str | None:
-    """Highest committed ``<col>=<n>`` folder under ``root`` (any Hadoop file system)."""
-    v = _versions(spark, root, col)
-    return v[-1][1] if v else None
-
-
-def next_version(spark: SparkSession, root: str, col: str = "v") -> str:
-    v = _versions(spark, root, col)
-    n = v[-1][0] + 1 if v else 0
-    return f"{root}/{col}={n:012d}"
-
-
-def read_latest(spark: SparkSession, root: str, key: str = "doc_id", col: str = "v") -> DataFrame:
-    """Current table: per key, the row of the newest version, reading only
-    from the newest compacted base onward."""
-    v = _versions(spark, root, col)
-    if not v:
-        raise FileNotFoundError(f"no committed version under {root}")
-    start = max([i for i, (_, _, base) in enumerate(v) if base], default=0)
-    paths = [p for _, p, _ in v[start:]]
-    rows = spark.read.option("basePath", root).parquet(*paths)
-    return cat.latest_per_key(rows, key, [col]).drop(col)
-
-
-def compact(spark: SparkSession, root: str, key: str = "doc_id", col: str = "v") -> str:
-    """Fold the current table into one new base version; older versions are
-    no longer read (and can be removed by retention outside the job)."""
-    current = read_latest(spark, root, key, col)
-    out = next_version(spark, root, col)
-    current.write.mode("overwrite").parquet(out)
-    jvm, _, fs = _fs(spark, out)
-    fs.create(jvm.org.apache.hadoop.fs.Path(out, "_BASE")).close()
-    return out
-
-
-def write_index(index: DataFrame, path: str, files: int | None = None) -> None:
-    """K2: chunk vectors, range-partitioned and sorted on ``(doc_id, chunk_id)``.
-
-    Sorted files give tight ``doc_id`` min/max statistics per row group, so a
-    lookup of one document (F5, S8) skips almost every row group. Range
-    partitioning on both key columns splits a very large document over
-    several files instead of one hash bucket.
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """Current rows of a keyed table."""
+    df = spark.read.parquet(path)
+    return df.drop(_bucket_name(df))
+
+
+def upsert(changes: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = (),
+           buckets: int = BUCKETS, run_of: str | None = None) -> DataFrame:
+    """Insert or replace the rows of ``changes`` by key; returns the table as it is now.
+
+    Of several changes of one key the one greatest in ``order`` (else in its
+    other columns) wins. ``run_of`` names an integer column of which
+    :data:`RUN` consecutive values share a bucket, so that a small document
+    stays in one bucket and a huge one is spread. The number of buckets is
+    part of the partition column's name; another number is an error.
+    """
+    spark = changes.sparkSession
+    name = f"bucket_of_{buckets}"
+    rest = [c for c in changes.columns if c not in keys]
+    spread = F.xxhash64(*[k for k in keys if k != run_of])
+    if run_of:
+        spread = spread + F.floor(F.coalesce(F.col(run_of), F.lit(0)) / RUN)
+    new = changes.withColumn("_key", F.struct(*keys)).drop(*keys)
+    new = cat.latest_per_key(new, "_key", list(order) or rest) if rest else new.distinct()
+    new = new.select("_key.*", *rest).withColumn(name, F.pmod(spread, F.lit(buckets)).cast("int"))
+    new = stored(new, "upsert")                    # the plan of the changes (a model, maybe) runs once
+    touched = [r[0] for r in new.select(name).distinct().collect()]        # at most ``buckets`` numbers
+    if not touched:
+        return read_keyed(spark, path) if _exists(spark, path) else new.drop(name)
+    merged = new
+    if _exists(spark, path):
+        old = spark.read.parquet(path)
+        if _bucket_name(old) != name:
+            raise ValueError(f"the table is kept in {_bucket_name(old)}, not {name}")
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"_new.{k}").eqNullSafe(F.col(f"_old.{k}"))
+        kept = old.where(F.col(name).isin(touched)).alias("_old").join(
+            new.select(*keys).alias("_new"), same, "left_anti")
+        merged = kept.unionByName(new, allowMissingColumns=True)
+    (merged.repartition(name).sortWithinPartitions(name, *keys)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path))
+    return read_keyed(spark, path)
+
+
+def write_catalog(changes: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """K1: upsert catalog rows by document."""
+    return upsert(changes, path, ["doc_id"], buckets=buckets)
+
+
+def write_chunk_embeddings(vectors: DataFrame, path: str, indexed_at: Column | None = None,
+                           error: str | None = "error", buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """K2: upsert chunk vectors by ``(doc_id, chunk_id)`` with ``indexed_at``.
+
+    Returns ``(table, rejects)``. A row with a model error (column ``error``),
+    without a vector or without a key is not written: it goes to ``rejects
+    (doc_id, chunk_id, reason)`` and leaves any older row of its key as it was.
     """
-    n = files or max(1, index.sparkSession.sparkContext.defaultParallelism)
-    (index.repartitionByRange(n, "doc_id", "chunk_id")
+    said = F.col(error) if error and error in vectors.columns else F.lit(None).cast("string")
+    reason = (F.when(F.col("doc_id").isNull() | F.col("chunk_id").isNull(), F.lit("missing key"))
+              .when(said.isNotNull(), said)
+              .when(F.col("embedding").isNull() | (F.size("embedding") == 0), F.lit("empty vector")))
+    rows = vectors.withColumn("_reason", reason)
+    rows = stored(rows.drop(error) if error else rows, "vectors")       # the model runs once for both sides
+    good = rows.where(F.col("_reason").isNull()).drop("_reason").withColumn(
+        "indexed_at", cat.utc_stamp() if indexed_at is None else indexed_at)
+    rejects = rows.where(F.col("_reason").isNotNull()).select("doc_id", "chunk_id", F.col("_reason").alias("reason"))
+    return upsert(good, path, EMBEDDED_KEYS, buckets=buckets, run_of="chunk_id"), rejects
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """K2 in bulk: chunk vectors by document, each file sorted on ``(doc_id, chunk_id)``.
+
+    Sorted files give tight ``doc_id`` statistics per row group, so a lookup of
+    one document (F5, S8) skips almost every row group. Runs of a very large
+    document go to different files. The plan of ``index`` runs once (a range
+    partitioning would run it twice, to sample it), and AQE sizes the files.
+    """
+    (index.repartition("doc_id", F.floor(F.col("chunk_id") / RUN))
      .sortWithinPartitions("doc_id", "chunk_id")
      .write.mode("overwrite").parquet(path))
 
 
-def write_catalog(spark: SparkSession, changes: DataFrame, root: str) -> str:
-    """K1: upsert catalog rows by appending them as the next version; returns its path."""
-    out = next_version(spark, root)
-    changes.write.mode("overwrite").parquet(out)
-    return out
-
-
 def lookup_document(index: DataFrame, doc_id) -> DataFrame:
     """One document's chunks; the equality reaches the parquet scan."""
     return index.where(F.col("doc_id") == F.lit(doc_id))

@@ -7,8 +7,8 @@ per row, so each micro-batch computes exactly what the batch job computes.
 
 Sinks are exactly-once: chunk and vector tables use the parquet file sink
 (its metadata log commits each micro-batch once), and status updates are
-appended in ``foreachBatch`` to folder ``u=<batch>``, so a replay after a
-failure rewrites that folder instead of appending duplicates.
+upserted by document in ``foreachBatch``, so a replay after a failure writes
+the same rows again instead of appending duplicates.
 Checkpoints and outputs live under the cluster's ``spark.checkpoint.dir``.
 """
 
@@ -104,22 +104,18 @@ def embed_stream(chunks: DataFrame, embedder=None, dim: int = embedding.HASH_DIM
     return embedding.embed(kept, "text", "embedding", embedder=embedder, dim=dim)
 
 
-def status_upserts(root: str):
-    """R3 sink: each micro-batch appends its updated per-document counts as
-    ``u=<batch>``; a replayed batch overwrites its own folder, so the sink is
-    idempotent. A micro-batch writes only the documents it changed, never
-    the whole table."""
+def status_upserts(path: str):
+    """R3 sink: each micro-batch upserts its updated per-document counts into the
+    keyed status table (only the buckets they fall in); a replayed batch
+    writes the same rows again, so the sink is idempotent."""
     def sink(batch: DataFrame, batch_id: int):
-        (batch.select("doc_id", F.col("count").alias("embeddings_count"))
-         .write.mode("overwrite").parquet(f"{root}/u={batch_id:012d}"))
+        sinks.upsert(batch.select("doc_id", F.col("count").alias("embeddings_count")), path, ["doc_id"])
     return sink
 
 
-def read_status(spark: SparkSession, root: str) -> DataFrame:
-    """Current status: per document, the row of the newest update (map-side
-    partial ``max_by``, so a document updated in every batch stays cheap);
-    ``sinks.compact(spark, root, col="u")`` folds old updates into a base."""
-    return sinks.read_latest(spark, root, key="doc_id", col="u")
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """Current status: one row per document."""
+    return sinks.read_keyed(spark, path)
 
 
 def run_status(spark: SparkSession, embedded: DataFrame, root: str, name: str = "status") -> DataFrame:
