@@ -474,6 +474,63 @@ def answer_responses(spark: SparkSession, sf: str):
                     F.size("r.sources").cast("bigint").alias("n_sources"))
 
 
+def counting_answerer(prompts):
+    """A model that says how long its prompt is, and refuses some."""
+    if any(len(p) % 11 == 0 for p in prompts):
+        raise ValueError("prompt refused")
+    return [f"reply to {len(p)} characters" for p in prompts]
+
+
+_VALID_SQL = f"""
+  SELECT query_id, {S.strip_sql('question')} AS question, CAST(NULL AS BIGINT) AS doc_id,
+         coalesce(TRY_CAST(top_k AS INTEGER), 5) AS top_k
+  FROM ({S.mixed_questions_sql()})
+  WHERE length({S.strip_sql('question')}) > 0 AND (top_k IS NULL OR TRY_CAST(top_k AS INTEGER) IS NOT NULL)"""
+
+
+@register("answer_all_questions", "F4 P2 P3 C4 C8", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(_VALID_SQL, HASH_DIM)}{S.answers_sql('q')}
+SELECT query_id, 200 AS status,
+       CASE WHEN prompt IS NULL THEN {S.lit(ans.NO_HITS_ANSWER)}
+            WHEN length(prompt) % 11 = 0 THEN 'The model gave no answer: prompt refused'
+            ELSE 'reply to ' || length(prompt) || ' characters' END AS answer,
+       chunks_used, confidence, NULL AS error
+FROM answers
+UNION ALL
+SELECT query_id, 400, '{ans.NO_ANSWER_DEFAULT}', 0, 'unknown',
+       CASE WHEN length({S.strip_sql('question')}) = 0 THEN 'the question is blank' ELSE 'top_k is not a whole number' END
+FROM ({S.mixed_questions_sql()}) WHERE query_id NOT IN (SELECT query_id FROM q)
+""")
+def answer_all_questions(spark: SparkSession, sf: str):
+    """Every user turn gets a response, also blank ones, those with a bad ``top_k`` and those the model fails on."""
+    n = F.col("conv_id") + F.col("turn")
+    questions = read_table(spark, sf, "conversations").where(F.col("role") == "user").select(
+        F.format_string("%d:%d", "conv_id", "turn").alias("query_id"),
+        F.when(n % 6 == 4, F.lit("  ")).otherwise(F.col("text")).alias("question"),
+        F.when(n % 5 == 2, F.lit("many")).when(n % 8 != 0, F.lit("2")).alias("top_k"))
+    replies = retrieval.respond(_index(spark, sf), questions, answerer=counting_answerer)
+    return replies.select("query_id", "status", ans.read_response(F.col("body")).alias("r"),
+                          ans.read_error(F.col("body")).alias("error")).select(
+        "query_id", "status", "r.answer", "r.chunks_used", "r.confidence", "error")
+
+
+@register("client_scores", "C8 E3", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(S.user_questions_sql(), HASH_DIM)}
+SELECT query_id, CAST(rank AS INTEGER) AS position,
+       CASE WHEN rank % 2 = 0 THEN 'N/A' ELSE CAST(round(score, 3) AS VARCHAR) END AS score
+FROM hits
+""")
+def client_scores(spark: SparkSession, sf: str):
+    """Responses whose even sources carry no score, as a client reads them."""
+    answers = _ask(spark, sf, _user_questions(spark, sf))
+    partly = F.transform("sources", lambda s, i: s.withField(
+        "relevance_score", F.when(i % 2 == 0, s["relevance_score"])))
+    body = answers.withColumn("sources", partly)
+    r = ans.read_response(ans.response_json(body))
+    return body.select("query_id", F.posexplode(r["sources"]).alias("at", "s")).select(
+        "query_id", (F.col("at") + 1).alias("position"), ans.score_text(F.col("s.relevance_score")).alias("score"))
+
+
 @register("model_requests", "C5", oracle=f"""
 WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(S.user_questions_sql(), HASH_DIM)}{S.answers_sql('q')}
 SELECT query_id,
@@ -534,6 +591,89 @@ def vector_stats(spark: SparkSession, sf: str):
                        F.round(emb.vector_norm(unit), 6).alias("unit_norm"))
 
 
+@register("neighbors_of_present_vectors", "F6 J1", oracle="""
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+                  list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS n2
+           FROM embeddings)
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) / (sqrt(a.n2) * sqrt(b.n2)) AS score,
+         CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.e, b.e) / (sqrt(a.n2) * sqrt(b.n2)) DESC,
+                                 b.vec_id) AS INTEGER) AS rank
+  FROM v a, v b WHERE b.label % 3 = 0)
+WHERE rank <= 3
+""")
+def neighbors_of_present_vectors(spark: SparkSession, sf: str):
+    """A corpus in which two labels of three have no vector (NULL or empty): those rows are never hits."""
+    vecs = read_table(spark, sf, "embeddings")
+    questions = vecs.select(F.col("vec_id").alias("query_id"), "embedding")
+    kind = vecs.schema["embedding"].dataType
+    partly = vecs.withColumn("embedding", F.when(F.col("label") % 3 == 0, F.col("embedding"))
+                             .when(F.col("label") % 3 == 1, F.array().cast(kind)))
+    hits = search.exact_search(partly, questions, keys=("vec_id",), payload=(), doc_filter=None, default_k=3)
+    return hits.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@register("document_vectors", "F3 E1 E4", oracle=f"""
+WITH terms AS ({S.hash_terms_sql('documents', 'doc_id', 'substr(text, 1, 30000)', HASH_DIM)})
+SELECT d.doc_id, CAST(length(d.text) AS BIGINT) AS chars, round(coalesce(n.norm, 0), 6) AS norm
+FROM documents d LEFT JOIN (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM terms GROUP BY 1) n USING (doc_id)
+""")
+def document_vectors(spark: SparkSession, sf: str):
+    """Whole documents embedded: a model sees 30,000 characters at most, the stored text stays whole."""
+    docs = retrieval.spread(read_table(spark, sf, "documents").select("doc_id", "text"))
+    return emb.embed(docs, "text").select("doc_id", F.length("text").cast("bigint").alias("chars"),
+                                          F.round(emb.vector_norm("embedding"), 6).alias("norm"))
+
+
+MAX_OBJECT_BYTES = 16_384
+
+
+def bounded_html_parser(data: bytes) -> list[str]:
+    """HTML parser that refuses large files."""
+    if len(data) > MAX_OBJECT_BYTES:
+        raise ValueError("file too large")
+    return src.html_parser(data)
+
+
+@register("object_sizes", "S6 S4 S5 C7", oracle=f"""
+SELECT page_id, CAST(strlen(html) + 1 AS BIGINT) AS file_size, sha256('page_id=' || page_id || '|v1') AS doc_id,
+       CASE WHEN strlen(html) + 1 <= {MAX_OBJECT_BYTES} THEN {S.html_text_sql('html')} END AS text,
+       CASE WHEN strlen(html) + 1 > {MAX_OBJECT_BYTES} THEN 'ValueError: file too large' END AS error
+FROM pages
+""")
+def object_sizes(spark: SparkSession, sf: str):
+    """Every page written as a raw object and read back through ``binaryFile``: size, id, and
+    text by a per-file parser that fails on large files (an error row, the rest goes on)."""
+    root = stream.run_root(spark, "objects")
+    pages = read_table(spark, sf, "pages").select("page_id", "html")
+    pages.write.partitionBy("page_id").text(root)
+    found = src.extract_documents(src.read_objects(spark, root, glob="*.txt"), bounded_html_parser)
+    key = F.regexp_extract("path", r"(page_id=\d+)/[^/]*$", 1)
+    return found.select(F.substring_index(key, "=", -1).cast("bigint").alias("page_id"), "file_size",
+                        cat.document_id(key, F.lit("v1")).alias("doc_id"), "text", "error")
+
+
+@register("html_objects", "S3 S1 S2 T4", oracle="""
+SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS bucket,
+       regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS object_key
+FROM pages WHERE lower(regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1)) LIKE '%.html'
+""")
+def html_objects(spark: SparkSession, sf: str):
+    """Only the announced objects whose key has the wanted extension, in any letter case."""
+    objs = src.parse_upload_events(_page_events(spark, sf))
+    return src.keep_extension(objs, ".HTML").select("bucket", "object_key")
+
+
+@register("orphan_labels", "J5", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT l.doc_id, l.quality FROM labels l ANTI JOIN catalog USING (doc_id)
+""")
+def orphan_labels(spark: SparkSession, sf: str):
+    """Results (labels stand in) of documents that never came into the catalog: they were rejected as too short."""
+    labels = read_table(spark, sf, "labels").select("doc_id", "quality")
+    return cat.orphan_results(labels, _ingested(spark, sf).catalog)
+
+
 # --------------------------------------------------------------------------
 # Streaming (run to completion with availableNow; the result is read back)
 # --------------------------------------------------------------------------
@@ -573,6 +713,20 @@ def stream_dedupe(spark: SparkSession, sf: str):
     return spark.read.parquet(f"{root}/chunks").select(*CHUNK_COLS)
 
 
+@register("stream_dedupe_late", "R4 R1", oracle=_STREAM_ORACLE)
+def stream_dedupe_late(spark: SparkSession, sf: str):
+    """Labelled documents arrive first; a later stream, with no state of the first, delivers all: copies
+    are dropped however late they are, new documents are kept."""
+    root = f"{stream.run_root(spark, 'late')}/chunks"
+    for name in ("first", "second"):
+        docs = stream.read_table_stream(spark, sf, "documents").select("doc_id", "text")
+        if name == "first":
+            docs = docs.join(read_table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+        chunks = stream.chunk_stream(docs, partitions=spark.sparkContext.defaultParallelism)
+        stream.run_available_now(stream.write_new(chunks.select(*CHUNK_COLS), root, name))
+    return spark.read.parquet(root).select(*CHUNK_COLS)
+
+
 @register("stream_embed_status", "R2 R3 K2", oracle=f"""
 WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
 SELECT doc_id, embeddings_count FROM counts

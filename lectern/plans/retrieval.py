@@ -96,9 +96,22 @@ def ask(index: DataFrame, questions: DataFrame, embedder=None, answerer=None,
         dim: int = embedding.HASH_DIM, **kw) -> DataFrame:
     """Questions -> answers with context, prompt, sources and confidence.
 
-    Blank questions are not answered (they are returned by ``validate_questions``).
+    Refused questions are not answered here; :func:`respond` has a row for every question.
     """
     valid, _ = validate_questions(questions)
     qv = embed_questions(valid, embedder=embedder, dim=dim)
     hits = search.exact_search(index, qv, **kw)
     return answer.assemble_answers(valid, hits, answerer=answerer)
+
+
+def respond(index: DataFrame, questions: DataFrame, embedder=None, answerer=None,
+            dim: int = embedding.HASH_DIM, **kw) -> DataFrame:
+    """P2 for every question asked: ``(query_id, status, body)``.
+
+    Refused questions (F4) are not lost: they get status 400 and a body with
+    the reason, like the service's reply; all others 200 and their answer.
+    """
+    answers = ask(index, questions, embedder=embedder, answerer=answerer, dim=dim, **kw)
+    _, refused = validate_questions(questions)
+    return answers.select("query_id", F.lit(200).alias("status"), answer.response_json(answers).alias("body")).unionByName(
+        refused.select("query_id", F.lit(400).alias("status"), F.to_json(F.struct("error")).alias("body")))

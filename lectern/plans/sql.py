@@ -193,3 +193,11 @@ def benchmark_questions_sql() -> str:
   SELECT 'b' || item_id AS query_id, {strip_sql('text')} AS question,
          CAST(NULL AS BIGINT) AS doc_id, 5 AS top_k
   FROM benchmark WHERE length({strip_sql('text')}) > 0"""
+
+
+def mixed_questions_sql() -> str:
+    """Every user turn; some without text, some with a ``top_k`` that is no number, some without one."""
+    return """
+  SELECT conv_id || ':' || turn AS query_id, CASE WHEN (conv_id + turn) % 6 = 4 THEN '  ' ELSE text END AS question,
+         CASE WHEN (conv_id + turn) % 5 = 2 THEN 'many' WHEN (conv_id + turn) % 8 <> 0 THEN '2' END AS top_k
+  FROM conversations WHERE role = 'user'"""
