@@ -674,6 +674,103 @@ def orphan_labels(spark: SparkSession, sf: str):
     return cat.orphan_results(labels, _ingested(spark, sf).catalog)
 
 
+# --------------------------------------------------------------------------
+# Keyed tables and row-level model errors
+# --------------------------------------------------------------------------
+
+FIRST_WRITE, SECOND_WRITE = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+
+
+def plain_model(texts):
+    """A tiny model: characters and spaces of each text."""
+    return [[len(t), t.count(" ")] for t in texts]
+
+
+def refusing_model(texts):
+    """The same, but a call with an address in it fails, and some texts get an empty vector."""
+    if any("@" in t for t in texts):
+        raise ValueError("refused")
+    return [[] if len(t) % 7 == 0 else v for t, v in zip(texts, plain_model(texts))]
+
+
+def _first_write(spark, sf):
+    """``(ingested, path, table, rejects)`` after the vectors of a failing model are written."""
+    ing = _ingested(spark, sf, materialize=True)
+    path = stream.run_root(spark, "vectors")
+    kept = retrieval.spread(retrieval.embeddable_chunks(ing.chunks))
+    table, rejects = sinks.write_chunk_embeddings(emb.embed_rows(kept, refusing_model), path, cat.utc_stamp(FIRST_WRITE))
+    return ing, path, table, rejects
+
+
+_REFUSED = "contains(k.text, '@')"
+_WRITTEN = f"NOT {_REFUSED} AND length(k.text) % 7 <> 0"
+
+
+@register("upsert_vectors", "K2 T7 C6", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT k.doc_id, k.chunk_id, CAST(length(k.text) AS BIGINT) AS chars,
+       round(sqrt(length(k.text) ** 2 + (length(k.text) - length(replace(k.text, ' ', ''))) ** 2), 6) AS norm,
+       CASE WHEN l.doc_id IS NOT NULL THEN '2024-01-02' ELSE '2024-01-01' END AS indexed_at
+FROM kept k LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)
+WHERE l.doc_id IS NOT NULL OR ({_WRITTEN})
+""")
+def upsert_vectors(spark: SparkSession, sf: str):
+    """All chunks are written with a failing model, then those of labelled documents again with one that
+    does not fail: their vectors are replaced or added, all other rows and buckets stay."""
+    ing, path, _, _ = _first_write(spark, sf)
+    again = ing.chunks.join(read_table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    again = emb.embed_rows(retrieval.embeddable_chunks(again), plain_model)
+    sinks.write_chunk_embeddings(again, path, cat.utc_stamp(SECOND_WRITE))
+    return sinks.read_keyed(spark, path).select(
+        "doc_id", "chunk_id", F.length("text").cast("bigint").alias("chars"),
+        F.round(emb.vector_norm("embedding"), 6).alias("norm"), F.date_format("indexed_at", "yyyy-MM-dd").alias("indexed_at"))
+
+
+@register("vector_rejects", "E1", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT k.doc_id, k.chunk_id, CASE WHEN {_REFUSED} THEN 'ValueError: refused' ELSE 'empty vector' END AS reason
+FROM kept k WHERE NOT ({_WRITTEN})
+""")
+def vector_rejects(spark: SparkSession, sf: str):
+    """Chunks that the model refused or answered with an empty vector, each with its reason."""
+    return _first_write(spark, sf)[3]
+
+
+@register("vector_status", "K3 G1 J4", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT c.doc_id, c.filename, count(k.doc_id) FILTER (WHERE {_WRITTEN}) AS embeddings_count,
+       CASE WHEN count(k.doc_id) > 0 AND bool_and({_WRITTEN}) THEN 'completed' ELSE 'pending' END AS embedding_status
+FROM catalog c LEFT JOIN kept k USING (doc_id) GROUP BY c.doc_id, c.filename
+""")
+def vector_status(spark: SparkSession, sf: str):
+    """Status from the vectors in the table: one failed chunk leaves its document pending."""
+    ing, _, table, _ = _first_write(spark, sf)
+    return cat.status_from_vectors(ing.catalog, ing.index_keys, table).select(
+        "doc_id", "filename", "embeddings_count", "embedding_status")
+
+
+@register("upsert_catalog", "K1 C7 J4", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT coalesce(s.doc_id, l.doc_id) AS doc_id, s.filename, s.total_chunks,
+       CASE WHEN l.doc_id IS NOT NULL THEN 'completed' ELSE s.embedding_status END AS embedding_status,
+       sha256(coalesce(s.bucket, '') || '/' || coalesce(s.s3_key, '') || '|2024-01-01 00:00:00') AS upload_id
+FROM catalog s FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)
+""")
+def upsert_catalog(spark: SparkSession, sf: str):
+    """Catalog rows are written, then the status of every labelled document: rejected ones become rows without a file name."""
+    ing = _ingested(spark, sf, materialize=True, keep_text=False)
+    path = stream.run_root(spark, "catalog")
+    first = ing.catalog.select("doc_id", "filename", "bucket", "s3_key", "total_chunks", "embedding_status")
+    now = sinks.write_catalog(first, path)
+    done = read_table(spark, sf, "labels").select("doc_id").distinct().withColumn("_done", F.lit(True))
+    change = now.join(done, "doc_id", "full").where("_done").drop("_done").withColumn(
+        "embedding_status", F.lit(cat.STATUS_COMPLETED))
+    table = sinks.write_catalog(change, path)
+    place = F.concat_ws("/", F.coalesce("bucket", F.lit("")), F.coalesce("s3_key", F.lit("")))
+    return table.select("doc_id", "filename", "total_chunks", "embedding_status",
+                        cat.document_id(place, F.lit("2024-01-01 00:00:00")).alias("upload_id"))
+
+
 # --------------------------------------------------------------------------
 # Streaming (run to completion with availableNow; the result is read back)
 # --------------------------------------------------------------------------
@@ -745,6 +842,21 @@ def stream_embed_status(spark: SparkSession, sf: str):
     return status.select("doc_id", "embeddings_count")
 
 
+@register("stream_status", "R3 E1", oracle=f"""
+WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
+SELECT c.doc_id, count(k.doc_id) FILTER (WHERE {_WRITTEN}) AS embeddings_count,
+       CASE WHEN count(k.doc_id) > 0 AND bool_and({_WRITTEN}) THEN 'completed' ELSE 'pending' END AS embedding_status
+FROM catalog c LEFT JOIN kept k USING (doc_id) GROUP BY c.doc_id
+""")
+def stream_status(spark: SparkSession, sf: str):
+    """Chunks of a stream are embedded by a model that fails on some; the status of each document follows."""
+    root = _stream_chunks(spark, sf)
+    chunks = spark.readStream.schema(spark.read.parquet(f"{root}/chunks").schema).parquet(f"{root}/chunks")
+    embedded = emb.embed_rows(chunks, refusing_model)
+    return stream.run_document_status(spark, embedded, f"{root}/status").select(
+        "doc_id", "embeddings_count", "embedding_status")
+
+
 # --------------------------------------------------------------------------
 # Approximate search (checked by recall against exact search in the tests)
 # --------------------------------------------------------------------------
@@ -825,103 +937,6 @@ def ivf_in_label(spark: SparkSession, sf: str):
                                                F.round("score", 6).alias("score"))
 
 
-# --------------------------------------------------------------------------
-# Keyed tables and row-level model errors
-# --------------------------------------------------------------------------
-
-FIRST_WRITE, SECOND_WRITE = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
-
-
-def plain_model(texts):
-    """A tiny model: characters and spaces of each text."""
-    return [[len(t), t.count(" ")] for t in texts]
-
-
-def refusing_model(texts):
-    """The same, but a call with an address in it fails, and some texts get an empty vector."""
-    if any("@" in t for t in texts):
-        raise ValueError("refused")
-    return [[] if len(t) % 7 == 0 else v for t, v in zip(texts, plain_model(texts))]
-
-
-def _first_write(spark, sf):
-    """``(ingested, path, table, rejects)`` after the vectors of a failing model are written."""
-    ing = _ingested(spark, sf, materialize=True)
-    path = stream.run_root(spark, "vectors")
-    kept = retrieval.spread(retrieval.embeddable_chunks(ing.chunks))
-    table, rejects = sinks.write_chunk_embeddings(emb.embed_rows(kept, refusing_model), path, cat.utc_stamp(FIRST_WRITE))
-    return ing, path, table, rejects
-
-
-_REFUSED = "contains(k.text, '@')"
-_WRITTEN = f"NOT {_REFUSED} AND length(k.text) % 7 <> 0"
-
-
-@register("upsert_vectors", "K2 T7 C6", oracle=f"""
-WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
-SELECT k.doc_id, k.chunk_id, CAST(length(k.text) AS BIGINT) AS chars,
-       round(sqrt(length(k.text) ** 2 + (length(k.text) - length(replace(k.text, ' ', ''))) ** 2), 6) AS norm,
-       CASE WHEN l.doc_id IS NOT NULL THEN '2024-01-02' ELSE '2024-01-01' END AS indexed_at
-FROM kept k LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)
-WHERE l.doc_id IS NOT NULL OR ({_WRITTEN})
-""")
-def upsert_vectors(spark: SparkSession, sf: str):
-    """All chunks are written with a failing model, then those of labelled documents again with one that
-    does not fail: their vectors are replaced or added, all other rows and buckets stay."""
-    ing, path, _, _ = _first_write(spark, sf)
-    again = ing.chunks.join(read_table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
-    again = emb.embed_rows(retrieval.embeddable_chunks(again), plain_model)
-    sinks.write_chunk_embeddings(again, path, cat.utc_stamp(SECOND_WRITE))
-    return sinks.read_keyed(spark, path).select(
-        "doc_id", "chunk_id", F.length("text").cast("bigint").alias("chars"),
-        F.round(emb.vector_norm("embedding"), 6).alias("norm"), F.date_format("indexed_at", "yyyy-MM-dd").alias("indexed_at"))
-
-
-@register("vector_rejects", "E1", oracle=f"""
-WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
-SELECT k.doc_id, k.chunk_id, CASE WHEN {_REFUSED} THEN 'ValueError: refused' ELSE 'empty vector' END AS reason
-FROM kept k WHERE NOT ({_WRITTEN})
-""")
-def vector_rejects(spark: SparkSession, sf: str):
-    """Chunks that the model refused or answered with an empty vector, each with its reason."""
-    return _first_write(spark, sf)[3]
-
-
-@register("vector_status", "K3 G1 J4", oracle=f"""
-WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
-SELECT c.doc_id, c.filename, count(k.doc_id) FILTER (WHERE {_WRITTEN}) AS embeddings_count,
-       CASE WHEN count(k.doc_id) > 0 AND bool_and({_WRITTEN}) THEN 'completed' ELSE 'pending' END AS embedding_status
-FROM catalog c LEFT JOIN kept k USING (doc_id) GROUP BY c.doc_id, c.filename
-""")
-def vector_status(spark: SparkSession, sf: str):
-    """Status from the vectors in the table: one failed chunk leaves its document pending."""
-    ing, _, table, _ = _first_write(spark, sf)
-    return cat.status_from_vectors(ing.catalog, ing.index_keys, table).select(
-        "doc_id", "filename", "embeddings_count", "embedding_status")
-
-
-@register("upsert_catalog", "K1 C7 J4", oracle=f"""
-WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
-SELECT coalesce(s.doc_id, l.doc_id) AS doc_id, s.filename, s.total_chunks,
-       CASE WHEN l.doc_id IS NOT NULL THEN 'completed' ELSE s.embedding_status END AS embedding_status,
-       sha256(coalesce(s.bucket, '') || '/' || coalesce(s.s3_key, '') || '|2024-01-01 00:00:00') AS upload_id
-FROM catalog s FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)
-""")
-def upsert_catalog(spark: SparkSession, sf: str):
-    """Catalog rows are written, then the status of every labelled document: rejected ones become rows without a file name."""
-    ing = _ingested(spark, sf, materialize=True, keep_text=False)
-    path = stream.run_root(spark, "catalog")
-    first = ing.catalog.select("doc_id", "filename", "bucket", "s3_key", "total_chunks", "embedding_status")
-    now = sinks.write_catalog(first, path)
-    done = read_table(spark, sf, "labels").select("doc_id").distinct().withColumn("_done", F.lit(True))
-    change = now.join(done, "doc_id", "full").where("_done").drop("_done").withColumn(
-        "embedding_status", F.lit(cat.STATUS_COMPLETED))
-    table = sinks.write_catalog(change, path)
-    place = F.concat_ws("/", F.coalesce("bucket", F.lit("")), F.coalesce("s3_key", F.lit("")))
-    return table.select("doc_id", "filename", "total_chunks", "embedding_status",
-                        cat.document_id(place, F.lit("2024-01-01 00:00:00")).alias("upload_id"))
-
-
 @register("search_stored_index", "K2 S8 F5 P1", oracle=f"""
 WITH RECURSIVE {S.chunks_cte('documents')}{S.search_sql(S.in_document_questions_sql(), HASH_DIM)}
 SELECT query_id, rank, doc_id, chunk_id, round(score, 6) AS score, length(text) AS text_chars FROM hits

@@ -150,6 +150,34 @@ def run_status(spark: SparkSession, embedded: DataFrame, root: str, name: str =
     return read_status(spark, root)
 
 
+def document_status_stream(chunks: DataFrame) -> DataFrame:
+    """Running status per document, ``pending`` until every chunk is settled.
+
+    ``chunks`` are all chunk rows with ``doc_id, total_chunks, text`` and
+    ``embedding`` (NULL or empty: failed). A chunk is settled when it has a
+    vector or is too short for one. Deliver each chunk once
+    (:func:`dedupe_stream` or :func:`write_new` before it). JVM state only: a
+    count per document, which is kept (there is no timer).
+    """
+    short = ~F.coalesce(retrieval.embeddable(F.col("text")), F.lit(False))
+    written = F.coalesce(F.size("embedding") > 0, F.lit(False))
+    counts = chunks.groupBy("doc_id").agg(
+        F.max(F.col("total_chunks").cast("bigint")).alias("total"), F.count_if(written & ~short).alias("embeddings_count"),
+        F.count_if(written | short).alias("settled"))
+    done = (F.col("settled") >= F.col("total")) & (F.col("embeddings_count") > 0)
+    return counts.select("doc_id", "embeddings_count", F.when(done, F.lit(cat.STATUS_COMPLETED))
+                         .otherwise(F.lit(cat.STATUS_PENDING)).alias("embedding_status"))
+
+
+def run_document_status(spark: SparkSession, chunks: DataFrame, path: str, name: str = "status") -> DataFrame:
+    """Run the status query over what is there; returns the keyed status table."""
+    def sink(batch: DataFrame, batch_id: int):
+        sinks.upsert(batch, path, ["doc_id"])
+    run_available_now(document_status_stream(chunks).writeStream.queryName(name).outputMode("update")
+                      .foreachBatch(sink).option("checkpointLocation", path + "._checkpoint"))
+    return read_status(spark, path)
+
+
 def status_stream(embedded: DataFrame) -> DataFrame:
     """Running vector count per document (stateful aggregation, update mode)."""
     return embedded.groupBy("doc_id").count()

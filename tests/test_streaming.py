@@ -108,3 +108,44 @@ def test_files_with_old_times_are_not_late(spark, tmp_dir):
         chunks = stream.dedupe_stream(stream.chunk_stream(docs))
         stream.run_available_now(stream.write_files(chunks, out, f"late{doc}"))
     assert {r.doc_id for r in spark.read.parquet(out).collect()} == {1, 2}
+
+
+def test_document_status_follows_the_stream(spark, tmp_dir):
+    source, path = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "status")
+    schema = "doc_id long, chunk_id int, total_chunks int, text string, embedding array<float>"
+    long = "a text that is long enough to embed"
+
+    def step(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        chunks = spark.readStream.schema(schema).parquet(source)
+        table = stream.run_document_status(spark, chunks, path)
+        return {r.doc_id: (r.embeddings_count, r.embedding_status) for r in table.collect()}
+
+    got = step([(1, 0, 3, long, [1.0]), (1, 1, 3, long, [1.0]), (2, 0, 1, long, [1.0]), (3, 0, 2, long, []),
+                (3, 1, 2, long, [1.0]), (4, 0, 1, long, None)])
+    assert got == {1: (2, "pending"), 2: (1, "completed"), 3: (1, "pending"), 4: (0, "pending")}
+    got = step([(1, 2, 3, "short", None), (9, 0, 1, long, [1.0])])       # the last chunk needs no vector
+    assert got == {1: (2, "completed"), 2: (1, "completed"), 3: (1, "pending"), 4: (0, "pending"), 9: (1, "completed")}
+
+
+def test_late_copies_and_replays(spark, tmp_dir):
+    source, out = os.path.join(tmp_dir, "documents.parquet"), os.path.join(tmp_dir, "chunks")
+
+    def deliver(ids, name):
+        spark.createDataFrame([(i, 0, f"text {i}") for i in ids], "doc_id long, chunk_id int, text string").coalesce(
+            1).write.mode("append").parquet(source)
+        rows = spark.readStream.schema("doc_id long, chunk_id int, text string").parquet(source)
+        stream.run_available_now(stream.write_new(rows, out, name))
+        return sorted(r.doc_id for r in spark.read.parquet(out).collect())
+
+    assert deliver([1, 2, 2], "a") == [1, 2]
+    assert deliver([2, 3], "a") == [1, 2, 3]
+    assert deliver([4], "b") == [1, 2, 3, 4]          # another stream, without state, is given everything again
+    # a replay of the last batch rewrites its own folder
+    for f in ("0", ".0.crc"):
+        commit = os.path.join(f"{out}._checkpoint_b", "commits", f)
+        if os.path.exists(commit):
+            os.remove(commit)
+    rows = spark.readStream.schema("doc_id long, chunk_id int, text string").parquet(source)
+    stream.run_available_now(stream.write_new(rows, out, "b"))
+    assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
