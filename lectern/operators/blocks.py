@@ -219,16 +219,27 @@ def _beaten(tbl: pa.Table, query_key: str, keys: Sequence[str]) -> pa.Table:
     return tbl.filter(pa.array(rank < tbl.column("_k").to_numpy()))
 
 
+def _same(questions: pa.Array, items: pa.Array) -> np.ndarray:
+    """``(questions, items)``: whether an item has the question's value; a question without one takes all."""
+    values = questions.unique()
+    q = pc.index_in(questions, value_set=values).to_numpy(zero_copy_only=False)
+    i = pc.fill_null(pc.index_in(items, value_set=values), -1).to_numpy(zero_copy_only=False)
+    return (q[:, None] == i[None, :]) | pc.is_null(questions).to_numpy(zero_copy_only=False)[:, None]
+
+
 def score_blocks(items: DataFrame, questions: DataFrame, on: str, query_key: str,
-                 keys: Sequence[str], payload: Sequence[str], question_bytes: int) -> DataFrame:
+                 keys: Sequence[str], payload: Sequence[str], question_bytes: int,
+                 same: tuple[str, str] | None = None) -> DataFrame:
     """Items and questions that share a key, scored: ``(query_key, *keys, *payload, score, _k)``.
 
     ``question_bytes`` is the counted size of the packed questions: Spark
     cannot estimate it, so over :data:`BROADCAST_BYTES` a shuffle is asked for.
     ``items`` carry the keys and payload, ``questions`` (prefix ``q_``) carry
-    ``query_key`` and ``_k``. Each task keeps the best ``_k`` rows per question.
-    A task meets a question's items in several blocks; :data:`KEPT_ROWS`
-    bounds what it holds between two clean-ups, beside one question's ``_k``.
+    ``query_key`` and ``_k``. ``same`` names a carried column of the items and
+    one of the questions that must agree for a hit (a NULL question takes all).
+    Each task keeps the best ``_k`` rows per question; it holds at most
+    :data:`KEPT_ROWS` winners, or twice those that are left after a clean-up,
+    besides those of one block.
     """
     carried = items.schema["rows"].dataType.elementType
     asked = questions.schema["q_rows"].dataType.elementType
@@ -238,34 +249,34 @@ def score_blocks(items: DataFrame, questions: DataFrame, on: str, query_key: str
                           + [T.StructField("score", T.DoubleType()), T.StructField("_k", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        limit = KEPT_ROWS
+        held, n, limit = [], 0, KEPT_ROWS
         for batch in batches:
             item_rows, question_rows = batch.column("rows"), batch.column("q_rows")
             item_at, question_at = item_rows.offsets.to_numpy(), question_rows.offsets.to_numpy()
             item_rows, question_rows = item_rows.values, question_rows.values
             ks = question_rows.field("_k").to_numpy()
-            won = []
             for r in range(batch.num_rows):
                 mat, norm = _matrix(batch, r, "")
                 qmat, qnorm = _matrix(batch, r, "q_")
                 w = min(mat.shape[1], qmat.shape[1])       # common prefix; norms are over full vectors
-                k = ks[question_at[r]:question_at[r + 1]]
+                q0, i0 = int(question_at[r]), int(item_at[r])
                 scores = cosines(Matrix(qmat[:, :w], qnorm), mat[:, :w], norm)
-                qi, ci = best_of_block(scores, k)
-                won.append((question_at[r] + qi, item_at[r] + ci, scores[qi, ci]))
-            if not won:
-                continue
-            qi, ci, score = (np.concatenate(x) for x in zip(*won))
-            at = pa.array(ci)
-            held.append(pa.table([question_rows.field(query_key).take(pa.array(qi))]
-                                 + [item_rows.field(c).take(at) for c in (*keys, *payload)]
-                                 + [pa.array(score), pa.array(ks[qi], pa.int32())], names=[*names, "score", "_k"]))
-            n += len(qi)
-            if n > limit:
-                held = [_beaten(pa.concat_tables(held), query_key, keys)]
-                n = held[0].num_rows
-                limit = max(KEPT_ROWS, 2 * n)
+                if same:
+                    scores[~_same(question_rows.field(same[1]).slice(q0, len(qmat)),
+                                  item_rows.field(same[0]).slice(i0, len(mat)))] = -np.inf
+                qi, ci = best_of_block(scores, ks[q0:q0 + len(qmat)])
+                if not len(qi):
+                    continue
+                at, by = pa.array(i0 + ci), pa.array(q0 + qi)
+                held.append(pa.table([question_rows.field(query_key).take(by)]
+                                     + [item_rows.field(c).take(at) for c in (*keys, *payload)]
+                                     + [pa.array(scores[qi, ci]), pa.array(ks[q0 + qi], pa.int32())],
+                                     names=[*names, "score", "_k"]))
+                n += len(qi)
+                if n > limit:
+                    held = [_beaten(pa.concat_tables(held), query_key, keys)]
+                    n = held[0].num_rows
+                    limit = max(KEPT_ROWS, 2 * n)
         if held:
             yield from _beaten(pa.concat_tables(held), query_key, keys).to_batches()
 

@@ -27,8 +27,9 @@ questions, how many cells a wanted recall takes.
 
 A question may name a document (A2): ``post`` ranks first and then drops
 other documents, so fewer than k hits may be left (as an index that filters
-its own k hits); ``fill`` fetches more and more hits for the questions that
-are still short, until each has k or its cells are exhausted.
+its own k hits); ``fill`` compares the document inside the block pairs, so each
+question has k hits unless its cells hold fewer. That is what fetching more
+and more hits until k are left would give, in one pass.
 
 NULL and empty vectors are not indexed; a zero vector belongs to cell 0 and
 scores 0. Vectors shorter or longer than the cells are compared with them over
@@ -162,7 +163,7 @@ class Index:
     def _asked(self, questions: DataFrame, query_key: str, probes: int) -> DataFrame:
         """Questions packed by the cells they probe."""
         cells = self.cells
-        fields = [questions.schema[query_key], T.StructField("_k", T.IntegerType())]
+        fields = [f for f in questions.schema.fields if f.name != "_vec"]
         schema = packed_schema(T.StructField("cell", T.IntegerType()), fields, "q_")
         names = [f.name for f in schema.fields]
 
@@ -177,9 +178,9 @@ class Index:
                     order = np.argsort(near.ravel(), kind="stable")
                     row = row[order]
                     yield pack_runs(pa.array(near.ravel()[order]), mat[row], np.sqrt(sq)[row],
-                                    {c: part.column(c).take(pa.array(row)) for c in (query_key, "_k")}, names, 1024)
+                                    {f.name: part.column(f.name).take(pa.array(row)) for f in fields}, names, 1024)
         # the filter also tells the optimizer that pruning the index by these rows pays
-        return questions.select(query_key, "_k", "_vec").mapInArrow(run, schema).where(F.col("q_n") > 0)
+        return questions.mapInArrow(run, schema).where(F.col("q_n") > 0)
 
     def search(self, questions: DataFrame, query_key: str = "query_id", query_vector: str = "embedding",
                top_k: str | None = "top_k", default_k: int = DEFAULT_TOP_K, probes: int | None = None,
@@ -200,13 +201,13 @@ class Index:
         if filter_mode == "post":
             hits = self._hits(q, query_key, n).where(F.col("rank") <= F.col("_k"))
             return self._in_document(hits, q, query_key, corpus_doc).select(*out)
-        return self._filled(q, query_key, n, corpus_doc).select(*out)
+        return self._hits(q, query_key, n, corpus_doc).where(F.col("rank") <= F.col("_k")).select(*out)
 
-    def _hits(self, q: DataFrame, query_key: str, probes: int) -> DataFrame:
+    def _hits(self, q: DataFrame, query_key: str, probes: int, same: str | None = None) -> DataFrame:
         asked = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vec")).alias("d")).first()
         scored = score_blocks(self.blocks(), self._asked(q, query_key, probes), "cell", query_key, self.keys,
                               [c for c in self.payload if c not in self.keys],
-                              asked["n"] * probes * max(1, asked["d"] or 1) * 8)
+                              asked["n"] * probes * max(1, asked["d"] or 1) * 8, (same, "_doc") if same else None)
         w = Window.partitionBy(query_key).orderBy(F.desc("score"), *[F.asc(c) for c in self.keys])
         return scored.withColumn("rank", F.row_number().over(w))
 
@@ -216,32 +217,6 @@ class Index:
             F.col("_doc").isNull() | (F.col("_doc") == F.col(corpus_doc)))
         return kept.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy("rank")))
 
-    def _filled(self, q: DataFrame, query_key: str, probes: int, corpus_doc: str, more: int = 4) -> DataFrame:
-        """Rounds of larger fetches for the questions that are still short of hits."""
-        left, factor, done = stored(q, "ivf-questions"), 1, []
-        while True:
-            fetch = left.withColumn("_want", F.col("_k")).withColumn("_k", (F.col("_k") * factor).cast("int"))
-            hits = self._hits(fetch, query_key, probes).where(F.col("rank") <= F.col("_k"))
-            got = stored(hits.join(fetch.select(query_key, "_doc", "_want"), query_key).withColumn(
-                "_own", F.col("_doc").isNull() | F.coalesce(F.col("_doc") == F.col(corpus_doc), F.lit(False))), "ivf-hits")
-            own = got.where("_own").withColumn("rank", F.row_number().over(
-                Window.partitionBy(query_key).orderBy("rank"))).where(F.col("rank") <= F.col("_want"))
-            # a question with fewer hits than were asked for has met every vector of its cells
-            short = got.groupBy(query_key).agg(
-                F.count(F.lit(1)).alias("n"), F.count_if("_own").alias("own"), F.max("_k").alias("_k"),
-                F.max("_want").alias("_want")).where((F.col("n") == F.col("_k")) & (F.col("own") < F.col("_want")))
-            short = stored(short.select(query_key), "ivf-short")
-            if short.isEmpty():
-                done.append(own)
-                break
-            done.append(own.join(short, query_key, "left_anti"))
-            left = stored(left.join(short, query_key, "left_semi"), "ivf-questions")
-            factor *= more
-        out = done[0]
-        for part in done[1:]:
-            out = out.unionByName(part)
-        return out
-
     def probes_for(self, questions: DataFrame, recall: float = 0.9, k: int = DEFAULT_TOP_K, sample: int = 400,
                    query_key: str = "query_id", query_vector: str = "embedding") -> int:
         """Cells to probe so that ``recall`` of the true top ``k`` of a sample of questions is met.
