@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Default window and overlap in characters.
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
+PART_BYTES = 4 << 20          # text of a batch that is walked at once
 
 CHUNK_FIELDS = [
     T.StructField("chunk_id", T.IntegerType(), False),
@@ -65,10 +67,19 @@ def chunk_spans(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
     return out
 
 
+def _parts(rb: pa.RecordBatch, text_col: str):
+    """Slices of a batch with about ``PART_BYTES`` of text each: only one is held as Python strings."""
+    sizes = pc.fill_null(pc.binary_length(rb.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // PART_BYTES
+    edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, rb.num_rows]
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield rb.slice(lo, hi - lo)
+
+
 def _chunk_batches(carried: list[str], text_col: str, size: int, overlap: int):
     """Arrow in, Arrow out: carried columns are taken by row, so any type (NULLs included) stays exact."""
     def run(batches):
-        for rb in batches:
+        for rb in (part for whole in batches for part in _parts(whole, text_col)):
             spans = [chunk_spans(t, size, overlap) for t in rb.column(text_col).to_pylist()]
             counts = np.fromiter((len(s) for s in spans), dtype=np.int64, count=len(spans))
             row = pa.array(np.repeat(np.arange(len(spans)), counts))

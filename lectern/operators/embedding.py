@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 # Fixed values.
 HASH_DIM = 256               # default width of the hash embedder
 MODEL_INPUT_CHARS = 30000    # text handed to an embedding model is cut here
+HASH_ROWS = 2048             # rows hashed at once
 TOKEN_PATTERN = r"[A-Za-z0-9]+"
 
 VECTOR = T.ArrayType(T.FloatType())
@@ -71,7 +72,7 @@ def _hash_batches(text_col: str, out_col: str, dim: int, max_chars: int | None):
 
     def run(batches):
         cache: dict[str, int] = {}
-        for rb in batches:
+        for rb in (whole.slice(lo, HASH_ROWS) for whole in batches for lo in range(0, whole.num_rows, HASH_ROWS)):
             texts = rb.column(text_col).to_pylist()
             flat: list[int] = []
             lens = np.zeros(len(texts), np.int64)
