@@ -693,12 +693,17 @@ def refusing_model(texts):
     return [[] if len(t) % 7 == 0 else v for t, v in zip(texts, plain_model(texts))]
 
 
+def _chunk_vectors(chunks, model):
+    """Vectors of chunks with their keys; the text itself stays in the chunk table."""
+    made = emb.embed_rows(retrieval.embeddable_chunks(chunks), model)
+    return made.select("doc_id", "chunk_id", F.length("text").cast("bigint").alias("chars"), "embedding", "error")
+
+
 def _first_write(spark, sf):
     """``(ingested, path, table, rejects)`` after the vectors of a failing model are written."""
-    ing = _ingested(spark, sf, materialize=True)
+    ing = _ingested(spark, sf)
     path = stream.run_root(spark, "vectors")
-    kept = retrieval.spread(retrieval.embeddable_chunks(ing.chunks))
-    table, rejects = sinks.write_chunk_embeddings(emb.embed_rows(kept, refusing_model), path, cat.utc_stamp(FIRST_WRITE))
+    table, rejects = sinks.write_chunk_embeddings(_chunk_vectors(ing.chunks, refusing_model), path, cat.utc_stamp(FIRST_WRITE))
     return ing, path, table, rejects
 
 
@@ -717,12 +722,13 @@ WHERE l.doc_id IS NOT NULL OR ({_WRITTEN})
 def upsert_vectors(spark: SparkSession, sf: str):
     """All chunks are written with a failing model, then those of labelled documents again with one that
     does not fail: their vectors are replaced or added, all other rows and buckets stay."""
-    ing, path, _, _ = _first_write(spark, sf)
-    again = ing.chunks.join(read_table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
-    again = emb.embed_rows(retrieval.embeddable_chunks(again), plain_model)
-    sinks.write_chunk_embeddings(again, path, cat.utc_stamp(SECOND_WRITE))
-    return sinks.read_keyed(spark, path).select(
-        "doc_id", "chunk_id", F.length("text").cast("bigint").alias("chars"),
+    _, path, _, _ = _first_write(spark, sf)
+    labels = read_table(spark, sf, "labels").select("doc_id").distinct()
+    docs = ingest.uploads_from_documents(read_table(spark, sf, "documents").join(labels, "doc_id", "left_semi"))
+    table, _ = sinks.write_chunk_embeddings(_chunk_vectors(ingest.ingest(docs).chunks, plain_model), path,
+                                            cat.utc_stamp(SECOND_WRITE))
+    return table.select(
+        "doc_id", "chunk_id", "chars",
         F.round(emb.vector_norm("embedding"), 6).alias("norm"), F.date_format("indexed_at", "yyyy-MM-dd").alias("indexed_at"))
 
 

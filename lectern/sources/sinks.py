@@ -48,32 +48,38 @@ def upsert(changes: DataFrame, path: str, keys: Sequence[str], order: Sequence[s
     stays in one bucket and a huge one is spread. The number of buckets is
     part of the partition column's name; another number is an error.
     """
-    spark = changes.sparkSession
+    return _merge(stored(changes, "upsert"), path, keys, order, buckets, run_of)
+
+
+def _merge(new: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = (),
+           buckets: int = BUCKETS, run_of: str | None = None) -> DataFrame:
+    """The upsert of changes that are already written somewhere (they are read twice).
+
+    Old rows of the touched buckets and new ones go through one shuffle by
+    bucket, and the latest of each key is taken where they meet.
+    """
+    spark = new.sparkSession
     name = f"bucket_of_{buckets}"
-    rest = [c for c in changes.columns if c not in keys]
     spread = F.xxhash64(*[k for k in keys if k != run_of])
     if run_of:
         spread = spread + F.floor(F.coalesce(F.col(run_of), F.lit(0)) / RUN)
-    new = changes.withColumn("_key", F.struct(*keys)).drop(*keys)
-    new = cat.latest_per_key(new, "_key", list(order) or rest) if rest else new.distinct()
-    new = new.select("_key.*", *rest).withColumn(name, F.pmod(spread, F.lit(buckets)).cast("int"))
-    new = stored(new, "upsert")                    # the plan of the changes (a model, maybe) runs once
+    new = new.withColumn(name, F.pmod(spread, F.lit(buckets)).cast("int")).withColumn("_new", F.lit(1))
     touched = [r[0] for r in new.select(name).distinct().collect()]        # at most ``buckets`` numbers
+    there = _exists(spark, path)
     if not touched:
-        return read_keyed(spark, path) if _exists(spark, path) else new.drop(name)
-    merged = new
-    if _exists(spark, path):
+        return read_keyed(spark, path) if there else new.drop(name, "_new")
+    both = new
+    if there:
         old = spark.read.parquet(path)
         if _bucket_name(old) != name:
             raise ValueError(f"the table is kept in {_bucket_name(old)}, not {name}")
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(f"_new.{k}").eqNullSafe(F.col(f"_old.{k}"))
-        kept = old.where(F.col(name).isin(touched)).alias("_old").join(
-            new.select(*keys).alias("_new"), same, "left_anti")
-        merged = kept.unionByName(new, allowMissingColumns=True)
-    (merged.repartition(name).sortWithinPartitions(name, *keys)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path))
+        both = old.where(F.col(name).isin(touched)).withColumn("_new", F.lit(0)).unionByName(new, allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in (*keys, name)]
+    ordering = ["_new", *(order or [c for c in rest if c != "_new"])]
+    latest = both.repartition(name).groupBy(name, *keys).agg(
+        F.max_by(F.struct(*rest), F.struct(*ordering)).alias("_row")).select(name, *keys, "_row.*").drop("_new")
+    (latest.sortWithinPartitions(name, *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("compression", "zstd").partitionBy(name).parquet(path))
     return read_keyed(spark, path)
 
 
@@ -99,7 +105,7 @@ def write_chunk_embeddings(vectors: DataFrame, path: str, indexed_at: Column | N
     good = rows.where(F.col("_reason").isNull()).drop("_reason").withColumn(
         "indexed_at", cat.utc_stamp() if indexed_at is None else indexed_at)
     rejects = rows.where(F.col("_reason").isNotNull()).select("doc_id", "chunk_id", F.col("_reason").alias("reason"))
-    return upsert(good, path, EMBEDDED_KEYS, buckets=buckets, run_of="chunk_id"), rejects
+    return _merge(good, path, EMBEDDED_KEYS, buckets=buckets, run_of="chunk_id"), rejects
 
 
 def write_index(index: DataFrame, path: str) -> None:
