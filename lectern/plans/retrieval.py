@@ -9,19 +9,20 @@ from lectern.functions.text import strip_ws, stripped_length
 from lectern.operators import answer, chunking, embedding, search
 
 MIN_CHUNK_CHARS = 20       # fixed: shorter chunks are not embedded
-SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
     """Give a map-only Python stage enough tasks: rows are spread round-robin.
 
     Only as many tasks as asked for (the cluster's cores by default) when the
-    table is small; a large scan keeps its own splits, which the plan's own
-    size estimate tells without running a job.
+    table is small; a scan of a full split per task keeps its own splits, which
+    the plan's own size estimate tells without running a job.
     """
-    want = min_parts or df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    want = min_parts or spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(want) if size < want * SPLIT_BYTES else df
+    return df.repartition(want) if size < want * split else df
 
 
 def embeddable(text) -> Column:
