@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_ROWS = 2048            # vectors in one block
+BLOCK_ROWS = 1024            # vectors in one block
 KEPT_ROWS = 1 << 18          # winners a task holds before it drops those beaten meanwhile
 BROADCAST_BYTES = 64 << 20   # packed questions that may be broadcast; more are joined by a shuffle
 

@@ -56,7 +56,8 @@ MAX_CELLS = 65_536               # cells are held by the driver and by every tas
 SAMPLE_ROWS = 50_000             # vectors that k-means sees at most
 CELL_FILE_ROWS = 1 << 18         # vectors of one cell in one file
 NEAR_DECIMALS = 9                # cells whose similarity agrees so far tie: the lower number wins
-QUESTIONS_AT_ONCE = 4096
+QUESTIONS_AT_ONCE = 1024
+QUESTION_ROWS = 512              # questions in one block
 
 
 def _unit(mat: np.ndarray) -> np.ndarray:
@@ -166,6 +167,7 @@ class Index:
         fields = [f for f in questions.schema.fields if f.name != "_vec"]
         schema = packed_schema(T.StructField("cell", T.IntegerType()), fields, "q_")
         names = [f.name for f in schema.fields]
+        single = questions.schema["_vec"].dataType.elementType == T.FloatType()
 
         def run(batches):
             for rb in batches:
@@ -177,8 +179,9 @@ class Index:
                     row = np.repeat(np.arange(len(near)), near.shape[1])
                     order = np.argsort(near.ravel(), kind="stable")
                     row = row[order]
-                    yield pack_runs(pa.array(near.ravel()[order]), mat[row], np.sqrt(sq)[row],
-                                    {f.name: part.column(f.name).take(pa.array(row)) for f in fields}, names, 1024)
+                    yield pack_runs(pa.array(near.ravel()[order]), (mat.astype(np.float32) if single else mat)[row], np.sqrt(sq)[row],
+                                    {f.name: part.column(f.name).take(pa.array(row)) for f in fields},
+                                    names, QUESTION_ROWS)
         # the filter also tells the optimizer that pruning the index by these rows pays
         return questions.mapInArrow(run, schema).where(F.col("q_n") > 0)
 
