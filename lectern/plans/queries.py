@@ -722,11 +722,10 @@ WHERE l.doc_id IS NOT NULL OR ({_WRITTEN})
 def upsert_vectors(spark: SparkSession, sf: str):
     """All chunks are written with a failing model, then those of labelled documents again with one that
     does not fail: their vectors are replaced or added, all other rows and buckets stay."""
-    _, path, _, _ = _first_write(spark, sf)
+    ing, path, _, _ = _first_write(spark, sf)
     labels = read_table(spark, sf, "labels").select("doc_id").distinct()
-    docs = ingest.uploads_from_documents(read_table(spark, sf, "documents").join(labels, "doc_id", "left_semi"))
-    table, _ = sinks.write_chunk_embeddings(_chunk_vectors(ingest.ingest(docs).chunks, plain_model), path,
-                                            cat.utc_stamp(SECOND_WRITE))
+    again = _chunk_vectors(ing.chunks, plain_model).join(labels, "doc_id", "left_semi")    # vectors move, texts do not
+    table, _ = sinks.write_chunk_embeddings(again, path, cat.utc_stamp(SECOND_WRITE))
     return table.select(
         "doc_id", "chunk_id", "chars",
         F.round(emb.vector_norm("embedding"), 6).alias("norm"), F.date_format("indexed_at", "yyyy-MM-dd").alias("indexed_at"))
