@@ -38,6 +38,7 @@ from lectern.session import reliable_checkpoint
 DEFAULT_TOP_K = 5                       # fixed: default number of hits per question
 MAX_BLOCK_BYTES = 64 * 1024 * 1024      # question matrix shipped per scan
 SCORE_CELLS = 1 << 22                   # rows x questions scored at once (32 MB)
+PUSHED_DOCUMENTS = 1_000                # named documents that are put into the scan's filter
 SCOPED_FILTER_ROWS = 100_000            # named documents that are filtered by broadcast (a few MB)
 
 
@@ -228,12 +229,15 @@ def _scoped_scores(c, q, keys, payload, vector, query_key, query_vector, corpus_
     Both sides are packed into blocks (:mod:`lectern.operators.blocks`), so the
     work is one product per (block of questions, block of chunks) of a
     document; a document that holds a third of all chunks, or is asked about
-    by a third of all questions, is many blocks, never one group. Nothing is
-    collected. Up to :data:`SCOPED_FILTER_ROWS` questions, their documents
-    are also broadcast as a filter before packing.
+    by a third of all questions, is many blocks, never one group. The documents
+    of up to :data:`PUSHED_DOCUMENTS` questions are also a filter that skips row
+    groups of a stored index, those of up to :data:`SCOPED_FILTER_ROWS` a
+    broadcast filter before packing; more are left to the join.
     """
-    if n <= SCOPED_FILTER_ROWS:
-        named = q.select(F.col("_doc").alias("_named")).distinct()
+    named = q.select(F.col("_doc").alias("_named")).distinct()
+    if n <= PUSHED_DOCUMENTS:
+        c = c.where(F.col(corpus_doc).isin([r[0] for r in named.collect()]))     # reaches the scan of a stored index
+    elif n <= SCOPED_FILTER_ROWS:
         c = c.join(F.broadcast(named), F.col(corpus_doc) == F.col("_named"), "left_semi")
     key = "_scope"
     items = pack(c.withColumn(key, F.col(corpus_doc)), key, keys, list(dict.fromkeys((*keys, *payload))), vector)
