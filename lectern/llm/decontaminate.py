@@ -53,13 +53,18 @@ def shingled(raw: np.ndarray, offs: np.ndarray):
     return sh, size[at + K] - size[at], first
 
 
-def fingerprints(sh: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """SimHash of each row of an (n, w) matrix of shingle hashes with their weights (0: absent)."""
-    out = np.empty(len(sh), np.uint64)
-    for lo in range(0, len(sh), 512):
-        signs = ((sh[lo:lo + 512, :, None] >> _BITS) & np.uint64(1)).astype(np.float32) * 2 - 1
-        total = np.einsum("nwb,nw->nb", signs, weight[lo:lo + 512].astype(np.float32))
-        out[lo:lo + 512] = ((total > 0).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
+def fingerprints(sh: np.ndarray, weight: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """SimHash of the windows ``[begin, end)`` of a row of weighted shingle hashes.
+
+    Each bit's signed weights are summed once along the row, a window is the
+    difference of two sums: memory is linear in the row, whatever the windows.
+    """
+    out = np.zeros(len(begin), np.uint64)
+    weight = weight.astype(np.int64)
+    run = np.zeros(len(sh) + 1, np.int64)
+    for bit in _BITS:
+        np.cumsum(np.where((sh >> bit) & np.uint64(1), weight, -weight), out=run[1:])
+        out |= (run[end] > run[begin]).astype(np.uint64) << bit
     return out
 
 
@@ -73,14 +78,14 @@ class ItemIndex:
         self.ids = [items[i][0] for i in keep]
         self.radius, self.threshold = radius, threshold
         self.sizes = np.array([first[i + 1] - first[i] for i in keep], dtype=np.int64)
-        self.bags, self.total, prints = [], [], []
+        self.bags, self.total = [], []
         for i in keep:
             own, w = sh[first[i]:first[i + 1]], wt[first[i]:first[i + 1]]
             u, at, n = np.unique(own, return_index=True, return_counts=True)
             self.bags.append((u, n, w[at]))
             self.total.append(float(w.sum()))
-            prints.append(fingerprints(own[None, :], w[None, :])[0])
-        self.prints = np.array(prints, dtype=np.uint64)
+        bounds = np.asarray(keep, dtype=np.int64)
+        self.prints = fingerprints(sh, wt, first[bounds], first[bounds + 1])
         owner = np.repeat(np.arange(len(keep)), [len(b[0]) for b in self.bags]) if keep else np.empty(0, np.int64)
         every = np.concatenate([b[0] for b in self.bags]) if keep else np.empty(0, np.uint64)
         order = np.argsort(every, kind="stable")
@@ -141,9 +146,7 @@ class ItemIndex:
             begin = begin[in_items[end] - in_items[begin] >= self.threshold * (weight[end] - weight[begin]) - 1e-9]
             if not len(begin):
                 continue
-            cell = np.minimum(begin[:, None] + np.arange(min(size, len(sh))), len(sh) - 1)
-            inside = begin[:, None] + np.arange(min(size, len(sh))) < len(sh)
-            win, item = self.within_radius(fingerprints(sh[cell], wt[cell] * inside))
+            win, item = self.within_radius(fingerprints(sh, wt, begin, np.minimum(begin + size, len(sh))))
             for k, i in zip(win.tolist(), item.tolist()):
                 a, b = int(begin[k]), min(int(begin[k]) + int(size), len(sh))
                 s = self.similarity(i, sh[a:b], wt[a:b])
