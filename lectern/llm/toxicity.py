@@ -14,7 +14,9 @@ word, a clean one through all its words (those nearest the margin are mined
 round by round). Since the decision is linear in the kernel, the landmarks
 fold into one weight per triple of symbols, and a whole batch of text is
 scored by table lookups. A document's score is a logistic calibration of its
-highest margin.
+highest margin. Words of more than ``LONG`` symbols are scored as overlapping
+windows of ``WINDOW`` symbols, each for itself; training learns from words of 3
+to ``LONG`` characters.
 
 The sample is bounded: at most ``per_class`` labelled documents of each class,
 the first by hash of doc_id, none longer than ``max_chars``; longer ones are
@@ -95,17 +97,26 @@ def spans_of(raw: np.ndarray, offs: np.ndarray) -> Spans:
         end = end[np.append(head[1:], len(joined)) - 1]
         long = end - start > LONG
         if long.any():
-            s, e, r = start[long], end[long], row[long]
-            n = -(-(e - s - WINDOW) // STRIDE) + 1
-            at = np.repeat(s, n) + STRIDE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            start = np.concatenate([start[~long], at])
-            end = np.concatenate([end[~long], np.minimum(at + WINDOW, np.repeat(e, n))])
-            row = np.concatenate([row[~long], np.repeat(r, n)])
+            return _windowed(_SYMBOL[raw], start, end, row, long)
     return Spans(_SYMBOL[raw], start, end, row)
 
 
+def _windowed(sym: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, long: np.ndarray) -> Spans:
+    """Long words as windows. Windows overlap, so each gets its own copy of its
+    symbols behind the stream: no triple of one is counted in the next."""
+    s, e, r = start[long], end[long], row[long]
+    n = -(-(e - s - WINDOW) // STRIDE) + 1
+    at = np.repeat(s, n) + STRIDE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    size = np.minimum(WINDOW, np.repeat(e, n) - at)
+    first = np.cumsum(size) - size
+    copied = sym[np.repeat(at - first, size) + np.arange(size.sum())]
+    first += len(sym)
+    return Spans(np.concatenate([sym, copied]), np.concatenate([start[~long], first]),
+                 np.concatenate([end[~long], first + size]), np.concatenate([row[~long], np.repeat(r, n)]))
+
+
 def _reach(s: Spans) -> np.ndarray:
-    """For each place, the end of the word it is in (0 outside)."""
+    """For each place, the end of the word it is in (at or before the place outside words)."""
     reach = np.zeros(len(s.sym) + 1, np.int64)
     by = np.argsort(s.start, kind="stable")
     reach[s.start[by]] = s.end[by]
