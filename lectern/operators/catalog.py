@@ -25,6 +25,7 @@ STATUS_PENDING = "pending"
 STATUS_COMPLETED = "completed"
 ALL_DOCUMENTS = "All Documents"
 UNKNOWN = "unknown"
+SHORT_REASON = "no extractable text (under %d characters)"
 
 CATALOG_COLUMNS = ("doc_id", "filename", "bucket", "s3_key", "upload_date", "file_size",
                    "total_characters", "total_chunks", "processing_status", "embedding_status")
@@ -48,13 +49,17 @@ def utc_stamp(at: _dt.datetime | None = None) -> Column:
     return F.to_timestamp_ntz(F.lit(at.strftime("%Y-%m-%d %H:%M:%S")))
 
 
+def is_short(text: Column, min_chars: int = MIN_DOCUMENT_CHARS) -> Column:
+    """no text, or less than ``min_chars`` characters of it when stripped."""
+    return F.coalesce(stripped_length(text), F.lit(0)) < min_chars
+
+
 def split_short_documents(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_DOCUMENT_CHARS):
     """``(accepted, rejected)``; a document whose stripped text is shorter
     than ``min_chars`` is rejected with a reason instead of failing the batch."""
-    short = F.coalesce(stripped_length(F.col(text_col)), F.lit(0)) < min_chars
+    short = is_short(F.col(text_col), min_chars)
     accepted = docs.where(~short)
-    rejected = docs.where(short).select(
-        "doc_id", F.lit("no extractable text (under %d characters)" % min_chars).alias("reason"))
+    rejected = docs.where(short).select("doc_id", F.lit(SHORT_REASON % min_chars).alias("reason"))
     return accepted, rejected
 
 

@@ -829,6 +829,42 @@ def stream_dedupe_late(spark: SparkSession, sf: str):
     return spark.read.parquet(root).select(*CHUNK_COLS)
 
 
+@register("event_ingest", "R1 S1 S2 S3 S4 S5 F1 T2", oracle=f"""
+WITH RECURSIVE announced AS (
+  SELECT page_id, strlen(html) + 1 > {MAX_OBJECT_BYTES} AS large, page_id % 7 = 3 AS lost,
+         CASE WHEN strlen(html) + 1 <= {MAX_OBJECT_BYTES} AND page_id % 7 <> 3 THEN {S.html_text_sql('html')} END AS text
+  FROM pages WHERE page_id % 5 <> 2
+), {S.chunks_cte('announced', key='page_id')}
+SELECT page_id, chunk_id, c.text, start_char, end_char, total_chunks, CAST(NULL AS VARCHAR) AS reason
+FROM chunks c JOIN announced a USING (page_id) WHERE length({S.strip_sql('a.text')}) >= 50
+UNION ALL
+SELECT page_id, NULL, NULL, NULL, NULL, NULL,
+       CASE WHEN lost THEN 'object not found' WHEN large THEN 'ValueError: file too large'
+            ELSE 'no extractable text (under 50 characters)' END
+FROM announced WHERE text IS NULL OR length({S.strip_sql('text')}) < 50
+""")
+def event_ingest(spark: SparkSession, sf: str):
+    """Every page is written as an object and announced by upload messages, each twice. Some messages name
+    an object that is not there, some one of another kind; the event stream makes chunks and rejects."""
+    root = stream.run_root(spark, "uploads")
+    read_table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(f"{root}/objects/raw")
+    key = F.regexp_extract("path", r"/raw/(page_id=\d+/[^/]*)$", 1)
+    page = F.regexp_extract("path", r"page_id=(\d+)/[^/]*$", 1).cast("bigint")
+    there = src.read_objects(spark, f"{root}/objects/raw", glob="*.txt").select(page.alias("page_id"), key.alias("key"), "length")
+    named = (F.when(F.col("page_id") % 5 == 2, F.concat("key", F.lit(".png")))
+             .when(F.col("page_id") % 7 == 3, F.concat(F.lit("gone/"), "key")).otherwise(F.col("key")))
+    record = F.struct(F.struct(F.struct(F.lit("raw").alias("name")).alias("bucket"), F.struct(
+        F.url_encode(named).alias("key"), F.col("length").alias("size")).alias("object")).alias("s3"))
+    there.select(F.to_json(F.struct(F.array(record, record).alias("Records")))).write.text(f"{root}/events")
+    events = spark.readStream.schema("value string").text(f"{root}/events")
+    stream.run_available_now(stream.process_upload_events(
+        events, f"{root}/objects", f"{root}/chunks", bounded_html_parser, ext=".txt"))
+    chunks = spark.read.parquet(f"{root}/chunks").withColumn("reason", F.lit(None).cast("string"))
+    rejects = spark.read.parquet(f"{root}/chunks._rejects")
+    return chunks.unionByName(rejects, allowMissingColumns=True).select(
+        page.alias("page_id"), *(c for c in CHUNK_COLS if c != "doc_id"), "reason")
+
+
 @register("stream_embed_status", "R2 R3 K2", oracle=f"""
 WITH RECURSIVE {S.chunks_cte('documents')}{S.catalog_sql()}
 SELECT doc_id, embeddings_count FROM counts

@@ -6,9 +6,11 @@ S5 assemble_pages, S6 file_size, S9 scan_chunk_payload)
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,6 +134,19 @@ DOCUMENTS = T.StructType([
 ])
 
 
+def _parsed(parser: Callable[[bytes], list[str]], content) -> tuple[str | None, int, str | None]:
+    """``(text, pages, error)`` of one object."""
+    try:
+        pages = [p for p in parser(bytes(content)) if p and p.strip()]
+        return PAGE_SEPARATOR.join(pages), len(pages), None
+    except Exception as e:  # noqa: BLE001 - reported per file
+        return None, 0, f"{type(e).__name__}: {e}"
+
+
+NOT_FOUND = "object not found"
+_DOCUMENT_ARROW = (pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.string(), pa.int32(), pa.string())
+
+
 def extract_documents(objects: DataFrame, parser: Callable[[bytes], list[str]]) -> DataFrame:
     """S4+S5+S6 in one map-only pass: one row per object with its text.
 
@@ -146,17 +161,52 @@ def extract_documents(objects: DataFrame, parser: Callable[[bytes], list[str]])
             out = []
             for path, mtime, length, content in zip(pdf["path"], pdf["modificationTime"],
                                                     pdf["length"], pdf["content"]):
-                try:
-                    pages = [p for p in parser(bytes(content)) if p and p.strip()]
-                    out.append((path, mtime, length, PAGE_SEPARATOR.join(pages), len(pages), None))
-                except Exception as e:  # noqa: BLE001 - reported per file
-                    out.append((path, mtime, length, None, 0, f"{type(e).__name__}: {e}"))
+                out.append((path, mtime, length, *_parsed(parser, content)))
             yield pd.DataFrame(out, columns=[f.name for f in DOCUMENTS.fields])
     docs = objects.select("path", "modificationTime", "length", "content").mapInPandas(run, DOCUMENTS)
     return docs.withColumn(
         "doc_id", F.sha2(F.concat_ws("|", "path", F.col("modificationTime").cast("string")), 256))
 
 
+def fetch_documents(keys: DataFrame, root: str, parser: Callable[[bytes], list[str]],
+                    tasks: int | None = None) -> DataFrame:
+    """S4+S5+S6 of announced objects: ``bucket, object_key`` -> the columns of :func:`extract_documents`.
+
+    Each object ``<root>/<bucket>/<object_key>`` is opened by the task that
+    holds its key, one at a time, so the work follows the number of keys (not
+    of objects in the bucket) and neither keys nor contents pass through the
+    driver. Keys are spread over ``tasks`` (the cluster's cores by default);
+    repeated keys are read once. ``root`` is a path or URI of a file system
+    that executors reach through pyarrow. A key that names no object, or
+    climbs out of its bucket, has the error ``object not found``.
+    """
+    n = tasks or keys.sparkSession.sparkContext.defaultParallelism
+    base = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "/", root)).rstrip("/")
+    names = [f.name for f in DOCUMENTS.fields]
+
+    def run(batches):
+        from pyarrow import fs
+        store, folder = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for bucket, key in zip(*(c.to_pylist() for c in batch.columns)):
+                path = f"{folder}/{bucket}/{key}"
+                info = None if ".." in f"{bucket}/{key}".split("/") else store.get_file_info(path)
+                if info is None or info.type != fs.FileType.File:
+                    row = (path, None, None, None, 0, NOT_FOUND)
+                else:
+                    try:
+                        with store.open_input_stream(path) as f:
+                            content = f.read()
+                        row = (path, info.mtime, len(content), *_parsed(parser, content))
+                    except OSError as e:                    # gone or unreadable since it was looked up
+                        row = (path, info.mtime, info.size, None, 0, f"{type(e).__name__}: {e}")
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _DOCUMENT_ARROW)], names=names)
+    wanted = keys.select("bucket", "object_key").where("bucket IS NOT NULL AND object_key IS NOT NULL")
+    spread = wanted.repartition(n, "bucket", "object_key").distinct()
+    return spread.mapInArrow(run, DOCUMENTS).withColumn("doc_id", F.sha2(F.concat_ws(
+        "|", "path", F.col("modificationTime").cast("string")), 256))
+
+
 def read_objects_stream(spark: SparkSession, path: str, glob: str | None = None,
                         max_files: int | None = None) -> DataFrame:
     """R1 source: new objects landing under ``path`` (binaryFile needs an explicit schema)."""
@@ -175,7 +225,6 @@ def utf8_parser(data: bytes) -> list[str]:
 
 def html_parser(data: bytes) -> list[str]:
     """Parser hook for HTML files, same rules as :func:`html_to_text`."""
-    import re
     h = data.decode("utf-8", errors="replace")
     h = re.sub(r"(?is)<script\b.*?</script[ \t\n\r\f]*>", " ", h)
     h = re.sub(r"(?is)<style\b.*?</style[ \t\n\r\f]*>", " ", h)

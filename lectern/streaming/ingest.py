@@ -15,7 +15,6 @@ Checkpoints and outputs live under the cluster's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -192,42 +191,35 @@ def run_available_now(writer) -> None:
 
 
 def process_upload_events(events: DataFrame, object_root: str, out: str, parser,
-                          ext: str = ".pdf", name: str = "uploads"):
+                          ext: str = ".pdf", name: str = "uploads", tasks: int | None = None):
     """R1 in the reference's shape: upload-event messages trigger object reads.
 
     ``events`` is a stream of event JSON (column ``value``). Each micro-batch
-    parses its records (S1, S2), keeps keys with ``ext`` (S3), reads exactly
-    those objects ``<object_root>/<bucket>/<key>`` with the binaryFile source
-    (the path list is bounded by the micro-batch, e.g. ``maxFilesPerTrigger``),
-    extracts their text (S4, S5), rejects short documents (F1) and writes the
-    chunks to ``out/batch=<n>`` and every object that gave none (missing,
-    unreadable, too short) to ``out._rejects/batch=<n>``; a replayed batch
-    rewrites its own folders.
+    parses its records (S1, S2), keeps keys with ``ext`` (S3) and has its tasks
+    open exactly those objects ``<object_root>/<bucket>/<key>`` and extract
+    their text (S4, S5; :func:`lectern.sources.objects.fetch_documents`).
+    The documents are written once to ``out._documents/batch=<n>``; from there
+    short ones are rejected (F1), the chunks go to ``out/batch=<n>`` and every
+    object that gave none (missing, unreadable, too short) to
+    ``out._rejects/batch=<n>``. A replayed batch rewrites its own folders.
+    Nothing is collected. An object announced again in a later batch is read
+    again, under the same id while it is unchanged (:func:`write_new` drops
+    such chunks).
     Returns the stream writer (call ``.start()`` or :func:`run_available_now`).
     """
     from lectern.sources import objects as src
 
     def sink(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
+        spark, folder = batch.sparkSession, f"batch={batch_id:012d}"
         keys = src.keep_extension(src.parse_upload_events(batch), ext)
-        paths = [f"{object_root}/{r.bucket}/{r.object_key}"
-                 for r in keys.select("bucket", "object_key").distinct().collect()]
-        if not paths:
-            return
-        there = [p for p in paths if _exists(spark, p)]
-        schema = "path string, reason string"
-        rejected = spark.createDataFrame([(p, "object not found") for p in paths if p not in set(there)], schema)
-        if there:
-            # written names are plain paths, not patterns
-            docs = src.extract_documents(
-                spark.read.format("binaryFile").load([re.sub(r"([\\[\]{}*?\\\\])", r"\\\1", p) for p in there]), parser)
-            accepted, short = cat.split_short_documents(docs.where(F.col("error").isNull()))
-            chunks = chunking.chunk_documents(accepted.select("doc_id", "path", "text"))
-            chunks.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
-            rejected = rejected.unionByName(docs.where(F.col("error").isNotNull()).select(
-                "path", F.col("error").alias("reason"))).unionByName(
-                short.join(docs.select("doc_id", "path"), "doc_id").select("path", "reason"))
-        rejected.write.mode("overwrite").parquet(f"{out}._rejects/batch={batch_id:012d}")
+        src.fetch_documents(keys, object_root, parser, tasks).write.mode("overwrite").parquet(f"{out}._documents/{folder}")
+        docs = spark.read.parquet(f"{out}._documents/{folder}")
+        short = cat.is_short(F.col("text"))
+        chunking.chunk_documents(docs.where(F.col("error").isNull() & ~short).select("doc_id", "path", "text")).write.mode(
+            "overwrite").parquet(f"{out}/{folder}")
+        docs.where(F.col("error").isNotNull() | short).select(
+            "path", F.coalesce("error", F.lit(cat.SHORT_REASON % cat.MIN_DOCUMENT_CHARS)).alias("reason")).write.mode(
+            "overwrite").parquet(f"{out}._rejects/{folder}")
 
     return (events.writeStream.queryName(name).foreachBatch(sink)
             .option("checkpointLocation", out + "._checkpoint"))

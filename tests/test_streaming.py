@@ -94,6 +94,30 @@ def test_upload_events_trigger_object_processing(spark, tmp_dir):
     assert [x[0] for x in lost] == ["[gone]*.pdf", "tiny.pdf"] and lost[0][1] == "object not found"
 
 
+def test_announced_objects_are_opened_by_tasks(spark, tmp_dir):
+    from lectern.sources import objects as src
+    os.makedirs(os.path.join(tmp_dir, "root", "b", "sub"))
+    for name, content in (("b/one.txt", b"first page\fsecond page"), ("b/sub/empty.txt", b""), ("b/bad.txt", b"\xff"),
+                          ("secret.txt", b"outside of the bucket")):
+        with open(os.path.join(tmp_dir, "root", name), "wb") as f:
+            f.write(content)
+    keys = ["one.txt", "one.txt", "sub/empty.txt", "bad.txt", "sub", "gone.txt", "../secret.txt", "", None]
+    announced = spark.createDataFrame([("b", k) for k in keys] + [(None, "one.txt")], "bucket string, object_key string")
+    strict = lambda data: data.decode().split("\f")
+    got = src.fetch_documents(announced, f"file://{tmp_dir}/root", strict, tasks=3)
+    by_key = {r.path.split("/root/b/")[1]: r for r in got.collect()}
+    assert got.count() == len(by_key) == 7
+    assert by_key["one.txt"].text == "first page\n\nsecond page" and by_key["one.txt"].file_size == 22
+    assert (by_key["sub/empty.txt"].text, by_key["sub/empty.txt"].pages, by_key["sub/empty.txt"].error) == ("", 0, None)
+    assert by_key["bad.txt"].error.startswith("UnicodeDecodeError")
+    assert {by_key[k].error for k in ("sub", "gone.txt", "../secret.txt", "")} == {"object not found"}
+    # the same objects by listing, with the same ids
+    listed = src.extract_documents(src.read_objects(spark, f"{tmp_dir}/root/b", glob="one.txt"), strict).first()
+    assert listed.text == by_key["one.txt"].text and listed.modificationTime == by_key["one.txt"].modificationTime.replace(
+        microsecond=by_key["one.txt"].modificationTime.microsecond // 1000 * 1000)
+    assert src.fetch_documents(announced.limit(0), f"{tmp_dir}/root", strict).count() == 0
+
+
 def test_files_with_old_times_are_not_late(spark, tmp_dir):
     inbox = os.path.join(tmp_dir, "documents")
     out = os.path.join(tmp_dir, "chunks")
