@@ -5,11 +5,14 @@ reads the tokens (white-space words) around every token with a digit, an at
 sign, or ``at`` or ``dot`` spelled in any case; no span without a digit, an at
 sign or a spelled ``at`` is ever added. Its features are word shapes (letters, digits and signs with runs folded), digit counts, lengths and
 the shapes beside a token. It is trained by maximum likelihood from a small
-labelled table and decoded by Viterbi over batches of equal length. A decoded
-span is added if it overlaps no pattern span and its digits fit its kind.
+labelled table, widened by generated variants (other digits, words and words
+around), and decoded by Viterbi over batches of equal length. A decoded
+span is added if it overlaps no pattern span and fits its kind: number of
+digits, Luhn sum of a card, a sign or spelled ``at`` of an address.
 
-Scoring is map-only and texts never leave their task; sequences of a batch
-are decoded in blocks of ``BLOCK``, so memory does not grow with a text.
+Scoring is map-only and texts never leave their task; sequences are decoded in
+blocks of at most ``BLOCK`` and ``BLOCK_TOKENS``. Whole tokens and whole texts
+are read; memory is linear in the longest text (one sequence may span it).
 
 Defined results: NULL or empty text has no span; positions are code points,
 end exclusive; rows are read one by one, so repeated rows agree; NULL doc_id
@@ -18,8 +21,10 @@ is kept; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,8 @@ from lectern.llm import textops
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O",) + tuple(f"{p}-{k}" for k in KINDS for p in "BI")
 CONTEXT = 3                    # tokens on each side of a token with a sign
-BLOCK = 4096                   # sequences decoded together
+BLOCK = 4096                   # sequences decoded together, at most
+BLOCK_TOKENS = 1 << 17         # and their tokens, unless one sequence alone has more
 
 # ---- patterns -------------------------------------------------------------------
 
@@ -87,21 +93,41 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _SIGN = re.compile(r"[0-9@]|(?<![a-z])(?:at|dot)(?![a-z])", re.IGNORECASE)
+_GLUED = re.compile(r"[A-Za-z0-9][\[({]at[\])}][A-Za-z0-9]", re.IGNORECASE)
 _BRACKETED = {"at": "<at>", "dot": "<dot>"}
 
 
+class _Kinds(dict):
+    """Code point -> letter as x or X, digit as 9, any other sign as it is."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = k = "9" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
+        return k
+
+
+_KIND = _Kinds()
+_RUN = re.compile(r"(.)\1{2,}", re.DOTALL)
+
+
 def shape(token: str) -> str:
     """Letters as x or X, digits as 9, signs as they are; runs folded to two."""
-    out: list[str] = []
-    for c in token[:64]:
-        k = "9" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
-        if len(out) < 2 or out[-1] != k or out[-2] != k:
-            out.append(k)
-    return "".join(out)
+    return _RUN.sub(r"\1\1", token.translate(_KIND))
+
 
+def _core(token: str) -> str:
+    return token.strip(".,;:!?\"'<>{}")
 
-def _features(token: str) -> list[str]:
-    core = token.strip(".,;:!?\"'<>{}")
+
+def _paired(tokens: list[str]) -> list[bool]:
+    """Places of an ``at`` with a ``dot`` two tokens on, and of a ``dot`` two behind an ``at`` or ``dot``."""
+    said = [(_core(t).strip("()[]").lower() if len(t) < 9 else "") for t in tokens]
+    return [(x == "at" and said[i + 2:i + 3] == ["dot"]) or (x == "dot" and i > 1 and said[i - 2] in _BRACKETED)
+            for i, x in enumerate(said)]
+
+
+def _features(token: str, paired: bool = False) -> list[str]:
+    core = _core(token)
     low = core.strip("()[]").lower()
     n = sum("0" <= c <= "9" for c in token)
     out = ["s=" + shape(core), f"n={min(n, 20)}", f"l={min(len(core), 24) // 3}"]
@@ -109,6 +135,10 @@ def _features(token: str) -> list[str]:
         out.append("w=" + low)
     if low in _BRACKETED:
         out.append(_BRACKETED[low] + ("+" if core[:1] in "([" else ""))
+    if paired:
+        out.append(_BRACKETED[low] + "pair")
+    if _GLUED.search(core):
+        out.append("<at>glued")
     out += [f"has{c}" for c in "@.-()+/=:" if c in core]
     if core and core[0] == "(":
         out.append("open")
@@ -142,24 +172,25 @@ class Crf:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.index, self.weights, self.moves = index, weights, moves
-        self.cache: dict[str, tuple] = {}
+        self.cache: dict[tuple[str, bool], tuple] = {}
 
-    def _parts(self, token: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        got = self.cache.get(token)
+    def _parts(self, token: str, paired: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = self.cache.get((token, paired))
         if got is None:
             if len(self.cache) > 50_000:
                 self.cache.clear()
-            f = _features(token)
+            f = _features(token, paired)
             got = tuple(self.weights[[self.index[p + x] for x in f if p + x in self.index]].sum(axis=0)
                         for p in ("", "<", ">"))
-            self.cache[token] = got
+            self.cache[token, paired] = got
         return got
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
-        parts = [self._parts(t) for t in tokens]
+        parts = [self._parts(t, p) for t, p in zip(tokens, _paired(tokens))]
         out = np.array([p[0] for p in parts])
-        out[1:] += [p[1] for p in parts[:-1]]
-        out[:-1] += [p[2] for p in parts[1:]]
+        if len(parts) > 1:
+            out[1:] += [p[1] for p in parts[:-1]]
+            out[:-1] += [p[2] for p in parts[1:]]
         return out
 
     def decode(self, batch: list[list[str]]) -> list[np.ndarray]:
@@ -169,8 +200,9 @@ class Crf:
         for i, s in enumerate(batch):
             by_length.setdefault(len(s), []).append(i)
         for length, members in by_length.items():
-            for lo in range(0, len(members), BLOCK):
-                part = members[lo:lo + BLOCK]
+            step = max(1, min(BLOCK, BLOCK_TOKENS // length))
+            for lo in range(0, len(members), step):
+                part = members[lo:lo + step]
                 e = np.stack([self.emissions(batch[i]) for i in part])
                 best, back = e[:, 0].copy(), np.empty((len(part), length, len(LABELS)), np.int8)
                 best += self.moves[0]                        # a sequence starts as after O
@@ -207,51 +239,73 @@ def parse(marked: str) -> tuple[list[str], np.ndarray]:
     return tokens, np.array(labels)
 
 
-def train(lines: list[str], steps: int = 150, rate: float = 0.5, ridge: float = 0.02) -> Crf:
+def _line_features(tokens: list[str]) -> list[list[str]]:
+    f = [_features(t, p) for t, p in zip(tokens, _paired(tokens))]
+    return [f[i] + (["<" + x for x in f[i - 1]] if i else []) + ([">" + x for x in f[i + 1]] if i + 1 < len(f) else [])
+            for i in range(len(f))]
+
+
+def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return top.squeeze(axis) + np.log(np.exp(x - top).sum(axis=axis))
+
+
+def likelihood(e: np.ndarray, size: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over padded lines ``e[line, place, label]`` of ``size`` places.
+
+    Returns log partition sums, label probabilities of every place (0 in the
+    padding) and expected counts of moves (the first one from O included).
+    """
+    lines, longest, n = e.shape
+    inside = np.arange(longest) < size[:, None]
+    a, b = np.empty_like(e), np.zeros_like(e)
+    a[:, 0] = e[:, 0] + moves[0]
+    for i in range(1, longest):
+        a[:, i] = np.where(inside[:, i, None], _logsum(a[:, i - 1, :, None] + moves, 1) + e[:, i], a[:, i - 1])
+    for i in range(longest - 2, -1, -1):
+        back = _logsum(moves + (e[:, i + 1] + b[:, i + 1])[:, None], 2)
+        b[:, i] = np.where(inside[:, i + 1, None], back, 0.0)
+    z = _logsum(a[:, -1], 1)
+    p = np.where(inside[:, :, None], np.exp(np.minimum(a + b - z[:, None, None], 0.0)), 0.0)
+    counts = np.zeros((n, n))
+    counts[0] += p[:, 0].sum(axis=0)
+    for i in range(1, longest):
+        on = inside[:, i]
+        counts += np.exp(a[on, i - 1, :, None] + moves + (e[on, i] + b[on, i])[:, None] - z[on, None, None]).sum(axis=0)
+    return z, p, counts
+
+
+def train(lines: list[str], steps: int = 120, rate: float = 0.5, ridge: float = 0.02) -> Crf:
     """Maximum likelihood by forward-backward and adaptive gradient steps."""
     data = [parse(x) for x in lines]
+    data = [d for d in data if d[0]]
     index: dict[str, int] = {}
-    ids = []
-    for tokens, _ in data:
-        f = [_features(t) for t in tokens]
-        rows = []
-        for i in range(len(tokens)):
-            own = list(f[i]) + (["<" + x for x in f[i - 1]] if i else []) + (
-                [">" + x for x in f[i + 1]] if i + 1 < len(f) else [])
-            rows.append([index.setdefault(x, len(index)) for x in own])
-        ids.append(rows)
-    n = len(LABELS)
+    n, size = len(LABELS), np.array([len(t) for t, _ in data])
+    flat, place = [], []                        # feature numbers, and the (line, place) each is seen at
+    for k, (tokens, _) in enumerate(data):
+        for i, f in enumerate(_line_features(tokens)):
+            flat += [index.setdefault(x, len(index)) for x in f]
+            place += [k * size.max() + i] * len(f)
+    flat, place = np.array(flat), np.array(place)
+    cells = len(data) * size.max()
+    seen, gold_moves = np.zeros((cells, n)), np.zeros((n, n))
+    for k, (_, y) in enumerate(data):
+        seen[k * size.max() + np.arange(len(y)), y] = 1
+        np.add.at(gold_moves, (np.append(0, y[:-1]), y), 1)
     w, m = np.zeros((len(index), n)), np.zeros((n, n))
     gw2, gm2 = np.full_like(w, 1e-6), np.full_like(m, 1e-6)
     bad = _forbidden()
+    used, first = np.unique(place, return_index=True)
+    by = np.argsort(flat, kind="stable")
+    start = np.flatnonzero(np.diff(flat[by], prepend=-1))
     for _ in range(steps):
-        gw, gm = -ridge * w, -ridge * m
         mm = np.where(bad, -1e4, m)
-        for (_, y), rows in zip(data, ids):
-            t = len(rows)
-            e = np.stack([w[r].sum(axis=0) for r in rows])
-            a = np.empty((t, n))
-            a[0] = e[0] + mm[0]
-            for i in range(1, t):
-                x = a[i - 1][:, None] + mm
-                top = x.max(axis=0)
-                a[i] = top + np.log(np.exp(x - top).sum(axis=0)) + e[i]
-            b = np.zeros((t, n))
-            for i in range(t - 2, -1, -1):
-                x = mm + (e[i + 1] + b[i + 1])[None]
-                top = x.max(axis=1)
-                b[i] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
-            z = a[-1].max() + np.log(np.exp(a[-1] - a[-1].max()).sum())
-            p = np.exp(a + b - z)
-            for i, r in enumerate(rows):
-                g = -p[i]
-                g[y[i]] += 1
-                np.add.at(gw, r, g)
-            gm[0, y[0]] += 1
-            gm[0] -= p[0]
-            for i in range(1, t):
-                gm -= np.exp(a[i - 1][:, None] + mm + (e[i] + b[i])[None] - z)
-                gm[y[i - 1], y[i]] += 1
+        e = np.zeros((cells, n))
+        e[used] = np.add.reduceat(w[flat], first)
+        _, p, moves = likelihood(e.reshape(len(data), -1, n), size, mm)
+        gap = seen - p.reshape(cells, n)
+        gw = np.add.reduceat(gap[place[by]], start) - ridge * w
+        gm = gold_moves - moves - ridge * m
         gw2 += gw * gw
         gm2 += gm * gm
         w += rate * gw / np.sqrt(gw2)
@@ -271,6 +325,9 @@ LABELLED = (
     "old line {phone:(303) 555 0110} is closed",
     "ask at {phone:617-555-0133} for the key",
     "on the {phone:(988) 555-2485} line again and",
+    "unter {phone:0171 5550199} zu erreichen",
+    "office {phone:0221 555019} is open",
+    "try {phone:555 0134 221} at noon",
     "write to {email:jane (at) example (dot) org} soon",
     "mail {email:john.roe [at] mail [dot] example [dot] com} for it",
     "contact {email:info at example dot net} with questions",
@@ -278,6 +335,9 @@ LABELLED = (
     "send to {email:sales(at)example.com} and wait",
     "the box {email:a.person[at]example.org} is read daily",
     "email {email:kim at post dot example dot org} or so",
+    "and {email:Lee at Shop dot example} or come by",
+    "by {email:desk[at]example-site.net} at any time",
+    "see {email:lopez(at)corp.example} and others",
     "card {card:4111.1111.1111.1111} was charged",
     "visa {card:4111 1111 1111 1111} on file",
     "paid with {card:5500/0000/0000/0004} last week",
@@ -312,9 +372,67 @@ LABELLED = (
     "1 2 3 4 5 6 7 8 9",
     "x 12 y 44 z 107 w 3 v 250",
 )
+#: Words around a span that say nothing about its kind (fixed list of the generator).
+NEUTRAL = ("", "and", "the", "see", "by", "for", "is", "was", "contact", "from", "to", "our", "with", "or", "that", "about")
+
+
+def _word(rng: random.Random) -> str:
+    """A made-up name: letters, now and then with a hyphen, an underscore, a dot or digits."""
+    part = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(2, 8)))
+    joined = part() + rng.choice(["-", "-", "_", "."]) + part() if rng.random() < 0.3 else part()
+    return joined + str(rng.randrange(100)) if rng.random() < 0.15 else joined
+
+
+def _other_span(rng: random.Random, kind: str, span: str) -> str:
+    """A span of the same form with other digits or words."""
+    if kind == "ip":
+        return re.sub(r"[0-9]+", lambda _: str(rng.randrange(256)), span)
+    if kind in ("card", "phone"):
+        return re.sub(r"[1-9]", lambda _: str(rng.randrange(1, 10)), span)
+    said = re.sub(r"[A-Za-z]+(?:\.[A-Za-z]+)?", lambda m: m.group() if m.group().lower() in _BRACKETED else _word(rng), span)
+    return (said, said, said.upper(), said.title())[rng.randrange(4)]
+
+
+def variants(lines: tuple[str, ...], each: int = 10, seed: int = 11) -> list[str]:
+    """The labelled table and, per line, ``each`` generated ones.
+
+    A line with a span keeps the form of the span, with other digits or words,
+    and gets lead and tail of another line or words that say nothing. Of a line
+    without a span other digits are drawn; and its tokens with digits come in
+    leads and tails of lines with spans, so that those words alone mean nothing.
+    """
+    rng = random.Random(seed)
+    cut = [re.fullmatch(r"(.*?)\{(\w+):([^}]*)\}(.*)", x) for x in lines]
+    leads = [m.group(1).strip() for m in cut if m]
+    tails = [m.group(4).strip() for m in cut if m]
+
+    def around(middle: str) -> str:
+        lead = rng.choice(leads) if rng.random() < 0.4 else rng.choice(NEUTRAL)
+        tail = rng.choice(tails) if rng.random() < 0.6 else rng.choice(NEUTRAL)
+        return f"{lead} {middle} {tail}".strip()
+    out = list(lines)
+    for line, m in zip(lines, cut):
+        for _ in range(each):
+            if m:
+                out.append(around("{%s:%s}" % (m.group(2), _other_span(rng, m.group(2), m.group(3)))))
+                continue
+            drawn = re.sub(r"[0-9]", lambda _: str(rng.randrange(10)), line)
+            numbers = [t for t in drawn.split() if re.search("[0-9]", t)]
+            out.append(around(rng.choice(numbers)) if numbers and rng.random() < 0.4 else drawn)
+    return out
+
+
+#: An address has an at sign, a bracketed ``at``, or the word with a ``dot`` or a dotted host behind it.
+_SPELLED = re.compile(r"@|[\[(]at[\])]|\bat\b.*(?:\bdot\b|[A-Za-z0-9]\.[A-Za-z0-9])", re.IGNORECASE | re.DOTALL)
 _FITS = {"ip": (4, 12), "card": (13, 19), "phone": (7, 15)}
 
 
+@lru_cache(maxsize=1)
+def default_model() -> Crf:
+    """The model of the labelled table and its variants, trained once per process."""
+    return train(variants(LABELLED))
+
+
 def added_spans(text: str, seqs: list, paths: list, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = []
     taken = sorted((s, e) for _, s, e in base)
@@ -334,8 +452,8 @@ def added_spans(text: str, seqs: list, paths: list, base: list[tuple[int, int, i
                 end -= 1
             said = text[start:end]
             n = len(_digits(said))
-            fits = _FITS[kind][0] <= n <= _FITS[kind][1] if kind in _FITS else (
-                "@" in said or re.search(r"\bat\b", said, re.I) is not None)
+            fits = _FITS[kind][0] <= n <= _FITS[kind][1] if kind in _FITS else _SPELLED.search(said) is not None
+            fits = fits and (kind != "card" or luhn(_digits(said)))
             if fits and not any(s < end and start < e for s, e in taken):
                 out.append((KINDS.index(kind), start, end))
             i = j
@@ -348,7 +466,7 @@ def _spans_text(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame, crf: Crf | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base, spans`` per row; counts and ``base`` are of patterns."""
-    crf = crf or train(list(LABELLED))
+    crf = crf or default_model()
     schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string"
     names = [x.split()[0] for x in schema.split(", ")]
 
