@@ -1,0 +1,46 @@
+"""Host verdicts of the quality rules against a plain computation, with a host that is refused."""
+
+import random
+
+import pytest
+
+from lectern.llm import quality
+
+
+def clean(rng):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(40))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Ten good hosts, one whose pages are mostly far too short, one with a single short page, NULL host."""
+    rng = random.Random(9)
+    rows = [(f"good{i % 10}", clean(rng)) for i in range(400)]
+    rows += [("spam", "buy now") for _ in range(50)] + [("spam", clean(rng)) for _ in range(10)]
+    rows += [("single", "one short page"), (None, clean(rng)), (None, "short")]
+    return [(i, host, text) for i, (host, text) in enumerate(rows)]
+
+
+def test_a_failing_host_is_refused(spark, corpus):
+    docs = spark.createDataFrame(corpus, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert len(got) == len(corpus)
+    hosts: dict = {}
+    for i, host, text in corpus:
+        hosts.setdefault(host, []).append(len(text.split()) < quality.QualityLimits().min_words)
+    # method of moments over hosts for the one rule that fails here
+    total, k = sum(map(len, hosts.values())), len(hosts)
+    mean = sum(map(sum, hosts.values())) / total
+    var = sum(sum(f) ** 2 / len(f) for f in hosts.values()) / total - mean * mean
+    extra = max(var - mean * (1 - mean) * k / total, 1e-12)
+    weight = min(max(mean * (1 - mean) / extra - 1, 1.0), 1000.0)
+    rate = {h: (sum(f) + mean * weight) / (len(f) + weight) for h, f in hosts.items()}
+    for i, host, text in corpus:
+        assert got[i]["host_rate"] == pytest.approx(rate[host])
+        short = len(text.split()) < quality.QualityLimits().min_words
+        assert got[i]["kept"] == (not short and rate[host] <= quality.QualityLimits().max_host_rate)
+    refused = {host for i, host, text in corpus if got[i]["host_failed"]}
+    assert "spam" in refused and not refused & {f"good{i}" for i in range(10)}
+    # clean pages of the refused host go with it, those of the others stay
+    assert not any(got[i]["kept"] for i, host, _ in corpus if host == "spam")
+    assert all(got[i]["kept"] for i, host, _ in corpus if str(host).startswith("good"))
