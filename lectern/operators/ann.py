@@ -48,6 +48,7 @@ DEFAULT_TABLES = 16
 DEFAULT_BITS = 6
 DEFAULT_MAX_BUCKET = 5000
 SEED = 42
+SCORE_CELLS = 1 << 20                   # rows x questions scored at once (8 MB)
 
 
 def hyperplanes(dim: int, tables: int, bits: int, seed: int = SEED) -> np.ndarray:
@@ -147,7 +148,7 @@ def _probe_partition(bc, keys, payload, vector, cdoc, filter_mode, out_schema):
                         continue
                     qs = st.order[t][qlo[j]:qhi[j]]
                     members = order[starts[j]:starts[j] + counts[j]]
-                    step = max(1, search.SCORE_CELLS // len(qs))
+                    step = max(1, SCORE_CELLS // len(qs))
                     for s0 in range(0, len(members), step):
                         its = members[s0:s0 + step]
                         dots = st.matrix[qs] @ mat[its].T

@@ -216,3 +216,44 @@ def test_a_task_with_many_batches(spark):
     hits = search.exact_search(c, q).collect()
     got = sorted((h.query_id, h.rank, h.doc_id, h.chunk_id, round(h.score, 9)) for h in hits)
     assert got == brute(corpus, qs, decimals=12)
+
+
+def test_a_task_stays_small_with_many_questions():
+    """Candidates of a batch are dropped while it is scored, not after it (before: 32 bytes for each
+    question, hit and 200 vectors at once)."""
+    import tracemalloc
+    from types import SimpleNamespace
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    rng = np.random.default_rng(17)
+    vec = lambda m: pa.array(list(m), pa.list_(pa.float32()))
+    qs, items = rng.standard_normal((20_000, 8)).astype(np.float32), rng.standard_normal((6_000, 8)).astype(np.float32)
+    tbl = pa.table({"q": pa.array(np.arange(len(qs))), "v": vec(qs), "_k": pa.array(np.full(len(qs), 5), pa.int32())})
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(items))), vec(items)], names=["id", "v"])
+    schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("id", T.LongType()),
+                           T.StructField("score", T.DoubleType()), T.StructField("_k", T.IntegerType())])
+    run = search._score_partition(SimpleNamespace(value=search._Block(tbl, "q", "v")), ("id",), (), "v", schema)
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(run([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 5 * len(qs) and peak < 64 << 20, peak
+    some = rng.choice(len(qs), 200, replace=False)
+    unit = lambda m: m / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    best = np.argsort(-(unit(qs[some]) @ unit(items).T), axis=1)[:, :5]
+    got = {int(q): set() for q in some}
+    for q, i in zip(out["q"].to_pylist(), out["id"].to_pylist()):
+        if q in got:
+            got[q].add(i)
+    assert [got[int(q)] for q in some] == [set(b.tolist()) for b in best]
+
+
+def test_blocks_by_hits_carry_payload_of_repeated_and_null_keys(spark):
+    """Many blocks: winners are rows of the stored corpus, whatever their keys; scoped questions beside them."""
+    corpus = fixture(4) + [(1, 0, "again", [0.5, 1.0, 0.25, 2.0, 1.0, 1.5]), (None, None, "no key", [0.3, 1.0, 2.0, 0.1, 1.0, 0.0])]
+    c = spark.createDataFrame(corpus, "doc_id long, chunk_id int, text string, embedding array<double>")
+    qs = [(f"q{i}", corpus[i][3], [5, None, 70, 0][i % 4], 3 if i % 6 == 5 else None) for i in range(25)] + [("q1", corpus[9][3], 5, None)]
+    q = spark.createDataFrame(qs, "query_id string, embedding array<double>, top_k int, doc_id long")
+    one, many = (sorted((r.query_id, r["rank"], r.text, r.score) for r in search.exact_search(c, q, **kw).collect())
+                 for kw in ({}, {"max_block_hits": 30}))
+    assert one == many and {"again", "no key"} <= {r[2] for r in many}
