@@ -121,13 +121,14 @@ def _probe_partition(bc, keys, payload, vector, cdoc, filter_mode, out_schema):
         st: _Probe = bc.value
         if not len(st.k):
             return
-        tables, cand, kept = [], [], 0
+        tables, cand, kept, held = [], [], 0, 0
         for rb in batches:
             if rb.num_rows == 0:
                 continue
             bno = len(tables)
             tbl = pa.Table.from_batches([rb])
-            tables.append(tbl)
+            tables.append(tbl.select([c for c in tbl.column_names if c in (*keys, *payload)]))
+            held += rb.nbytes
             # rows renumbered in chunk-key order: among equal scores the lower row wins
             perm = pc.sort_indices(tbl, sort_keys=[(c, "ascending") for c in keys]).to_numpy().astype(np.int64)
             mat, sq = _padded_matrix(tbl.column(vector).combine_chunks().take(pa.array(perm)), st.dim)
@@ -160,16 +161,23 @@ def _probe_partition(bc, keys, payload, vector, cdoc, filter_mode, out_schema):
                         if len(qi):
                             cand.append((qs[qi], np.full(len(qi), bno), perm[its[ci]], scores[qi, ci]))
                             kept += len(qi)
-                if kept > 4 * st.kmax * len(st.k):
+                if kept > max(1 << 16, 2 * st.kmax * len(st.k)):
                     cand = [search._select_winners(tables, cand, keys, st.k)]
                     kept = len(cand[0][0])
+            if not cand:
+                tables, held = [], 0
+            elif held > search.HELD_BYTES:       # only the winners' rows stay, not their batches
+                tables, cand = search._compact(tables, search._select_winners(tables, cand, keys, st.k))
+                kept, held = len(cand[0][0]), 0
         if not cand:
             return
-        q, bt, row, score = search._select_winners(tables, cand, keys, st.k)
-        cols = {name: search._gather(tables, bt, row, name) for name in (*keys, *payload)}
-        out = pa.table({names[0]: st.ids.take(pa.array(q)), **cols,
-                        "score": pa.array(score, pa.float64()), "_k": pa.array(st.k[q], pa.int32())})
-        yield from out.select(names).to_batches()
+        winners = search._select_winners(tables, cand, keys, st.k)
+        for lo in range(0, len(winners[0]), search.OUT_ROWS):
+            q, bt, row, score = (a[lo:lo + search.OUT_ROWS] for a in winners)
+            cols = {name: search._gather(tables, bt, row, name) for name in (*keys, *payload)}
+            out = pa.table({names[0]: st.ids.take(pa.array(q)), **cols,
+                            "score": pa.array(score, pa.float64()), "_k": pa.array(st.k[q], pa.int32())})
+            yield from out.select(names).combine_chunks().to_batches()
     return run
 
 
@@ -229,7 +237,7 @@ def approx_search(corpus: DataFrame, questions: DataFrame, *,
             query_key, F.lit(0).alias("rank"), *keys, *payload, "score").limit(0)
         return empty if scoped is None else scoped
 
-    nblocks = max(1, math.ceil(nq * width * 8 / max_block_bytes))
+    nblocks = max(1, math.ceil(nq * width * 8 / max_block_bytes), math.ceil(nq * kmax / search.MAX_BLOCK_HITS))
     qb_all = q.withColumn("_blk", F.pmod(F.xxhash64(query_key), F.lit(nblocks)))
     parts = []
     for b in range(nblocks):
@@ -238,9 +246,9 @@ def approx_search(corpus: DataFrame, questions: DataFrame, *,
         bc = spark.sparkContext.broadcast(probe)
         parts.append(c.mapInArrow(_probe_partition(bc, keys, payload, vector, corpus_doc, filter_mode,
                                                    out_schema), out_schema))
-        if hot:
-            parts.append(_hot_part(c, qb, hot, keys, payload, vector, query_key, corpus_doc,
-                                   False, planes, tables, bits, width, out_schema))
+    if hot:                              # all questions at once: their blocks are joined, not broadcast
+        parts.append(_hot_part(c, q, hot, keys, payload, vector, query_key, corpus_doc,
+                               False, planes, tables, bits, width, out_schema))
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
