@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_ROWS = 1024            # vectors in one block
-KEPT_ROWS = 1 << 18          # winners a task holds before it drops those beaten meanwhile
+PACK_ROWS = 2048             # rows of a batch that are packed at once
+KEPT_ROWS = 1 << 16          # winners a task holds before it drops those beaten meanwhile
+KEPT_BYTES = 32 << 20        # the same in bytes; what is still more than half of either goes out
+OUT_ROWS = 8192              # rows of one output batch
 BROADCAST_BYTES = 64 << 20   # packed questions that may be broadcast; more are joined by a shuffle
 
 
@@ -200,11 +203,13 @@ def pack(df: DataFrame, by: str, order: Sequence[str], carried: Sequence[str], v
                 continue
             tbl = pa.Table.from_batches([rb])
             perm = pc.sort_indices(tbl, sort_keys=[(c, "ascending") for c in (by, *order)])
-            tbl = tbl.take(perm).combine_chunks()
-            one = lambda c: tbl.column(c).chunk(0)
-            vec = list_array(one(vector))
-            mat, sq = padded_matrix(vec, widest(vec))
-            yield pack_runs(one(by), mat.astype(np.float32) if single else mat, np.sqrt(sq), {c: one(c) for c in carried}, names, rows)
+            for lo in range(0, len(perm), max(rows, PACK_ROWS // rows * rows)):
+                part = tbl.take(perm.slice(lo, max(rows, PACK_ROWS // rows * rows))).combine_chunks()
+                one = {c: part.column(c).chunk(0) for c in part.column_names}
+                vec = list_array(one[vector])
+                mat, sq = padded_matrix(vec, widest(vec))
+                yield pack_runs(one[by], mat.astype(np.float32) if single else mat, np.sqrt(sq),
+                                {c: one[c] for c in carried}, names, rows)
 
     need = list(dict.fromkeys((by, *order, *carried, vector)))
     some = df.select(*need).where(F.col(by).isNotNull() & F.col(vector).isNotNull())
@@ -247,8 +252,10 @@ def score_blocks(items: DataFrame, questions: DataFrame, on: str, query_key: str
     ``query_key`` and ``_k``. ``same`` names a carried column of the items and
     one of the questions that must agree for a hit (a NULL question takes all).
     Each task keeps the best ``_k`` rows per question; it holds at most
-    :data:`KEPT_ROWS` winners, or twice those that are left after a clean-up,
-    besides those of one block.
+    :data:`KEPT_ROWS` winners or :data:`KEPT_BYTES`, besides those of one
+    block: what a clean-up leaves beyond half of that goes out, to be ranked
+    with the rest. The questions lead the join, so a block of them has met all
+    its items (of a shuffled join) before the next one comes.
     """
     carried = items.schema["rows"].dataType.elementType
     asked = questions.schema["q_rows"].dataType.elementType
@@ -258,7 +265,7 @@ def score_blocks(items: DataFrame, questions: DataFrame, on: str, query_key: str
                           + [T.StructField("score", T.DoubleType()), T.StructField("_k", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, limit = [], 0, KEPT_ROWS
+        held, n, size = [], 0, 0
         for batch in batches:
             item_rows, question_rows = batch.column("rows"), batch.column("q_rows")
             item_at, question_at = item_rows.offsets.to_numpy(), question_rows.offsets.to_numpy()
@@ -281,14 +288,16 @@ def score_blocks(items: DataFrame, questions: DataFrame, on: str, query_key: str
                                      + [item_rows.field(c).take(at) for c in (*keys, *payload)]
                                      + [pa.array(scores[qi, ci]), pa.array(ks[q0 + qi], pa.int32())],
                                      names=[*names, "score", "_k"]))
-                n += len(qi)
-                if n > limit:
+                n, size = n + len(qi), size + held[-1].nbytes
+                if n > KEPT_ROWS or size > KEPT_BYTES:
                     held = [_beaten(pa.concat_tables(held), query_key, keys)]
-                    n = held[0].num_rows
-                    limit = max(KEPT_ROWS, 2 * n)
+                    n, size = held[0].num_rows, held[0].nbytes
+                    if n > KEPT_ROWS // 2 or size > KEPT_BYTES // 2:
+                        yield from held[0].to_batches(max_chunksize=OUT_ROWS)
+                        held, n, size = [], 0, 0
         if held:
-            yield from _beaten(pa.concat_tables(held), query_key, keys).to_batches()
+            yield from _beaten(pa.concat_tables(held), query_key, keys).to_batches(max_chunksize=OUT_ROWS)
 
     if question_bytes > BROADCAST_BYTES:
         questions = questions.hint("merge")
-    return items.join(questions, on).drop(on).mapInArrow(run, schema)
+    return questions.join(items, on).drop(on).mapInArrow(run, schema)

@@ -257,3 +257,24 @@ def test_blocks_by_hits_carry_payload_of_repeated_and_null_keys(spark):
     one, many = (sorted((r.query_id, r["rank"], r.text, r.score) for r in search.exact_search(c, q, **kw).collect())
                  for kw in ({}, {"max_block_hits": 30}))
     assert one == many and {"again", "no key"} <= {r[2] for r in many}
+
+
+def test_a_joined_task_sends_out_what_it_cannot_hold(spark, monkeypatch):
+    """Winners of many questions leave a task in parts (before: all were held until its end)."""
+    import pyarrow as pa
+    from lectern.operators import blocks
+    held = []
+    rng = np.random.default_rng(23)
+    schema = "doc long, id long, embedding array<float>"
+    c = spark.createDataFrame([(1, i, rng.standard_normal(4).tolist()) for i in range(500)], schema)
+    q = spark.createDataFrame([(1, i, rng.standard_normal(4).tolist()) for i in range(3000)], schema).select(
+        "doc", F.col("id").alias("query_id"), F.lit(5).alias("_k"), "embedding")
+    items = blocks.pack(c, "doc", ["id"], ["id"], "embedding")
+    asked = blocks.pack(q, "doc", ["query_id"], ["query_id", "_k"], "embedding", prefix="q_", rows=100)
+    joined = asked.join(items, "doc").drop("doc").toArrow()
+    monkeypatch.setattr(blocks, "KEPT_ROWS", 2000)
+    monkeypatch.setattr(blocks, "_beaten", lambda t, *a, f=blocks._beaten: (held.append(t.num_rows), f(t, *a))[1])
+    monkeypatch.setattr(type(items), "mapInArrow", lambda self, f, schema: f)
+    run = blocks.score_blocks(items, asked, "doc", "query_id", ("id",), (), 1)
+    out = pa.Table.from_batches(list(run(joined.combine_chunks().to_batches())))
+    assert max(held) < 20_000 and len(set(out["query_id"].to_pylist())) == 3000
