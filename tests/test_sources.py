@@ -81,3 +81,27 @@ def test_short_payload_chunks_use_stripped_length(spark):
     rows = spark.createDataFrame([("d", 0, "   " + "x" * 19 + "   "), ("d", 1, " " + "y" * 20)],
                                  "doc_id string, chunk_id int, text string")
     assert [r.chunk_id for r in retrieval.embeddable_chunks(rows).collect()] == [1]
+
+
+def test_objects_share_folders(spark, tmp_dir):
+    """Objects written by tasks: few folders whatever their number, whole contents, one object for a key in a task."""
+    rows = [(i, f"line of {i} é\n<b>") for i in range(600)] + [(7, "again"), (600, None)]
+    root = os.path.join(tmp_dir, "objects")
+    src.write_objects(spark.createDataFrame(rows, "id long, body string").coalesce(1), f"file://{root}", "id", "body")
+    folders = [d for d, _, files in os.walk(root) if files]
+    assert len(folders) <= src.OBJECT_FOLDERS < 601
+    assert not [f for _, _, files in os.walk(root) for f in files if not f.endswith(".txt")]     # no half-written ones
+    found = src.read_objects(spark, root, glob="*.txt")
+    contents = {r.path.rsplit("/id=", 1)[1]: bytes(r.content).decode() for r in found.collect()}
+    assert len(contents) == 601
+    assert contents.pop("600-0.txt") == "\n" and contents.pop("7-0.txt") == "line of 7 é\n<b>\nagain\n"
+    assert contents == {f"{i}-0.txt": f"line of {i} é\n<b>\n" for i in range(600) if i != 7}
+    # all are opened again by their names, more than one batch in a task, with the same texts
+    keys = found.selectExpr("'b' AS bucket", "regexp_extract(path, '/objects/(.*)$', 1) AS object_key")
+    os.makedirs(os.path.join(tmp_dir, "top"))
+    os.symlink(root, os.path.join(tmp_dir, "top", "b"))
+    docs = src.fetch_documents(keys, os.path.join(tmp_dir, "top"), src.utf8_parser, tasks=1).collect()
+    assert len(docs) == 601 and all(d.error is None for d in docs)
+    texts = {d.path.rsplit("/id=", 1)[1]: d.text for d in docs}
+    assert texts.pop("600-0.txt") == "" and texts.pop("7-0.txt") == "line of 7 é\n<b>\nagain\n"
+    assert texts == contents
