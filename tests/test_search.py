@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +279,28 @@ def test_a_joined_task_sends_out_what_it_cannot_hold(spark, monkeypatch):
     run = blocks.score_blocks(items, asked, "doc", "query_id", ("id",), (), 1)
     out = pa.Table.from_batches(list(run(joined.combine_chunks().to_batches())))
     assert max(held) < 20_000 and len(set(out["query_id"].to_pylist())) == 3000
+
+
+def test_winners_gather_keys_of_ties_only(monkeypatch):
+    """Scores alone rank most candidates; keys decide among those of the last place's score, like a full sort."""
+    rng = np.random.default_rng(5)
+    n, nq = 4000, 40
+    keys = ("doc_id", "chunk_id")
+    tables = [pa.table({"doc_id": rng.integers(0, 30, 300), "chunk_id": rng.integers(0, 3, 300)}) for _ in range(3)]
+    pairs = rng.permutation(nq * 900)[:n]
+    q, bt, row = pairs // 900, pairs % 900 // 300, pairs % 300
+    score = np.where(q < 20, rng.random(n), rng.integers(0, 4, n) / 4)      # the second half is full of ties
+    k = rng.integers(1, 9, nq)
+    k[39] = 5000                                                              # more places than candidates
+    gathered = []
+    plain = search._gather
+    monkeypatch.setattr(search, "_gather", lambda t, b, r, name: (gathered.append(len(r)), plain(t, b, r, name))[1])
+    cut = [slice(0, 1000), slice(1000, n)]
+    got = search._select_winners(tables, [(q[c], bt[c], row[c], score[c]) for c in cut], keys, k)
+    assert 0 < max(gathered) <= (q >= 20).sum()
+    key = [tuple(tables[b].column(c)[int(r)].as_py() for c in keys) for b, r in zip(bt, row)]
+    for one in range(nq):
+        want = sorted((-score[i], key[i]) for i in np.flatnonzero(q == one))[:k[one]]
+        mine = [(-s, tuple(tables[b].column(c)[int(r)].as_py() for c in keys))
+                for s, b, r in zip(got[3][got[0] == one], got[1][got[0] == one], got[2][got[0] == one])]
+        assert sorted(mine) == want and [m[0] for m in mine] == [w[0] for w in want]
