@@ -162,16 +162,16 @@ def _probe_partition(bc, keys, payload, vector, cdoc, filter_mode, out_schema):
                             cand.append((qs[qi], np.full(len(qi), bno), perm[its[ci]], scores[qi, ci]))
                             kept += len(qi)
                 if kept > max(1 << 16, 2 * st.kmax * len(st.k)):
-                    cand = [search._select_winners(tables, cand, keys, st.k)]
+                    cand = [search._select_winners(tables, cand, keys, st.k, repeated=True)]
                     kept = len(cand[0][0])
             if not cand:
                 tables, held = [], 0
             elif held > search.HELD_BYTES:       # only the winners' rows stay, not their batches
-                tables, cand = search._compact(tables, search._select_winners(tables, cand, keys, st.k))
+                tables, cand = search._compact(tables, search._select_winners(tables, cand, keys, st.k, repeated=True))
                 kept, held = len(cand[0][0]), 0
         if not cand:
             return
-        winners = search._select_winners(tables, cand, keys, st.k)
+        winners = search._select_winners(tables, cand, keys, st.k, repeated=True)
         for lo in range(0, len(winners[0]), search.OUT_ROWS):
             q, bt, row, score = (a[lo:lo + search.OUT_ROWS] for a in winners)
             cols = {name: search._gather(tables, bt, row, name) for name in (*keys, *payload)}
