@@ -173,3 +173,16 @@ def test_late_copies_and_replays(spark, tmp_dir):
     rows = spark.readStream.schema("doc_id long, chunk_id int, text string").parquet(source)
     stream.run_available_now(stream.write_new(rows, out, "b"))
     assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
+
+
+def test_announced_pages_of_any_size_are_chunked(spark, tmp_dir):
+    """A page far over 16 KB comes out whole, beside a short one that is announced but not there."""
+    from lectern.plans.queries import event_ingest
+    text = "A sentence of a long page that is told again and again. " * 1000
+    rows = [(1, "http://h/a", f"<p>{text}</p>"), (3, "http://h/b", f"<p>{text}</p>"), (4, "http://h/c", "<p>short</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(os.path.join(tmp_dir, "pages.parquet"))
+    got = event_ingest(spark, tmp_dir).collect()
+    chunks = sorted((r.chunk_id, r.text) for r in got if r.page_id == 1)
+    assert chunks == [(i, c[0]) for i, c in enumerate(chunking.chunk_spans(text))] and len(chunks) > 100
+    assert {(r.page_id, r.reason) for r in got if r.page_id != 1} == {
+        (3, "object not found"), (4, "no extractable text (under 50 characters)")}
