@@ -304,3 +304,89 @@ def test_winners_gather_keys_of_ties_only(monkeypatch):
         mine = [(-s, tuple(tables[b].column(c)[int(r)].as_py() for c in keys))
                 for s, b, r in zip(got[3][got[0] == one], got[1][got[0] == one], got[2][got[0] == one])]
         assert sorted(mine) == want and [m[0] for m in mine] == [w[0] for w in want]
+
+
+def _count_vectors(rng, n, width=24):
+    """Vectors of counts; among them empty ones, some with counts over a byte, some that are no counts."""
+    m = rng.poisson(0.4, (n, width)).astype(np.float32)
+    m[::17] = 0
+    m[5::29, 3] = 200 + np.arange(len(m[5::29]))
+    m[7::31, 4] -= 0.25
+    m[9::37, 5] = -3
+    return m
+
+
+def _scored(questions, items, k=5):
+    """Hits ``(question, item, score)`` of one task over two batches."""
+    from types import SimpleNamespace
+    from pyspark.sql import types as T
+    vec = lambda m: pa.array(list(m), pa.list_(pa.float32()))
+    tbl = pa.table({"q": pa.array(np.arange(len(questions))), "v": vec(questions), "_k": pa.array(np.full(len(questions), k), pa.int32())})
+    whole = pa.RecordBatch.from_arrays([pa.array(np.arange(len(items))), vec(items)], names=["id", "v"])
+    schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("id", T.LongType()),
+                           T.StructField("score", T.DoubleType()), T.StructField("_k", T.IntegerType())])
+    block = search._Block(tbl, "q", "v")
+    run = search._score_partition(SimpleNamespace(value=block), ("id",), (), "v", schema)
+    out = pa.Table.from_batches(list(run([whole.slice(0, 1500), whole.slice(1500)])))
+    return block, sorted(zip(out["q"].to_pylist(), out["id"].to_pylist(), out["score"].to_pylist()))
+
+
+def test_counts_are_multiplied_as_bytes(monkeypatch):
+    """Questions of small counts are held as bytes and multiplied as such; same hits as by floats and by brute force."""
+    pytest.importorskip("onnxruntime")
+    from lectern.operators import whole
+    rng = np.random.default_rng(29)
+    questions, items = rng.poisson(0.5, (1300, 24)).astype(np.float32), _count_vectors(rng, 2600)
+    questions[3] = 0
+    pairs = []
+    plain = whole.scaled_product
+    monkeypatch.setattr(whole, "scaled_product", lambda a, b, t: pairs.append(len(a) * b.shape[1]) or plain(a, b, t))
+    block, got = _scored(questions, items)
+    assert block.matrix.dtype == np.uint8 and sum(pairs) == len(questions) * len(items)
+    monkeypatch.setattr(whole, "available", lambda: False)
+    assert _scored(questions, items)[1] == got and sum(pairs) == len(questions) * len(items)
+    q, c = questions.astype(float), items.astype(float)
+    by = np.multiply.outer(np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1)))
+    scores = np.divide(q @ c.T, by, out=np.zeros_like(by), where=by > 0)
+    scores = np.where((items == np.rint(items)).all(axis=1), scores, np.round(scores, 12))      # counts score exactly
+    best = [sorted(range(len(c)), key=lambda i, s=s: (-s[i], i))[:5] for s in scores]
+    assert [(a, b) for a, b, _ in got] == sorted((i, j) for i, five in enumerate(best) for j in five)
+    # questions that are no small counts go by floats
+    for other in (questions + 0.5, -questions, questions * 200):
+        pairs.clear()
+        block, _ = _scored(other[:40], items)
+        assert block.matrix.dtype == np.float32 and not pairs
+
+
+def test_products_of_bytes_are_exact():
+    pytest.importorskip("onnxruntime")
+    from lectern.operators import whole
+    assert whole.available()
+    rng = np.random.default_rng(31)
+    for m, w, n in ((1, 1, 1), (3, 256, 5), (130, 300, 70), (64, 7, 1)):
+        a, b = rng.integers(0, 128, (m, w)).astype(np.uint8), rng.integers(-127, 128, (w, n)).astype(np.int8)
+        assert (whole.scaled_product(a, b, np.ones(n, np.float32)) == a.astype(np.int64) @ b.astype(np.int64)).all()
+        half = np.full(n, 0.5, np.float32)
+        assert (whole.scaled_product(a, b, half) == (a.astype(np.int64) @ b.astype(np.int64)) / 2).all()
+
+
+def test_blocks_share_few_scan_tasks(spark, monkeypatch):
+    """Scans of many blocks take no more tasks than keep the cores busy: every task gives hits of its own for each question."""
+    rng = np.random.default_rng(37)
+    corpus = spark.createDataFrame([(i, 0, "t", rng.poisson(0.5, 8).astype(float).tolist()) for i in range(900)],
+                                   "doc_id long, chunk_id int, text string, embedding array<double>").repartition(60)
+    asked = spark.createDataFrame([(f"q{i}", rng.poisson(0.5, 8).astype(float).tolist()) for i in range(30)],
+                                  "query_id string, embedding array<double>")
+    one = sorted(map(tuple, search.exact_search(corpus, asked).collect()))
+    tasks = []
+    monkeypatch.setattr(search, "_scan", lambda c, blocks, *a, f=search._scan: (
+        tasks.append(c._jdf.queryExecution().toRdd().getNumPartitions()), f(c, blocks, *a))[1])
+    monkeypatch.setattr(search, "TASKS_A_CORE", 1)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))                  # a split for every file
+    try:
+        many = sorted(map(tuple, search.exact_search(corpus, asked, max_block_hits=30).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert many == one and len(tasks) == 2
+    assert max(tasks) <= max(spark.sparkContext.defaultParallelism, -(-60 // search.SPLITS_A_TASK)) < 60
