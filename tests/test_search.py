@@ -390,3 +390,22 @@ def test_blocks_share_few_scan_tasks(spark, monkeypatch):
         spark.conf.set("spark.sql.files.openCostInBytes", before)
     assert many == one and len(tasks) == 2
     assert max(tasks) <= max(spark.sparkContext.defaultParallelism, -(-60 // search.SPLITS_A_TASK)) < 60
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """The tasks of chunking, embedding and scoring give their memory back when they end, also early."""
+    from types import SimpleNamespace
+    from lectern.operators import chunking, embedding, worker
+    given = []
+    monkeypatch.setattr(worker, "give_back", lambda: given.append(1))
+    docs = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words of a text. " * 40])], names=["doc_id", "text"])
+    chunks = list(chunking._chunk_batches(["doc_id"], "text", 500, 50)(iter([docs])))
+    assert len(given) == 1 and sum(c.num_rows for c in chunks) == 2
+    early = embedding._hash_batches("text", "embedding", 16, None)(iter(chunks))
+    assert next(early).num_rows == 2
+    early.close()
+    assert len(given) == 2
+    search._score_partition(SimpleNamespace(value=SimpleNamespace(k=[])), ("doc_id",), (), "embedding", SimpleNamespace(fields=[]))
+    assert len(given) == 2 and not list(search._score_partition(
+        SimpleNamespace(value=SimpleNamespace(k=[])), ("doc_id",), (), "embedding", SimpleNamespace(fields=[]))(iter([])))
+    assert len(given) == 3
